@@ -99,6 +99,20 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bin_of, offset
 
 
+def _packer(turn: int, capacity: int):
+    """Packs one partition's pieces; each row also says how full its sequence is, and one row of each sequence counts it."""
+
+    def pack(held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("piece_key", ignore_index=True)
+        lengths = held["length"].to_numpy()
+        b, offset = best_fit_decreasing(lengths, capacity)
+        filled = np.bincount(b, weights=lengths).astype(np.int64)
+        number = (np.int64(turn) << 58) + (np.int64(held["part"].iloc[0]) << 28) + b
+        return pd.DataFrame({"piece_key": held["piece_key"], "length": lengths, "sequence_id": number, "offset": offset, "filled": filled[b], "bins": (offset == 0).astype(np.int64)})
+
+    return pack
+
+
 def place(parts: DataFrame, *, capacity: int = 1024, items_per_partition: int = 16_384, max_rounds: int = 4) -> tuple[DataFrame, dict[str, int]]:
     """Sequence and offset of each piece (piece_key, length), and the certificate: sequences used and the bound.
 
@@ -119,15 +133,8 @@ def place(parts: DataFrame, *, capacity: int = 1024, items_per_partition: int =
             break
         n = max(1, -(-left // items_per_partition))
 
-        def pack(held: pd.DataFrame, turn: int = turn) -> pd.DataFrame:
-            held = held.sort_values("piece_key", ignore_index=True)
-            b, offset = best_fit_decreasing(held["length"].to_numpy(), capacity)
-            filled = np.bincount(b, weights=held["length"].to_numpy()).astype(np.int64)
-            number = (np.int64(turn) << 58) + (np.int64(held["part"].iloc[0]) << 28) + b
-            return pd.DataFrame({"piece_key": held["piece_key"], "length": held["length"], "sequence_id": number, "offset": offset, "filled": filled[b], "bins": 0}).assign(bins=np.where(np.diff(np.sort(b), prepend=-1)[np.argsort(np.argsort(b, kind="stable"))] > 0, 1, 0))
-
         dealt = pool.withColumn("part", F.pmod(F.xxhash64("piece_key", F.lit(turn)), F.lit(n)))
-        packed = materialise(dealt.groupBy("part").applyInPandas(pack, schema), "packed")
+        packed = materialise(dealt.groupBy("part").applyInPandas(_packer(turn, capacity), schema), "packed")
         bins, full, pooled = packed.agg(F.coalesce(F.sum("bins"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("filled") == capacity, F.col("bins"))), F.lit(0)), F.count(F.when(F.col("filled") < capacity, 1))).first()
         done = packed.select("piece_key", "sequence_id", "offset")
         if used + bins <= bound or n == 1 or turn == max_rounds - 1:

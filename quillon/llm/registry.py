@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.llm import packing, wavelet
+from quillon.llm import dedup, packing, wavelet
 
-MODULES = [wavelet, packing]
+MODULES = [wavelet, packing, dedup]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
