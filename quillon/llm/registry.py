@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, dedup, language, packing, pii, wavelet
+from quillon.llm import chat, decontaminate, dedup, language, packing, pii, quality, rules, urls, wavelet
 
-MODULES = [pii, wavelet, packing, decontaminate, language, dedup]
+MODULES = [pii, chat, urls, wavelet, quality, rules, packing, decontaminate, language, dedup]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
