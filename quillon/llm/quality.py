@@ -44,7 +44,7 @@ def _steps(x: np.ndarray, edges: list[float]) -> np.ndarray:
 
 
 def text_rows(column: pa.Array) -> Rows:
-    """The distinct words of each whole text (hashed, each of weight 1 / sqrt(words)) and steps of shares: symbols, capitals, digits, exclamation, repetition and word length."""
+    """The distinct words of each whole text (hashed, each of weight words ** -1/4, so that one word still counts in a long text) and steps of shares: symbols, capitals, digits, exclamation, repetition and word length."""
     at, raw = string_buffers(column)
     h, word_at = word_hashes(column)
     n = len(at) - 1
@@ -61,7 +61,7 @@ def text_rows(column: pa.Array) -> Rows:
     ]
     k = len(shape)
     index = np.concatenate([bucket, *(WORD_BUCKETS + 8 * i + s for i, s in enumerate(shape))])
-    value = np.concatenate([1 / np.sqrt(distinct[owner]), np.ones(k * n)])
+    value = np.concatenate([distinct[owner] ** -0.25, np.ones(k * n)])
     order = np.argsort(np.concatenate([owner, np.tile(np.arange(n), k)]), kind="stable")
     return Rows(index[order], value[order], np.append(0, np.cumsum(distinct + k)))
 
@@ -75,7 +75,7 @@ def meta_rows(source: list, lang: list, n_chars: list) -> Rows:
     return Rows(np.array(index, dtype=np.int64), np.ones(len(index)), 3 * np.arange(len(source) + 1))
 
 
-def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, size: int, *, l2: float = 1e-3, turns: int = 120) -> np.ndarray:
+def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, size: int, *, l2: float = 1e-3, turns: int = 300) -> np.ndarray:
     """Weights and, in the last place, the intercept of a logistic regression, by adaptive full-batch gradient steps."""
     w, b, seen, seen_b = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
     if len(y):
