@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.plans import dashboards, layers, pos
+from quillon.plans import dashboards, layers, pos, retrieval, signals
 
-MODULES = [layers, dashboards, pos]
+MODULES = [layers, dashboards, pos, retrieval, signals]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
