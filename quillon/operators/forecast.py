@@ -76,7 +76,7 @@ def decomposed(y: np.ndarray, horizon: int, season: int = 7) -> np.ndarray:
     rest = y - np.median(windows, axis=1)
     pattern = np.array([np.median(rest[i::season]) for i in range(season)])
     pattern -= pattern.mean()
-    trend = float(np.median((y - pattern[np.arange(n) % season])[-2 * season :]))
+    trend = float(np.median((y - pattern[np.arange(n) % season])[-season:]))
     return np.maximum(trend + pattern[(n + np.arange(horizon)) % season], 0.0)
 
 

@@ -78,7 +78,7 @@ def read_upload(spark: SparkSession, path: str) -> DataFrame:
     if kind == "csv":
         return spark.read.options(header=True, multiLine=True, escape='"').csv(path)
     if kind == "text":
-        return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+        return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
