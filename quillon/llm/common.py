@@ -36,8 +36,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared scratch folder and read it again: lineage is cut, and a lost executor costs no recomputation."""
+def materialise(df: DataFrame, label: str, compression: str = "zstd", *, rows: int | None = None, rows_per_file: int = 250_000) -> DataFrame:
+    """Write df to the shared scratch folder and read it again: lineage is cut, and a lost executor costs no recomputation.
+
+    rows: a bound of its rows, where known; a small table is then written to few files, however many shuffle partitions there are.
+    """
     path = scratch(df.sparkSession, label)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // rows_per_file)))
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -112,13 +112,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     meta = materialise(signatures(docs, id_col=id_col, text_col=text_col, words=words, rows=rows, n_bands=n_bands), "signatures")
     with_set = meta.where("print is not null and doc_id is not null")
-    classes = materialise(with_set.groupBy("print").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys")), "classes")
+    classes = materialise(with_set.groupBy("print").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys")), "classes", rows=meta.count(), rows_per_file=20_000)
     entries = classes.select("node", F.explode("keys").alias("key"))
     least = entries.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     stars = entries.join(least, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     clusters = components(stars)
     sized = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    members = materialise(clusters.join(sized, "component").join(classes.select("node", "print"), "node").select("node", F.col("component").alias("cluster"), "blocks", "print"), "members")
+    members = materialise(clusters.join(sized, "component").join(classes.select("node", "print"), "node").select("node", F.col("component").alias("cluster"), "blocks", "print"), "members", rows=clusters.count())
     wanted = F.broadcast(members) if members.count() <= BROADCAST_MEMBERS else members
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node").select("node", "cluster", "blocks", "print", "text")
     sets = texts.mapInArrow(lambda it: _sets_of(it, words), "node long, cluster long, blocks long, shingles binary")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import materialise
 
 
-def components(edges: DataFrame, max_turns: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the least node that can be reached.
 
     Each step joins every node to the least of its neighbours; a hot node's neighbours are reduced by partial aggregation,
@@ -17,7 +17,7 @@ def components(edges: DataFrame, max_turns: int = 60) -> DataFrame:
     """
     links = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    for _ in range(max_turns):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: greater neighbours move to the least one
@@ -25,7 +25,7 @@ def components(edges: DataFrame, max_turns: int = 60) -> DataFrame:
         # small star: the lesser neighbours and the node itself move to the least one
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        links = materialise(small, "links")
+        links = materialise(small, "links", rows=2 * state[0])
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
