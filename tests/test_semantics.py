@@ -287,3 +287,34 @@ def test_empty_tables(spark):
     assert features.rolling_origin(none).count() == 0
     assert forecast.seasonal_naive(features.rolling_origin(none)).count() == 0
     assert isinstance(pd.DataFrame(layers.active_span(none).collect()), pd.DataFrame)
+
+
+def test_inbox_and_stock(spark):
+    from quillon.operators import inbox, inventory
+
+    calls = [[("search", True, 1), ("escalate", False, 2), ("escalate", True, 9), ("escalate", True, 3)]]
+    df = spark.createDataFrame([tuple(calls)], "calls array<struct<tool:string,ok:boolean,target:long>>")
+    assert df.select(inbox.escalation(F.col("calls"), F.lit(9)).alias("x")).first().x == 3
+    people = spark.createDataFrame([(1, "Ann Bell", "bar manager"), (2, "Bob", "chef")], "user_id int, name string, role string")
+    assert [r.user_id for r in inbox.person(people, "the manager").collect()] == [1]
+    stock = spark.createDataFrame([("Gin", 2), ("Rum", 5), ("rum", 1)], "name string, current int")
+    assert sorted(r.current for r in inventory.update_one(stock, "gin", -9).collect()) == [0, 1, 5]
+    assert sorted(r.current for r in inventory.update_one(stock, "rum", -9).collect()) == [1, 2, 5]
+    rows = spark.createDataFrame([('{"tags": ["a", "b"], "t": "xyz"}',), ("bad",)], "meta string")
+    assert inbox.metadata_filter(rows, "meta", "$.tags", holds="b").count() == 1 and inbox.metadata_filter(rows, "meta", "$.t", contains="y").count() == 1
+    note = spark.createDataFrame([(datetime.datetime(2024, 1, 1), "n")], "created_at timestamp, text string")
+    assert [r.source for r in inbox.thread(note, note).collect()] == ["note", "reply"]
+
+
+def test_studies(spark):
+    from quillon.operators import studies
+
+    rows = spark.createDataFrame([(float(i), float(i % 5), 2.0 * i + 3 * (i % 5)) for i in range(60)], "a double, b double, y double")
+    got = studies.incremental_fit(rows, "y", ["a"], ["b"])
+    assert got["r2"] > 0.999 and got["p_b"] < 1e-6
+    base = spark.createDataFrame([("v", 1.0, 0.9), ("w", 1.0, 0.9)], "venue string, mase double, coverage double")
+    trial = spark.createDataFrame([("v", 0.9, 0.88), ("w", 0.9, 0.8)], "venue string, mase double, coverage double")
+    assert {r.venue: r.adopt for r in studies.adopt_features(base, trial).collect()} == {"v": True, "w": False}
+    scored = spark.createDataFrame([(i, float(i), float(i), 1.0) for i in range(30)], "row_id long, y double, x double, c double")
+    rise = {r.feature: r.rise for r in studies.permutation_importance(scored, lambda d: d.withColumn("yhat", F.col("x")), ["x", "c"]).collect()}
+    assert rise["x"] > 0 and rise["c"] == 0
