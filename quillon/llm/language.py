@@ -35,13 +35,16 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """(language, dictionary), most frequent language first.
 
     The sample is bounded: of each of the max_languages most frequent languages the docs_per_language documents with the
-    least hash of their id, chars_per_doc characters of each. Rows without text or language teach nothing.
+    least hash of their id, and of each a window of chars_per_doc characters, from a place that the hash picks too. Rows
+    without text or language teach nothing.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     common = [r[0] for r in labelled.groupBy(F.col(lang_col)).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()]
+    h = F.xxhash64(F.col(id_col).cast("string"))
+    window = F.substr(F.col(text_col), (F.pmod(h, F.greatest(F.length(text_col) - chars_per_doc, F.lit(0)) + 1) + 1).cast("int"), F.lit(chars_per_doc))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
     sample = (
-        labelled.where(F.col(lang_col).isin(common)).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(text_col, 1, chars_per_doc).alias("t"))
+        labelled.where(F.col(lang_col).isin(common)).select(F.col(lang_col).alias("lang"), h.alias("h"), window.alias("t"))
         .withColumn("k", rank).where(F.col("k") <= docs_per_language).select("lang", "k", "t").collect()
     )
     found: dict[str, dict[str, None]] = {}
