@@ -136,8 +136,9 @@ def latest_per_group(rows: DataFrame, keys: list[str], order: list[str]) -> Data
 
 def next_reply(messages: DataFrame) -> DataFrame:
     """Each user turn with the next assistant turn of its conversation; null if none follows."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
-    reply = F.first(F.when(F.col("role") == "assistant", F.struct(F.col("turn").alias("t"), F.col("text").alias("x"))), ignorenulls=True).over(w)
+    # read backwards, so that the frame only grows
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)
+    reply = F.last(F.when(F.col("role") == "assistant", F.struct(F.col("turn").alias("t"), F.col("text").alias("x"))), ignorenulls=True).over(w)
     return messages.withColumn("_r", reply).where("role = 'user'").select("conv_id", "turn", "text", F.col("_r.t").alias("reply_turn"), F.col("_r.x").alias("reply"))
 
 
