@@ -82,6 +82,7 @@ def pattern_rules(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFram
 def index_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """rules with `token`: the rarest of their tokens among the urls (ties: the first in order), or "" if they have none."""
     wanted = rules.select(F.explode("tokens").alias("token")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_RULES else wanted
     seen = urls.select(F.explode(tokens(F.col("url"))).alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     keyed = rules.select("rule", "tier", F.explode("tokens").alias("token")).join(seen, "token", "left")
     rarest = keyed.groupBy("rule", "tier").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
