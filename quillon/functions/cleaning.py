@@ -50,7 +50,7 @@ def without_vat(net: Column, venue: Column, inclusive: tuple[str, ...], rate: fl
 
 
 def canonical_product(c: Column) -> Column:
-    """Lower case, without sizes and punctuation: "LuneBrew: Session IPA 30L" and "lunebrew session ipa" are one product."""
+    """Lower case, without sizes and punctuation: "Hop & Co: Session IPA 30L" and "hop co session ipa" are one product."""
     low = F.lower(c)
     bare = F.regexp_replace(low, r"\b[0-9]+(\.[0-9]+)?\s*(ml|cl|l|ltr|litres?|g|kg|pk|pack)\b", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^a-z0-9]+", " "), r"\s+", " "))

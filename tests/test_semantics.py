@@ -39,7 +39,7 @@ def test_currency(spark, given, want):
 
 
 def test_cleaning(spark):
-    assert one(spark, cleaning.canonical_product(F.col("a")), a="LuneBrew: Session IPA") == "lunebrew session ipa"
+    assert one(spark, cleaning.canonical_product(F.col("a")), a="Hop & Co: Session IPA") == "hop co session ipa"
     assert one(spark, cleaning.canonical_venue(F.col("a"), {"beer hall": "hall"}), a=' "Beer   HALL" ') == "hall"
     assert one(spark, cleaning.clean_string(F.col("a")), a='""') is None
     assert one(spark, cleaning.keg_litres(F.col("a")), a="Keg 30L") == 30
