@@ -204,3 +204,10 @@ def split_thread(messages: DataFrame, *, longer_than: int = 40, keep: int = 20)
     """messages with to_summary: in threads of more than `longer_than` all but the last `keep`."""
     w = Window.partitionBy("conv_id")
     return messages.withColumn("to_summary", (F.count("*").over(w) > longer_than) & (F.row_number().over(w.orderBy(F.desc("turn"))) > keep))
+
+
+def best_section(hits: DataFrame, matched: DataFrame, sections: DataFrame) -> DataFrame:
+    """hits (id, ...) with section_id: the nearest of the id's matched sections (id, section_id, dist), else its first section (id, section_id, position), else null. Each side is reduced to a row for an id before it is joined."""
+    near = matched.groupBy("id").agg(F.min_by("section_id", F.struct("dist", "section_id")).alias("_near"))
+    first = sections.groupBy("id").agg(F.min_by("section_id", F.struct("position", "section_id")).alias("_first"))
+    return hits.join(near, "id", "left").join(first, "id", "left").withColumn("section_id", F.coalesce("_near", "_first")).drop("_near", "_first")

@@ -318,3 +318,22 @@ def test_studies(spark):
     scored = spark.createDataFrame([(i, float(i), float(i), 1.0) for i in range(30)], "row_id long, y double, x double, c double")
     rise = {r.feature: r.rise for r in studies.permutation_importance(scored, lambda d: d.withColumn("yhat", F.col("x")), ["x", "c"]).collect()}
     assert rise["x"] > 0 and rise["c"] == 0
+
+
+def test_windows():
+    from quillon.functions.windows import resolve
+
+    now = datetime.datetime(2024, 3, 1)
+    assert resolve(now, hours=24) == (datetime.datetime(2024, 2, 29), now, False)
+    assert resolve(now, since="2024-01-01", until="2024-03-01", most_hours=24) == (datetime.datetime(2024, 2, 29), now, True)
+    assert resolve(now, hours=48, most_hours=24, forward=True) == (now, datetime.datetime(2024, 3, 2), True)
+    for bad in ({}, {"hours": 1, "since": "2024-01-01"}, {"hours": 0}, {"since": "2024-03-02", "until": "2024-03-01"}):
+        with pytest.raises(ValueError):
+            resolve(now, **bad)
+
+
+def test_best_section(spark):
+    hits = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    matched = spark.createDataFrame([(1, 10, 0.5), (1, 11, 0.2)], "id int, section_id int, dist double")
+    sections = spark.createDataFrame([(1, 10, 0), (2, 21, 1), (2, 20, 0)], "id int, section_id int, position int")
+    assert {r.id: r.section_id for r in retrieval.best_section(hits, matched, sections).collect()} == {1: 11, 2: 20, 3: None}
