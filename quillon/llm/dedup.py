@@ -4,9 +4,12 @@
 2. Documents with the same set are one class; only the one with the least id goes on.
 3. Each band bucket links its members to its least one. The components of these unproven links are candidate clusters:
    whatever shares a bucket is in one cluster.
-4. Clusters are dealt in blocks of bounded size, a task for each pair of blocks. A task counts common shingles exactly and
-   returns links that span what its members' true links connect, never all pairs.
-5. Components of the proven links give each class its component.
+4. Clusters are dealt in blocks of bounded size, each together with a few pivots of its cluster. A task counts common
+   shingles exactly and returns links that span what its members' true links connect, never all pairs. As pivots are in
+   every block, a large group of near copies comes together at a cost in proportion to its size.
+5. In clusters of several blocks that are not one component yet, the sets of a bucket are compared block by block, except
+   pairs within a component; the largest component's sets are compared with the others only.
+6. Components of the proven links give each class its component.
 
 Bands of 5 of 125 places miss a pair at similarity 0.85 with a probability of about 3e-7.
 """
@@ -29,6 +32,9 @@ from quillon.llm.sketch import bands, sketches
 #: Largest table of cluster members that is broadcast (16 bytes a row); a larger one is joined by a shuffle.
 BROADCAST_MEMBERS = 1_000_000
 
+#: Sets of a cluster of several blocks that stand in each of its blocks (on average).
+PIVOTS = 24
+
 
 def _print_of(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
@@ -59,8 +65,8 @@ def _sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
         yield pa.record_batch([*rows.columns, pa.array([sets[i].tobytes() for i in same], pa.binary())], schema=schema)
 
 
-def linked(sets: list[np.ndarray], percent: int, groups: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that span the components of all pairs with 100 * common >= percent * union. groups: only pairs of different groups count.
+def linked(sets: list[np.ndarray], percent: int, groups: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span the components of all pairs with 100 * common >= percent * union. Only pairs of different groups count.
 
     Common shingles are counted for all pairs at once, as products of incidence columns, over shingles of two sets or more.
     """
@@ -91,8 +97,7 @@ def linked(sets: list[np.ndarray], percent: int, groups: np.ndarray | None = Non
     common = common.astype(np.int64)
     hit = 100 * common >= percent * (size[:, None] + size[None, :] - common)
     hit &= np.tri(k, dtype=bool).T & ~np.eye(k, dtype=bool)
-    if groups is not None:
-        hit &= groups[:, None] != groups[None, :]
+    hit &= groups[:, None] != groups[None, :]
     out = []
     for x, y in np.argwhere(hit).tolist():
         p, q = find(x), find(y)
@@ -102,14 +107,13 @@ def linked(sets: list[np.ndarray], percent: int, groups: np.ndarray | None = Non
     return out
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, rows: int = 5, n_bands: int = 25, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, rows: int = 5, n_bands: int = 25, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that true links reach) and kept, for every row.
 
     A-Z are lower-cased and words are runs of characters other than ASCII white space. A text with fewer words than a
     shingle has is one shingle; a text without words, or null, has none and is linked with nothing. Repeated rows are
     returned as often as they come, and all of a kept id are kept. A row without an id is linked with nothing and kept.
     """
-    spark = docs.sparkSession
     meta = materialise(signatures(docs, id_col=id_col, text_col=text_col, words=words, rows=rows, n_bands=n_bands), "signatures")
     with_set = meta.where("print is not null and doc_id is not null")
     classes = materialise(with_set.groupBy("print").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys")), "classes", rows=meta.count(), rows_per_file=20_000)
@@ -119,36 +123,60 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     clusters = components(stars)
     sized = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"))
     members = materialise(clusters.join(sized, "component").join(classes.select("node", "print"), "node").select("node", F.col("component").alias("cluster"), "blocks", "print"), "members", rows=clusters.count())
-    wanted = F.broadcast(members) if members.count() <= BROADCAST_MEMBERS else members
+    n_members = members.count()
+    wanted = F.broadcast(members) if n_members <= BROADCAST_MEMBERS else members
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node").select("node", "cluster", "blocks", "print", "text")
-    sets = texts.mapInArrow(lambda it: _sets_of(it, words), "node long, cluster long, blocks long, shingles binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "shingles")
+    sets = materialise(texts.mapInArrow(lambda it: _sets_of(it, words), "node long, cluster long, blocks long, shingles binary"), "sets")
+    # first each block by itself, beside the pivots of its cluster
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    pivot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks") * block) < PIVOTS
+    one = sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("i", F.explode(F.when((F.col("blocks") > 1) & pivot, every).otherwise(F.array("own"))))
+    proven = materialise(_verified(one.select("cluster", "i", F.lit(0).cast("long").alias("j"), F.col("node").alias("side"), "node", "shingles"), percent), "proven")
+    found = components(proven)
+    # then, in clusters of several blocks that are not one component yet, what shares a band's bucket, but for pairs of one component
+    known = members.where("blocks > 1").select("node", "cluster").join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("side"))
+    known = materialise(known, "known", rows=n_members)
+    split = known.groupBy("cluster").agg(F.min("side").alias("x"), F.max("side").alias("y")).where("x <> y").select("cluster")
+    keyed = classes.select("node", "keys").join(known.join(split, "cluster").select("node", "side"), "node").select("node", "side", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key", "side").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("key").agg(F.max_by("side", F.struct("n", "side")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_main < n_all")
+    # the bucket's largest component is only compared with the rest: blocks from 0 to r - 1 are the rest, the m blocks after them the largest
+    open_ = open_.select("key", "main", F.ceil(F.col("n_main") / block).alias("m"), F.ceil((F.col("n_all") - F.col("n_main")) / block).alias("r"))
+    is_main = F.col("side") == F.col("main")
+    placed = keyed.join(open_, "key").withColumn("own", F.when(is_main, F.col("r") + F.pmod(F.xxhash64("node"), F.col("m"))).otherwise(F.pmod(F.xxhash64("node"), F.col("r"))))
+    last = F.when(is_main, F.col("r") - 1).otherwise(F.col("r") + F.col("m") - 1)
+    placed = placed.select("node", F.col("key").alias("cluster"), "side", "own", last.alias("last"))
+    rest = sets.select("node", "shingles").join(placed, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "side", "node", "shingles")
+    more = _verified(rest, percent)
+    more = materialise(more, "proven")
+    if not more.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    return _result(meta, classes, found)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        def done(at: tuple, held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            once = list({node: (own, s) for own, node, s in held}.items())
-            found = linked([np.frombuffer(s, dtype=np.uint64) for _, (_, s) in once], percent, np.array([own for _, (own, _) in once]) if at[1] != at[2] else None) if len(once) > 1 else []
-            return pa.record_batch([pa.array([once[x][0] for x, _ in found], pa.int64()), pa.array([once[y][0] for _, y in found], pa.int64())], schema=schema)
+def _verified(dealt: DataFrame, percent: int) -> DataFrame:
+    """Proven links (a, b) that span the components of each task's sets: rows (cluster, i, j, side, node, shingles) with the same first three are one task's work. Sets of the same side aren't compared."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def done(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        once = list({node: (side, s) for side, node, s in held}.items())
+        found = linked([np.frombuffer(s, dtype=np.uint64) for _, (_, s) in once], percent, np.array([side for _, (side, _) in once])) if len(once) > 1 else []
+        return pa.record_batch([pa.array([once[x][0] for x, _ in found], pa.int64()), pa.array([once[y][0] for _, y in found], pa.int64())], schema=schema)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            for c, i, j, own, node, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for c, i, j, side, node, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if at != (c, i, j) and held:
-                    yield done(at, held)
+                    yield done(held)
                     held = []
                 at = (c, i, j)
-                held.append((own, node, s))
+                held.append((side, node, s))
         if held:
-            yield done(at, held)
+            yield done(held)
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    proven = dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(verify, "a long, b long")
-    found = components(proven)
-    return _result(meta, classes, found)
+    parts = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(verify, "a long, b long")
 
 
 def _result(meta: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
