@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to Python at once; texts can be long, so batches are small.
 BATCH_ROWS = 512
@@ -46,3 +47,9 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd", *, rows: i
         df = df.coalesce(max(1, -(-rows // rows_per_file)))
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hashed_share(hash_column: Column, wanted: int, of: int) -> Column:
+    """Keeps the rows with the least hashes: about one and a half times `wanted` of `of` rows, or all, so that an exact top of `wanted` has few to sort."""
+    share = min(1.0, (1.5 * wanted + 64) / max(of, 1))
+    return F.lit(True) if share >= 1 else F.shiftrightunsigned(hash_column, 32) < int(share * (1 << 32))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import small_batches, table
+from quillon.llm.common import hashed_share, small_batches, table
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -39,12 +39,16 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     without text or language teach nothing.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    common = [r[0] for r in labelled.groupBy(F.col(lang_col)).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()]
+    counts = labelled.groupBy(F.col(lang_col)).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()
+    common = [r[0] for r in counts]
     h = F.xxhash64(F.col(id_col).cast("string"))
     window = F.substr(F.col(text_col), (F.pmod(h, F.greatest(F.length(text_col) - chars_per_doc, F.lit(0)) + 1) + 1).cast("int"), F.lit(chars_per_doc))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    few = F.lit(False)
+    for lang, n in counts:
+        few = F.when(F.col(lang_col) == lang, hashed_share(h, docs_per_language, n)).otherwise(few)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 32), "h", "t"))
     sample = (
-        labelled.where(F.col(lang_col).isin(common)).select(F.col(lang_col).alias("lang"), h.alias("h"), window.alias("t"))
+        labelled.where(few).select(F.col(lang_col).alias("lang"), h.alias("h"), window.alias("t"))
         .withColumn("k", rank).where(F.col("k") <= docs_per_language).select("lang", "k", "t").collect()
     )
     found: dict[str, dict[str, None]] = {}
