@@ -37,12 +37,16 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, counts: np.nd
     """The file row of a shard. doc_ids: one for each document in order (known: False for null); counts: its ids."""
     n = len(ids)
     bits = max(1, int(ids.max()).bit_length()) if n else 1
-    planes, zeros, now = [], [], ids.astype(np.uint32)
+    kind = np.uint16 if bits <= 16 else np.uint32  # the narrower, the less memory is moved
+    planes, zeros, now = [], [], ids.astype(kind)
     for b in range(bits - 1, -1, -1):
-        ones = (now >> np.uint32(b)) & np.uint32(1) == 1
+        ones = (now & kind(1 << b)) != 0
         planes.append(np.packbits(ones, bitorder="little").tobytes())
-        zeros.append(n - int(ones.sum()))
-        now = np.concatenate([now[~ones], now[ones]])
+        zeros.append(z := n - int(np.count_nonzero(ones)))
+        after = np.empty_like(now)
+        np.compress(~ones, now, out=after[:z])
+        np.compress(ones, now, out=after[z:])
+        now = after
     head = struct.pack("<QII", n, bits, len(doc_ids)) + np.array(zeros, dtype="<u8").tobytes()
     delta = np.diff(doc_ids.astype(np.int64), prepend=np.int64(0))
     return _pack([head, delta.astype("<i8").tobytes(), np.packbits(known).tobytes(), counts.astype("<u4").tobytes(), *planes])
@@ -128,15 +132,16 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, by undoing the planes from the lowest up."""
-        value = np.zeros(self.n, dtype="<u4")
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        value = np.zeros(self.n, dtype=kind)
         for level in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             above = np.empty_like(value)
             z = int(self.zeros[level])
-            above[~ones] = value[:z]
-            above[ones] = value[z:] | np.uint32(1 << (self.bits - 1 - level))
+            above[np.flatnonzero(~ones)] = value[:z]
+            above[np.flatnonzero(ones)] = value[z:] | kind(1 << (self.bits - 1 - level))
             value = above
-        return value
+        return value.astype("<u4")
 
 
 def shard_bounds(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int, cells: int = 4096) -> np.ndarray:
