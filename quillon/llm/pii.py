@@ -2,9 +2,10 @@
 
 Patterns find the protected entities. Over the whole corpus, terms that stand near an entity are counted; a term t
 discloses an entity c to the degree PMI(c; t) / IC(c), with IC(c) = -log2 p(c) and PMI(c; t) = IC(c) + log2 p(c | t), where
-p(c | t) is the share of the lines with t that hold c near it. Terms beyond the lower threshold are generalised to the
-entity's kind, those beyond the upper one removed. A term counts only if it met the entity in several different contexts,
-so that copies of one line disclose nothing.
+p(c | t) is the share of the lines with t that hold c near it. Every pair that met is scored, however rare. The share is
+drawn towards p(c) with the weight of one observation, against the different contexts in which the two met: copies of one
+line are one observation, and a pair met once counts as about half certain. Terms beyond the lower threshold are
+generalised to the entity's kind, those beyond the upper one removed.
 """
 
 from __future__ import annotations
@@ -79,16 +80,23 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def contexts(text: str | None) -> Iterator[tuple[str, int, str]]:
-    """(entity, hash of its context, term) for each distinct term near each entity; a row with the term "" for the entity itself."""
+def contexts(text: str | None) -> Iterator[tuple[str, int, str, int]]:
+    """(entity, hash of its context, term, lines) for each distinct term near each entity; a row with the term "" for the entity itself.
+
+    lines is 1 where the two meet in a line for the first time, else 0.
+    """
+    met: set[tuple[int, str, str]] = set()
     for kind, a, b in base_spans(text):
         entity = f"{kind}:{text[a:b].lower()}"
-        left, right = max(text.rfind("\n", 0, a) + 1, a - 40 * CONTEXT_WORDS), text.find("\n", b)
+        line, right = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+        left = max(line, a - 40 * CONTEXT_WORDS)
         right = min(len(text) if right < 0 else right, b + 40 * CONTEXT_WORDS)
         before, after = _TERM.findall(text[left:a].lower())[-CONTEXT_WORDS:], _TERM.findall(text[b:right].lower())[:CONTEXT_WORDS]
         mark = int.from_bytes(hashlib.blake2b(" ".join([*before, "|", *after]).encode(), digest_size=8).digest(), "big", signed=True)
         for term in ("", *dict.fromkeys(before + after)):
-            yield entity, mark, term
+            new = (line, entity, term) not in met
+            met.add((line, entity, term))
+            yield entity, mark, term, int(new)
 
 
 def _line_terms(text: str) -> Iterator[set[str]]:
@@ -96,47 +104,50 @@ def _line_terms(text: str) -> Iterator[set[str]]:
         yield set(_TERM.findall(line))
 
 
-def disclosing_terms(docs: DataFrame, *, text_col: str = "text", min_contexts: int = 3, generalise_at: float = 0.9, remove_at: float = 0.97) -> DataFrame:
+def disclosing_terms(docs: DataFrame, *, text_col: str = "text", prior_weight: float = 1.0, generalise_at: float = 0.9, remove_at: float = 0.97) -> DataFrame:
     """(term, kind, disclosure, remove): terms beyond a threshold, with the kind of the entity that they disclose most."""
     spark = docs.sparkSession
     small_batches(spark)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[str, int, str]] = []
+            rows: list[tuple[str, int, str, int]] = []
             lines = 0
             for t in batch.column(0).to_pylist():
                 rows += contexts(t)
                 lines += t.count("\n") + 1 if t else 0
-            rows.append(("", lines, ""))
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["entity", "mark", "term"])
+            rows.append(("", 0, "", lines))
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["entity", "mark", "term", "n"])
 
-    met = materialise(docs.select(text_col).mapInArrow(near, "entity string, mark long, term string"), "contexts")
-    lines = met.where("entity = ''").agg(F.coalesce(F.sum("mark"), F.lit(0))).first()[0]
-    by_context = met.where("entity <> ''").groupBy("entity", "term", "mark").agg(F.count("*").alias("n"))
-    pairs = by_context.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both")).where(F.col("contexts") >= min_contexts)
+    met = materialise(docs.select(text_col).mapInArrow(near, "entity string, mark long, term string, n long"), "contexts")
+    lines = met.where("entity = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    by_context = met.where("entity <> ''").groupBy("entity", "term", "mark").agg(F.sum("n").alias("n"))
+    pairs = by_context.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both"))
     pairs = materialise(pairs, "pairs")
-    candidates = materialise(pairs.where("term <> ''").select("term").distinct(), "terms")
-    totals = None
-    for block in term_blocks(candidates):
-
-        def count(batches: Iterator[pa.RecordBatch], block=frozenset(block)) -> Iterator[pa.RecordBatch]:
-            found: Counter[str] = Counter()
-            for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    if t:
-                        for terms in _line_terms(t):
-                            found.update(terms & block)
-            yield pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
-
-        one = docs.select(text_col).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-        totals = one if totals is None else totals.unionByName(one)
-    if totals is None:
+    if pairs.isEmpty():
         return spark.createDataFrame([], "term string, kind string, disclosure double, remove boolean")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        out = lambda: pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t:
+                    for terms in _line_terms(t):
+                        found.update(terms)
+                if len(found) >= BLOCK_TERMS:
+                    yield out()
+                    found.clear()
+        yield out()
+
+    totals = docs.select(text_col).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     entities = pairs.where("term = ''").select("entity", F.col("n_both").alias("n_entity"))
-    share = F.least(F.col("n_both") / F.greatest("n_term", "n_both"), F.lit(1.0))
-    ic = -F.log2(F.col("n_entity") / F.lit(float(max(lines, 1) + 1)))
-    scored = pairs.where("term <> ''").join(entities, "entity").join(totals, "term").select("term", F.substring_index("entity", ":", 1).alias("kind"), ((ic + F.log2(share)) / ic).alias("disclosure"))
+    share = F.col("n_both") / F.greatest("n_term", "n_both")
+    base = F.col("n_entity") / F.lit(float(max(lines, 1) + 1))
+    seen = F.least("contexts", "n_both")  # neither copies of a line nor repeats within one are observations of their own
+    p = (seen * share + prior_weight * base) / (seen + prior_weight)
+    ic = -F.log2(base)
+    scored = pairs.where("term <> ''").join(entities, "entity").join(totals, "term").select("term", F.substring_index("entity", ":", 1).alias("kind"), ((ic + F.log2(p)) / ic).alias("disclosure"))
     best = scored.where(F.col("disclosure") >= generalise_at).groupBy("term").agg(F.max(F.struct("disclosure", "kind")).alias("m"))
     return best.select("term", "m.kind", "m.disclosure", (F.col("m.disclosure") >= remove_at).alias("remove"))
 

@@ -64,6 +64,18 @@ def test_pii_terms_and_edges(spark):
     assert pii.sanitise(clash).count() == 2 * len(texts)
 
 
+def test_pii_terms_of_rare_entities(spark):
+    copies = ["dear marlowe reach solo@x.org soon"] * 2
+    texts = ["quillfeather writes to rare@x.org about the ledger", *copies, "the same@x.org and same@x.org beside wobble", "wobble alone"] + ["the plain ledger is about nothing and writes soon to dear people %d" % i for i in range(3000)]
+    got = {r.term: r for r in pii.disclosing_terms(documents(spark, texts)).collect()}
+    assert {"quillfeather", "marlowe", "reach"} <= set(got) and got["quillfeather"].kind == "email"
+    assert not {"the", "ledger", "about", "writes", "soon", "dear"} & set(got)
+    base = 1 / (len(texts) + 1)
+    assert got["quillfeather"].disclosure == pytest.approx(1 + np.log2((1 + base) / 2) / -np.log2(base)) and not got["quillfeather"].remove
+    assert not got["marlowe"].remove  # copies of one line are one observation
+    assert "wobble" not in got  # one of its two lines: an entity twice in a line counts once
+
+
 # 2. chat
 
 
