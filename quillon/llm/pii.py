@@ -11,6 +11,7 @@ generalised to the entity's kind, those beyond the upper one removed.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -198,44 +199,44 @@ def redact(text: str | None, spans: list[tuple[str, int, int]], terms: dict[str,
 def sanitise(docs: DataFrame, *, text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """docs with the sanitised text in text_col, and pii_spans: kind:start:end in code points of the given text, by kind and start.
 
-    Null texts stay null and have no spans; other columns are kept (a column pii_spans is replaced). Terms are applied in
-    blocks; spans of later blocks are found in the given text too.
+    Null texts stay null and have no spans; other columns are kept (a column pii_spans is replaced). Terms are found in
+    blocks, all in the given text, which is redacted once at the end.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("pii_spans")
     terms = disclosing_terms(docs, text_col=text_col) if terms is None else terms
-    held: dict[str, tuple[str, bool]] = {}
-    rest: list[dict[str, tuple[str, bool]]] = []
-    for block in term_blocks(materialise(terms, "disclosing"), "kind", "remove"):
-        part = {t: (kind, remove) for t, kind, remove in block}
-        if held:
-            rest.append(part)
-        else:
-            held = part
+    blocks = [{t: (kind, remove) for t, kind, remove in block} for block in term_blocks(materialise(terms, "disclosing"), "kind", "remove")]
     at = docs.columns.index(text_col)
-    names = [*docs.columns, "pii_spans"]
-
-    def run(batches: Iterator[pa.RecordBatch], terms=held) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            spans = [all_spans(t, terms) for t in texts]
-            columns = list(batch.columns)
-            columns[at] = pa.array([redact(t, s, terms) for t, s in zip(texts, spans, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([span_list(s) for s in spans], pa.string())], names=names)
+    names = [*docs.columns, "pii_spans", "_pii_rules"]
+    found = docs.withColumns({"pii_spans": F.lit(None).cast("string"), "_pii_rules": F.lit(None).cast("string")})
+    for k, block in enumerate(blocks or [{}]):  # the text stays as given until all spans are known
 
-    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("pii_spans", T.StringType())]))
-    for part in rest:  # only terms are new here; entities are gone from the text
-
-        def again(batches: Iterator[pa.RecordBatch], terms=part) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], terms=block, first=not k, last=k >= len(blocks) - 1) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(at).to_pylist()
-                spans = [[s for s in all_spans(t, terms) if s[0] == "term"] for t in texts]
-                columns = list(batch.columns)
-                columns[at] = pa.array([redact(t, s, terms) for t, s in zip(texts, spans, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                spans = [all_spans(t, terms) for t in texts]
+                rules = [{t[a:b].lower(): terms[t[a:b].lower()] for kind, a, b in s if kind == "term"} for t, s in zip(texts, spans, strict=True)]
+                if not first:
+                    earlier, known = (batch.column(len(names) - n).to_pylist() for n in (2, 1))
+                    spans = [merged_spans(read_spans(e), s) for e, s in zip(earlier, spans, strict=True)]
+                    rules = [json.loads(e) | r for e, r in zip(known, rules, strict=True)]
+                columns = list(batch.columns)[:-2]
+                if last:
+                    columns[at] = pa.array([redact(t, s, r) for t, s, r in zip(texts, spans, rules, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([span_list(s) for s in spans], pa.string()), pa.array([None if last else json.dumps(r) for r in rules], pa.string())], names=names)
 
-        out = out.mapInArrow(again, out.schema)
-    return out
+        found = found.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.StringType()) for n in names[-2:])]))
+    return found.select(*(found[c] for c in names[:-1]))
+
+
+def read_spans(listed: str) -> list[tuple[str, int, int]]:
+    return [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in listed.split(",") if s)]
+
+
+def merged_spans(earlier: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans of two blocks of terms over one text, by kind and start; both hold the base spans."""
+    base = [s for s in earlier if s[0] != "term"]
+    return base + sorted({s for s in earlier + more if s[0] == "term"}, key=lambda s: s[1])
 
 
 def span_list(spans: list[tuple[str, int, int]]) -> str:

@@ -76,6 +76,15 @@ def test_pii_terms_of_rare_entities(spark):
     assert "wobble" not in got  # one of its two lines: an entity twice in a line counts once
 
 
+def test_pii_terms_in_blocks(spark, monkeypatch):
+    texts = ["Email zorro and phone a@x.org about zorro, term wobble", None, "", "wobble phone", "nothing", "+44 1632 960 001 email"]
+    terms = spark.createDataFrame([("email", "phone", False), ("phone", "email", False), ("term", "ip", True), ("zorro", "email", False), ("wobble", "card", True)], "term string, kind string, remove boolean")
+    whole = [(r.text, r.pii_spans) for r in pii.sanitise(documents(spark, texts), terms=terms).orderBy("doc_id").collect()]
+    monkeypatch.setattr(pii, "BLOCK_TERMS", 1)
+    assert [(r.text, r.pii_spans) for r in pii.sanitise(documents(spark, texts), terms=terms).orderBy("doc_id").collect()] == whole
+    assert whole[0] == ("[PHONE-TERM] [EMAIL-TERM] and [EMAIL-TERM] [EMAIL] about [EMAIL-TERM],  ", "email:22:29,term:0:5,term:6:11,term:16:21,term:36:41,term:43:47,term:48:54")
+
+
 # 2. chat
 
 
