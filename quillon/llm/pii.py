@@ -81,6 +81,11 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
+def _words(text: str) -> list[str]:
+    """The terms of a text in lower case. Each is lowered by itself, after it is found: lowering can change a text's length."""
+    return [w.lower() for w in _TERM.findall(text)]
+
+
 def contexts(text: str | None) -> Iterator[tuple[str, int, str, int]]:
     """(entity, hash of its context, term, lines) for each distinct term near each entity; a row with the term "" for the entity itself.
 
@@ -92,7 +97,7 @@ def contexts(text: str | None) -> Iterator[tuple[str, int, str, int]]:
         line, right = text.rfind("\n", 0, a) + 1, text.find("\n", b)
         left = max(line, a - 40 * CONTEXT_WORDS)
         right = min(len(text) if right < 0 else right, b + 40 * CONTEXT_WORDS)
-        before, after = _TERM.findall(text[left:a].lower())[-CONTEXT_WORDS:], _TERM.findall(text[b:right].lower())[:CONTEXT_WORDS]
+        before, after = _words(text[left:a])[-CONTEXT_WORDS:], _words(text[b:right])[:CONTEXT_WORDS]
         mark = int.from_bytes(hashlib.blake2b(" ".join([*before, "|", *after]).encode(), digest_size=8).digest(), "big", signed=True)
         for term in ("", *dict.fromkeys(before + after)):
             new = (line, entity, term) not in met
@@ -101,8 +106,12 @@ def contexts(text: str | None) -> Iterator[tuple[str, int, str, int]]:
 
 
 def _line_terms(text: str) -> Iterator[set[str]]:
-    for line in text.lower().split("\n"):
-        yield set(_TERM.findall(line))
+    if text.isascii():
+        for line in text.lower().split("\n"):
+            yield set(_TERM.findall(line))
+    else:
+        for line in text.split("\n"):
+            yield set(_words(line))
 
 
 def disclosing_terms(docs: DataFrame, *, text_col: str = "text", prior_weight: float = 1.0, generalise_at: float = 0.9, remove_at: float = 0.97) -> DataFrame:
@@ -166,11 +175,10 @@ def all_spans(text: str | None, terms: dict[str, tuple[str, bool]]) -> list[tupl
     found = base_spans(text)
     if text and terms:
         taken = sorted((a, b) for _, a, b in found)
-        low = text.lower()
-        if len(low) == len(text) and not terms.keys().isdisjoint(_TERM.findall(low)):
+        if not terms.keys().isdisjoint(_TERM.findall(text.lower()) if text.isascii() else _words(text)):
             k = 0
-            for m in _TERM.finditer(low):
-                if m[0] in terms:
+            for m in _TERM.finditer(text):
+                if m[0].lower() in terms:
                     while k < len(taken) and taken[k][1] <= m.start():
                         k += 1
                     if k == len(taken) or taken[k][0] >= m.end():

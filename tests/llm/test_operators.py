@@ -85,6 +85,13 @@ def test_pii_terms_in_blocks(spark, monkeypatch):
     assert whole[0] == ("[PHONE-TERM] [EMAIL-TERM] and [EMAIL-TERM] [EMAIL] about [EMAIL-TERM],  ", "email:22:29,term:0:5,term:6:11,term:16:21,term:36:41,term:43:47,term:48:54")
 
 
+def test_pii_terms_in_turkish(spark):
+    texts = ["\u0130zmir \u0130 \u039f\u0394\u039f\u03a3 zorblatt writes to bob@x.org"] + ["plain filler line"] * 3000
+    got = pii.sanitise(documents(spark, texts)).where("doc_id = 0").first()
+    assert got.text == "[EMAIL-TERM] \u0130 [EMAIL-TERM] [EMAIL-TERM] [EMAIL-TERM] to [EMAIL]"
+    assert got.pii_spans == "email:32:41,term:0:5,term:8:12,term:13:21,term:22:28"
+
+
 # 2. chat
 
 
