@@ -104,27 +104,24 @@ def persistence(stream: DataFrame, *, m: int = 4, n: int = 7, at: float = 1.0) -
     return out
 
 
-def run_lengths(stream: DataFrame, *, hazard: float = HAZARD, most: int = 400) -> DataFrame:
+def run_lengths(stream: DataFrame, *, hazard: float = HAZARD) -> DataFrame:
     """(venue, date, run, p_change): the likeliest run length and the chance that the run began within the last week, by Bayesian online change-point detection (normal-inverse-gamma prior).
 
-    Run lengths beyond `most` rows share one cell, which bounds the state.
+    All run lengths are kept: the state of a venue has a cell for each of its rows.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         mu, kappa, alpha, beta, p = np.zeros(1), np.ones(1), np.ones(1), np.ones(1), np.ones(1)
         rows = []
+        gammas = np.array([math.lgamma((k + 3) / 2) - math.lgamma((k + 2) / 2) for k in range(len(pdf))])  # alpha is 1 + run / 2
         for date, x in zip(pdf["date"].tolist(), pdf["z"].tolist(), strict=True):
             df, s2 = 2 * alpha, beta * (kappa + 1) / (alpha * kappa)
-            lg = np.array([math.lgamma((d + 1) / 2) - math.lgamma(d / 2) for d in df])
-            like = np.exp(lg - 0.5 * np.log(np.pi * df * s2) - (df + 1) / 2 * np.log1p((x - mu) ** 2 / (df * s2)))
+            like = np.exp(gammas[: len(p)] - 0.5 * np.log(np.pi * df * s2) - (df + 1) / 2 * np.log1p((x - mu) ** 2 / (df * s2)))
             grown = p * like * (1 - hazard)
             p = np.concatenate([[(p * like * hazard).sum()], grown])
             p /= p.sum()
             mu, kappa, alpha, beta = (np.concatenate([[a], b]) for a, b in ((0.0, (kappa * mu + x) / (kappa + 1)), (1.0, kappa + 1), (1.0, alpha + 0.5), (1.0, beta + kappa * (x - mu) ** 2 / (2 * (kappa + 1)))))
-            if len(p) > most:
-                p[-2] += p[-1]
-                mu, kappa, alpha, beta, p = (a[:-1] for a in (mu, kappa, alpha, beta, p))
             rows.append((pdf["venue"].iloc[0], date, int(p.argmax()), float(p[:8].sum())))
         return pd.DataFrame(rows, columns=["venue", "date", "run", "p_change"])
 

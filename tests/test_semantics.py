@@ -122,6 +122,12 @@ def test_detectors(spark):
     assert lengths[D(2026, 2, 4)].p_change > lengths[D(2026, 1, 29)].p_change
 
 
+def test_run_lengths_beyond_400(spark):
+    calm = np.random.default_rng(1).normal(0, 1, 500)
+    rows = signals.run_lengths(stream(spark, calm)).orderBy("date").collect()
+    assert len(rows) == 500 and rows[-1].run >= 480 and rows[-1].run - rows[-51].run == 50
+
+
 def test_clusters_and_briefing(spark):
     rows = [("hall", "change_point", D(2025, 12, 27), "down", "high"), ("hall", "deviation", D(2025, 12, 24), "down", "medium"), ("hall", "deviation", D(2025, 12, 25), "down", "medium"), ("hall", "deviation", D(2025, 12, 26), "down", "medium"), ("hall", "stock", D(2025, 12, 29), "down", "high")]
     df = spark.createDataFrame(rows, "venue string, source string, onset date, direction string, severity string")
