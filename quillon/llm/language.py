@@ -25,58 +25,72 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Bytes that are compressed at once, and how fast a byte of difference adds to the certainty.
 CHUNK, BYTE_WEIGHT = 8192, 0.35
 
+#: Languages learned in one pass, and those whose compressors (some 3.5 MB each) a worker holds at once.
+BLOCK_LANGUAGES = 64
+
 
 def words_of(text: str | None) -> bytes:
     """The text's distinct lower-cased words in order, with single spaces; empty if it has no letter."""
     return " ".join(dict.fromkeys(_WORD.findall(text.lower()))).encode() if text else b""
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, chars_per_doc: int = 600, dictionary_bytes: int = 131_072, max_languages: int = 64) -> list[tuple[str, bytes]]:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, chars_per_doc: int = 600, dictionary_bytes: int = 131_072) -> list[tuple[str, bytes]]:
     """(language, dictionary), most frequent language first.
 
-    The sample is bounded: of each of the max_languages most frequent languages the docs_per_language documents with the
-    least hash of their id, and of each a window of chars_per_doc characters, from a place that the hash picks too. Rows
-    without text or language teach nothing.
+    The sample of a language is bounded: the docs_per_language documents with the least hash of their id, and of each a
+    window of chars_per_doc characters, from a place that the hash picks too. Languages are learned in blocks, one pass
+    over the rows for each block. Rows without text or language teach nothing.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = labelled.groupBy(F.col(lang_col)).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()
-    common = [r[0] for r in counts]
+    counts = labelled.groupBy(F.col(lang_col)).count().orderBy(F.desc("count"), lang_col).collect()
     h = F.xxhash64(F.col(id_col).cast("string"))
     window = F.substr(F.col(text_col), (F.pmod(h, F.greatest(F.length(text_col) - chars_per_doc, F.lit(0)) + 1) + 1).cast("int"), F.lit(chars_per_doc))
-    few = F.lit(False)
-    for lang, n in counts:
-        few = F.when(F.col(lang_col) == lang, hashed_share(h, docs_per_language, n)).otherwise(few)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 32), "h", "t"))
-    sample = (
-        labelled.where(few).select(F.col(lang_col).alias("lang"), h.alias("h"), window.alias("t"))
-        .withColumn("k", rank).where(F.col("k") <= docs_per_language).select("lang", "k", "t").collect()
-    )
-    found: dict[str, dict[str, None]] = {}
-    for r in sorted(sample, key=lambda r: (r.lang, r.k)):
-        found.setdefault(r.lang, {})[" ".join(_WORD.findall(r.t.lower()))] = None
-    return [(lang, "\n".join(found[lang]).encode()[-dictionary_bytes:]) for lang in common if any(found[lang])]
+    made: list[tuple[str, bytes]] = []
+    for at in range(0, len(counts), BLOCK_LANGUAGES):
+        few = F.lit(False)
+        for lang, n in counts[at : at + BLOCK_LANGUAGES]:
+            few = F.when(F.col(lang_col) == lang, hashed_share(h, docs_per_language, n)).otherwise(few)
+        sample = (
+            labelled.where(few).select(F.col(lang_col).alias("lang"), h.alias("h"), window.alias("t"))
+            .withColumn("k", rank).where(F.col("k") <= docs_per_language).select("lang", "k", "t").collect()
+        )
+        found: dict[str, dict[str, None]] = {}
+        for r in sorted(sample, key=lambda r: (r.lang, r.k)):
+            found.setdefault(r.lang, {})[" ".join(_WORD.findall(r.t.lower()))] = None
+        made += [(lang, "\n".join(found[lang]).encode()[-dictionary_bytes:]) for lang, _ in counts[at : at + BLOCK_LANGUAGES] if any(found[lang])]
+    return made
 
 
 class Languages:
     def __init__(self, dictionaries: list[tuple[str, bytes]]):
-        self.names = [name for name, _ in dictionaries]
         made = zstandard.ZstdCompressionParameters.from_level(6, strategy=zstandard.STRATEGY_BTOPT, min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
         self.compressors = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=made) for _, d in dictionaries]
 
-    def predict(self, text: str | None) -> tuple[str, float, int]:
-        """Language, certainty (0 to 1), and the bytes by which the second-best needs more. Ties go to the more frequent language."""
-        words = words_of(text)
-        if not words or not self.names:
-            return "und", 0.0, 0
+    def sizes(self, words: bytes) -> list[int]:
         chunks = [words[i : i + CHUNK] for i in range(0, len(words), CHUNK)]
-        sizes = np.array([sum(len(c.compress(x)) for x in chunks) for c in self.compressors], dtype=np.int64)
-        best = int(sizes.argmin())
-        score = 1.0 / float(np.exp(-BYTE_WEIGHT * np.minimum(sizes - sizes[best], 1000)).sum())
-        margin = int(np.partition(sizes, 1)[1] - sizes[best]) if len(sizes) > 1 else len(words)
-        return self.names[best], score, margin
+        return [sum(len(c.compress(x)) for x in chunks) for c in self.compressors]
+
+
+def decide(names: list[str], words: bytes, sizes: np.ndarray) -> tuple[str, float, int]:
+    """Language, certainty (0 to 1), and the bytes by which the second-best needs more. Ties go to the more frequent language."""
+    if not words or not names:
+        return "und", 0.0, 0
+    best = int(sizes.argmin())
+    score = 1.0 / float(np.exp(-BYTE_WEIGHT * np.minimum(sizes - sizes[best], 1000)).sum())
+    margin = int(np.partition(sizes, 1)[1] - sizes[best]) if len(sizes) > 1 else len(words)
+    return names[best], score, margin
+
+
+_LANGUAGES: dict[tuple[int, int], Languages] = {}
 
 
-_LANGUAGES: dict[int, Languages] = {}
+def _block(key: int, at: int, size: int, dictionaries: list[tuple[str, bytes]]) -> Languages:
+    """The compressors of one block; a worker holds one block at a time."""
+    if (key, at) not in _LANGUAGES:
+        _LANGUAGES.clear()
+        _LANGUAGES[key, at] = Languages(dictionaries[at : at + size])
+    return _LANGUAGES[key, at]
 
 
 def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], *, text_col: str = "text", min_margin: int = 2) -> DataFrame:
@@ -86,16 +100,21 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], *, text_col
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
-    key = hash(tuple(dictionaries))
+    size = BLOCK_LANGUAGES
+    key = hash((size, *dictionaries))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _LANGUAGES:
-            _LANGUAGES.clear()
-            _LANGUAGES[key] = Languages(dictionaries)
-        model = _LANGUAGES[key]
+        names = [name for name, _ in dictionaries]
         for batch in batches:
-            got = [model.predict(x) for x in batch.column(at).to_pylist()]
+            words = [words_of(x) for x in batch.column(at).to_pylist()]
+            sizes = np.zeros((len(words), len(names)), dtype=np.int64)
+            for k in range(0, len(names), size):
+                model = _block(key, k, size, dictionaries)
+                for row, w in zip(sizes, words, strict=True):
+                    if w:
+                        row[k : k + size] = model.sizes(w)
+            got = [decide(names, w, row) for w, row in zip(words, sizes, strict=True)]
             more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[0] == "und" or g[2] < min_margin for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"])
 

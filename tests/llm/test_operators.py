@@ -314,6 +314,18 @@ def test_language_edges(spark):
     assert language.identify(docs.limit(0), []).count() == 0
 
 
+def test_language_learns_every_label(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(12)) for _ in range(70)]
+    docs = spark.createDataFrame([(i, t, f"l{i:02}", None, len(t)) for i, t in enumerate(texts)], DOCS)
+    assert len(language.train(docs)) == 70
+    found = lambda: [(r.lang, r.lang_pred, r.lang_score, r.lang_rejected) for r in language.identify(docs, language.train(docs)).orderBy("doc_id").collect()]
+    got = found()
+    assert all(lang == pred for lang, pred, _, _ in got)
+    monkeypatch.setattr(language, "BLOCK_LANGUAGES", 100)
+    assert found() == got
+
+
 # 10. near duplicates
 
 
