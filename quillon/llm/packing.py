@@ -2,8 +2,8 @@
 
 Documents longer than a sequence are cut so that all pieces but the first are full. The pieces are written once. The
 lengths of the short pieces are dealt to partitions of bounded size, and each runs best-fit decreasing. Dual feasible
-functions give a lower bound on the bins that any packing needs; a partition that meets its bound is certified. While all
-partitions together use more sequences than the bound for the whole corpus, those with gaps exchange documents: the pieces
+functions give a lower bound on the bins that any packing of the whole corpus needs; no partition has one of its own. While
+all partitions together use more sequences than the bound for the whole corpus, those with gaps exchange documents: the pieces
 of every sequence that is not full are dealt anew, to fewer partitions, and packed again.
 """
 
