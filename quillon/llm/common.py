@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,19 +24,58 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is missing, as in local tests, a temporary folder stands in.
+    Where it is unset, a local session gets a temporary folder; on a cluster, whose machines share none, that is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-quillon-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+#: Paths made within the innermost `workspace`, if any.
+_OPEN: list[list[str]] = []
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Deletes the scratch tables made within it when it ends, except those named by a call of what it yields.
+
+    Those pass to the workspace around it; without one they stay, for the result is read from them.
+    """
+    made: list[str] = []
+    kept: set[str] = set()
+    _OPEN.append(made)
+    try:
+        yield lambda *tables: kept.update(t.scratch_path for t in tables)
+    finally:
+        _OPEN.pop()
+        if _OPEN:
+            _OPEN[-1].extend(p for p in made if p in kept)
+        discard(spark, *(p for p in made if p not in kept))
 
 
 def materialise(df: DataFrame, label: str, compression: str = "zstd", *, rows: int | None = None, rows_per_file: int = 250_000) -> DataFrame:
@@ -46,7 +87,9 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd", *, rows: i
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // rows_per_file)))
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path  # what `workspace` keeps it by
+    return out
 
 
 def hashed_share(hash_column: Column, wanted: int, of: int) -> Column:

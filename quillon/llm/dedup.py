@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, small_batches, table
-from quillon.llm.graphs import components
+from quillon.llm.common import materialise, small_batches, table, workspace
+from quillon.llm.graphs import components, join_groups, with_groups
 from quillon.llm.shingles import shingle_sets
 from quillon.llm.sketch import bands, sketches
 
@@ -41,18 +41,18 @@ def _print_of(s: np.ndarray) -> bytes | None:
 
 
 def signatures(docs: DataFrame, *, id_col: str, text_col: str, words: int, rows: int, n_bands: int) -> DataFrame:
-    """doc_id, n_shingles, print (of the set; null if it is empty) and keys (of the bands)."""
+    """doc_id, text_hash, n_shingles, print (of the set; null if it is empty) and keys (of the bands)."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("print", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(1), words)
+            sets = shingle_sets(batch.column(2), words)
             keys = bands(sketches(sets, rows * n_bands), rows)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * n_bands, pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print_of(s) for s in sets], pa.binary()), flat], schema=schema)
+            yield pa.record_batch([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([_print_of(s) for s in sets], pa.binary()), flat], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(sign, "doc_id long, n_shingles long, print binary, keys array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(text_col)).mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, print binary, keys array<long>")
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -108,22 +108,33 @@ def linked(sets: list[np.ndarray], percent: int, groups: np.ndarray) -> list[tup
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, rows: int = 5, n_bands: int = 25, block: int = 1024) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that true links reach) and kept, for every row.
+    """doc_id, text_hash, n_shingles, component_id (the least doc_id that true links reach) and kept, for every row.
 
     A-Z are lower-cased and words are runs of characters other than ASCII white space. A text with fewer words than a
     shingle has is one shingle; a text without words, or null, has none and is linked with nothing. Repeated rows are
     returned as often as they come, and all of a kept id are kept. A row without an id is linked with nothing and kept.
+    Rows of one id with different texts are told apart by text_hash.
     """
-    meta = materialise(signatures(docs, id_col=id_col, text_col=text_col, words=words, rows=rows, n_bands=n_bands), "signatures")
-    with_set = meta.where("print is not null and doc_id is not null")
-    classes = materialise(with_set.groupBy("print").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys")), "classes", rows=meta.count(), rows_per_file=20_000)
+    with workspace(docs.sparkSession) as keep:
+        meta = materialise(signatures(docs, id_col=id_col, text_col=text_col, words=words, rows=rows, n_bands=n_bands), "signatures")
+        n_rows = meta.count()
+        with_set = meta.where("print is not null and doc_id is not null")
+        classes = with_set.groupBy("print").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys"), F.count("*").alias("n"))
+        classes = materialise(classes, "classes", rows=n_rows, rows_per_file=20_000)
+        found = materialise(_linked_classes(docs, classes, id_col=id_col, text_col=text_col, words=words, percent=percent, n_bands=n_bands, block=block), "components", rows=n_rows)
+        keep(meta, classes, found)
+    return _result(meta, n_rows, classes, found)
+
+
+def _linked_classes(docs: DataFrame, classes: DataFrame, *, id_col: str, text_col: str, words: int, percent: int, n_bands: int, block: int) -> DataFrame:
+    """(node, component) of the classes (node, print, keys) that are linked with others."""
+    n_classes = classes.count()
     entries = classes.select("node", F.explode("keys").alias("key"))
-    least = entries.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    stars = entries.join(least, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    clusters = components(stars)
-    sized = clusters.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    members = materialise(clusters.join(sized, "component").join(classes.select("node", "print"), "node").select("node", F.col("component").alias("cluster"), "blocks", "print"), "members", rows=clusters.count())
-    n_members = members.count()
+    stars = with_groups(entries, "key", n_bands * n_classes, least=F.min("node")).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    clusters = materialise(components(stars), "clusters", rows=n_classes)
+    n_members = clusters.count()
+    members = with_groups(clusters, "component", n_members, blocks=F.ceil(F.count("*") / block)).join(classes.select("node", "print"), "node")
+    members = materialise(members.select("node", F.col("component").alias("cluster"), "blocks", "print"), "members", rows=n_members)
     wanted = F.broadcast(members) if n_members <= BROADCAST_MEMBERS else members
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node").select("node", "cluster", "blocks", "print", "text")
     sets = materialise(texts.mapInArrow(lambda it: _sets_of(it, words), "node long, cluster long, blocks long, shingles binary"), "sets")
@@ -136,22 +147,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # then, in clusters of several blocks that are not one component yet, what shares a band's bucket, but for pairs of one component
     known = members.where("blocks > 1").select("node", "cluster").join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("side"))
     known = materialise(known, "known", rows=n_members)
-    split = known.groupBy("cluster").agg(F.min("side").alias("x"), F.max("side").alias("y")).where("x <> y").select("cluster")
-    keyed = classes.select("node", "keys").join(known.join(split, "cluster").select("node", "side"), "node").select("node", "side", F.explode("keys").alias("key"))
+    split = with_groups(known, "cluster", n_members, x=F.min("side"), y=F.max("side")).where("x <> y").select("node", "side")
+    keyed = materialise(classes.select("node", "keys").join(split, "node").select("node", "side", F.explode("keys").alias("key")), "keyed", rows=n_bands * n_members)
     sizes = keyed.groupBy("key", "side").agg(F.count("*").alias("n"))
     open_ = sizes.groupBy("key").agg(F.max_by("side", F.struct("n", "side")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_main < n_all")
     # the bucket's largest component is only compared with the rest: blocks from 0 to r - 1 are the rest, the m blocks after them the largest
-    open_ = open_.select("key", "main", F.ceil(F.col("n_main") / block).alias("m"), F.ceil((F.col("n_all") - F.col("n_main")) / block).alias("r"))
+    open_ = open_.select("key", "main", "n_all", F.ceil(F.col("n_main") / block).alias("m"), F.ceil((F.col("n_all") - F.col("n_main")) / block).alias("r"))
     is_main = F.col("side") == F.col("main")
-    placed = keyed.join(open_, "key").withColumn("own", F.when(is_main, F.col("r") + F.pmod(F.xxhash64("node"), F.col("m"))).otherwise(F.pmod(F.xxhash64("node"), F.col("r"))))
+    placed = join_groups(keyed, open_, "key", n_bands * n_members, "n_all").withColumn("own", F.when(is_main, F.col("r") + F.pmod(F.xxhash64("node"), F.col("m"))).otherwise(F.pmod(F.xxhash64("node"), F.col("r"))))
     last = F.when(is_main, F.col("r") - 1).otherwise(F.col("r") + F.col("m") - 1)
     placed = placed.select("node", F.col("key").alias("cluster"), "side", "own", last.alias("last"))
     rest = sets.select("node", "shingles").join(placed, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "side", "node", "shingles")
-    more = _verified(rest, percent)
-    more = materialise(more, "proven")
+    more = materialise(_verified(rest, percent), "proven")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    return _result(meta, classes, found)
+    return found
 
 
 def _verified(dealt: DataFrame, percent: int) -> DataFrame:
@@ -179,15 +189,39 @@ def _verified(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(verify, "a long, b long")
 
 
-def _result(meta: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    named = classes.select("node", "print").join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
-    out = meta.select("doc_id", "n_shingles", "print").join(named, "print", "left")
-    component = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+def _result(meta: DataFrame, n_rows: int, classes: DataFrame, found: DataFrame) -> DataFrame:
+    named = classes.select("node", "print", "n").join(found, "node", "left").select("print", "n", F.coalesce("component", "node").alias("component"))
+    lean = meta.select("doc_id", "text_hash", "n_shingles", "print")
+    none = F.col("print").isNull() | F.col("doc_id").isNull()
+    out = join_groups(lean.where(~none), named, "print", n_rows).unionByName(lean.where(none).withColumn("component", F.col("doc_id")))
+    return out.select("doc_id", "text_hash", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """docs with one row of each group of near copies: that of the least id, and of several such the one with the least hash of its text.
+
+    Rows are told apart by id and text, not by id alone: a unique text stays, whatever else has its id. Of rows that share
+    both, the least in the order of all columns stays. Rows without an id or without words stay.
+    """
+    key, names = F.col(id_col).cast("long"), docs.columns
+    with workspace(docs.sparkSession) as keep:
+        found = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, **settings), "near-duplicates")
+        gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
+        same = found.where(F.col("kept") & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id")
+        twice = materialise(same.agg(F.count("*").alias("n"), F.min("text_hash").alias("h")).where("n > 1").select(F.col("doc_id").alias("_i"), F.col("h").alias("_h")), "twice")
+        keep(found, twice)
+    marked = docs.withColumns({"_k": key, "_x": F.xxhash64(text_col)})
+    rest = marked.join(gone, (F.col("_k") == F.col("_i")) & (F.col("_x") == F.col("_h")), "left_anti")
+    if twice.isEmpty():
+        return rest.select(*names)
+    linked = found.where("kept and n_shingles > 0").join(twice.select("_i"), F.col("doc_id") == F.col("_i"), "left_semi").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
+    on = (F.col("_k") == F.col("_i")) & (F.col("_x") == F.col("_h"))
+    once = rest.join(twice, on, "left_semi").groupBy("_k", "_x").agg(F.min(F.struct(*names)).alias("m")).select("m.*")
+    return rest.join(linked, on, "left_anti").select(*names).unionByName(once)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {"op10_minhash_near_dedup": op10_minhash_near_dedup}

@@ -1,9 +1,9 @@
 """Language identification by compression.
 
 For each language a zstandard dictionary of raw content is made of labelled text. A text belongs to the language whose
-dictionary compresses it best; where the best two lie close together, the prediction is marked as rejected. Compared are
-the lower-cased words of the whole text in the order of their first use, so that repeated lines, marks and numbers, which
-cost the same in every language, don't drown the words.
+dictionary compresses it best; where the best two lie close together, the prediction is marked as rejected. What is
+compressed is the whole lower-cased text, in chunks, with each dictionary. A text without a letter (of any script, by its
+Unicode category: digits, fractions and numerals are none) has no language.
 """
 
 from __future__ import annotations
@@ -20,18 +20,22 @@ from pyspark.sql import types as T
 
 from quillon.llm.common import hashed_share, small_batches, table
 
-_WORD = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile(r"[A-Za-z]")
 
 #: Bytes that are compressed at once, and how fast a byte of difference adds to the certainty.
 CHUNK, BYTE_WEIGHT = 8192, 0.35
 
-#: Languages learned in one pass, and those whose compressors (some 3.5 MB each) a worker holds at once.
+#: Languages learned in one pass, and those whose compressors (some MB each) a worker holds at once.
 BLOCK_LANGUAGES = 64
 
 
-def words_of(text: str | None) -> bytes:
-    """The text's distinct lower-cased words in order, with single spaces; empty if it has no letter."""
-    return " ".join(dict.fromkeys(_WORD.findall(text.lower()))).encode() if text else b""
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (_LATIN.search(text) is not None or any(c.isalpha() for c in text))
+
+
+def code_of(text: str | None) -> bytes:
+    """What is compressed: the whole text in lower case; empty if it has no letter."""
+    return text.lower().encode() if has_letter(text) else b""
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, chars_per_doc: int = 600, dictionary_bytes: int = 131_072) -> list[tuple[str, bytes]]:
@@ -57,28 +61,29 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         )
         found: dict[str, dict[str, None]] = {}
         for r in sorted(sample, key=lambda r: (r.lang, r.k)):
-            found.setdefault(r.lang, {})[" ".join(_WORD.findall(r.t.lower()))] = None
-        made += [(lang, "\n".join(found[lang]).encode()[-dictionary_bytes:]) for lang, _ in counts[at : at + BLOCK_LANGUAGES] if any(found[lang])]
+            if has_letter(r.t):
+                found.setdefault(r.lang, {})[r.t.lower()] = None
+        made += [(lang, "\n".join(found[lang]).encode()[-dictionary_bytes:]) for lang, _ in counts[at : at + BLOCK_LANGUAGES] if lang in found]
     return made
 
 
 class Languages:
     def __init__(self, dictionaries: list[tuple[str, bytes]]):
-        made = zstandard.ZstdCompressionParameters.from_level(6, strategy=zstandard.STRATEGY_BTOPT, min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+        made = zstandard.ZstdCompressionParameters.from_level(6, strategy=zstandard.STRATEGY_LAZY, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
         self.compressors = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=made) for _, d in dictionaries]
 
-    def sizes(self, words: bytes) -> list[int]:
-        chunks = [words[i : i + CHUNK] for i in range(0, len(words), CHUNK)]
+    def sizes(self, code: bytes) -> list[int]:
+        chunks = [code[i : i + CHUNK] for i in range(0, len(code), CHUNK)]
         return [sum(len(c.compress(x)) for x in chunks) for c in self.compressors]
 
 
-def decide(names: list[str], words: bytes, sizes: np.ndarray) -> tuple[str, float, int]:
+def decide(names: list[str], code: bytes, sizes: np.ndarray) -> tuple[str, float, int]:
     """Language, certainty (0 to 1), and the bytes by which the second-best needs more. Ties go to the more frequent language."""
-    if not words or not names:
+    if not code or not names:
         return "und", 0.0, 0
     best = int(sizes.argmin())
     score = 1.0 / float(np.exp(-BYTE_WEIGHT * np.minimum(sizes - sizes[best], 1000)).sum())
-    margin = int(np.partition(sizes, 1)[1] - sizes[best]) if len(sizes) > 1 else len(words)
+    margin = int(np.partition(sizes, 1)[1] - sizes[best]) if len(sizes) > 1 else len(code)
     return names[best], score, margin
 
 
@@ -107,14 +112,14 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], *, text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [name for name, _ in dictionaries]
         for batch in batches:
-            words = [words_of(x) for x in batch.column(at).to_pylist()]
-            sizes = np.zeros((len(words), len(names)), dtype=np.int64)
+            codes = [code_of(x) for x in batch.column(at).to_pylist()]
+            sizes = np.zeros((len(codes), len(names)), dtype=np.int64)
             for k in range(0, len(names), size):
                 model = _block(key, k, size, dictionaries)
-                for row, w in zip(sizes, words, strict=True):
-                    if w:
-                        row[k : k + size] = model.sizes(w)
-            got = [decide(names, w, row) for w, row in zip(words, sizes, strict=True)]
+                for row, code in zip(sizes, codes, strict=True):
+                    if code:
+                        row[k : k + size] = model.sizes(code)
+            got = [decide(names, code, row) for code, row in zip(codes, sizes, strict=True)]
             more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[0] == "und" or g[2] < min_margin for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"])
 

@@ -1,16 +1,19 @@
 """Best-fit packing of tokenised documents with certified bin counts.
 
 Documents longer than a sequence are cut so that all pieces but the first are full. The pieces are written once. The
-lengths of the short pieces are dealt to partitions of bounded size, and each runs best-fit decreasing. Dual feasible
-functions give a lower bound on the bins that any packing of the whole corpus needs; no partition has one of its own. While
-all partitions together use more sequences than the bound for the whole corpus, those with gaps exchange documents: the pieces
-of every sequence that is not full are dealt anew, to fewer partitions, and packed again.
+lengths of the short pieces are dealt to partitions of bounded size and the same mix of lengths, and each runs best-fit
+decreasing. Dual feasible
+functions over a partition's own lengths give a lower bound on the bins that they need: a partition that meets its bound is
+certified and settled as it is. Those with gaps exchange documents: their full sequences are settled, the pieces of the
+others are dealt anew, to fewer partitions, and packed again, until none is left, one partition holds all of them, or a
+round gains next to nothing.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,22 +21,24 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.llm.common import materialise, small_batches, table
 from quillon.llm.tokens import default_tokenizer, encoder
 
-PIECE_SCHEMA = "piece_key long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """The pieces of all documents, as a written table: ids as little-endian unsigned 16- or 32-bit numbers (the narrowest that fits the vocabulary), and the crc32 of the 32-bit ones.
 
     A null text is empty and gives one piece, the end id. Rows with the same or no doc_id are separate documents; piece_key
-    is unique.
+    is unique. Ids that are whole numbers become longs, others (such as strings) keep their type.
     """
     small_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
-    schema = pa.schema([("piece_key", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+    key_type = docs.schema[id_col].dataType
+    key_type = T.LongType() if isinstance(key_type, T.IntegralType) else key_type
+    schema = pa.schema([("piece_key", pa.int64()), ("doc_id", to_arrow_type(key_type)), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, tail = encoder(tokenizer), np.array([end_id], dtype="<u4")
@@ -51,7 +56,8 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
                     key += 1
             yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return materialise(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, PIECE_SCHEMA), "pieces")
+    made = f"piece_key long, doc_id {key_type.simpleString()}, piece int, start long, length long, ids_crc32 long, ids binary"
+    return materialise(docs.select(F.col(id_col).cast(key_type), F.col(text_col)).mapInArrow(cut, made), "pieces")
 
 
 def lower_bound(histogram: np.ndarray, capacity: int) -> int:
@@ -99,55 +105,67 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bin_of, offset
 
 
+#: What the packer of a partition returns: bins counts a sequence in one of its rows; bound is the partition's.
+PACKED = "piece_key long, length long, sequence_id long, offset long, filled long, bins long, part long, bound long, certified boolean"
+
+
 def _packer(turn: int, capacity: int):
-    """Packs one partition's pieces; each row also says how full its sequence is, and one row of each sequence counts it."""
+    """Packs one partition's pieces and compares its bins with the bound of its own lengths."""
 
     def pack(held: pd.DataFrame) -> pd.DataFrame:
         held = held.sort_values("piece_key", ignore_index=True)
-        lengths = held["length"].to_numpy()
+        lengths, part = held["length"].to_numpy(), np.int64(held["part"].iloc[0])
         b, offset = best_fit_decreasing(lengths, capacity)
         filled = np.bincount(b, weights=lengths).astype(np.int64)
-        number = (np.int64(turn) << 58) + (np.int64(held["part"].iloc[0]) << 28) + b
-        return pd.DataFrame({"piece_key": held["piece_key"], "length": lengths, "sequence_id": number, "offset": offset, "filled": filled[b], "bins": (offset == 0).astype(np.int64)})
+        bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+        return pd.DataFrame({
+            "piece_key": held["piece_key"], "length": lengths, "sequence_id": (np.int64(turn) << 58) + (part << 28) + b, "offset": offset, "filled": filled[b],
+            "bins": (offset == 0).astype(np.int64), "part": part, "bound": np.int64(bound), "certified": len(filled) == bound,
+        })
 
     return pack
 
 
-def place(parts: DataFrame, *, capacity: int = 1024, items_per_partition: int = 16_384, max_rounds: int = 4) -> tuple[DataFrame, dict[str, int]]:
-    """Sequence and offset of each piece (piece_key, length), and the certificate: sequences used and the bound.
+def _dealt(pool: DataFrame, turn: int, n: int) -> DataFrame:
+    """pool with part, 0 to n - 1: pieces in the order of their lengths are dealt in turn, so that every partition has the same mix of lengths."""
+    if n == 1:
+        return pool.withColumn("part", F.lit(0).cast("long"))
+    shuffled = F.xxhash64("piece_key", F.lit(turn))
+    in_order = pool.repartitionByRange("length", shuffled).sortWithinPartitions("length", shuffled, "piece_key")
+    return in_order.withColumn("part", F.pmod(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1), F.lit(n)))
 
-    At most items_per_partition (about) are in memory at once. Full pieces are sequences of their own.
+
+def place(parts: DataFrame, *, capacity: int = 1024, items_per_partition: int = 16_384, least_gain: float = 0.001) -> tuple[DataFrame, DataFrame]:
+    """(piece_key, sequence_id, offset, certified) of each piece (piece_key, length), and the certificates.
+
+    A certificate (turn, part, n_pieces, sequences, bound, certified) says how many sequences a partition used and how many
+    any packing of its pieces needs. Certified ones are final; of the others only the last turn's and the full sequences
+    are. At most items_per_partition (about) are in memory at once. Full pieces are sequences of their own. Turns end when
+    all is settled, all that is left was in one partition, or a turn saved less than least_gain of the sequences with gaps.
     """
     spark = parts.sparkSession
-    sizes = parts.groupBy("length").count().collect()  # at most `capacity` rows
-    histogram = np.zeros(capacity + 1, dtype=np.int64)
-    for r in sizes:
-        histogram[r.length] = r["count"]
-    bound = lower_bound(histogram, capacity)
-    whole = parts.where(F.col("length") == capacity).select("piece_key", (-F.col("piece_key") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    settled, used = [whole], int(histogram[capacity])
-    pool, left = parts.where(F.col("length") < capacity).select("piece_key", "length"), int(histogram[:capacity].sum())
-    schema = "piece_key long, length long, sequence_id long, offset long, filled long, bins long"
-    for turn in range(max_rounds):
+    whole = parts.where(F.col("length") == capacity).select("piece_key", (-F.col("piece_key") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
+    settled, certificates = [whole], []
+    pool = parts.where(F.col("length") < capacity).select("piece_key", "length")
+    left, gapped = pool.count(), None
+    for turn in range(31):  # sequence ids have room for so many; the pool shrinks with each turn
         if not left:
             break
         n = max(1, -(-left // items_per_partition))
-
-        dealt = pool.withColumn("part", F.pmod(F.xxhash64("piece_key", F.lit(turn)), F.lit(n)))
-        packed = materialise(dealt.groupBy("part").applyInPandas(_packer(turn, capacity), schema), "packed")
-        bins, full, pooled = packed.agg(F.coalesce(F.sum("bins"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("filled") == capacity, F.col("bins"))), F.lit(0)), F.count(F.when(F.col("filled") < capacity, 1))).first()
-        done = packed.select("piece_key", "sequence_id", "offset")
-        if used + bins <= bound or n == 1 or turn == max_rounds - 1:
-            settled.append(done)
-            used += bins
+        dealt = _dealt(pool, turn, n)
+        packed = materialise(dealt.groupBy("part").applyInPandas(_packer(turn, capacity), PACKED), "packed")
+        certificates.append(packed.groupBy(F.lit(turn).alias("turn"), "part").agg(F.count("*").alias("n_pieces"), F.sum("bins").alias("sequences"), F.max("bound").alias("bound"), F.bool_and("certified").alias("certified")))
+        final = F.col("certified") | (F.col("filled") == capacity)
+        bins, gaps, left = packed.agg(F.sum("bins"), F.coalesce(F.sum(F.when(~final, F.col("bins"))), F.lit(0)), F.count(F.when(~final, 1))).first()
+        placed = packed.select("piece_key", "sequence_id", "offset", "certified")
+        if not left or n == 1 or turn == 30 or gapped is not None and gapped - bins < least_gain * gapped:
+            settled.append(placed)
             break
-        settled.append(packed.where(F.col("filled") == capacity).select("piece_key", "sequence_id", "offset"))
-        used += full
-        pool, left = packed.where(F.col("filled") < capacity).select("piece_key", "length"), int(pooled)
-    out = settled[0]
-    for more in settled[1:]:
-        out = out.unionByName(more)
-    return out, {"sequences": used, "bound": bound}
+        settled.append(placed.where(final))
+        pool, gapped = packed.where(~final).select("piece_key", "length"), gaps
+    out = reduce(DataFrame.unionByName, settled)
+    none = spark.createDataFrame([], "turn int, part long, n_pieces long, sequences long, bound long, certified boolean")
+    return out, reduce(DataFrame.unionByName, certificates, none)
 
 
 def sequences(parts: DataFrame, placed: DataFrame) -> DataFrame:
@@ -162,9 +180,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
+    """Every piece of every document and its place; certified says that its partition used as few sequences as its pieces allow."""
     parts = pieces(docs)
     placed, _ = place(parts)
-    return parts.drop("ids").join(placed, "piece_key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return parts.drop("ids").join(placed, "piece_key").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
 
 
 QUERIES = {"op7_best_fit_packing": op7_best_fit_packing}

@@ -141,6 +141,45 @@ def test_wavelet_round_trip(docs):
         assert m.count(t) == len(where) and m.occurrences(t) == where and m.rank(t, len(ids) // 2) == sum(w < len(ids) // 2 for w in where)
 
 
+def test_wavelet_inflates_one_block_a_plane():
+    rng = np.random.default_rng(2)
+    ids = np.minimum(rng.zipf(1.2, 400_000), 50_000).astype(np.uint32)
+    payload = wavelet.build(ids, np.arange(1), np.ones(1, dtype=bool), np.array([len(ids)]))
+    reader = lambda: wavelet.WaveletMatrix(payload)
+    assert reader().decode().tolist() == ids.tolist() and reader().blocks == 7
+    for i in (0, 65_535, 65_536, 123_456, len(ids) - 1):
+        m = reader()
+        assert m.access(i) == ids[i] and m.inflated <= m.bits
+        token = int(ids[i])
+        m = reader()
+        assert m.rank(token, i) == int((ids[:i] == token).sum()) and m.inflated <= 2 * m.bits
+    where = np.flatnonzero(ids == 7)
+    m = reader()
+    total = m.count(7)
+    counted = m.inflated
+    assert total == len(where) and m.select(7, 1000) == where[1000] and m.inflated <= counted + m.bits
+    assert m.occurrences(7) == where.tolist() and m.occurrences(49_999) == np.flatnonzero(ids == 49_999).tolist()
+
+
+def test_shards_are_bounded_however_ids_lie(spark, tmp_path):
+    """Ids in a few dense places, one id with a third of all rows, rows without an id."""
+    rows = [(None, f"none {i} " * 5) for i in range(60)] + [(7, f"hot {i} " * 5) for i in range(120)] + [(10**15 + i, f"dense {i} " * 5) for i in range(120)] + [(7, "same")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wavelet.write_shards(docs, str(tmp_path / "w"), shard_bytes=500)
+    shards = spark.read.parquet(str(tmp_path / "w"))
+    assert shards.count() >= 20 and shards.agg(F.max("n_docs")).first()[0] <= 120 and shards.agg(F.max("n_tokens")).first()[0] <= 2 * 500
+    got = wavelet.read_documents(spark, str(tmp_path / "w")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [r[0] for r in sorted(rows, key=lambda r: -1 if r[0] is None else r[0])]
+    tok = tokens.encoder(tokens.default_tokenizer()).tokenizer
+    assert sorted(r.ids_crc32 for r in got) == sorted(brute.crc_of([*tok.encode(t, add_special_tokens=False).ids, 0]) for _, t in rows)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    with pytest.raises(TypeError):
+        wavelet.write_shards(docs.withColumn("doc_id", F.col("text")), str(tmp_path / "x"))
+
+
 def test_token_files(spark, tmp_path):
     texts = [*ODD, None, "the <|endoftext|> mark"]
     docs = documents(spark, texts).selectExpr("doc_id * 3 - 5 as doc_id", "text", "lang as ids").repartition(3)
@@ -258,9 +297,53 @@ def test_repacking_over_partitions(spark):
     rng = random.Random(4)
     lengths = [rng.randrange(1, 1024) for _ in range(4000)]
     parts = spark.createDataFrame(list(enumerate(lengths)), "piece_key long, length long")
-    placed, cert = packing.place(parts, items_per_partition=300)
-    assert placed.count() == 4000 == placed.select("piece_key").distinct().count()
-    assert placed.select("sequence_id").distinct().count() == cert["sequences"] and cert["bound"] <= cert["sequences"] <= 1.02 * cert["bound"]
+    placed, certificates = packing.place(parts, items_per_partition=300)
+    rows, certs = placed.collect(), certificates.collect()
+    assert len(rows) == 4000 == len({r.piece_key for r in rows})
+    used = {r.sequence_id for r in rows}
+    bound = packing.lower_bound(np.bincount(np.array(lengths), minlength=1025), 1024)
+    assert bound <= len(used) <= 1.02 * bound
+    first = [c for c in certs if c.turn == 0]
+    assert sum(c.n_pieces for c in first) == 4000 and len(first) == 14 and all(c.sequences >= c.bound and c.certified == (c.sequences == c.bound) for c in certs)
+    for c in certs:  # a certified partition is settled as it was packed
+        own = [r for r in rows if r.sequence_id >> 28 == (c.turn << 30) + c.part]
+        if c.certified:
+            assert len(own) == c.n_pieces and len({r.sequence_id for r in own}) == c.sequences == c.bound and all(r.certified for r in own)
+        else:
+            assert len(own) <= c.n_pieces and not any(r.certified for r in own)
+
+
+def test_partitions_exchange_until_certified(spark):
+    """Halves and thirds of a sequence that one partition can't fill alone; a partition of equal halves is certified at once."""
+    halves = spark.createDataFrame([(i, 512) for i in range(400)], "piece_key long, length long")
+    placed, certificates = packing.place(halves, items_per_partition=64)
+    assert placed.count() == 400 and all(c.sequences == c.bound and c.certified for c in certificates.collect())
+    # three of 300, one of 420 and one of 690 in 1024: no partition meets its bound, so that all exchange until a turn gains nothing
+    hard = spark.createDataFrame([(i, (300, 420, 690, 301, 333)[i % 5]) for i in range(500)], "piece_key long, length long")
+    placed, certificates = packing.place(hard, items_per_partition=40)
+    certs = certificates.collect()
+    assert placed.count() == 500 and max(c.turn for c in certs) >= 1 and not all(c.certified for c in certs)
+    large = spark.createDataFrame([(i, 600 + i % 3) for i in range(50)], "piece_key long, length long")
+    placed, certificates = packing.place(large, items_per_partition=16)
+    assert placed.select("sequence_id").distinct().count() == 50 and certificates.where("turn > 0 or not certified").count() == 0
+
+
+def test_packed_sequences_hold_the_ids(spark):
+    docs = documents(spark, [f"some words {i} " * (i * 7 % 40) for i in range(120)]).selectExpr("concat('d', doc_id) as doc_id", "text")
+    parts = packing.pieces(docs, capacity=64)
+    placed, _ = packing.place(parts, capacity=64, items_per_partition=50)
+    tok = tokens.encoder(tokens.default_tokenizer()).tokenizer
+    texts = {r.doc_id: [*tok.encode(r.text, add_special_tokens=False).ids, 2] for r in docs.collect()}
+    got = {d: [] for d in texts}
+    for r in packing.sequences(parts, placed).collect():
+        ids, at = np.frombuffer(bytes(r.ids), dtype="<u2").tolist(), 0
+        assert len(ids) <= 64
+        for p in r.pieces:
+            assert p.offset == at
+            got[p.doc_id].append((p.piece, ids[at : at + p.length]))
+            at += p.length
+        assert at == len(ids)
+    assert {d: [i for _, part in sorted(x) for i in part] for d, x in got.items()} == texts
 
 
 # 8. decontamination
@@ -307,13 +390,36 @@ def test_held_out_accuracy(spark, sf_dir):
 
 
 def test_language_edges(spark):
-    docs = spark.createDataFrame([(i, t, g, None, 0) for i, (t, g) in enumerate([("the weather around this house never stays quite the same", "en"), ("le temps autour de cette maison ne reste jamais pareil", "fr"), (None, "en"), ("123 !!", "fr"), ("", None), ("this house never stays quite", None)] * 3)], DOCS)
+    docs = spark.createDataFrame([(i, t, g, None, 0) for i, (t, g) in enumerate([("the weather around this house never stays quite the same", "en"), ("le temps autour de cette maison ne reste jamais pareil", "fr"), (None, "en"), ("123 !!", "fr"), ("", None), ("this house never stays quite the same around the weather", None)] * 3)], DOCS)
     found = language.identify(docs.withColumn("lang_score", docs["text"]), language.train(docs)).orderBy("doc_id").collect()
     assert [r.lang_pred for r in found[:6]] == ["en", "fr", "und", "und", "und", "en"] and all(0 <= r.lang_score <= 1 for r in found)
     assert [r.lang_pred for r in language.identify(docs, language.train(docs.limit(0))).collect()] == ["und"] * 18
     assert language.identify(docs.limit(0), []).count() == 0
 
 
+def test_language_has_letters():
+    assert [language.has_letter(t) for t in (None, "", "12 \u00bd \u00b2 \u2167 _ !", "\u2460 \u0661", "1a", "\u4e2d", "\u00aa", "\u0431")] == [False] * 4 + [True] * 4
+
+
+def test_language_compresses_whole_texts(spark, sf_dir):
+    """Against a plain compressor that takes one text at a time, and all of it."""
+    import zstandard
+
+    docs = table(spark, sf_dir, "documents").unionByName(documents(spark, ["\u00bd \u00b2 \u2167", "the house " * 5000 + "le temps " * 9000, None]).withColumn("doc_id", F.col("doc_id") - 9).select(*table(spark, sf_dir, "documents").columns), allowMissingColumns=True)
+    learned = language.train(table(spark, sf_dir, "documents"))
+    how = zstandard.ZstdCompressionParameters.from_level(6, strategy=zstandard.STRATEGY_LAZY, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+    by_lang = {g: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how) for g, d in learned}
+    for r in language.identify(docs, learned).collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.lang_rejected) == ("und", True)
+            continue
+        raw = r.text.lower().encode()
+        cost = {g: sum(len(c.compress(raw[k : k + language.CHUNK])) for k in range(0, len(raw), language.CHUNK)) for g, c in by_lang.items()}
+        assert r.lang_pred == min(cost, key=lambda g: (cost[g], [n for n, _ in learned].index(g)))
+        low, second = sorted(cost.values())[:2]
+        assert r.lang_rejected == (second - low < 2)
+
+
 def test_language_learns_every_label(spark, monkeypatch):
     rng = random.Random(3)
     texts = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(12)) for _ in range(70)]
