@@ -69,10 +69,13 @@ def collapse_and_render(turns: DataFrame, *, segment_turns: int = SEGMENT_TURNS)
     known = turns.where("conv_id is not null").select("conv_id", "turn", "role", "text")
     prefixes = materialise(prefix_hashes(known), "prefixes")
     kept = materialise(maximal(prefixes), "maximal")
-    places = prefixes.join(kept, "conv_id").select("conv_id", "turn", "a", "b", "i", "n_turns", "n_copies")
+    # a kept conversation meets its turns segment by segment, so that a long one is spread over tasks
+    segment = lambda i: ((i - 1) / segment_turns).cast("long")
+    spread = kept.select("*", F.explode(F.sequence(F.lit(0).cast("long"), segment(F.col("n_turns")))).alias("segment"))
+    places = prefixes.withColumn("segment", segment(F.col("i"))).join(spread, ["conv_id", "segment"]).select("conv_id", "turn", "a", "b", "i", "segment", "n_turns", "n_copies")
     texts = known.withColumn("a", _content(F.col("role"), F.col("text"), 1)).withColumn("b", _content(F.col("role"), F.col("text"), 2)).distinct()
     same = (texts["conv_id"] == places["conv_id"]) & texts["turn"].eqNullSafe(places["turn"]) & (texts["a"] == places["a"]) & (texts["b"] == places["b"])
-    rows = texts.join(places, same).select(places["conv_id"], "n_turns", "n_copies", ((F.col("i") - 1) / segment_turns).cast("long").alias("segment"), "i", rendered_turn(F.col("role"), F.col("text")).alias("t"))
+    rows = texts.join(places, same).select(places["conv_id"], "n_turns", "n_copies", "segment", "i", rendered_turn(F.col("role"), F.col("text")).alias("t"))
     grouped = rows.groupBy("conv_id", "n_turns", "n_copies", "segment").agg(F.array_sort(F.collect_list(F.struct("i", "t"))).alias("held"))
     return grouped.select("conv_id", "n_turns", "n_copies", "segment", F.array_join(F.transform("held", lambda x: x["t"]), "").alias("text"))
 

@@ -119,13 +119,17 @@ def _ready(items: list[tuple[int, str]], key: str) -> Items:
 
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[list[tuple[int, str]], str]]:
-    """Blocks of normalised items of about BLOCK_CHARS characters, and a name for each; items without text or id match nothing."""
+    """Blocks of normalised items of about BLOCK_CHARS characters, and a name for each.
+
+    Items without text or id match nothing, nor do those of fewer than CHARS_PER_EDIT characters once normalised: a letter
+    or a word stands in clean documents too.
+    """
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_CHARS))
     for k in range(n):
         block = rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()
-        got = sorted({(r.i, t) for r in block if (t := normalise(r.t))})
+        got = sorted({(r.i, t) for r in block if len(t := normalise(r.t)) >= CHARS_PER_EDIT})
         if got:
             yield got, hashlib.sha256(repr(got).encode()).hexdigest()
 
@@ -133,7 +137,8 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
 def matches(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, match_end): every item that a document holds within the item's budget, once, with its least distance.
 
-    match_end is a place in the normalised text. Null and empty texts hold nothing. Repeated rows repeat their matches. All
+    match_end is a place in the normalised text. Null and empty texts hold nothing, and items shorter than CHARS_PER_EDIT are
+    in nothing. Repeated rows repeat their matches. All
     documents pass each block of items; a block is bounded.
     """
     small_batches(docs.sparkSession)

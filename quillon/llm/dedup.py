@@ -56,11 +56,11 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, words: int, rows:
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """(node, cluster, blocks, print, text) to (node, cluster, blocks, shingles) where the text still has that print."""
-    schema = pa.schema([("node", pa.int64()), ("cluster", pa.int64()), ("blocks", pa.int64()), ("shingles", pa.binary())])
+    """(node, cluster, blocks, text) to (node, cluster, blocks, shingles) where the text has the set that node stands for."""
+    schema = pa.schema([("node", pa.binary()), ("cluster", pa.binary()), ("blocks", pa.int64()), ("shingles", pa.binary())])
     for batch in batches:
-        sets = shingle_sets(batch.column(4), words)
-        same = [i for i, (s, p) in enumerate(zip(sets, batch.column(3).to_pylist(), strict=True)) if _print_of(s) == p]
+        sets = shingle_sets(batch.column(3), words)
+        same = [i for i, (s, p) in enumerate(zip(sets, batch.column(0).to_pylist(), strict=True)) if _print_of(s) == p]
         rows = batch.select([0, 1, 2]).take(pa.array(same, pa.int64()))
         yield pa.record_batch([*rows.columns, pa.array([sets[i].tobytes() for i in same], pa.binary())], schema=schema)
 
@@ -108,18 +108,19 @@ def linked(sets: list[np.ndarray], percent: int, groups: np.ndarray) -> list[tup
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, rows: int = 5, n_bands: int = 25, block: int = 1024) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id (the least doc_id that true links reach) and kept, for every row.
+    """doc_id, text_hash, n_shingles, group_id, component_id (the least doc_id that true links reach) and kept, for every row.
 
     A-Z are lower-cased and words are runs of characters other than ASCII white space. A text with fewer words than a
     shingle has is one shingle; a text without words, or null, has none and is linked with nothing. Repeated rows are
     returned as often as they come, and all of a kept id are kept. A row without an id is linked with nothing and kept.
-    Rows of one id with different texts are told apart by text_hash.
+    Rows are linked by their texts, never by a common id: those of one id with different texts can lie in different groups.
+    group_id names the group (null for a row without words or id), text_hash tells such rows apart.
     """
     with workspace(docs.sparkSession) as keep:
         meta = materialise(signatures(docs, id_col=id_col, text_col=text_col, words=words, rows=rows, n_bands=n_bands), "signatures")
         n_rows = meta.count()
         with_set = meta.where("print is not null and doc_id is not null")
-        classes = with_set.groupBy("print").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys"), F.count("*").alias("n"))
+        classes = with_set.groupBy(F.col("print").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.min_by("keys", "doc_id").alias("keys"), F.count("*").alias("n"))
         classes = materialise(classes, "classes", rows=n_rows, rows_per_file=20_000)
         found = materialise(_linked_classes(docs, classes, id_col=id_col, text_col=text_col, words=words, percent=percent, n_bands=n_bands, block=block), "components", rows=n_rows)
         keep(meta, classes, found)
@@ -127,17 +128,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def _linked_classes(docs: DataFrame, classes: DataFrame, *, id_col: str, text_col: str, words: int, percent: int, n_bands: int, block: int) -> DataFrame:
-    """(node, component) of the classes (node, print, keys) that are linked with others."""
+    """(node, component) of the classes (node, doc_id, keys) that are linked with others. A class is known by the fingerprint of its set."""
     n_classes = classes.count()
     entries = classes.select("node", F.explode("keys").alias("key"))
     stars = with_groups(entries, "key", n_bands * n_classes, least=F.min("node")).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     clusters = materialise(components(stars), "clusters", rows=n_classes)
     n_members = clusters.count()
-    members = with_groups(clusters, "component", n_members, blocks=F.ceil(F.count("*") / block)).join(classes.select("node", "print"), "node")
-    members = materialise(members.select("node", F.col("component").alias("cluster"), "blocks", "print"), "members", rows=n_members)
+    members = with_groups(clusters, "component", n_members, blocks=F.ceil(F.count("*") / block)).join(classes.select("node", "doc_id"), "node")
+    members = materialise(members.select("node", F.col("component").alias("cluster"), "blocks", "doc_id"), "members", rows=n_members)
     wanted = F.broadcast(members) if n_members <= BROADCAST_MEMBERS else members
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node").select("node", "cluster", "blocks", "print", "text")
-    sets = materialise(texts.mapInArrow(lambda it: _sets_of(it, words), "node long, cluster long, blocks long, shingles binary"), "sets")
+    # the text of a class is that of its least id; rows of that id with another text fall out as their sets differ
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id").select("node", "cluster", "blocks", "text")
+    sets = materialise(texts.mapInArrow(lambda it: _sets_of(it, words), "node binary, cluster binary, blocks long, shingles binary"), "sets")
     # first each block by itself, beside the pivots of its cluster
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     pivot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks") * block) < PIVOTS
@@ -166,12 +168,12 @@ def _linked_classes(docs: DataFrame, classes: DataFrame, *, id_col: str, text_co
 
 def _verified(dealt: DataFrame, percent: int) -> DataFrame:
     """Proven links (a, b) that span the components of each task's sets: rows (cluster, i, j, side, node, shingles) with the same first three are one task's work. Sets of the same side aren't compared."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
-    def done(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    def done(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
         once = list({node: (side, s) for side, node, s in held}.items())
-        found = linked([np.frombuffer(s, dtype=np.uint64) for _, (_, s) in once], percent, np.array([side for _, (side, _) in once])) if len(once) > 1 else []
-        return pa.record_batch([pa.array([once[x][0] for x, _ in found], pa.int64()), pa.array([once[y][0] for _, y in found], pa.int64())], schema=schema)
+        found = linked([np.frombuffer(s, dtype=np.uint64) for _, (_, s) in once], percent, np.unique([side.hex() for _, (side, _) in once], return_inverse=True)[1]) if len(once) > 1 else []
+        return pa.record_batch([pa.array([once[x][0] for x, _ in found], pa.binary()), pa.array([once[y][0] for _, y in found], pa.binary())], schema=schema)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -186,15 +188,16 @@ def _verified(dealt: DataFrame, percent: int) -> DataFrame:
             yield done(held)
 
     parts = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(verify, "a long, b long")
+    return dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(verify, "a binary, b binary")
 
 
 def _result(meta: DataFrame, n_rows: int, classes: DataFrame, found: DataFrame) -> DataFrame:
-    named = classes.select("node", "print", "n").join(found, "node", "left").select("print", "n", F.coalesce("component", "node").alias("component"))
+    named = classes.select("node", "doc_id", "n").join(found, "node", "left").select(F.col("node").alias("print"), "n", F.coalesce("component", "node").alias("group_id"), "doc_id")
+    named = with_groups(named, "group_id", n_rows, component_id=F.min("doc_id")).drop("doc_id")
     lean = meta.select("doc_id", "text_hash", "n_shingles", "print")
     none = F.col("print").isNull() | F.col("doc_id").isNull()
-    out = join_groups(lean.where(~none), named, "print", n_rows).unionByName(lean.where(none).withColumn("component", F.col("doc_id")))
-    return out.select("doc_id", "text_hash", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
+    out = join_groups(lean.where(~none), named, "print", n_rows).unionByName(lean.where(none).withColumns({"group_id": F.lit(None).cast("binary"), "component_id": F.col("doc_id")}))
+    return out.select("doc_id", "text_hash", "n_shingles", "group_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -204,19 +207,19 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     both, the least in the order of all columns stays. Rows without an id or without words stay.
     """
     key, names = F.col(id_col).cast("long"), docs.columns
+    row = [F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")]
     with workspace(docs.sparkSession) as keep:
         found = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, **settings), "near-duplicates")
-        gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
-        same = found.where(F.col("kept") & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id")
-        twice = materialise(same.agg(F.count("*").alias("n"), F.min("text_hash").alias("h")).where("n > 1").select(F.col("doc_id").alias("_i"), F.col("h").alias("_h")), "twice")
+        groups = found.where("kept and group_id is not null").groupBy("group_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
+        twice = materialise(groups.where("n > 1"), "twice")
         keep(found, twice)
     marked = docs.withColumns({"_k": key, "_x": F.xxhash64(text_col)})
-    rest = marked.join(gone, (F.col("_k") == F.col("_i")) & (F.col("_x") == F.col("_h")), "left_anti")
+    on = (F.col("_k") == F.col("_i")) & (F.col("_x") == F.col("_h"))
+    rest = marked.join(found.where(~F.col("kept")).select(*row).distinct(), on, "left_anti")
     if twice.isEmpty():
         return rest.select(*names)
-    linked = found.where("kept and n_shingles > 0").join(twice.select("_i"), F.col("doc_id") == F.col("_i"), "left_semi").select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
-    on = (F.col("_k") == F.col("_i")) & (F.col("_x") == F.col("_h"))
-    once = rest.join(twice, on, "left_semi").groupBy("_k", "_x").agg(F.min(F.struct(*names)).alias("m")).select("m.*")
+    linked = found.where("kept and group_id is not null").select("group_id", "doc_id", "text_hash").distinct().join(twice.select("group_id"), "group_id", "left_semi").select(*row)
+    once = rest.join(twice.select(*row), on, "left_semi").groupBy("_k", "_x").agg(F.min(F.struct(*names)).alias("m")).select("m.*")
     return rest.join(linked, on, "left_anti").select(*names).unionByName(once)
 
 

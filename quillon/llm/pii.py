@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import materialise, small_batches, table
+from quillon.llm.common import materialise, small_batches, table, workspace
+from quillon.llm.graphs import join_groups
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds in the order of span lists: the base, then what the method adds.
@@ -35,8 +37,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 
-#: Words on each side of an entity that make its context; most terms that a worker holds at once.
-CONTEXT_WORDS, BLOCK_TERMS = 16, 200_000
+#: Words on each side of an entity that make its context; most terms that a worker holds at once; a word with more than one
+#: in so many of all counts is frequent.
+CONTEXT_WORDS, BLOCK_TERMS, FREQUENT = 16, 200_000, 10_000
 
 
 def _luhn(digits: str) -> bool:
@@ -89,19 +92,24 @@ def _words(text: str) -> list[str]:
 def contexts(text: str | None) -> Iterator[tuple[str, int, str, int]]:
     """(entity, hash of its context, term, lines) for each distinct term near each entity; a row with the term "" for the entity itself.
 
-    lines is 1 where the two meet in a line for the first time, else 0.
+    A context is the CONTEXT_WORDS terms of the line on each side, however long they are. lines is 1 where the two meet in
+    a line for the first time, else 0. A line's terms are found once, whatever the number of its entities.
     """
     met: set[tuple[int, str, str]] = set()
-    for kind, a, b in base_spans(text):
+    begin, end, words, starts, ends = 0, -1, [], [], []
+    for kind, a, b in sorted(base_spans(text), key=lambda s: s[1:]):
+        if a > end:
+            begin, end = text.rfind("\n", 0, a) + 1, text.find("\n", a)
+            end = len(text) if end < 0 else end
+            found = list(_TERM.finditer(text, begin, end))
+            words, starts, ends = [m[0].lower() for m in found], [m.start() for m in found], [m.end() for m in found]
         entity = f"{kind}:{text[a:b].lower()}"
-        line, right = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-        left = max(line, a - 40 * CONTEXT_WORDS)
-        right = min(len(text) if right < 0 else right, b + 40 * CONTEXT_WORDS)
-        before, after = _words(text[left:a])[-CONTEXT_WORDS:], _words(text[b:right])[:CONTEXT_WORDS]
+        left, right = bisect_right(ends, a), bisect_left(starts, b)
+        before, after = words[max(0, left - CONTEXT_WORDS) : left], words[right : right + CONTEXT_WORDS]
         mark = int.from_bytes(hashlib.blake2b(" ".join([*before, "|", *after]).encode(), digest_size=8).digest(), "big", signed=True)
         for term in ("", *dict.fromkeys(before + after)):
-            new = (line, entity, term) not in met
-            met.add((line, entity, term))
+            new = (begin, entity, term) not in met
+            met.add((begin, entity, term))
             yield entity, mark, term, int(new)
 
 
@@ -114,6 +122,25 @@ def _line_terms(text: str) -> Iterator[set[str]]:
             yield set(_words(line))
 
 
+def word_lines(docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, n_term): how many lines hold each term. Every task adds up its own before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        out = lambda: pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t:
+                    for terms in _line_terms(t):
+                        found.update(terms)
+                if len(found) >= BLOCK_TERMS:
+                    yield out()
+                    found.clear()
+        yield out()
+
+    return docs.select(text_col).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
 def disclosing_terms(docs: DataFrame, *, text_col: str = "text", prior_weight: float = 1.0, generalise_at: float = 0.9, remove_at: float = 0.97) -> DataFrame:
     """(term, kind, disclosure, remove): terms beyond a threshold, with the kind of the entity that they disclose most."""
     spark = docs.sparkSession
@@ -137,39 +164,21 @@ def disclosing_terms(docs: DataFrame, *, text_col: str = "text", prior_weight: f
     if pairs.isEmpty():
         return spark.createDataFrame([], "term string, kind string, disclosure double, remove boolean")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
-        out = lambda: pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    for terms in _line_terms(t):
-                        found.update(terms)
-                if len(found) >= BLOCK_TERMS:
-                    yield out()
-                    found.clear()
-        yield out()
-
-    totals = docs.select(text_col).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    entities = pairs.where("term = ''").select("entity", F.col("n_both").alias("n_entity"))
+    n_pairs = pairs.count()
+    by_entity = pairs.groupBy("entity").agg(F.count("*").alias("n"), F.max(F.when(F.col("term") == "", F.col("n_both"))).alias("n_entity"))
+    by_term = pairs.where("term <> ''").groupBy("term").agg(F.count("*").alias("n")).join(word_lines(docs, text_col), "term")
     share = F.col("n_both") / F.greatest("n_term", "n_both")
     base = F.col("n_entity") / F.lit(float(max(lines, 1) + 1))
     seen = F.least("contexts", "n_both")  # neither copies of a line nor repeats within one are observations of their own
     p = (seen * share + prior_weight * base) / (seen + prior_weight)
     ic = -F.log2(base)
-    scored = pairs.where("term <> ''").join(entities, "entity").join(totals, "term").select("term", F.substring_index("entity", ":", 1).alias("kind"), ((ic + F.log2(p)) / ic).alias("disclosure"))
+    # an entity that stands near very many terms, and a term near very many entities, are hot keys
+    both = join_groups(join_groups(pairs.where("term <> ''"), by_entity, "entity", n_pairs), materialise(by_term, "term-lines"), "term", n_pairs)
+    scored = both.select("term", F.substring_index("entity", ":", 1).alias("kind"), ((ic + F.log2(p)) / ic).alias("disclosure"))
     best = scored.where(F.col("disclosure") >= generalise_at).groupBy("term").agg(F.max(F.struct("disclosure", "kind")).alias("m"))
     return best.select("term", "m.kind", "m.disclosure", (F.col("m.disclosure") >= remove_at).alias("remove"))
 
 
-def term_blocks(terms: DataFrame, *more: str) -> Iterator[list]:
-    """The terms in blocks of about BLOCK_TERMS: one block at a time is on the driver and in a worker."""
-    n = -(-terms.count() // BLOCK_TERMS)
-    for k in range(n):
-        rows = terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == k).select("term", *more).collect()
-        yield [tuple(r) if more else r[0] for r in rows]
-
-
 def all_spans(text: str | None, terms: dict[str, tuple[str, bool]]) -> list[tuple[str, int, int]]:
     """Base spans and, outside of them, the spans of disclosing terms."""
     found = base_spans(text)
@@ -207,44 +216,57 @@ def redact(text: str | None, spans: list[tuple[str, int, int]], terms: dict[str,
 def sanitise(docs: DataFrame, *, text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """docs with the sanitised text in text_col, and pii_spans: kind:start:end in code points of the given text, by kind and start.
 
-    Null texts stay null and have no spans; other columns are kept (a column pii_spans is replaced). Terms are found in
-    blocks, all in the given text, which is redacted once at the end.
+    Null texts stay null and have no spans; other columns are kept (a column pii_spans is replaced). Up to BLOCK_TERMS terms
+    go to every worker; more are joined to the words of the texts, so that a text meets its own terms only. Both give the
+    same result from one pass over the texts given.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("pii_spans")
-    terms = disclosing_terms(docs, text_col=text_col) if terms is None else terms
-    blocks = [{t: (kind, remove) for t, kind, remove in block} for block in term_blocks(materialise(terms, "disclosing"), "kind", "remove")]
-    at = docs.columns.index(text_col)
-    names = [*docs.columns, "pii_spans", "_pii_rules"]
-    found = docs.withColumns({"pii_spans": F.lit(None).cast("string"), "_pii_rules": F.lit(None).cast("string")})
-    for k, block in enumerate(blocks or [{}]):  # the text stays as given until all spans are known
-
-        def run(batches: Iterator[pa.RecordBatch], terms=block, first=not k, last=k >= len(blocks) - 1) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(at).to_pylist()
-                spans = [all_spans(t, terms) for t in texts]
-                rules = [{t[a:b].lower(): terms[t[a:b].lower()] for kind, a, b in s if kind == "term"} for t, s in zip(texts, spans, strict=True)]
-                if not first:
-                    earlier, known = (batch.column(len(names) - n).to_pylist() for n in (2, 1))
-                    spans = [merged_spans(read_spans(e), s) for e, s in zip(earlier, spans, strict=True)]
-                    rules = [json.loads(e) | r for e, r in zip(known, rules, strict=True)]
-                columns = list(batch.columns)[:-2]
-                if last:
-                    columns[at] = pa.array([redact(t, s, r) for t, s, r in zip(texts, spans, rules, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([span_list(s) for s in spans], pa.string()), pa.array([None if last else json.dumps(r) for r in rules], pa.string())], names=names)
-
-        found = found.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.StringType()) for n in names[-2:])]))
-    return found.select(*(found[c] for c in names[:-1]))
-
-
-def read_spans(listed: str) -> list[tuple[str, int, int]]:
-    return [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in listed.split(",") if s)]
-
-
-def merged_spans(earlier: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of two blocks of terms over one text, by kind and start; both hold the base spans."""
-    base = [s for s in earlier if s[0] != "term"]
-    return base + sorted({s for s in earlier + more if s[0] == "term"}, key=lambda s: s[1])
+    at, names = docs.columns.index(text_col), docs.columns
+    everywhere: dict[str, tuple[str, bool]] = {}
+    with workspace(docs.sparkSession) as keep:
+        terms = materialise(disclosing_terms(docs, text_col=text_col) if terms is None else terms, "disclosing")
+        if terms.count() <= BLOCK_TERMS:
+            everywhere = {r.term: (r.kind, r.remove) for r in terms.collect()}
+            given = docs.withColumn("_pii_rules", F.lit(None).cast("string"))
+        else:
+            lines = materialise(word_lines(docs, text_col), "words")
+            given = _with_own_terms(docs, text_col, terms, lines)
+            keep(terms, lines)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, columns = batch.column(at).to_pylist(), list(batch.columns)[:-1]
+            rules = [everywhere if own is None else {t: (kind, remove == "true") for t, (kind, remove) in json.loads(own).items()} for own in batch.column(len(names)).to_pylist()]
+            spans = [all_spans(t, own) for t, own in zip(texts, rules, strict=True)]
+            columns[at] = pa.array([redact(t, s, own) for t, s, own in zip(texts, spans, rules, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([span_list(s) for s in spans], pa.string())], names=[*names, "pii_spans"])
+
+    return given.select(*names, "_pii_rules").mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("pii_spans", T.StringType())]))
+
+
+def _with_own_terms(docs: DataFrame, text_col: str, terms: DataFrame, lines: DataFrame) -> DataFrame:
+    """docs with _pii_rules: the terms that their text holds, as JSON. lines: what word_lines returns.
+
+    Texts are known by two hashes. Of words that are a good part of all words, the join gets only those that are terms:
+    there are fewer than FREQUENT such words, and they are known to every worker.
+    """
+    total = lines.agg(F.coalesce(F.sum("n_term"), F.lit(0))).first()[0]
+    frequent = lines.where(F.col("n_term") > max(total // FREQUENT, 1))
+    idle = {r.term for r in frequent.join(terms, "term", "left_anti").select("term").collect()}
+    counted = terms.join(lines, "term").select("term", F.to_json(F.map_from_entries(F.array(F.struct("term", F.array("kind", F.col("remove").cast("string")))))).alias("rule"), "n_term")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[w for w in dict.fromkeys(_words(t)) if w not in idle] if t else [] for t in batch.column(2).to_pylist()]
+            owner = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array([w for f in found for w in f], pa.string())], names=["_a", "_b", "term"])
+
+    hashes = {"_a": F.xxhash64(text_col), "_b": F.xxhash64(F.lit(1), text_col)}
+    held = docs.withColumns(hashes).select("_a", "_b", text_col).mapInArrow(words, "_a long, _b long, term string")
+    own = join_groups(held, counted, "term", total, "n_term").groupBy("_a", "_b").agg(F.collect_set("rule").alias("rules"))
+    own = own.select("_a", "_b", F.concat(F.lit("{"), F.array_join(F.transform("rules", lambda r: r.substr(F.lit(2), F.length(r) - 2)), ","), F.lit("}")).alias("_pii_rules"))
+    return docs.withColumns(hashes).join(own, ["_a", "_b"], "left").withColumn("_pii_rules", F.coalesce("_pii_rules", F.lit("{}")))
 
 
 def span_list(spans: list[tuple[str, int, int]]) -> str:

@@ -1,9 +1,12 @@
 """Quality classification by co-training.
 
 Two classifiers see different things: one the text's words and shape, the other the page's metadata (source, language,
-length). Both are logistic regressions fitted to a bounded sample of labelled documents. In each round both score all
-documents; what one view is sure of, while the other is not, becomes pseudo-labels for the other. Each view is calibrated
-on labelled documents that it was not fitted to, and the calibrated views are combined to score every document.
+length). Both are logistic regressions fitted to a bounded sample of labelled documents, over features weighed by how
+differently good and bad documents use them. In each round both score all documents, and each view hands to the other what it
+is surest of, while the other is unsure: the surest share of either class by its own calibrated odds, however strong the view is
+as a whole. A pseudo-label is the chance that the view gives, and weighs as much as it tells beyond the share of good
+documents: labels of a weak view flow, but move little. Each view is
+calibrated on labelled documents that it was not fitted to, and the calibrated views are combined to score every document.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import hashed_share, materialise, small_batches, table
+from quillon.llm.common import hashed_share, materialise, small_batches, table, workspace
 from quillon.llm.shingles import string_buffers, word_hashes
 
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 16, 64
@@ -34,9 +37,12 @@ class Rows:
     value: np.ndarray
     at: np.ndarray
 
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        sums = np.append(0.0, np.cumsum(w[self.index] * self.value))
-        return sums[self.at[1:]] - sums[self.at[:-1]]
+        return np.bincount(self.owner, weights=w[self.index] * self.value, minlength=len(self.at) - 1)
 
 
 def _steps(x: np.ndarray, edges: list[float]) -> np.ndarray:
@@ -75,27 +81,62 @@ def meta_rows(source: list, lang: list, n_chars: list) -> Rows:
     return Rows(np.array(index, dtype=np.int64), np.ones(len(index)), 3 * np.arange(len(source) + 1))
 
 
-def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, size: int, *, l2: float = 1e-5, turns: int = 500) -> np.ndarray:
-    """Weights and, in the last place, the intercept of a logistic regression, by accelerated full-batch gradient steps.
+def contrast(rows: Rows, y: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
+    """For each feature how differently good and bad rows use it: the size of the log ratio of its shares, counted from one."""
+    of = lambda w: 1 + np.bincount(rows.index, weights=w[rows.owner], minlength=size)
+    good, bad = weight * y, weight * (1 - y)
+    return np.abs(np.log(of(good) / (good.sum() + 2)) - np.log(of(bad) / (bad.sum() + 2)))
+
 
-    Steps have one length for all features, so that a weight grows with what its feature explains.
+def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, size: int, *, start: np.ndarray | None = None, l2: float = 1e-5, turns: int = 12, inner: int = 15) -> np.ndarray:
+    """Weights and, in the last place, the intercept of a logistic regression of y (0 to 1), by Newton steps that conjugate gradients solve.
+
+    Features are scaled by their contrast, so that what tells the classes apart moves first. start: weights to begin from.
     """
-    w, b = np.zeros(size), 0.0
+    out = np.zeros(size + 1) if start is None else start.copy()
     if not len(y):
-        return np.append(w, b)
+        return out
     share = np.clip(np.average(y, weights=weight), 0.01, 0.99)
-    b = float(np.log(share / (1 - share)))
-    owner = np.repeat(np.arange(len(y)), np.diff(rows.at))
-    step = 4 / (np.bincount(owner, weights=rows.value**2, minlength=len(y)).max() + 1)
-    v, c = w, b
-    for k in range(turns if len(np.unique(y)) > 1 else 0):
-        p = 1 / (1 + np.exp(-np.clip(rows.dot(v) + c, -30, 30)))
-        d = weight * (p - y) / weight.sum()
-        g = np.bincount(rows.index, weights=d[owner] * rows.value, minlength=size) + l2 * v
-        w_next, b_next, ahead = v - step * g, c - step * d.sum(), k / (k + 3)
-        v, c = w_next + ahead * (w_next - w), b_next + ahead * (b_next - b)
-        w, b = w_next, b_next
-    return np.append(w, b)
+    if start is None:
+        out[-1] = np.log(share / (1 - share))
+    if len(np.unique(y)) < 2:
+        return out
+    used, column = np.unique(rows.index, return_inverse=True)
+    scale = contrast(rows, y, weight, size)[used]
+    value, owner, total = rows.value * scale[column], rows.owner, weight.sum()
+    dot = lambda v: np.bincount(owner, weights=v[column] * value, minlength=len(y))
+    back = lambda d: np.bincount(column, weights=d[owner] * value, minlength=len(used))
+    loss = lambda z, w: (weight * (np.logaddexp(0, z) - y * z)).sum() / total + l2 / 2 * (w @ w)
+    w, b = np.divide(out[used], scale, out=np.zeros(len(used)), where=scale > 0), out[-1]
+    z = dot(w) + b
+    now = loss(z, w)
+    for _ in range(turns):
+        p = _sigmoid(z)
+        d, h = weight * (p - y) / total, weight * p * (1 - p) / total + 1e-8
+        # conjugate gradients for the Newton step; the intercept is the last place
+        r = -np.append(back(d) + l2 * w, d.sum())
+        x, q, rr = np.zeros(len(r)), r.copy(), r @ r
+        first = rr
+        for _ in range(inner):
+            if rr <= max(0.01 * first, 1e-14):
+                break
+            t = h * (dot(q[:-1]) + q[-1])
+            hq = np.append(back(t) + l2 * q[:-1], t.sum())
+            alpha = rr / (q @ hq)
+            x, r = x + alpha * q, r - alpha * hq
+            rr, last = r @ r, rr
+            q = r + rr / last * q
+        step, along = 1.0, dot(x[:-1]) + x[-1]
+        while step > 1e-3 and loss(z + step * along, w + step * x[:-1]) >= now:
+            step /= 2
+        if step <= 1e-3:
+            break
+        w, b, z = w + step * x[:-1], b + step * x[-1], z + step * along
+        gain, now = now - loss(z, w), loss(z, w)
+        if gain < 1e-7:
+            break
+    out[used], out[-1] = w * scale, b
+    return out
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -118,146 +159,190 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a / spread, b - a * centre / spread
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 @dataclass
 class Model:
-    """Weights of both views, their calibrations, and the log odds of a good document."""
+    """Weights of both views, their calibrations, the log odds of a good document, and per view how far from these odds it is sure (below, above)."""
 
     text: np.ndarray
     meta: np.ndarray
     text_scale: tuple[float, float]
     meta_scale: tuple[float, float]
     prior: float
+    text_sure: tuple[float, float] = (np.inf, np.inf)
+    meta_sure: tuple[float, float] = (np.inf, np.inf)
 
     def logits(self, text: Rows, meta: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated log odds by text, by metadata, and of both together, as if the views were independent given the class."""
         z = [a * (rows.dot(w[:-1]) + w[-1]) + b for rows, w, (a, b) in ((text, self.text, self.text_scale), (meta, self.meta, self.meta_scale))]
         return z[0], z[1], z[0] + z[1] - self.prior
 
-
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def sure(self, z: np.ndarray, limits: tuple[float, float]) -> np.ndarray:
+        """1 where a view is sure of a good document, -1 of a bad one, else 0."""
+        off = z - self.prior
+        return np.where(off >= limits[1], 1, np.where(off <= -limits[0], -1, 0))
 
 
-def _pack(rows: Rows, i: int) -> tuple[bytes, bytes]:
-    a, b = rows.at[i], rows.at[i + 1]
-    return rows.index[a:b].astype("<i4").tobytes(), rows.value[a:b].astype("<f4").tobytes()
+def surest(z: np.ndarray, prior: float, share: float) -> tuple[float, float]:
+    """How far below and above the prior the surest share of documents of each class lies; never at the prior itself."""
+    if not len(z):
+        return np.inf, np.inf
+    off = z - prior
+    return max(float(-np.quantile(off, share)), 1e-6), max(float(np.quantile(off, 1 - share)), 1e-6)
 
 
-def _unpack(held: list[tuple[bytes, bytes]]) -> Rows:
-    index = [np.frombuffer(i, dtype="<i4") for i, _ in held]
-    value = [np.frombuffer(v, dtype="<f4") for _, v in held]
-    join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, dtype=t)
-    return Rows(join(index, np.int64), join(value, float), np.append(0, np.cumsum([len(i) for i in index])).astype(np.int64))
+def information(chance: np.ndarray, prior: float) -> np.ndarray:
+    """What a chance tells beyond the prior log odds, as a share (0 to 1) of what knowing the class would: a ratio of divergences."""
+    p, q = np.clip(chance, 1e-9, 1 - 1e-9), 1 / (1 + np.exp(-prior))
+    told = p * np.log(p / q) + (1 - p) * np.log((1 - p) / (1 - q))
+    return np.clip(told / np.where(p >= q, -np.log(q), -np.log(1 - q)), 0, 1)
 
 
-VIEWS = "ti binary, tv binary, mi binary, mv binary"
-_INPUT = ("doc_id", "text", "source", "lang", "n_chars")
+#: A document's features: indices of text and metadata as little-endian 32-bit numbers. The values follow from them.
+VIEWS = "ti binary, mi binary"
+_INPUT = ("text", "source", "lang", "n_chars")
 
 
-def _views(batch: pa.RecordBatch) -> tuple[Rows, Rows]:
-    c = {name: batch.column(batch.schema.get_field_index(name)) for name in _INPUT[1:]}
-    return text_rows(c["text"]), meta_rows(c["source"].to_pylist(), c["lang"].to_pylist(), c["n_chars"].to_pylist())
+def _read(texts: list[bytes], metas: list[bytes]) -> tuple[Rows, Rows]:
+    """Both views of packed documents; a word of a text with d distinct ones has the value d ** -1/4, all else 1."""
+    out = []
+    for packed in (texts, metas):
+        sizes = np.array([len(x) // 4 for x in packed], dtype=np.int64)
+        index = np.frombuffer(b"".join(packed), dtype="<i4").astype(np.int64)
+        at = np.append(0, np.cumsum(sizes))
+        out.append(Rows(index, np.ones(len(index)), at))
+    words = out[0].index < WORD_BUCKETS
+    distinct = np.bincount(out[0].owner[words], minlength=len(texts))
+    out[0].value[words] = distinct[out[0].owner[words]] ** -0.25
+    return out[0], out[1]
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, ti, mi): the features of every row. Null texts count as empty, null metadata as a value of its own."""
+    small_batches(docs.sparkSession)
+    lean = docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {name: batch.column(batch.schema.get_field_index(name)) for name in _INPUT}
+            views = text_rows(c["text"]), meta_rows(c["source"].to_pylist(), c["lang"].to_pylist(), c["n_chars"].to_pylist())
+            cut = [[raw[4 * a : 4 * b] for a, b in zip(v.at[:-1].tolist(), v.at[1:].tolist(), strict=True)] for v in views for raw in [v.index.astype("<i4").tobytes()]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in cut)], names=["doc_id", "ti", "mi"])
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text, meta = _views(batch)
-        packed = [(*_pack(text, i), *_pack(meta, i)) for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("good")), *(pa.array([p[k] for p in packed], pa.binary()) for k in range(4))], names=["doc_id", "good", "ti", "tv", "mi", "mv"])
+    return lean.mapInArrow(run, f"doc_id long, {VIEWS}")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> list:
-    """Features of at most `bound` labelled documents: those with the least hash of their id. Good is quality without toxicity; of several labels the mean counts, of rows with one id the least text."""
+def labelled_sample(features: DataFrame, labels: DataFrame, bound: int) -> list:
+    """Features of at most `bound` labelled documents: those with the least hash of their id. Good is quality without toxicity; of several labels the mean counts, of rows with one id the least features."""
     good = F.when((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) == 0), 1.0).otherwise(0.0)
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(good).alias("good"))
     h = F.xxhash64("doc_id")
     few = marked.where(hashed_share(h, bound, marked.count()))
     chosen = few.select("doc_id", (F.col("good") >= 0.5).alias("good")).orderBy(F.shiftrightunsigned(h, 32), "doc_id").limit(bound)
-    held = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("m"))
-    return held.select("doc_id", "m.*", "good").mapInArrow(_featured, f"doc_id long, good boolean, {VIEWS}").collect()
+    return features.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(F.min(F.struct("ti", "mi")).alias("m")).select("doc_id", "good", "m.*").collect()
 
 
-def _sure(docs: DataFrame, model: Model, known: frozenset, per_class: int, certain: float) -> list:
-    """Per view and class the per_class documents of all that this view is surest of while the other is not, with their features."""
-    schema = f"to_meta boolean, good boolean, certainty double, tie long, {VIEWS}"
+def _sure(features: DataFrame, model: Model, known: frozenset, per_class: int, certain: float = 0.9) -> list:
+    """Per view and class the per_class documents of all that this view is surest of, while the other gives either class a chance below `certain`, with the chance that it gives them. Documents in known and rows without an id are left out."""
+    schema = f"doc_id long, to_meta boolean, good boolean, certainty double, chance double, tie long, {VIEWS}"
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[tuple[bool, bool], list] = {(v, g): [] for v in (False, True) for g in (False, True)}
         for batch in batches:
-            text, meta = _views(batch)
-            zt, zm, _ = model.logits(text, meta)
-            limit = np.log(certain / (1 - certain))
-            ids = batch.column(0).to_pylist()
-            for to_meta, own, other in ((True, zt, zm), (False, zm, zt)):
-                for i in np.flatnonzero((np.abs(own) >= limit) & (np.abs(other) < limit)).tolist():
-                    heap, key = heaps[to_meta, bool(own[i] > 0)], (float(abs(own[i])), zlib.crc32(str(ids[i]).encode()))
-                    if ids[i] in known or len(heap) == per_class and heap[0][:2] >= key:
+            ids, texts, metas = (c.to_pylist() for c in batch.columns)
+            zt, zm, _ = model.logits(*_read(texts, metas))
+            for to_meta, z, other, limits in ((True, zt, zm, model.text_sure), (False, zm, zt, model.meta_sure)):
+                own = model.sure(z, limits)
+                for i in np.flatnonzero((own != 0) & (np.abs(other) < np.log(certain / (1 - certain)))).tolist():
+                    if ids[i] is None or ids[i] in known:
                         continue
-                    (heapq.heappushpop if len(heap) == per_class else heapq.heappush)(heap, (*key, *_pack(text, i), *_pack(meta, i)))
-        rows = [(v, g, *x) for (v, g), heap in heaps.items() for x in heap]
+                    heap, key = heaps[to_meta, bool(own[i] > 0)], (float(abs(z[i] - model.prior)), zlib.crc32(str(ids[i]).encode()))
+                    if len(heap) == per_class and heap[0][:2] >= key:
+                        continue
+                    (heapq.heappushpop if len(heap) == per_class else heapq.heappush)(heap, (*key, ids[i], float(_sigmoid(z[i])), texts[i], metas[i]))
+        rows = [(x[2], v, g, x[0], x[3], x[1], *x[4:]) for (v, g), heap in heaps.items() for x in heap]
         if rows:
-            kinds = (pa.bool_(), pa.bool_(), pa.float64(), pa.int64(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["to_meta", "good", "certainty", "tie", "ti", "tv", "mi", "mv"])
+            kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "to_meta", "good", "certainty", "chance", "tie", "ti", "mi"])
 
     # the tasks' best are first reduced by salted groups, so that what reaches the driver doesn't grow with the tasks
     salt = F.pmod(F.xxhash64("tie", "ti"), F.lit(16))
-    rank = F.row_number().over(Window.partitionBy("to_meta", "good", salt).orderBy(F.desc("certainty"), F.desc("tie"), "ti", "tv"))
-    found = materialise(docs.mapInArrow(best, schema).withColumn("_r", rank).where(F.col("_r") <= per_class).drop("_r"), "sure", rows=64 * per_class, rows_per_file=2000)
+    order = [F.desc("certainty"), F.desc("tie"), "doc_id", "ti", "mi"]
+    found = features.mapInArrow(best, schema).withColumn("_r", F.row_number().over(Window.partitionBy("to_meta", "good", salt).orderBy(*order))).where(F.col("_r") <= per_class).drop("_r")
+    found = materialise(found, "sure", rows=64 * per_class, rows_per_file=2000)
     out = []
     for v in (False, True):
         for g in (False, True):
-            out += found.where((F.col("to_meta") == v) & (F.col("good") == g)).orderBy(F.desc("certainty"), F.desc("tie"), "ti", "tv").limit(per_class).collect()
+            out += found.where((F.col("to_meta") == v) & (F.col("good") == g)).orderBy(*order).limit(per_class).collect()
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 6000, rounds: int = 3, per_class: int = 200, certain: float = 0.97, pseudo_weight: float = 0.5) -> Model:
-    """Fit both views. A fifth of the labelled sample calibrates; the rest, and pseudo-labels, train. The driver holds max_labelled + rounds * 4 * per_class rows."""
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
-    sample = sorted(labelled_sample(docs, labels, max_labelled), key=lambda r: r.doc_id)
+def train(docs: DataFrame, labels: DataFrame, *, features: DataFrame | None = None, max_labelled: int = 6000, rounds: int = 3, per_class: int = 200, sure_share: float = 0.05, pseudo_weight: float = 0.5) -> Model:
+    """Fit both views. A fifth of the labelled sample calibrates; the rest, and pseudo-labels, train.
+
+    The driver holds max_labelled + rounds * 4 * per_class rows. features: those of docs, where they are already written.
+    Each round after the first gives either view up to per_class new pseudo-labels of each class from the other one.
+    """
+    features = featured(docs) if features is None else features
+    sample = sorted(labelled_sample(features, labels, max_labelled), key=lambda r: r.doc_id)
     aside = [zlib.crc32(f"calibrate {r.doc_id}".encode()) % 5 == 0 for r in sample]
     test, own = [r for r, a in zip(sample, aside, strict=True) if a], [r for r, a in zip(sample, aside, strict=True) if not a]
     known = frozenset(r.doc_id for r in sample)
-    text_of, meta_of = lambda rows: _unpack([(r.ti, r.tv) for r in rows]), lambda rows: _unpack([(r.mi, r.mv) for r in rows])
+    views_of = lambda rows: _read([r.ti for r in rows], [r.mi for r in rows])
     y_of = lambda rows: np.array([float(r.good) for r in rows])
+    y = y_of(sample)
+    prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     more: dict[bool, list] = {True: [], False: []}
+    weights: list[np.ndarray | None] = [None, None]
     model = None
     for turn in range(rounds):
         if turn:
-            for r in _sure(docs, model, known, per_class, certain):
+            new = _sure(features, model, known, per_class)
+            if not new:
+                break
+            known |= {r.doc_id for r in new}
+            for r in new:
                 more[r.to_meta].append(r)
-        views = []
-        for of, size, extra in ((text_of, WORD_BUCKETS + SHAPE_BUCKETS, more[False]), (meta_of, META_BUCKETS, more[True])):
-            rows = own + extra
-            w = fit(of(rows), y_of(rows), np.array([1.0] * len(own) + [pseudo_weight] * len(extra)), size)
-            z = of(test).dot(w[:-1]) + w[-1] if test else np.zeros(0)
-            views.append((w, calibrate(z, y_of(test))))
-        y = y_of(sample)
-        model = Model(views[0][0], views[1][0], views[0][1], views[1][1], float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
-        if turn and not any(more.values()):
-            break
+        scales, sure = [], []
+        for v, size in enumerate((WORD_BUCKETS + SHAPE_BUCKETS, META_BUCKETS)):
+            extra = more[bool(v)]
+            chance = np.array([r.chance for r in extra])
+            weight = np.append(np.ones(len(own)), pseudo_weight * information(chance, prior))
+            weights[v] = fit(views_of([*own, *extra])[v], np.append(y_of(own), chance), weight, size, start=weights[v])
+            z = views_of(test)[v].dot(weights[v][:-1]) + weights[v][-1]
+            scales.append(calibrate(z, y_of(test)))
+            sure.append(surest(scales[v][0] * z + scales[v][1], prior, sure_share))
+        model = Model(weights[0], weights[1], scales[0], scales[1], prior, sure[0], sure[1])
     return model
 
 
-def classify(docs: DataFrame, model: Model, *, keep_from: float = 0.5) -> DataFrame:
-    """doc_id, text_score, meta_score, score (chances of a good document, 0 to 1) and kept, for every row.
-
-    Null texts count as empty, null metadata as a value of its own; repeated rows are scored alike.
-    """
-    small_batches(docs.sparkSession)
-    lean = docs.select(F.col("doc_id").cast("long"), "text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
+def score(features: DataFrame, model: Model, *, keep_from: float = 0.5) -> DataFrame:
+    """doc_id, text_score, meta_score, score (chances of a good document, 0 to 1) and kept, for every row of features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = [_sigmoid(z) for z in model.logits(*_views(batch))]
+            p = [_sigmoid(z) for z in model.logits(*_read(batch.column(1).to_pylist(), batch.column(2).to_pylist()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in p), pa.array(p[2] >= keep_from)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
 
-    return lean.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    return features.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+
+
+def classify(docs: DataFrame, model: Model, *, keep_from: float = 0.5) -> DataFrame:
+    """What `score` returns, for every row of docs; repeated rows are scored alike."""
+    return score(featured(docs), model, keep_from=keep_from)
 
 
 def op5_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features are written once: every round and the last pass read them."""
     docs = table(spark, sf_dir, "documents")
-    return classify(docs, train(docs, table(spark, sf_dir, "labels")))
+    with workspace(spark) as keep:
+        features = materialise(featured(docs), "features")
+        model = train(docs, table(spark, sf_dir, "labels"), features=features)
+        keep(features)
+    return score(features, model)
 
 
 QUERIES = {"op5_co_training": op5_co_training}

@@ -85,6 +85,45 @@ def test_pii_terms_in_blocks(spark, monkeypatch):
     assert whole[0] == ("[PHONE-TERM] [EMAIL-TERM] and [EMAIL-TERM] [EMAIL] about [EMAIL-TERM],  ", "email:22:29,term:0:5,term:6:11,term:16:21,term:36:41,term:43:47,term:48:54")
 
 
+def test_pii_terms_by_plain_counting(spark, sf_dir):
+    """Every term's disclosure by counting over all lines, one document at a time; contexts are whole words, however long."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(documents(spark, ["x" * 900 + " " + "y" * 900 + " near someone@long.org " + "z" * 2000]).select(F.lit(-1).cast(table(spark, sf_dir, "documents").schema["doc_id"].dataType).alias("doc_id"), "text"))
+    lines, terms_of, entity_lines, both, contexts = 0, {}, {}, {}, {}
+    word = pii.re.compile(r"[^\W\d_]{3,}")
+    for r in docs.collect():
+        if r.text is None:
+            continue
+        start = 0
+        for line in r.text.split("\n"):
+            lines += 1
+            for w in {x.lower() for x in word.findall(line)}:
+                terms_of[w] = terms_of.get(w, 0) + 1
+            near = {}
+            for kind, a, b in brute.personal(r.text):
+                if start <= a < start + len(line):
+                    before = [x[0].lower() for x in word.finditer(r.text, start, start + len(line)) if x.end() <= a][-16:]
+                    after = [x[0].lower() for x in word.finditer(r.text, start, start + len(line)) if x.start() >= b][:16]
+                    near.setdefault(f"{kind}:{r.text[a:b].lower()}", []).append((tuple(before), tuple(after)))
+            for e, sides in near.items():
+                entity_lines[e] = entity_lines.get(e, 0) + 1
+                for w in {w for x, y in sides for w in x + y}:
+                    both[e, w] = both.get((e, w), 0) + 1
+                    contexts.setdefault((e, w), set()).update(s for s in sides if w in s[0] + s[1])
+            start += len(line) + 1
+    best = {}
+    for (e, w), n in both.items():
+        base = entity_lines[e] / (lines + 1)
+        seen = min(len(contexts[e, w]), n)
+        p = (seen * n / max(terms_of[w], n) + base) / (seen + 1)
+        d = 1 + np.log2(p) / -np.log2(base)
+        if d >= 0.9:
+            best[w] = max(best.get(w, (0, "")), (d, e.split(":")[0]))
+    got = {r.term: r for r in pii.disclosing_terms(docs).collect()}
+    assert set(got) == set(best) and len(got) > 20 and "z" * 2000 in got
+    for w, (d, _) in best.items():
+        assert got[w].disclosure == pytest.approx(d) and got[w].remove == (d >= 0.97)
+
+
 def test_pii_terms_in_turkish(spark):
     texts = ["\u0130zmir \u0130 \u039f\u0394\u039f\u03a3 zorblatt writes to bob@x.org"] + ["plain filler line"] * 3000
     got = pii.sanitise(documents(spark, texts)).where("doc_id = 0").first()
@@ -220,12 +259,53 @@ def test_co_training(spark):
     assert quality.classify(docs.limit(0), quality.train(docs.limit(0), labels)).count() == 0
 
 
-def test_co_training_exchanges_labels(spark):
-    docs = spark.createDataFrame([(i, f"w{i % 7} " * 20, None, "clean" if i % 2 else "junk", 50) for i in range(300)], DOCS)
-    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
-    model = quality.train(docs, labels, rounds=1)
-    sure = quality._sure(docs, model, frozenset(range(100)), 10, 0.9)
-    assert sure and all(not r.to_meta for r in sure) and {r.good for r in sure} == {True, False}
+def _auc(scored):
+    good, bad = [s for s, g in scored if g], [s for s, g in scored if not g]
+    return sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+
+
+def test_co_training_exchanges_labels(spark, monkeypatch):
+    """On documents: every round labels flow both ways, of both classes, none twice, and scores change. The views and both together are measured on labels left out, toxic ones by themselves."""
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    rounds = []
+    plain = quality._sure
+
+    def seen(*args):
+        rounds.append(plain(*args))
+        return rounds[-1]
+
+    monkeypatch.setattr(quality, "_sure", seen)
+    features = quality.featured(docs).cache()
+    learn = labels.where("crc32(cast(doc_id as string)) % 3 <> 0")
+    alone = quality.train(docs, learn, features=features, rounds=1)
+    model = quality.train(docs, learn, features=features, rounds=3, per_class=20)
+    assert len(rounds) == 2
+    for found in rounds:
+        assert {(r.to_meta, r.good) for r in found} == {(v, g) for v in (False, True) for g in (False, True)}
+        assert all(0 < r.chance < 1 and r.good == (r.chance > 1 / (1 + np.exp(-model.prior))) for r in found)
+    ids = [r.doc_id for found in rounds for r in found]
+    assert len(ids) == len(set(ids)) and not set(ids) & {r.doc_id for r in learn.collect()}
+    held = {r.doc_id: r for r in labels.where("crc32(cast(doc_id as string)) % 3 = 0").collect()}
+    measured = {}
+    for name, m in (("alone", alone), ("exchanged", model)):
+        rows = [r for r in quality.score(features, m).collect() if r.doc_id in held]
+        measured[name] = {v: [getattr(r, v) for r in rows] for v in ("text_score", "meta_score", "score")}
+        good = [held[r.doc_id].quality == 1 and not held[r.doc_id].toxic for r in rows]
+        toxic = [bool(held[r.doc_id].toxic and held[r.doc_id].quality) for r in rows]
+        assert _auc(list(zip(measured[name]["text_score"], good, strict=True))) > 0.9
+        assert _auc(list(zip(measured[name]["score"], good, strict=True))) > 0.9
+        assert _auc([(s, g) for s, g, t in zip(measured[name]["score"], good, toxic, strict=True) if g or t]) > 0.8
+    assert measured["alone"]["text_score"] != measured["exchanged"]["text_score"] and measured["alone"]["meta_score"] != measured["exchanged"]["meta_score"]
+    features.unpersist()
+
+
+def test_features_read_back(spark):
+    docs = spark.createDataFrame([(1, "Some words, some words!", "s", "en", 20), (2, None, None, None, None), (None, "", "s", None, 0)], DOCS.replace("lang string, source string", "source string, lang string"))
+    got = quality.featured(docs).collect()
+    text, meta = quality._read([r.ti for r in got], [r.mi for r in got])
+    want = quality.text_rows(pa.array(["Some words, some words!", None, ""]))
+    assert text.index.tolist() == want.index.tolist() and text.value.tolist() == pytest.approx(want.value.tolist()) and text.at.tolist() == want.at.tolist()
+    assert meta.index.tolist() == quality.meta_rows(["s", None, "s"], ["en", None, None], [20, None, 0]).index.tolist()
 
 
 def test_held_out_quality(spark, sf_dir):
@@ -378,6 +458,24 @@ def test_planted_items(spark, sf_dir):
     assert decontaminate.matches(docs, table(spark, sf_dir, "benchmark").limit(0)).count() == 0 and decontaminate.matches(docs.limit(0), table(spark, sf_dir, "benchmark")).count() == 0
 
 
+def test_decontamination_matches_all_pairs(spark, sf_dir):
+    """Every document against every item, by the distance to the whole text."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    items = items.unionByName(spark.createDataFrame([(900, "a"), (901, "the other"), (902, None), (903, "")], "item_id long, text string").select(F.col("item_id").cast(items.schema["item_id"].dataType), "text"))
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.matches(docs, items).collect()}
+    want = {}
+    wanted = [(r.item_id, t) for r in items.collect() if r.text and len(t := decontaminate.normalise(r.text)) >= decontaminate.CHARS_PER_EDIT]
+    for r in docs.collect():
+        text = decontaminate.normalise(r.text)
+        for item, t in wanted:
+            found = decontaminate.myers(t, text, decontaminate.budget(t))
+            if found:
+                want[r.doc_id, item] = found[0]
+    assert got == want and got
+    left = {r.doc_id for r in decontaminate.decontaminate(docs, items).collect()}
+    assert left == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
+
+
 # 9. language
 
 
@@ -501,3 +599,144 @@ def test_pipeline(spark, sf_dir):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r.doc_id for r in packed.collect()} == ids
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()} == ids
+
+
+@pytest.fixture(scope="module")
+def odd_documents(spark, sf_dir):
+    """All documents of the table and rows that are awkward: nulls, repeated rows, ids with several texts, empty and very long texts."""
+    docs = table(spark, sf_dir, "documents")
+    first = docs.where("length(text) > 400").orderBy("doc_id").limit(3).collect()
+    more = [
+        (None, first[0].text, "en", None, 5), (first[1].doc_id, first[1].text, first[1].lang, first[1].source, first[1].n_chars), (first[1].doc_id, first[1].text, None, "other", None),
+        (first[2].doc_id, "an unlike text that stands under the same id as a longer one and stays", "en", None, 9), (first[2].doc_id, first[0].text, "en", "moved", 9),
+        (50_000, None, None, None, None), (50_000, None, None, None, None), (50_001, "", "en", "s", 0), (50_002, "\u00bd 12 !", "en", "s", 6), (50_003, "the house " * 20_000, "en", "s", 1),
+    ]
+    return docs.unionByName(spark.createDataFrame(more, docs.schema))
+
+
+def _stage(name):
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def _rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_stage_language(spark, odd_documents, sf_dir):
+    import zstandard
+
+    learned = language.train(odd_documents.where(~language.held_out()))
+    how = zstandard.ZstdCompressionParameters.from_level(6, strategy=zstandard.STRATEGY_LAZY, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+    by_lang = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how) for _, d in learned]
+
+    def kept(text):
+        if not any(c.isalpha() for c in text or ""):
+            return False
+        raw = text.lower().encode()
+        low, second = sorted(sum(len(c.compress(raw[k : k + 8192])) for k in range(0, len(raw), 8192)) for c in by_lang)[:2]
+        return second - low >= 2
+
+    assert _rows(_stage("language")(spark, odd_documents, sf_dir)) == sorted((tuple(r) for r in odd_documents.collect() if kept(r.text)), key=str)
+
+
+def test_stage_near_copies(spark, odd_documents, sf_dir):
+    rows = odd_documents.collect()
+    group = brute.components({i: r.text for i, r in enumerate(rows) if r.doc_id is not None})
+    parts = {}
+    for i, (n, root) in group.items():
+        parts.setdefault(root if n else ("none", i), []).append(i)
+    got = _rows(_stage("near_copies")(spark, odd_documents, sf_dir))
+    free = [tuple(rows[i]) for x in parts.values() if len(x) == 1 for i in x] + [tuple(r) for r in rows if r.doc_id is None]
+    rest = list(got)
+    for r in free:
+        rest.remove(r)
+    for members in (x for x in parts.values() if len(x) > 1):
+        least = min(rows[i].doc_id for i in members)
+        stays = [r for r in rest if r in [tuple(rows[i]) for i in members]]
+        assert len(stays) == 1 and stays[0][0] == least
+        rest.remove(stays[0])
+    assert not rest
+
+
+def test_stage_benchmark_passages(spark, odd_documents, sf_dir):
+    items = [decontaminate.normalise(r.text) for r in table(spark, sf_dir, "benchmark").collect()]
+
+    def clean(text):
+        text = decontaminate.normalise(text)
+        return not any(decontaminate.myers(t, text, decontaminate.budget(t)) for t in items if len(t) >= 16)
+
+    short = odd_documents.where("coalesce(length(text), 0) < 3000")
+    assert _rows(_stage("benchmark_passages")(spark, short, sf_dir)) == sorted((tuple(r) for r in short.collect() if clean(r.text)), key=str)
+
+
+def test_stage_personal_data(spark, odd_documents, sf_dir):
+    got = _stage("personal_data")(spark, odd_documents, sf_dir).collect()
+    known = {r.term: r for r in pii.disclosing_terms(odd_documents).collect()}
+    want = []
+    for r in odd_documents.collect():
+        text = r.text
+        if text is not None:
+            spans = [(a, b, f"[{k.upper()}]") for k, a, b in brute.personal(text)]
+            for m in pii.re.finditer(r"[^\W\d_]{3,}", text):
+                t = known.get(m[0].lower())
+                if t and not any(a < m.end() and m.start() < b for a, b, _ in spans if _[1:-1] in ("EMAIL", "IP", "CARD", "PHONE")):
+                    spans.append((*m.span(), "" if t.remove else f"[{t.kind.upper()}-TERM]"))
+            out, at = "", 0
+            for a, b, mark in sorted(spans, key=lambda s: (s[0], ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]"].index(s[2]) if s[2] in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]") else 4)):
+                if b > at:
+                    out += text[at : max(a, at)] + mark
+                    at = b
+            text = out + text[at:]
+        want.append((r.doc_id, text, r.lang, r.source, None if text is None else len(text)))
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_stage_packing(spark, odd_documents, sf_dir):
+    got = _stage("packing")(spark, odd_documents, sf_dir).collect()
+    tok = tokens.encoder(tokens.default_tokenizer()).tokenizer
+    want = []
+    for r in odd_documents.collect():
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        edges = [0, *range(first, len(ids), 1024), len(ids)]
+        want += [(r.doc_id, k, a, b - a, brute.crc_of(ids[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:]))]  # noqa: B905
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
+    held = {}
+    for r in got:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in held.values():
+        ends = [0, *(a + n for a, n in sorted(parts))]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
+
+
+def test_stages_take_empty_tables_and_clashing_names(spark, odd_documents, sf_dir):
+    import corpus_pipeline
+
+    clash = odd_documents.limit(40).withColumns({c: F.lit("x") for c in ("print", "pii_spans", "lang_pred", "kept", "node", "_h", "certified")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd_documents.limit(0), sf_dir).count() == 0, name
+        out = stage(spark, clash.select(*odd_documents.columns, "print", "lang_pred", "kept", "node", "certified"), sf_dir)
+        assert out.columns[:5] == odd_documents.columns and 0 < out.count() <= 40, name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd_documents.limit(0), sf_dir).count() == 0
+
+
+def test_scratch_tables_are_deleted(spark, sf_dir):
+    from quillon.llm.common import materialise, scratch_root, workspace
+
+    held = lambda: set(os.listdir(scratch_root(spark)))
+    before = held()
+    with workspace(spark) as keep:
+        a, b = materialise(spark.range(5), "a"), materialise(spark.range(5), "b")
+        with workspace(spark) as inner:
+            c, d = materialise(spark.range(5), "c"), materialise(spark.range(5), "d")
+            inner(d)
+        assert len(held() - before) == 3
+        keep(b, d)
+    assert len(held() - before) == 2 and b.count() + d.count() == 10
+    import corpus_pipeline
+
+    before = held()
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert len(held() - before) == 1 and out.count() > 0
