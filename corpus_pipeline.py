@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, dedup, language, packing, pii
-from quillon.llm.common import materialise, table
+from quillon.llm.common import discard, materialise, table, workspace
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,9 +16,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id."""
-    gone = dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies, decided by row: see dedup.drop_copies."""
+    return dedup.drop_copies(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +44,18 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot express the stages; tests/llm compares them with brute force.
+#: SQL cannot express the stages; tests/llm compares each with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage returns. A stage's scratch tables, and the rows it was given, are deleted once its own are written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with workspace(spark) as keep:
+            done = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep(done)
+        if hasattr(docs, "scratch_path"):
+            discard(spark, docs.scratch_path)
+        docs = done
     return docs
