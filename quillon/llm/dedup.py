@@ -29,8 +29,8 @@ from quillon.llm.graphs import components, join_groups, with_groups
 from quillon.llm.shingles import shingle_sets
 from quillon.llm.sketch import bands, sketches
 
-#: Largest table of cluster members that is broadcast (16 bytes a row); a larger one is joined by a shuffle.
-BROADCAST_MEMBERS = 1_000_000
+#: Largest table of cluster members that is broadcast (some 60 bytes a row); a larger one is joined by a shuffle.
+BROADCAST_MEMBERS = 250_000
 
 #: Sets of a cluster of several blocks that stand in each of its blocks (on average).
 PIVOTS = 24
