@@ -32,6 +32,9 @@ from quillon.llm.sketch import bands, sketches
 #: Largest table of cluster members that is broadcast (some 60 bytes a row); a larger one is joined by a shuffle.
 BROADCAST_MEMBERS = 250_000
 
+#: Most dropped rows (id and hash of the text) that are broadcast.
+BROADCAST_GONE = 1_000_000
+
 #: Sets of a cluster of several blocks that stand in each of its blocks (on average).
 PIVOTS = 24
 
@@ -215,7 +218,9 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         keep(found, twice)
     marked = docs.withColumns({"_k": key, "_x": F.xxhash64(text_col)})
     on = (F.col("_k") == F.col("_i")) & (F.col("_x") == F.col("_h"))
-    rest = marked.join(found.where(~F.col("kept")).select(*row).distinct(), on, "left_anti")
+    gone = found.where(~F.col("kept")).select(*row).distinct()
+    # few of them reach the documents where they lie; beyond that bound one shuffle brings both together
+    rest = marked.join(F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone.hint("merge"), on, "left_anti")
     if twice.isEmpty():
         return rest.select(*names)
     linked = found.where("kept and group_id is not null").select("group_id", "doc_id", "text_hash").distinct().join(twice.select("group_id"), "group_id", "left_semi").select(*row)

@@ -641,7 +641,9 @@ def test_stage_language(spark, odd_documents, sf_dir):
     assert _rows(_stage("language")(spark, odd_documents, sf_dir)) == sorted((tuple(r) for r in odd_documents.collect() if kept(r.text)), key=str)
 
 
-def test_stage_near_copies(spark, odd_documents, sf_dir):
+@pytest.mark.parametrize("bound", [dedup.BROADCAST_GONE, 0])
+def test_stage_near_copies(spark, odd_documents, sf_dir, monkeypatch, bound):
+    monkeypatch.setattr(dedup, "BROADCAST_GONE", bound)
     rows = odd_documents.collect()
     group = brute.components({i: r.text for i, r in enumerate(rows) if r.doc_id is not None})
     parts = {}
