@@ -76,6 +76,15 @@ def trim_to_active(series: DataFrame) -> DataFrame:
     return series.join(spans, "venue").where(F.col("date").between(F.col("first_active"), F.col("last_active"))).drop("first_active", "last_active")
 
 
+def trading_series(series: DataFrame, *, event_only: tuple[str, ...] = ()) -> DataFrame:
+    """(venue, date, value) of every venue from its first active day on: to its last one, but for a closed venue to the last day of all venues with zeros, so that a closure is a drop."""
+    last = series.agg(F.max("date").alias("_end"))
+    spans = active_span(series, event_only=event_only).crossJoin(F.broadcast(last))  # one row
+    end = F.when(F.col("is_closed"), F.col("_end")).otherwise(F.col("last_active"))
+    days = spans.where("first_active is not null").select("venue", F.explode(F.sequence("first_active", end)).alias("date"))
+    return days.join(series.select("venue", "date", "value"), ["venue", "date"], "left").na.fill(0.0, ["value"])
+
+
 def manifest(lines: DataFrame) -> DataFrame:
     """A row per venue and one for all (venue null): counts, null shares, span and sums. One pass by grouping sets."""
     null_share = lambda c: F.round(F.avg(F.col(c).isNull().cast("int")), 6).alias(f"null_{c}")

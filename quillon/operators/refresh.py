@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections import deque
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from quillon.functions.ordered import flag_in_order
 from quillon.sources.store import Store, merged
 
 #: Reminder windows in days before expiry, rate limits, queue limits (fixed values).
@@ -60,7 +62,11 @@ def promote(store: Store, forecasts: DataFrame) -> None:
 
 
 def next_run(now: Column, zone: str, kind: Column, hour: Column, day: Column) -> Column:
-    """The next UTC time after now at which a schedule is due: daily at an hour, weekly on a weekday (Monday 0), monthly on a day. The first fitting hour of the next 32 days."""
+    """The next UTC time after now at which a schedule is due: daily at an hour, weekly on a weekday (Monday 0), monthly on a day.
+
+    The first fitting hour of the next 32 days; a schedule that fits none of them (day 31 from the end of January) looks
+    again a day later, at the full hour.
+    """
     start = F.date_trunc("hour", now)
     hours = F.sequence(start + F.expr("INTERVAL 1 HOUR"), start + F.expr("INTERVAL 768 HOURS"), F.expr("INTERVAL 1 HOUR"))
 
@@ -69,7 +75,14 @@ def next_run(now: Column, zone: str, kind: Column, hour: Column, day: Column) ->
         on_day = F.when(kind == "daily", True).when(kind == "weekly", F.weekday(local) == day).otherwise(F.dayofmonth(local) == day)
         return (F.hour(local) == hour) & on_day
 
-    return F.get(F.filter(hours, due), F.lit(0))
+    return F.coalesce(F.get(F.filter(hours, due), F.lit(0)), F.date_trunc("hour", now + F.expr("INTERVAL 24 HOURS")))
+
+
+def advanced(schedules: DataFrame, claimed: DataFrame, now: str, zone: str) -> DataFrame:
+    """schedules (schedule_id, kind, hour, day, next_run_at, ...) with the next slot of those claimed."""
+    late = next_run(F.lit(now).cast("timestamp"), zone, F.col("kind"), F.col("hour"), F.col("day"))
+    taken = claimed.select("schedule_id", F.lit(True).alias("_taken"))
+    return schedules.join(taken, "schedule_id", "left").withColumn("next_run_at", F.when(F.col("_taken"), late).otherwise(F.col("next_run_at"))).select(*schedules.columns)
 
 
 def claim_due(schedules: DataFrame, now: str, most: int = 50) -> DataFrame:
@@ -85,36 +98,44 @@ def expiry_reminders(items: DataFrame, today: str) -> DataFrame:
 
 
 def rate_limited(hits: DataFrame, *, most: int = 30, seconds: int = 3600) -> DataFrame:
-    """hits (key, at) with allowed: at most `most` allowed ones within the last `seconds`; refused ones don't count. Sequential by key, for each answer depends on those before it."""
+    """hits (key, at) with allowed: at most `most` allowed ones within the last `seconds`; refused ones don't count. The state of a key is the times of its last `most` allowed hits."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        taken: list = []
-        out = []
-        for at in pdf["at"]:
-            taken = [t for t in taken if (at - t).total_seconds() < seconds]
-            ok = len(taken) < most
-            if ok:
-                taken.append(at)
-            out.append(ok)
-        return pdf.assign(allowed=out)
+    def step(taken: deque | None, at) -> tuple[deque, bool]:
+        taken = deque() if taken is None else taken
+        while taken and (at - taken[0]).total_seconds() >= seconds:
+            taken.popleft()
+        ok = len(taken) < most
+        if ok:
+            taken.append(at)
+        return taken, ok
 
-    return hits.groupBy("key").applyInPandas(run, T.StructType([*hits.schema.fields, T.StructField("allowed", T.BooleanType())]))
+    return flag_in_order(hits, ["key"], ["at", *(c for c in hits.columns if c not in ("key", "at"))], ["at"], step, "allowed")
 
 
 def first_sightings(messages: DataFrame, hours: int = 24) -> DataFrame:
-    """messages (message_id, at) without those within `hours` of a counted sighting of the same id."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        kept, last = [], None
-        for at in pdf["at"]:
-            fresh = last is None or (at - last).total_seconds() >= hours * 3600
-            last = at if fresh else last
-            kept.append(fresh)
-        return pdf[kept]
-
-    return messages.groupBy("message_id").applyInPandas(run, messages.schema)
+    """messages (message_id, at) without those within `hours` of a counted sighting of the same id. The state of an id is its last counted sighting."""
+
+    def step(last, at) -> tuple[Any, bool]:
+        fresh = last is None or (at - last).total_seconds() >= hours * 3600
+        return (at if fresh else last), fresh
+
+    return flag_in_order(messages, ["message_id"], ["at"], ["at"], step, "_fresh").where("_fresh").drop("_fresh")
+
+
+def issuer_guard(issued: DataFrame, asked: DataFrame, most: int, hours: int = 24) -> DataFrame:
+    """asked (issuer, at) with allowed: fewer than `most` of the issuer's issues (issuer, at) lie within the hours before. Issues are counted by a running count, so that no range is joined."""
+    span = F.expr(f"INTERVAL {hours} HOURS")
+    marks = issued.select("issuer", F.col("at").alias("t"), F.lit(1).alias("d")).unionByName(issued.select("issuer", (F.col("at") + span).alias("t"), F.lit(-1).alias("d")))
+    events = marks.groupBy("issuer", "t").agg(F.sum("d").alias("d"), F.lit(False).alias("ask")).unionByName(asked.select("issuer", F.col("at").alias("t")).distinct().select("issuer", "t", F.lit(0).alias("d"), F.lit(True).alias("ask")))
+    so_far = Window.partitionBy("issuer").orderBy("t", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    held = events.withColumn("n", F.sum("d").over(so_far)).where("ask").select("issuer", F.col("t").alias("at"), (F.col("n") < most).alias("allowed"))
+    return asked.join(held, ["issuer", "at"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+
+
+def retag_candidates(tagged: DataFrame, queue: DataFrame, *, least: float) -> DataFrame:
+    """(item_id, similarity): items (item_id, similarity) whose best tag lies under the threshold and that may be queued."""
+    low = tagged.groupBy("item_id").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") < least)
+    return low.join(enqueue(queue, low.select("item_id")), "item_id", "left_semi")
 
 
 def enqueue(queue: DataFrame, wanted: DataFrame) -> DataFrame:

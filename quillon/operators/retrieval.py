@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.conventions import safe_ratio
+from quillon.functions.ordered import flag_in_order
 
 #: Rank fusion constant, and chunk sizes in tokens of four characters (fixed values).
 RRF_K, CHUNK_TOKENS, OVERLAP_TOKENS, BACK_CHARS = 60, 1024, 128, 64
@@ -41,8 +42,12 @@ def tokens_of(c: Column) -> Column:
 def bm25(docs: DataFrame, query: str, fields: dict[str, float], *, id_col: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of documents that hold a query term, weighted by field. One pass counts the few query terms' documents; no index of all terms is built."""
     terms = sorted(set(query.lower().split()))
-    hits = lambda f, t: F.size(F.filter(tokens_of(F.col(f)), lambda w: w == t))
-    scored = docs.select(id_col, sum((F.size(tokens_of(F.col(f))) for f in fields), F.lit(0)).alias("_len"), *(sum((hits(f, t) * w for f, w in fields.items()), F.lit(0.0)).alias(f"_t{i}") for i, t in enumerate(terms)))
+    # fields are cut into words once; what is counted afterwards are the few that are query terms
+    words = docs.select(id_col, *(tokens_of(F.col(f)).alias(f"_w{i}") for i, f in enumerate(fields)))
+    hit = lambda i: F.filter(F.col(f"_w{i}"), lambda w: w.isin(terms)).alias(f"_h{i}")
+    hits = words.select(id_col, sum((F.size(f"_w{i}") for i in range(len(fields))), F.lit(0)).alias("_len"), *(hit(i) for i in range(len(fields))))
+    count = lambda i, t: F.size(F.filter(F.col(f"_h{i}"), lambda w: w == t))
+    scored = hits.select(id_col, "_len", *(sum((count(i, t) * w for i, w in enumerate(fields.values())), F.lit(0.0)).alias(f"_t{k}") for k, t in enumerate(terms)))
     stats = scored.agg(F.count("*").alias("_n"), F.avg("_len").alias("_mean"), *(F.count_if(F.col(f"_t{i}") > 0).alias(f"_d{i}") for i in range(len(terms))))
     s = scored.where(" or ".join(f"_t{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
     part = lambda i: F.log(1 + (F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5)) * F.col(f"_t{i}") * (k1 + 1) / (F.col(f"_t{i}") + k1 * (1 - b + b * F.col("_len") / F.col("_mean")))
@@ -145,11 +150,11 @@ def _capped(title: str, text: str, depth: int) -> Iterator[tuple[str, str, bool]
         for t, body in parts:
             yield from _capped(t or title, body, depth + 1)
     else:
-        yield title, text[: 4 * SECTION_TOKENS], True
+        yield title, text, True
 
 
 def heading_sections(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, section, title, text, truncated): sections at headings; one of more than SECTION_TOKENS is cut at its sub-headings, and where there are none it is cut off and marked. Null texts have no section."""
+    """(id, section, title, text, truncated): sections at headings; one of more than SECTION_TOKENS is cut at its sub-headings, and where there are none it stays whole and is marked as truncated: its chunks stand for it. Null texts have no section."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -175,22 +180,19 @@ def chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.length(text) - overlap) / (size - overlap)).cast("int") - 1))
     cut = docs.select(id_col, text.alias("_t"), F.explode(starts).alias("chunk")).where("_t <> ''").withColumn("start", (F.col("chunk") * (size - overlap)).cast("long"))
     window = F.substr(F.col("_t"), (F.col("start") + 1).cast("int"), F.lit(size))
-    trimmed = F.regexp_replace(window, r"(?s)\s\S{0,%d}$" % (back - 1), "")
+    trimmed = F.regexp_replace(window, r"(?s)\s\S{0,%d}\z" % (back - 1), "")
     at_end = F.col("start") + size >= F.length("_t")
     return cut.select(id_col, "chunk", "start", F.when(at_end, window).otherwise(trimmed).alias("text"))
 
 
 def within_budget(hits: DataFrame, keys: list[str], order: list[str], cost: str, budget: int = 24_000) -> DataFrame:
-    """hits with kept: greedy in order; a hit over what is left is skipped and later ones are tried; the first always stays. Hits of a key are a ranked pool of bounded size."""
-    held = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(cost).alias("_c"), F.struct(*[c for c in hits.columns if c not in keys]).alias("_row")))).alias("h"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("k"))
+    """hits with kept: greedy in order; a hit over what is left is skipped and later ones are tried; the first always stays. Hits of a key are streamed; what is held is the cost so far."""
 
-    def step(a: Column, x: Column) -> Column:
-        fits = (a["used"] + x["_c"] <= budget) | (F.size(a["k"]) == 0)
-        return F.struct(F.when(fits, a["used"] + x["_c"]).otherwise(a["used"]).cast("long").alias("used"), F.array_append(a["k"], fits).alias("k"))
+    def step(used: int | None, cost: int) -> tuple[int, bool]:
+        fits = used is None or used + cost <= budget
+        return (used or 0) + (cost if fits else 0), fits
 
-    flags = held.withColumn("k", F.aggregate("h", start, step, lambda a: a["k"]))
-    return flags.select(*keys, F.explode(F.arrays_zip("h", "k")).alias("z")).select(*keys, "z.h._row.*", F.col("z.k").alias("kept"))
+    return flag_in_order(hits, keys, order, [cost], step, "kept")
 
 
 def expand_checklist(hits: DataFrame, steps: DataFrame) -> DataFrame:
@@ -206,6 +208,26 @@ def split_thread(messages: DataFrame, *, longer_than: int = 40, keep: int = 20)
     return messages.withColumn("to_summary", (F.count("*").over(w) > longer_than) & (F.row_number().over(w.orderBy(F.desc("turn"))) > keep))
 
 
+def find(recalled: list[DataFrame], *, limit: int, least: float = 0.3, most: int = 50) -> DataFrame:
+    """(id, similarity, bm25_rank, path, weak): what several recall paths found, each row once, by similarity then id.
+
+    Paths (id, similarity, bm25_rank) are numbered from 0 and united; of an id the most similar row counts, then the first
+    path. The limit is clamped to 1..most; twice as many are fetched before the relevance filter. weak marks a result
+    whose best row lies under the least similarity.
+    """
+    limit = min(max(int(limit), 1), most)
+    union = None
+    for k, one in enumerate(recalled):
+        one = one.select("id", "similarity", "bm25_rank", F.lit(k).alias("path"))
+        union = one if union is None else union.unionByName(one)
+    best = union.groupBy("id").agg(F.max_by(F.struct("similarity", "path"), F.struct(F.coalesce("similarity", F.lit(-2.0)), -F.col("path"))).alias("m"), F.min("bm25_rank").alias("bm25_rank"))
+    flat = best.select("id", "m.similarity", "bm25_rank", "m.path")
+    order = [F.desc_nulls_last("similarity"), F.asc("id")]
+    fetched = flat.orderBy(*order).limit(2 * limit)
+    top = fetched.agg(F.coalesce(F.max("similarity") < least, F.lit(True)).alias("weak"))
+    return keep_relevant(fetched, least).orderBy(*order).limit(limit).crossJoin(F.broadcast(top))  # one row
+
+
 def best_section(hits: DataFrame, matched: DataFrame, sections: DataFrame) -> DataFrame:
     """hits (id, ...) with section_id: the nearest of the id's matched sections (id, section_id, dist), else its first section (id, section_id, position), else null. Each side is reduced to a row for an id before it is joined."""
     near = matched.groupBy("id").agg(F.min_by("section_id", F.struct("dist", "section_id")).alias("_near"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import insort
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from quillon.functions.conventions import safe_ratio
 
 #: Warm-up and level of the residual stream; detector constants; attribution window and weights by kind of cause.
-WARM_UP, LEVEL = 56, 0.90
+WARM_UP, LEVEL, MIN_SPAN = 56, 0.90, 90
+RUN_M, RUN_N = 4, 7
 CUSUM_K, CUSUM_H, HAZARD, RELEARN = 0.5, 5.0, 1 / 60, 28
 ATTRIBUTION_DAYS = 7
 CAUSE_WEIGHTS = {"closure": 100, "price": 90, "weather": 70, "uni": 65, "school": 60, "event": 55, "promo": 50, "stock-out": 45}
@@ -21,6 +23,9 @@ SOURCE_WEIGHT = {"change_point": 1.0, "stock": 0.85, "deviation": 0.6, "checklis
 SEVERITY_WEIGHT = {"critical": 1.5, "high": 1.5, "medium": 1.0, "low": 0.6, "ok": 0.0}
 NOVELTY = {"new": 1.25, "continuing": 0.8, "resolved": 0.5}
 SOURCE_RANK = {"change_point": 5, "stock": 4, "deviation": 3, "checklist": 2, "sop": 1}
+#: A cluster's head: a sales move absorbs a stock flag; sources without a rank here compete by severity alone.
+HEAD_RANK = {"change_point": 3, "deviation": 2, "stock": 1}
+SPARSE_TRUST, RECENCY_DAYS = 0.5, 14
 SEVERITY_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1, "ok": 0}
 
 
@@ -35,34 +40,40 @@ def residual_stream(series: DataFrame, *, level: float = LEVEL, warm_up: int = W
     """(venue, date, actual, expected, scale, z): each day against the weekday median of all days before it.
 
     scale is the conformal quantile of all earlier days' distances from today's medians; days whose expectation is not
-    positive are left out. Every venue's series is one task's work; a series has a few thousand days.
+    positive are left out. Every venue's series is one task's work; a series has a few thousand days. A day changes one
+    weekday's median only, so that only this weekday's distances are computed anew.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        v, dow = pdf["value"].to_numpy(dtype=float), pd.to_datetime(pdf["date"]).dt.dayofweek.to_numpy()
-        rows = []
-        for i in range(warm_up, len(v)):
-            past, days = v[:i], dow[:i]
-            medians = np.array([np.median(past[days == d]) if (days == d).any() else np.nan for d in range(7)])
-            expected = medians[dow[i]] if not np.isnan(medians[dow[i]]) else np.median(past)
-            if expected <= 1e-6:
-                continue
-            off = np.abs(past - medians[days])
-            k = min(math.ceil((i + 1) * level), i)
-            scale = max(float(np.partition(off, k - 1)[k - 1]), 1e-6)
-            rows.append((pdf["venue"].iloc[0], pdf["date"].iloc[i], v[i], expected, scale, (v[i] - expected) / scale))
+        v, dow, dates = pdf["value"].to_numpy(dtype=float), pd.to_datetime(pdf["date"]).dt.dayofweek.to_numpy(), pdf["date"].tolist()
+        held: list[list[float]] = [[] for _ in range(7)]
+        every: list[float] = []
+        places = [np.flatnonzero(dow == d) for d in range(7)]
+        off, rows = np.zeros(len(v)), []
+        middle = lambda x: x[len(x) // 2] if len(x) % 2 else (x[len(x) // 2 - 1] + x[len(x) // 2]) / 2
+        for i, (x, d) in enumerate(zip(v.tolist(), dow.tolist(), strict=True)):
+            if i >= warm_up:
+                expected = middle(held[d] or every)
+                if expected > 1e-6:
+                    k = min(math.ceil((i + 1) * level), i)
+                    scale = max(float(np.partition(off[:i], k - 1)[k - 1]), 1e-6)
+                    rows.append((pdf["venue"].iloc[0], dates[i], x, expected, scale, (x - expected) / scale))
+            insort(held[d], x)
+            insort(every, x)
+            own = places[d][: len(held[d])]
+            off[own] = np.abs(v[own] - middle(held[d]))
         return pd.DataFrame(rows, columns=["venue", "date", "actual", "expected", "scale", "z"])
 
     return series.groupBy("venue").applyInPandas(run, "venue string, date date, actual double, expected double, scale double, z double")
 
 
-def deviations(stream: DataFrame, *, notable: float = 1.0, severe: float = 2.0) -> DataFrame:
-    """stream with status, direction and severity by |z|."""
+def deviations(stream: DataFrame, *, band: float = 1.0, severe: float = 2.0) -> DataFrame:
+    """stream with status, direction and severity (null on a normal day) by z in units of the band."""
     a = F.abs("z")
     return stream.withColumns({
-        "status": F.when(a < notable, "normal").when(a < severe, "notable").otherwise("anomalous"), "direction": F.when(F.col("z") >= 0, "up").otherwise("down"),
-        "severity": F.when(a < notable, "ok").when(a < severe, "medium").otherwise("high"),
+        "status": F.when(a <= band, "normal").otherwise("deviation"), "direction": F.when(F.col("z") > 0, "up").otherwise("down"),
+        "severity": F.when(a > severe, "high").when(a > band, "medium"),
     })
 
 
@@ -72,7 +83,7 @@ def scan(stream: DataFrame, window: int = 14) -> DataFrame:
 
 
 def cusum(stream: DataFrame, *, k: float = CUSUM_K, h: float = CUSUM_H) -> DataFrame:
-    """(venue, alarm, onset, direction): two-sided CUSUM with reset; onset is the first row since the statistic last stood at 0."""
+    """(venue, alarm, onset, direction, stat): two-sided CUSUM with reset; onset is the first row since the statistic last stood at 0."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
@@ -86,26 +97,32 @@ def cusum(stream: DataFrame, *, k: float = CUSUM_K, h: float = CUSUM_H) -> DataF
                 from_down = i
             up, down = max(0.0, up + z - k), max(0.0, down - z - k)
             if up > h or down > h:
-                rows.append((pdf["venue"].iloc[0], dates[i], dates[from_up if up > h else from_down], "up" if up > h else "down"))
+                rows.append((pdf["venue"].iloc[0], dates[i], dates[from_up if up > h else from_down], "up" if up > h else "down", up if up > h else down))
                 up = down = 0.0
-        return pd.DataFrame(rows, columns=["venue", "alarm", "onset", "direction"])
+        return pd.DataFrame(rows, columns=["venue", "alarm", "onset", "direction", "stat"])
 
-    return stream.groupBy("venue").applyInPandas(run, "venue string, alarm date, onset date, direction string")
+    return stream.groupBy("venue").applyInPandas(run, "venue string, alarm date, onset date, direction string, stat double")
 
 
-def persistence(stream: DataFrame, *, m: int = 4, n: int = 7, at: float = 1.0) -> DataFrame:
-    """(venue, alarm, onset, direction): m of the last n rows beyond the threshold on one side; onset is the first such row of the window."""
-    w = Window.partitionBy("venue").orderBy("date").rowsBetween(-(n - 1), 0)
-    out = None
-    for name, hit in (("up", F.col("z") > at), ("down", F.col("z") < -at)):
-        one = stream.select("venue", F.col("date").alias("alarm"), F.sum(hit.cast("int")).over(w).alias("_n"), F.min(F.when(hit, F.col("date"))).over(w).alias("onset"), hit.alias("_hit"))
-        one = one.where(F.col("_hit") & (F.col("_n") >= m)).select("venue", "alarm", "onset", F.lit(name).alias("direction"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def persistence(stream: DataFrame, *, m: int = RUN_M, n: int = RUN_N, at: float = 1.0) -> DataFrame:
+    """(venue, alarm, onset, direction, count): every row with m or more of the last n rows beyond the threshold on one side.
+
+    The row itself need not be one of them; the first n - 1 rows have no full window and give no alarm. onset is the first
+    such row of the window, count their number. Where both sides qualify, up is reported.
+    """
+    by = Window.partitionBy("venue").orderBy("date")
+    w = by.rowsBetween(-(n - 1), 0)
+    up, down = F.col("z") > at, F.col("z") < -at
+    seen = stream.select(
+        "venue", F.col("date").alias("alarm"), F.row_number().over(by).alias("_i"), F.count_if(up).over(w).alias("_up"), F.count_if(down).over(w).alias("_down"),
+        F.min(F.when(up, F.col("date"))).over(w).alias("_u"), F.min(F.when(down, F.col("date"))).over(w).alias("_d"),
+    ).where((F.col("_i") >= n) & (F.greatest("_up", "_down") >= m))
+    first = F.col("_up") >= m
+    return seen.select("venue", "alarm", F.when(first, F.col("_u")).otherwise(F.col("_d")).alias("onset"), F.when(first, "up").otherwise("down").alias("direction"), F.when(first, F.col("_up")).otherwise(F.col("_down")).alias("count"))
 
 
 def run_lengths(stream: DataFrame, *, hazard: float = HAZARD) -> DataFrame:
-    """(venue, date, run, p_change): the likeliest run length and the chance that the run began within the last week, by Bayesian online change-point detection (normal-inverse-gamma prior).
+    """(venue, date, run, p_change, p_reset): the likeliest run length and the chances that the run began within the last week and today, by Bayesian online change-point detection (normal-inverse-gamma prior).
 
     All run lengths are kept: the state of a venue has a cell for each of its rows.
     """
@@ -122,27 +139,47 @@ def run_lengths(stream: DataFrame, *, hazard: float = HAZARD) -> DataFrame:
             p = np.concatenate([[(p * like * hazard).sum()], grown])
             p /= p.sum()
             mu, kappa, alpha, beta = (np.concatenate([[a], b]) for a, b in ((0.0, (kappa * mu + x) / (kappa + 1)), (1.0, kappa + 1), (1.0, alpha + 0.5), (1.0, beta + kappa * (x - mu) ** 2 / (2 * (kappa + 1)))))
-            rows.append((pdf["venue"].iloc[0], date, int(p.argmax()), float(p[:8].sum())))
-        return pd.DataFrame(rows, columns=["venue", "date", "run", "p_change"])
+            rows.append((pdf["venue"].iloc[0], date, int(p.argmax()), float(p[:8].sum()), float(p[0])))
+        return pd.DataFrame(rows, columns=["venue", "date", "run", "p_change", "p_reset"])
 
-    return stream.groupBy("venue").applyInPandas(run, "venue string, date date, run int, p_change double")
+    return stream.groupBy("venue").applyInPandas(run, "venue string, date date, run int, p_change double, p_reset double")
 
 
-def change_points(stream: DataFrame, spans: DataFrame) -> DataFrame:
-    """(venue, onset, alarm, detector, direction, magnitude, percent, severity): alarms merged by onset and direction.
+def change_points(stream: DataFrame, spans: DataFrame, *, event_only: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each onset: (venue, onset, alarm, delay, detector, direction, magnitude, percent, count, stat, p_reset, severity, is_closure).
 
-    detector is "both" where both saw it; magnitude is the mean z from onset to the first alarm, percent relates it to the
-    expectation at the onset. For a closed venue later falls after the one that begins the closure are removed.
+    Alarms are merged by onset alone. The first alarm (CUSUM before persistence) gives the direction and p_reset, the
+    earliest one the date; detector is "both" where both saw it; count and stat are those of the first alarm of their
+    detector. magnitude is the mean z from onset to alarm: a difference of two running sums, so that no range is joined.
+    Venues with less than MIN_SPAN - WARM_UP days give nothing, except event-only ones, which persistence alone watches. In a
+    closed venue the first fall from a week before its last active day on is the closure; later falls are left out.
     """
-    seen = cusum(stream).withColumn("detector", F.lit("cusum")).unionByName(persistence(stream).withColumn("detector", F.lit("persistence")))
-    merged = seen.groupBy("venue", "onset", "direction").agg(F.min("alarm").alias("alarm"), F.when(F.countDistinct("detector") > 1, "both").otherwise(F.first("detector")).alias("detector"))
-    at = stream.select("venue", F.col("date").alias("onset"), F.col("expected").alias("e0"), F.col("scale").alias("s0"))
-    mean = merged.join(stream.select("venue", "date", "z"), "venue").where("date between onset and alarm").groupBy("venue", "onset", "direction", "alarm", "detector").agg(F.avg("z").alias("magnitude"))
-    out = mean.join(at, ["venue", "onset"]).withColumn("percent", F.round(F.col("magnitude") * F.col("s0") / F.col("e0") * 100, 4))
-    closing = out.join(spans.where("is_closed").select("venue", "last_active"), "venue").where((F.col("direction") == "down") & (F.col("onset") >= F.date_sub("last_active", 7))).groupBy("venue").agg(F.min("onset").alias("_closure"))
-    a = F.abs("magnitude")
+    enough = stream.groupBy("venue").agg(F.count("*").alias("n")).where((F.col("n") >= MIN_SPAN - WARM_UP) | F.col("venue").isin(*event_only)).select("venue")
+    stream = stream.join(enough, "venue")
+    none = F.lit(None)
+    seen = cusum(stream.where(~F.col("venue").isin(*event_only))).select("*", none.cast("long").alias("count"), F.lit(0).alias("by"))
+    seen = seen.unionByName(persistence(stream).select("*", none.cast("double").alias("stat"), F.lit(1).alias("by")))
+    first = F.struct("by", "alarm")
+    merged = seen.groupBy("venue", "onset").agg(
+        F.min_by("direction", first).alias("direction"), F.min_by("alarm", first).alias("_seen"), F.min("alarm").alias("alarm"),
+        F.when(F.countDistinct("by") > 1, "both").otherwise(F.when(F.min("by") == 0, "cusum").otherwise("persistence")).alias("detector"),
+        F.min_by("count", F.when(F.col("by") == 1, F.col("alarm"))).alias("count"), F.min_by("stat", F.when(F.col("by") == 0, F.col("alarm"))).alias("stat"),
+    )
+    by = Window.partitionBy("venue").orderBy("date")
+    sums = stream.select("venue", "date", "z", "expected", "scale", F.row_number().over(by).alias("i"), F.sum("z").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("c"))
+    start = sums.select("venue", F.col("date").alias("onset"), (F.col("c") - F.col("z")).alias("c0"), F.col("i").alias("i0"), "expected", "scale")
+    end = sums.select("venue", F.col("date").alias("alarm"), F.col("c").alias("c1"), F.col("i").alias("i1"))
+    reset = run_lengths(stream).select("venue", F.col("date").alias("_seen"), F.round("p_reset", 3).alias("p_reset"))
+    out = merged.join(start, ["venue", "onset"]).join(end, ["venue", "alarm"]).join(reset, ["venue", "_seen"]).withColumn("magnitude", (F.col("c1") - F.col("c0")) / (F.col("i1") - F.col("i0") + 1))
+    closing = out.join(spans.where("is_closed").select("venue", "last_active"), "venue").where((F.col("direction") == "down") & (F.col("onset") >= F.date_sub("last_active", RUN_N))).groupBy("venue").agg(F.min("onset").alias("_closure"))
     kept = out.join(closing, "venue", "left").where(F.col("_closure").isNull() | (F.col("direction") != "down") | (F.col("onset") <= F.col("_closure")))
-    return kept.select("venue", "onset", "alarm", "detector", "direction", F.round("magnitude", 6).alias("magnitude"), "percent", F.when(a >= 2, "high").when(a >= 1, "medium").otherwise("low").alias("severity"), (F.col("_closure") == F.col("onset")).alias("_c")).withColumn("is_closure", F.coalesce("_c", F.lit(False))).drop("_c")
+    a, n = F.abs("magnitude"), F.coalesce("count", F.lit(0))
+    severity = F.when((a > 1.5) | (n >= 6), "high").when((a > 0.8) | (n >= RUN_M), "medium").otherwise("low")
+    percent = F.when(F.col("expected") > 1e-6, F.round(F.col("magnitude") * F.col("scale") / F.col("expected") * 100, 1))
+    return kept.select(
+        "venue", "onset", "alarm", F.datediff("alarm", "onset").alias("delay"), "detector", "direction", F.round("magnitude", 3).alias("magnitude"), percent.alias("percent"),
+        "count", F.round("stat", 2).alias("stat"), "p_reset", severity.alias("severity"), F.coalesce(F.col("_closure") == F.col("onset"), F.lit(False)).alias("is_closure"),
+    )
 
 
 def attribute(points: DataFrame, causes: DataFrame, days: int = ATTRIBUTION_DAYS) -> DataFrame:
@@ -207,25 +244,33 @@ def clusters(signals: DataFrame, gap_days: int = 7) -> DataFrame:
     return signals.withColumn("_o", opens.cast("int")).withColumn("cluster", F.sum("_o").over(w)).drop("_o")
 
 
-def briefing_items(clustered: DataFrame, today: str, prior: DataFrame | None = None) -> DataFrame:
-    """(item_key, venue, direction, source, severity, onset, n_evidence, status, score), the best first.
+def briefing_items(clustered: DataFrame, today: str, prior: DataFrame | None = None, *, event_only: tuple[str, ...] = ()) -> DataFrame:
+    """(item_key, venue, direction, source, severity, onset, n_evidence, trust, caveats, status, score), the best first.
 
-    A cluster's head is its member of the highest source, then severity, then onset; the rest is evidence. prior (item_key,
-    score): items not met again are resolved with half their score; score 0 is left out.
+    A cluster's head is a change-point, else a deviation (which absorbs a stock flag), else a stock flag, else whatever is
+    severest; among equals the severest, then the latest. The rest is evidence. A single deviation of an event-only venue
+    has half the trust, for its band is narrow. prior (item_key, score): items not met again are resolved with half their
+    score; score 0 is left out.
     """
-    rank = F.struct(_lookup(F.col("source"), SOURCE_RANK, 0).alias("s"), _lookup(F.col("severity"), SEVERITY_RANK, 0).alias("v"), "onset")
-    head = clustered.groupBy("venue", "direction", "cluster").agg(F.max_by(F.struct("source", "severity", "onset"), rank).alias("h"), F.count("*").alias("n"), F.min("onset").alias("first"))
-    items = head.select(F.concat_ws("|", "venue", "direction", F.col("first").cast("string")).alias("item_key"), "venue", "direction", "h.*", (F.col("n") - 1).alias("n_evidence"))
+    rank = F.struct(_lookup(F.col("source"), HEAD_RANK, 0).alias("s"), _lookup(F.col("severity"), SEVERITY_RANK, 0).alias("v"), "onset", "source")
+    head = clustered.groupBy("venue", "direction", "cluster").agg(
+        F.max_by(F.struct("source", "severity", "onset"), rank).alias("h"), F.count("*").alias("n"), F.count_if(F.col("source") == "deviation").alias("_dev"), F.count_if(F.col("source") == "stock").alias("_stock")
+    )
+    items = head.select(F.concat_ws(":", "venue", "direction", F.col("h.onset").cast("string"), "h.source").alias("item_key"), "venue", "direction", "h.*", (F.col("n") - 1).alias("n_evidence"), "_dev", "_stock")
+    sparse = F.col("venue").isin(*event_only) & (F.col("source") == "deviation") & (F.col("_dev") == 1)
+    to_order = (F.col("_stock") > 0) & (F.col("source") != "stock")
+    items = items.withColumn("trust", F.when(sparse, SPARSE_TRUST).otherwise(1.0)).withColumn("caveats", F.array_compact(F.array(F.when(sparse, "small-sample"), F.when(to_order, "action: reorder"))))
     empty = clustered.sparkSession.createDataFrame([], "item_key string, score double")
     before = (empty if prior is None else prior).select("item_key", F.col("score").alias("_prior"), F.lit(True).alias("_was"))
     both = items.withColumn("_is", F.lit(True)).join(before, "item_key", "full")
     status = F.when(F.col("_is").isNull(), "resolved").when(F.col("_was").isNull(), "new").otherwise("continuing")
     age = F.datediff(F.lit(today).cast("date"), F.col("onset"))
-    recency = F.when(age <= 0, 1.0).otherwise(F.greatest(F.lit(0.5), 1 - 0.5 * age / 14))
+    recency = F.when(age <= 0, 1.0).otherwise(F.greatest(F.lit(0.5), 1 - 0.5 * age / RECENCY_DAYS))
     s = both.withColumn("status", status)
-    score = _lookup(F.col("source"), SOURCE_WEIGHT, 0) * _lookup(F.col("severity"), SEVERITY_WEIGHT, 0) * recency * _lookup(F.col("status"), NOVELTY, 1) * F.when(F.col("direction") == "down", 1.1).otherwise(1.0)
+    score = _lookup(F.col("source"), SOURCE_WEIGHT, 0) * _lookup(F.col("severity"), SEVERITY_WEIGHT, 0) * recency * _lookup(F.col("status"), NOVELTY, 1) * F.col("trust") * F.when(F.col("direction") == "down", 1.1).otherwise(1.0)
     s = s.withColumn("score", F.round(F.when(F.col("status") == "resolved", F.col("_prior") * NOVELTY["resolved"]).otherwise(score), 6)).where((F.col("score") > 0) | (F.col("status") == "resolved"))
-    return s.select("item_key", "venue", "direction", "source", "severity", "onset", "n_evidence", "status", "score").orderBy(F.desc("score"), "item_key")
+    order = [F.desc("score"), F.desc(_lookup(F.col("severity"), SEVERITY_RANK, 0)), "venue", F.desc(_lookup(F.col("source"), SOURCE_RANK, 0)), F.desc("onset"), "item_key"]
+    return s.select("item_key", "venue", "direction", "source", "severity", "onset", "n_evidence", "trust", "caveats", "status", "score").orderBy(*order)
 
 
 def run_hash(items: DataFrame) -> DataFrame:

@@ -56,4 +56,11 @@ ORACLES = {
       SELECT item_id, min(lead) AS fire, list(lead ORDER BY lead DESC) AS stamped FROM w WHERE days BETWEEN -30 AND 31 AND days <= lead AND NOT (reminded AND lead IN (30, 7)) GROUP BY item_id""",
     "nudges": f"""WITH {STOCK}, c AS (SELECT venue_id, min(TIMESTAMP '2024-01-01' + to_hours(CAST(stock_id % 48 AS INTEGER))) AS first_cutoff FROM stock WHERE stock_id % 48 BETWEEN 5 AND 11 GROUP BY venue_id)
       SELECT venue_id, count(*) AS n_below, any_value(first_cutoff) AS first_cutoff FROM stock JOIN c USING (venue_id) WHERE current < par GROUP BY venue_id""",
+    "rate_limited": """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+      f AS (SELECT event_id, user_id, k, true AS allowed, NULL::TIMESTAMP AS a, CAST(ts AS TIMESTAMP) AS b FROM e WHERE k = 1
+        UNION ALL
+        SELECT e.event_id, e.user_id, e.k, coalesce(epoch_us(e.ts) - epoch_us(f.a) >= 86400000000, true), CASE WHEN coalesce(epoch_us(e.ts) - epoch_us(f.a) >= 86400000000, true) THEN f.b ELSE f.a END,
+          CASE WHEN coalesce(epoch_us(e.ts) - epoch_us(f.a) >= 86400000000, true) THEN CAST(e.ts AS TIMESTAMP) ELSE f.b END
+        FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+      SELECT event_id, allowed FROM f""",
 }

@@ -44,6 +44,15 @@ def token_budget(s: SparkSession, p: str) -> DataFrame:
     return r.within_budget(hits, ["conv_id"], ["turn"], "cost", 150)
 
 
+def found(s: SparkSession, p: str) -> DataFrame:
+    """The union of three recall paths: the nearest of all vectors, of those with label 1, and the lexical hits."""
+    vectors = table(s, p, "embeddings")
+    none = F.lit(None).cast("int").alias("bm25_rank")
+    paths = [r.nearest(v, QUERY_VECTOR, 40).select(F.col("vec_id").alias("id"), "similarity", none) for v in (vectors, vectors.where("label = 1"))]
+    lexical = r.ranked(r.bm25(table(s, p, "documents"), QUERY_TEXT, {"text": 1.0}, id_col="doc_id").withColumnRenamed("doc_id", "id"), [F.desc("score"), F.col("id")], 40)
+    return r.find([*paths, lexical.select("id", F.lit(None).cast("double").alias("similarity"), F.col("rank").alias("bm25_rank"))], limit=30)
+
+
 QUERIES = {
     "tabular_types": lambda s, p: tabular.infer_types(_sheet(s, p)),
     "tabular_group": lambda s, p: _run(s, p, tabular.Query(where=[("type", "contains", "a")], group_by="Type", aggregate=("sum", "unit price"), limit=5)),
@@ -54,7 +63,8 @@ QUERIES = {
     "lexical_scores": lambda s, p: r.bm25(table(s, p, "documents"), QUERY_TEXT, {"text": 1.0, "source": 0.5}, id_col="doc_id"),
     "rank_fusion": fused,
     "near_pending": lambda s, p: r.near_pending(table(s, p, "embeddings").where("vec_id % 20 = 0"), table(s, p, "embeddings")),
-    "sections": lambda s, p: r.heading_sections(table(s, p, "documents")),
+    "sections": lambda s, p: r.heading_sections(table(s, p, "documents")).select("doc_id", "section", "title", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"), "truncated"),
+    "found": found,
     "chunks": lambda s, p: r.chunks(table(s, p, "documents")).select("doc_id", "chunk", "start", F.md5("text").alias("text_md5")),
     "csv_batches": lambda s, p: r.csv_batches(table(s, p, "documents"), rows=5).select("doc_id", "section", "title", F.md5("text").alias("text_md5")),
     "token_budget": token_budget,
@@ -69,6 +79,7 @@ _BM25 = f"""w AS (SELECT doc_id, {_WORDS.format("text")} AS a, {_WORDS.format("s
   t AS (SELECT doc_id, len(a) + len(b) AS n, {", ".join(f"len(list_filter(a, lambda w: w = '{t}')) + 0.5::DOUBLE * len(list_filter(b, lambda w: w = '{t}')) AS t{i}" for i, t in enumerate(sorted(QUERY_TEXT.split())))} FROM w),
   z AS (SELECT count(*) AS c, avg(n) AS mean, {", ".join(f"count(*) FILTER (WHERE t{i} > 0) AS d{i}" for i in range(3))} FROM t),
   lexical AS (SELECT doc_id, round({" + ".join(f"ln(1 + (c - d{i} + 0.5::DOUBLE) / (d{i} + 0.5::DOUBLE)) * t{i} * 2.2::DOUBLE / (t{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))" for i in range(3))}, 6) AS score FROM t, z WHERE t0 > 0 OR t1 > 0 OR t2 > 0)"""
+_BM25_TEXT = _BM25.replace("len(a) + len(b)", "len(a)").replace(" + 0.5::DOUBLE * len(list_filter(b,", " + 0::DOUBLE * len(list_filter(b,")
 ORACLES = {
     "tabular_types": "SELECT 'parts' AS doc_id, name, inferred FROM (VALUES ('Name', 'string'), ('Type', 'string'), ('Unit_Price', 'number'), ('size', 'number')) AS x(name, inferred)",
     "tabular_group": f"WITH {_SHEET} SELECT kind AS key, round(sum(price), 6) AS value FROM sheet WHERE contains(lower(kind), 'a') GROUP BY kind ORDER BY value DESC, key LIMIT 6",
@@ -88,4 +99,22 @@ ORACLES = {
     "split_threads": f"WITH {MESSAGES} SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) > 4 AND row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) > 2 AS to_summary FROM messages",
     "csv_batches": r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents), c AS (SELECT doc_id, l, unnest(range(0, (len(l) - 2) // 5 + 1)) AS section FROM l WHERE len(l) > 1)
       SELECT doc_id, CAST(section AS INTEGER) AS section, 'Rows ' || CAST(section * 5 + 1 AS VARCHAR) || '-' || CAST(least((section + 1) * 5, len(l) - 1) AS VARCHAR) AS title, md5(l[1] || chr(10) || array_to_string(l[section * 5 + 2 : section * 5 + 6], chr(10))) AS text_md5 FROM c""",
+    "sections": r"""WITH lines AS (SELECT doc_id, t.line, t.i FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS t(line, i)),
+      marked AS (SELECT *, regexp_full_match(line, '#{1,6}\s+\S.*') AS heading, regexp_full_match(line, '-{3,}\s*') AS bar, regexp_full_match(line, '[^a-z]*[A-Z]{5}[^a-z]*') AS capitals FROM lines),
+      counted AS (SELECT *, heading OR bar OR capitals AS opens, sum(CAST(heading OR bar OR capitals AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM marked),
+      parts AS (SELECT doc_id, part, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT opens), '') AS text,
+        coalesce(max(CASE WHEN heading THEN regexp_replace(regexp_replace(line, '^#{1,6}\s+', ''), '\s+$', '') WHEN bar THEN '' ELSE regexp_replace(line, '^\s+|\s+$', '', 'g') END) FILTER (WHERE opens), '') AS title,
+        count(*) OVER (PARTITION BY doc_id) AS n FROM counted GROUP BY doc_id, part)
+      SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INTEGER) AS section, title, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_chars, length(text) > 16384 AS truncated
+      FROM parts WHERE NOT (part = 0 AND text = '' AND n > 1)""",
+    "chunks": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+      c AS (SELECT doc_id, t, unnest(range(0, greatest(0, CAST(ceil((length(t) - 512) / 3584) AS BIGINT) - 1) + 1)) AS chunk FROM d WHERE t <> ''),
+      w AS (SELECT *, chunk * 3584 AS start, substr(t, chunk * 3584 + 1, 4096) AS win FROM c)
+      SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(start AS BIGINT) AS start, md5(CASE WHEN start + 4096 >= length(t) THEN win ELSE regexp_replace(win, '(?s)\s\S{0,63}\z', '') END) AS text_md5 FROM w""",
+    "found": f"""WITH {_NEAR}, {_BM25_TEXT}, v AS (SELECT * FROM (SELECT vec_id AS id, similarity, NULL AS r, 0 AS path FROM near ORDER BY similarity DESC, vec_id LIMIT 40)
+        UNION ALL SELECT * FROM (SELECT vec_id, similarity, NULL, 1 FROM near WHERE label = 1 ORDER BY similarity DESC, vec_id LIMIT 40)
+        UNION ALL SELECT * FROM (SELECT doc_id, NULL, row_number() OVER (ORDER BY score DESC, doc_id), 2 FROM lexical ORDER BY score DESC, doc_id LIMIT 40)),
+      b AS (SELECT id, max(similarity) AS similarity, CAST(min(r) AS INTEGER) AS bm25_rank, arg_min(path, {{'s': -coalesce(similarity, -2), 'p': path}}) AS path FROM v GROUP BY id),
+      f AS (SELECT * FROM b ORDER BY similarity DESC NULLS LAST, id LIMIT 60)
+      SELECT id, similarity, bm25_rank, path, (SELECT coalesce(max(similarity) < 0.3, true) FROM f) AS weak FROM f WHERE bm25_rank IS NOT NULL OR similarity >= 0.3 ORDER BY similarity DESC NULLS LAST, id LIMIT 30""",
 }

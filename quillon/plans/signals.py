@@ -15,8 +15,8 @@ def _folds(s: SparkSession, p: str) -> DataFrame:
 
 
 def _stream(s: SparkSession, p: str) -> DataFrame:
-    """The residual stream of all venues."""
-    return signals.residual_stream(series_of(s, p))
+    """The residual stream of all venues; z to 6 places, so that thresholds fall alike in SQL."""
+    return signals.residual_stream(layers.trading_series(series_of(s, p))).withColumn("z", F.round("z", 6))
 
 
 def residual_stream(s: SparkSession, p: str) -> DataFrame:
@@ -43,17 +43,26 @@ def boosted_scores(s: SparkSession, p: str) -> DataFrame:
     return forecast.evaluate(features.rolling_origin(series_of(s, p), n_folds=1), ["boosted_trees"])
 
 
-def _simple_stream(s: SparkSession, p: str) -> DataFrame:
-    """(venue, date, z): distance from the value a week before, in units of 1/1000 of it: a stream that SQL can state."""
-    d = series_of(s, p)
-    back = d.select("venue", F.date_add("date", 7).alias("date"), F.col("value").alias("b"))
-    return d.join(back, ["venue", "date"]).select("venue", "date", F.round((F.col("value") - F.col("b")) / 300_000, 6).alias("z"))
+def _points(s: SparkSession, p: str) -> DataFrame:
+    return signals.change_points(_stream(s, p), layers.active_span(series_of(s, p)))
 
 
 def change_points(s: SparkSession, p: str) -> DataFrame:
-    found = signals.change_points(_stream(s, p), layers.active_span(series_of(s, p)))
+    return _points(s, p).drop("p_reset")
+
+
+def attributed_points(s: SparkSession, p: str) -> DataFrame:
+    """Change-points with the school terms that begin or end near them."""
     causes = features.term_changes(series_of(s, p).select("date")).select(F.lit(None).cast("string").alias("venue"), "date", F.lit("school").alias("kind"), F.col("date").cast("string").alias("label"))
-    return signals.attribute(found, causes)
+    return signals.attribute(_points(s, p), causes)
+
+
+def _signals(s: SparkSession, p: str) -> DataFrame:
+    """Deviations and change-points as signals of a briefing."""
+    stream = _stream(s, p)
+    days = signals.deviations(stream).where("status = 'deviation'").select("venue", F.lit("deviation").alias("source"), F.col("date").alias("onset"), "direction", "severity", F.col("z").alias("magnitude"))
+    points = signals.change_points(stream, layers.active_span(series_of(s, p)))
+    return days.unionByName(points.select("venue", F.lit("change_point").alias("source"), "onset", "direction", "severity", "magnitude"))
 
 
 def reconciled(s: SparkSession, p: str) -> DataFrame:
@@ -75,25 +84,68 @@ def stock_cover(s: SparkSession, p: str) -> DataFrame:
 
 
 def briefing(s: SparkSession, p: str) -> DataFrame:
-    """Clustered deviations of the last month of the simple stream, and their items."""
-    z = _simple_stream(s, p).where("abs(z) >= 1")
-    found = z.select("venue", F.lit("deviation").alias("source"), F.col("date").alias("onset"), F.when(F.col("z") > 0, "up").otherwise("down").alias("direction"), F.when(F.abs("z") >= 2, "high").otherwise("medium").alias("severity"), F.col("z").alias("magnitude"))
-    return signals.briefing_items(signals.clusters(found), "1998-08-02")
+    """Items of all clusters of deviations and change-points, as seen on the day after the data."""
+    items = signals.briefing_items(signals.clusters(_signals(s, p)), "1998-08-02")
+    return items.withColumn("caveats", F.array_join("caveats", "; "))
 
 
-QUERIES = {f.__name__: f for f in (residual_stream, naive_forecast, weekday_forecast, ladder_scores, ladder_best, boosted_scores, change_points, reconciled, stock_cover, briefing)} | {
-    "deviations": lambda s, p: signals.deviations(_simple_stream(s, p)),
-    "cusum_alarms": lambda s, p: signals.cusum(_simple_stream(s, p)),
-    "persistence_alarms": lambda s, p: signals.persistence(_simple_stream(s, p), m=3, at=0.3),
-    "run_lengths": lambda s, p: signals.run_lengths(_simple_stream(s, p)),
+QUERIES = {f.__name__: f for f in (residual_stream, naive_forecast, weekday_forecast, ladder_scores, ladder_best, boosted_scores, change_points, attributed_points, reconciled, stock_cover, briefing)} | {
+    "deviations": lambda s, p: signals.deviations(_stream(s, p)).select("venue", "date", "z", "status", "direction", "severity"),
+    "cusum_alarms": lambda s, p: signals.cusum(_stream(s, p)).withColumn("stat", F.round("stat", 4)),
+    "persistence_alarms": lambda s, p: signals.persistence(_stream(s, p)),
+    "run_lengths": lambda s, p: signals.run_lengths(_stream(s, p)),
     "detector_study": lambda s, p: signals.simulate_detector(s, [0.0, 1.0, 2.0]),
     "venue_transfer": lambda s, p: forecast.leave_one_out_transfer(series_of(s, p)),
-    "signal_clusters": lambda s, p: signals.clusters(_simple_stream(s, p).where("abs(z) >= 1").select("venue", F.col("date").alias("onset"), F.lit("deviation").alias("source"), F.when(F.col("z") > 0, "up").otherwise("down").alias("direction"))),
+    "signal_clusters": lambda s, p: signals.clusters(_signals(s, p)).select("venue", "onset", "source", "direction", "cluster"),
 }
 
-_Z = f"{SERIES}, stream AS (SELECT a.venue, a.date, round((a.value - b.value) / 300000, 6) AS z FROM series a JOIN series b ON b.venue = a.venue AND b.date = a.date - 7)"
-_DEV = f"{_Z}, dev AS (SELECT venue, date AS onset, 'deviation' AS source, CASE WHEN z > 0 THEN 'up' ELSE 'down' END AS direction, CASE WHEN abs(z) >= 2 THEN 'high' ELSE 'medium' END AS severity FROM stream WHERE abs(z) >= 1)"
-_CLUSTERS = f"{_DEV}, o AS (SELECT *, CASE WHEN onset - lag(onset) OVER w <= 7 THEN 0 ELSE 1 END AS o FROM dev WINDOW w AS (PARTITION BY venue, direction ORDER BY onset)), clusters AS (SELECT *, CAST(sum(o) OVER (PARTITION BY venue, direction ORDER BY onset) AS BIGINT) AS cluster FROM o)"
+#: The residual stream, written from the rule: weekday medians of all earlier days, and the conformal quantile of their distances.
+_STREAM = f"""{SERIES}, latest AS (SELECT max(date) AS m FROM series),
+  active AS (SELECT venue, min(date) AS a FROM series WHERE value > 0 GROUP BY venue),
+  trading AS (SELECT venue, CAST(unnest(generate_series(a, m, INTERVAL 1 DAY)) AS DATE) AS date FROM active, latest),
+  d AS (SELECT t.venue, t.date, coalesce(s.value, 0) AS value, isodow(t.date) AS dow, row_number() OVER (PARTITION BY t.venue ORDER BY t.date) - 1 AS i
+        FROM trading t LEFT JOIN series s USING (venue, date)),
+  now AS (SELECT * FROM d WHERE i >= 56),
+  m AS (SELECT n.venue, n.i, p.dow, median(p.value) AS med FROM now n JOIN d p ON p.venue = n.venue AND p.i < n.i GROUP BY n.venue, n.i, p.dow),
+  e AS (SELECT n.venue, n.i, n.date, n.value, m.med AS expected FROM now n JOIN m ON m.venue = n.venue AND m.i = n.i AND m.dow = n.dow WHERE m.med > 1e-6),
+  s AS (SELECT e.venue, e.i, list(abs(p.value - m.med) ORDER BY abs(p.value - m.med)) AS l
+        FROM e JOIN d p ON p.venue = e.venue AND p.i < e.i JOIN m ON m.venue = e.venue AND m.i = e.i AND m.dow = p.dow GROUP BY e.venue, e.i),
+  q AS (SELECT venue, i, greatest(l[CAST(least(ceil((i + 1) * 0.9::DOUBLE), i) AS BIGINT)], 1e-6) AS scale FROM s),
+  stream AS (SELECT venue, date, value AS actual, expected, scale, round((value - expected) / scale, 6) AS z,
+        row_number() OVER (PARTITION BY venue ORDER BY date) AS k FROM e JOIN q USING (venue, i))"""
+_DEVIATIONS = """deviations AS (SELECT venue, date, z, CASE WHEN abs(z) <= 1 THEN 'normal' ELSE 'deviation' END AS status, CASE WHEN z > 0 THEN 'up' ELSE 'down' END AS direction,
+        CASE WHEN abs(z) > 2 THEN 'high' WHEN abs(z) > 1 THEN 'medium' END AS severity FROM stream)"""
+_CUSUM = """walk AS (
+    SELECT venue, k, date, CAST(greatest(0, z - 0.5) AS DOUBLE) AS u, CAST(greatest(0, -z - 0.5) AS DOUBLE) AS d, date AS fu, date AS fd FROM stream WHERE k = 1
+    UNION ALL
+    SELECT n.venue, n.k, n.date, greatest(0, CASE WHEN c.u > 5 OR c.d > 5 THEN 0 ELSE c.u END + n.z - 0.5), greatest(0, CASE WHEN c.u > 5 OR c.d > 5 THEN 0 ELSE c.d END - n.z - 0.5),
+      CASE WHEN c.u = 0 OR c.u > 5 OR c.d > 5 THEN n.date ELSE c.fu END, CASE WHEN c.d = 0 OR c.u > 5 OR c.d > 5 THEN n.date ELSE c.fd END
+    FROM walk c JOIN stream n ON n.venue = c.venue AND n.k = c.k + 1),
+  cusum AS (SELECT venue, date AS alarm, CASE WHEN u > 5 THEN fu ELSE fd END AS onset, CASE WHEN u > 5 THEN 'up' ELSE 'down' END AS direction, CASE WHEN u > 5 THEN u ELSE d END AS stat
+        FROM walk WHERE u > 5 OR d > 5)"""
+#: Every day whose last seven (all of them there) hold four breaches of one side.
+_PERSISTENCE = """windows AS (SELECT venue, date, k, count(*) FILTER (WHERE z > 1) OVER w AS nu, min(date) FILTER (WHERE z > 1) OVER w AS fu, count(*) FILTER (WHERE z < -1) OVER w AS nd,
+        min(date) FILTER (WHERE z < -1) OVER w AS fd FROM stream WINDOW w AS (PARTITION BY venue ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
+  persistent AS (SELECT venue, date AS alarm, fu AS onset, 'up' AS direction, nu AS count FROM windows WHERE k >= 7 AND nu >= 4
+        UNION ALL SELECT venue, date, fd, 'down', nd FROM windows WHERE k >= 7 AND nd >= 4)"""
+#: Alarms merged by onset; severity by mean z or the number of breaches; falls after a closure dropped.
+_POINTS = f"""{_CUSUM}, {_PERSISTENCE},
+  seen AS (SELECT venue, onset, alarm, direction, stat, NULL AS count, 0 AS src FROM cusum UNION ALL SELECT venue, onset, alarm, direction, NULL, count, 1 FROM persistent),
+  merged AS (SELECT venue, onset, arg_min(direction, {{'b': src, 'a': alarm}}) AS direction, min(alarm) AS alarm,
+        CASE WHEN count(DISTINCT src) > 1 THEN 'both' WHEN min(src) = 0 THEN 'cusum' ELSE 'persistence' END AS detector,
+        arg_min(count, alarm) FILTER (WHERE src = 1) AS count, arg_min(stat, alarm) FILTER (WHERE src = 0) AS stat FROM seen GROUP BY venue, onset),
+  sized AS (SELECT p.*, (SELECT avg(z) FROM stream x WHERE x.venue = p.venue AND x.date BETWEEN p.onset AND p.alarm) AS mag, o.expected, o.scale
+        FROM merged p JOIN stream o ON o.venue = p.venue AND o.date = p.onset WHERE (SELECT count(*) FROM stream x WHERE x.venue = p.venue) >= 34),
+  closed AS (SELECT venue, max(date) AS z FROM series, latest WHERE value > 0 GROUP BY venue, m HAVING max(date) < m),
+  closing AS (SELECT venue, min(onset) AS c FROM sized JOIN closed USING (venue) WHERE direction = 'down' AND onset >= z - 7 GROUP BY venue),
+  points AS (SELECT venue, onset, alarm, CAST(alarm - onset AS INTEGER) AS delay, detector, direction, round(mag, 3) AS magnitude,
+        CASE WHEN expected > 1e-6 THEN round(mag * scale / expected * 100, 1) END AS percent, count, round(stat, 2) AS stat,
+        CASE WHEN abs(mag) > 1.5 OR coalesce(count, 0) >= 6 THEN 'high' WHEN abs(mag) > 0.8 OR coalesce(count, 0) >= 4 THEN 'medium' ELSE 'low' END AS severity, coalesce(onset = c, false) AS is_closure
+        FROM sized LEFT JOIN closing USING (venue) WHERE c IS NULL OR direction <> 'down' OR onset <= c)"""
+_CLUSTERS = f"""{_DEVIATIONS}, {_POINTS},
+  signals AS (SELECT venue, 'deviation' AS source, date AS onset, direction, severity FROM deviations WHERE status = 'deviation' UNION ALL SELECT venue, 'change_point', onset, direction, severity FROM points),
+  opened AS (SELECT *, CASE WHEN onset - lag(onset) OVER w <= 7 THEN 0 ELSE 1 END AS o FROM signals WINDOW w AS (PARTITION BY venue, direction ORDER BY onset, source)),
+  clusters AS (SELECT *, CAST(sum(o) OVER (PARTITION BY venue, direction ORDER BY onset, source ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM opened)"""
 ORACLES = {
     "naive_forecast": f"WITH {NAIVE} SELECT * FROM naive",
     "weekday_forecast": f"""WITH {FOLDS}, f AS (SELECT *, isodow(date) AS dow, month(date) AS m, CAST(date AS VARCHAR) IN {features.BANK_HOLIDAYS} AS h FROM folds), t AS (SELECT * FROM f WHERE role = 'train'),
@@ -101,24 +153,6 @@ ORACLES = {
       x AS (SELECT t.venue, t.fold, median(t.value / d.v) AS x FROM t JOIN d USING (venue, fold, dow) WHERE h AND d.v > 0 GROUP BY t.venue, t.fold HAVING count(*) >= 3)
       SELECT f.venue, f.fold, f.date, f.value AS y, round(coalesce(d.v, overall) * coalesce(least(greatest(k.v / greatest(overall, 1e-9), 0.5), 2.0), 1) * CASE WHEN h THEN coalesce(x, 1) ELSE 1 END, 4) AS yhat
       FROM f JOIN a USING (venue, fold) LEFT JOIN d USING (venue, fold, dow) LEFT JOIN k USING (venue, fold, m) LEFT JOIN x USING (venue, fold) WHERE role = 'test'""",
-    "deviations": f"WITH {_Z} SELECT *, CASE WHEN abs(z) < 1 THEN 'normal' WHEN abs(z) < 2 THEN 'notable' ELSE 'anomalous' END AS status, CASE WHEN z >= 0 THEN 'up' ELSE 'down' END AS direction, CASE WHEN abs(z) < 1 THEN 'ok' WHEN abs(z) < 2 THEN 'medium' ELSE 'high' END AS severity FROM stream",
-    "residual_stream": f"""WITH {SERIES}, d AS (SELECT *, isodow(date) AS dow, row_number() OVER (PARTITION BY venue ORDER BY date) - 1 AS i FROM series),
-      now AS (SELECT * FROM d WHERE i >= 56), m AS (SELECT n.venue, n.i, p.dow, median(p.value) AS med FROM now n JOIN d p ON p.venue = n.venue AND p.i < n.i GROUP BY n.venue, n.i, p.dow),
-      e AS (SELECT n.venue, n.i, n.date, n.value, m.med AS expected FROM now n JOIN m ON m.venue = n.venue AND m.i = n.i AND m.dow = n.dow WHERE m.med > 1e-6),
-      s AS (SELECT e.venue, e.i, list(abs(p.value - m.med) ORDER BY abs(p.value - m.med)) AS l FROM e JOIN d p ON p.venue = e.venue AND p.i < e.i JOIN m ON m.venue = e.venue AND m.i = e.i AND m.dow = p.dow GROUP BY e.venue, e.i),
-      q AS (SELECT venue, i, greatest(l[CAST(least(ceil((i + 1) * 0.9::DOUBLE), i) AS BIGINT)], 1e-6) AS scale FROM s)
-      SELECT venue, date, value AS actual, round(expected, 4) AS expected, round(scale, 4) AS scale, round((value - expected) / scale, 4) AS z FROM e JOIN q USING (venue, i)""",
-    "cusum_alarms": f"""WITH RECURSIVE {_Z}, n AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY date) AS i FROM stream),
-      c AS (SELECT venue, i, date, CAST(greatest(0, z - 0.5) AS DOUBLE) AS u, CAST(greatest(0, -z - 0.5) AS DOUBLE) AS d, date AS fu, date AS fd FROM n WHERE i = 1 UNION ALL
-        SELECT n.venue, n.i, n.date, greatest(0, CASE WHEN c.u > 5 OR c.d > 5 THEN 0 ELSE c.u END + n.z - 0.5), greatest(0, CASE WHEN c.u > 5 OR c.d > 5 THEN 0 ELSE c.d END - n.z - 0.5),
-          CASE WHEN c.u = 0 OR c.u > 5 OR c.d > 5 THEN n.date ELSE c.fu END, CASE WHEN c.d = 0 OR c.u > 5 OR c.d > 5 THEN n.date ELSE c.fd END FROM c JOIN n ON n.venue = c.venue AND n.i = c.i + 1)
-      SELECT venue, date AS alarm, CASE WHEN u > 5 THEN fu ELSE fd END AS onset, CASE WHEN u > 5 THEN 'up' ELSE 'down' END AS direction FROM c WHERE u > 5 OR d > 5""",
-    "persistence_alarms": f"""WITH {_Z}, w AS (SELECT venue, date, z, count(*) FILTER (WHERE z > 0.3) OVER w AS nu, min(date) FILTER (WHERE z > 0.3) OVER w AS u, count(*) FILTER (WHERE z < -0.3) OVER w AS nd, min(date) FILTER (WHERE z < -0.3) OVER w AS d FROM stream WINDOW w AS (PARTITION BY venue ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
-      SELECT venue, date AS alarm, u AS onset, 'up' AS direction FROM w WHERE z > 0.3 AND nu >= 3 UNION ALL SELECT venue, date, d, 'down' FROM w WHERE z < -0.3 AND nd >= 3""",
-    "signal_clusters": f"WITH {_CLUSTERS} SELECT venue, onset, source, direction, cluster FROM clusters",
-    "briefing": f"""WITH {_CLUSTERS}, h AS (SELECT venue, direction, cluster, min(onset) AS first, count(*) - 1 AS n_evidence, arg_max({{'s': severity, 'o': onset}}, (CASE severity WHEN 'high' THEN 3 ELSE 2 END, onset)) AS b FROM clusters GROUP BY venue, direction, cluster)
-      SELECT venue || '|' || direction || '|' || CAST(first AS VARCHAR) AS item_key, venue, direction, 'deviation' AS source, b.s AS severity, b.o AS onset, n_evidence, 'new' AS status,
-        round(0.6::DOUBLE * CASE b.s WHEN 'high' THEN 1.5 ELSE 1.0 END::DOUBLE * CASE WHEN DATE '1998-08-02' <= b.o THEN 1 ELSE greatest(0.5::DOUBLE, 1 - 0.5::DOUBLE * (DATE '1998-08-02' - b.o) / 14) END * 1.25::DOUBLE * CASE direction WHEN 'down' THEN 1.1 ELSE 1 END::DOUBLE, 6) AS score FROM h""",
     "stock_cover": f"""WITH {SERIES}, {STOCK}, w AS (SELECT item AS product, sum(qty) / (max(date) - min(date)) AS daily_pints FROM line_items WHERE NOT excluded AND item IS NOT NULL GROUP BY item),
       k AS (SELECT name AS product, CAST(sum(current) AS BIGINT) AS kegs, 88.0::DOUBLE AS pints_per_keg FROM stock GROUP BY name), j AS (SELECT product, kegs, pints_per_keg, daily_pints, kegs * pints_per_keg AS on_hand FROM k LEFT JOIN w USING (product))
       SELECT product, kegs, pints_per_keg, round(daily_pints, 6) AS daily_pints, on_hand, round(on_hand / nullif(daily_pints, 0), 6) AS days, on_hand / nullif(daily_pints, 0) < 5 AS reorder, CASE WHEN daily_pints > 0 THEN CAST(greatest(0, ceil((daily_pints * 12 - on_hand) / pints_per_keg)) AS BIGINT) END AS order_kegs FROM j""",
@@ -127,4 +161,16 @@ ORACLES = {
       g AS (SELECT * FROM d, (VALUES (14), (28), (56)) AS h(history)), l AS (SELECT venue, history, avg(value) AS level FROM g WHERE t < history GROUP BY venue, history), n AS (SELECT venue, history, dow, avg(value) AS naive FROM g WHERE t < history AND t >= history - 7 GROUP BY venue, history, dow)
       SELECT venue, history, round(avg(abs(value - level * shape)), 4) AS mae_donor, round(avg(abs(value - naive)), 4) AS mae_naive, round(avg(abs(value - level * shape)), 4) < round(avg(abs(value - naive)), 4) AS wins
       FROM g JOIN l USING (venue, history) JOIN shape USING (venue, dow) JOIN n USING (venue, history, dow) WHERE t >= history AND t < history + 28 GROUP BY venue, history""",
+    "residual_stream": f"WITH {_STREAM} SELECT venue, date, actual, round(expected, 4) AS expected, round(scale, 4) AS scale, round(z, 4) AS z FROM stream",
+    "deviations": f"WITH {_STREAM}, {_DEVIATIONS} SELECT * FROM deviations",
+    "cusum_alarms": f"WITH RECURSIVE {_STREAM}, {_CUSUM} SELECT venue, alarm, onset, direction, round(stat, 4) AS stat FROM cusum",
+    "persistence_alarms": f"WITH {_STREAM}, {_PERSISTENCE} SELECT * FROM persistent",
+    "change_points": f"WITH RECURSIVE {_STREAM}, {_POINTS} SELECT * FROM points",
+    "signal_clusters": f"WITH RECURSIVE {_STREAM}, {_CLUSTERS} SELECT venue, onset, source, direction, cluster FROM clusters",
+    "briefing": f"""WITH RECURSIVE {_STREAM}, {_CLUSTERS},
+      heads AS (SELECT venue, direction, count(*) - 1 AS n_evidence,
+        arg_max({{'s': source, 'v': severity, 'o': onset}}, (CASE source WHEN 'change_point' THEN 3 ELSE 2 END, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END, onset)) AS h FROM clusters GROUP BY venue, direction, cluster)
+      SELECT venue || ':' || direction || ':' || CAST(h.o AS VARCHAR) || ':' || h.s AS item_key, venue, direction, h.s AS source, h.v AS severity, h.o AS onset, n_evidence, 1.0::DOUBLE AS trust, '' AS caveats, 'new' AS status,
+        round(CASE h.s WHEN 'change_point' THEN 1.0 ELSE 0.6 END::DOUBLE * CASE h.v WHEN 'high' THEN 1.5 WHEN 'medium' THEN 1.0 ELSE 0.6 END::DOUBLE
+          * CASE WHEN DATE '1998-08-02' <= h.o THEN 1 ELSE greatest(0.5::DOUBLE, 1 - 0.5::DOUBLE * (DATE '1998-08-02' - h.o) / 14) END * 1.25::DOUBLE * CASE direction WHEN 'down' THEN 1.1 ELSE 1 END::DOUBLE, 6) AS score FROM heads""",
 }

@@ -19,7 +19,7 @@ FORMATS = {"txt": "text", "md": "text", "csv": "csv", "pdf": "binary", "docx": "
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """A UTF-16 tab-separated export without quoting, all text; its columns are a contract."""
-    raw = spark.read.options(sep="\t", encoding="UTF-16", quote="", header=True, mode="PERMISSIVE", multiLine=True).csv(path)
+    raw = spark.read.options(sep="\t", encoding="UTF-16", quote="", header=True, mode="PERMISSIVE").csv(path)
     return require_columns(raw, list(EXPORT_COLUMNS))
 
 
@@ -90,7 +90,7 @@ def read_optional(spark: SparkSession, name: str, schema: str | T.StructType) ->
 class SourceAdapter(ABC):
     """Where transactions and stock come from."""
 
-    def __init__(self, spark: SparkSession, **options: str):
+    def __init__(self, spark: SparkSession, **options):
         self.spark, self.options = spark, options
 
     @abstractmethod
@@ -111,15 +111,18 @@ class ParquetAdapter(SourceAdapter):
 
 
 class ExportAdapter(SourceAdapter):
+    """Options: path; venues, slugs by name (without them no row has a known venue); vat_inclusive and excluded, slugs; zone."""
+
     def transactions(self, since: str | None = None) -> DataFrame:
-        rows = normalise_export(read_export(self.spark, self.options["path"]), {}).where("drop_reason is null").drop("drop_reason")
+        more = {k: self.options[k] for k in ("vat_inclusive", "excluded", "zone") if k in self.options}
+        rows = normalise_export(read_export(self.spark, self.options["path"]), self.options["venues"], **more).where("drop_reason is null").drop("drop_reason")
         return rows if since is None else rows.where(F.col("date") > F.lit(since).cast("date"))
 
 
 ADAPTERS: dict[str, type[SourceAdapter]] = {"parquet": ParquetAdapter, "export": ExportAdapter}
 
 
-def adapter(name: str, spark: SparkSession, **options: str) -> SourceAdapter:
+def adapter(name: str, spark: SparkSession, **options) -> SourceAdapter:
     if name not in ADAPTERS:
         raise ValueError(f"unknown source {name!r}; there are {', '.join(sorted(ADAPTERS))}")
     return ADAPTERS[name](spark, **options)

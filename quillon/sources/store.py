@@ -47,12 +47,18 @@ class Store:
     def _write(self, name: str, df: DataFrame, kept: list[str]) -> None:
         part = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}/{part}")
-        fs, p = self._fs(self._pointer(name))
-        stream = fs.create(p, True)
+        # the new pointer is written beside the old one and takes its place by a rename
+        fs, new = self._fs(f"{self._pointer(name)}-{part}")
+        stream = fs.create(new, True)
         try:
             stream.write(bytearray("\n".join([*kept, part]).encode()))
         finally:
             stream.close()
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(new, self._fs(self._pointer(name))[1], over)
 
     def replace(self, name: str, df: DataFrame) -> None:
         """Write a new version, then move the pointer: readers see the old or the new one, never a part."""
