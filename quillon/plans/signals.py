@@ -14,13 +14,17 @@ def _folds(s: SparkSession, p: str) -> DataFrame:
     return features.rolling_origin(series_of(s, p))
 
 
+def _raw_stream(s: SparkSession, p: str) -> DataFrame:
+    return signals.residual_stream(layers.trading_series(series_of(s, p)))
+
+
 def _stream(s: SparkSession, p: str) -> DataFrame:
     """The residual stream of all venues; z to 6 places, so that thresholds fall alike in SQL."""
-    return signals.residual_stream(layers.trading_series(series_of(s, p))).withColumn("z", F.round("z", 6))
+    return _raw_stream(s, p).withColumn("z", F.round("z", 6))
 
 
 def residual_stream(s: SparkSession, p: str) -> DataFrame:
-    return _stream(s, p).select("venue", "date", "actual", F.round("expected", 4).alias("expected"), F.round("scale", 4).alias("scale"), F.round("z", 4).alias("z"))
+    return _raw_stream(s, p).select("venue", "date", "actual", F.round("expected", 4).alias("expected"), F.round("scale", 4).alias("scale"), F.round("z", 4).alias("z"))
 
 
 def naive_forecast(s: SparkSession, p: str) -> DataFrame:
@@ -111,7 +115,7 @@ _STREAM = f"""{SERIES}, latest AS (SELECT max(date) AS m FROM series),
   s AS (SELECT e.venue, e.i, list(abs(p.value - m.med) ORDER BY abs(p.value - m.med)) AS l
         FROM e JOIN d p ON p.venue = e.venue AND p.i < e.i JOIN m ON m.venue = e.venue AND m.i = e.i AND m.dow = p.dow GROUP BY e.venue, e.i),
   q AS (SELECT venue, i, greatest(l[CAST(least(ceil((i + 1) * 0.9::DOUBLE), i) AS BIGINT)], 1e-6) AS scale FROM s),
-  stream AS (SELECT venue, date, value AS actual, expected, scale, round((value - expected) / scale, 6) AS z,
+  stream AS (SELECT venue, date, value AS actual, expected, scale, (value - expected) / scale AS raw, round((value - expected) / scale, 6) AS z,
         row_number() OVER (PARTITION BY venue ORDER BY date) AS k FROM e JOIN q USING (venue, i))"""
 _DEVIATIONS = """deviations AS (SELECT venue, date, z, CASE WHEN abs(z) <= 1 THEN 'normal' ELSE 'deviation' END AS status, CASE WHEN z > 0 THEN 'up' ELSE 'down' END AS direction,
         CASE WHEN abs(z) > 2 THEN 'high' WHEN abs(z) > 1 THEN 'medium' END AS severity FROM stream)"""
@@ -130,7 +134,7 @@ _PERSISTENCE = """windows AS (SELECT venue, date, k, count(*) FILTER (WHERE z >
         UNION ALL SELECT venue, date, fd, 'down', nd FROM windows WHERE k >= 7 AND nd >= 4)"""
 #: Alarms merged by onset; severity by mean z or the number of breaches; falls after a closure dropped.
 _POINTS = f"""{_CUSUM}, {_PERSISTENCE},
-  seen AS (SELECT venue, onset, alarm, direction, stat, NULL AS count, 0 AS src FROM cusum UNION ALL SELECT venue, onset, alarm, direction, NULL, count, 1 FROM persistent),
+  seen AS (SELECT venue, onset, alarm, direction, stat, CAST(NULL AS BIGINT) AS count, 0 AS src FROM cusum UNION ALL SELECT venue, onset, alarm, direction, CAST(NULL AS DOUBLE), count, 1 FROM persistent),
   merged AS (SELECT venue, onset, arg_min(direction, {{'b': src, 'a': alarm}}) AS direction, min(alarm) AS alarm,
         CASE WHEN count(DISTINCT src) > 1 THEN 'both' WHEN min(src) = 0 THEN 'cusum' ELSE 'persistence' END AS detector,
         arg_min(count, alarm) FILTER (WHERE src = 1) AS count, arg_min(stat, alarm) FILTER (WHERE src = 0) AS stat FROM seen GROUP BY venue, onset),
@@ -161,7 +165,7 @@ ORACLES = {
       g AS (SELECT * FROM d, (VALUES (14), (28), (56)) AS h(history)), l AS (SELECT venue, history, avg(value) AS level FROM g WHERE t < history GROUP BY venue, history), n AS (SELECT venue, history, dow, avg(value) AS naive FROM g WHERE t < history AND t >= history - 7 GROUP BY venue, history, dow)
       SELECT venue, history, round(avg(abs(value - level * shape)), 4) AS mae_donor, round(avg(abs(value - naive)), 4) AS mae_naive, round(avg(abs(value - level * shape)), 4) < round(avg(abs(value - naive)), 4) AS wins
       FROM g JOIN l USING (venue, history) JOIN shape USING (venue, dow) JOIN n USING (venue, history, dow) WHERE t >= history AND t < history + 28 GROUP BY venue, history""",
-    "residual_stream": f"WITH {_STREAM} SELECT venue, date, actual, round(expected, 4) AS expected, round(scale, 4) AS scale, round(z, 4) AS z FROM stream",
+    "residual_stream": f"WITH {_STREAM} SELECT venue, date, actual, round(expected, 4) AS expected, round(scale, 4) AS scale, round(raw, 4) AS z FROM stream",
     "deviations": f"WITH {_STREAM}, {_DEVIATIONS} SELECT * FROM deviations",
     "cusum_alarms": f"WITH RECURSIVE {_STREAM}, {_CUSUM} SELECT venue, alarm, onset, direction, round(stat, 4) AS stat FROM cusum",
     "persistence_alarms": f"WITH {_STREAM}, {_PERSISTENCE} SELECT * FROM persistent",
