@@ -147,6 +147,23 @@ SHIFTS = """shifts AS (
   SELECT o_orderkey AS shift_id, o_custkey % 50 AS member_id, o_orderpriority AS job, o_custkey % 5 AS location_id, o_orderdate AS start_at, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE 180 + o_orderkey % 360 END AS minutes FROM orders)"""
 
 
+def scheduled_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a rota: each with a draft and, unless the order is open, a published version half an hour longer; some are deleted, some end before they start."""
+    o = table(spark, sf_dir, "orders")
+    k, start = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
+    minutes = F.when(k % 23 == 0, -30).otherwise(180 + k % 360)
+    version = lambda more: F.struct(
+        (F.col("o_custkey") % 50).alias("member_id"), F.col("o_orderpriority").alias("job"), (F.col("o_custkey") % 5).alias("location_id"), start.alias("start_at"), (start + F.make_dt_interval(mins=(minutes + more).cast("int"))).alias("end_at"),
+        (k % 19 == 0).alias("is_deleted"),
+    )
+    return o.select(k.alias("shift_id"), version(0).alias("draft"), F.when(F.col("o_orderstatus") != "O", version(30)).alias("published"))
+
+
+SCHEDULED = """scheduled AS (
+  SELECT o_orderkey AS shift_id, o_custkey % 50 AS member_id, o_orderpriority AS job, o_custkey % 5 AS location_id, CAST(o_orderdate AS TIMESTAMP) AS start_at, o_orderstatus <> 'O' AS is_published, o_orderkey % 19 = 0 AS is_deleted,
+         CASE WHEN o_orderkey % 23 = 0 THEN -30 ELSE 180 + o_orderkey % 360 END + CASE WHEN o_orderstatus <> 'O' THEN 30 ELSE 0 END AS minutes FROM orders)"""
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tasks with a due time and a status."""
     o = table(spark, sf_dir, "orders")
