@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.conventions import dow_monday, median
+from quillon.functions.conventions import dow_monday, median, safe_ratio
 from quillon.operators.features import history_features
-from quillon.operators.metrics import error_metrics, mase_scale
+from quillon.operators.metrics import conformal_quantiles, error_metrics, mase_scale
 
 FORECAST = "venue string, fold int, date date, y double, yhat double"
 
@@ -174,18 +174,76 @@ def weekday_base(series: DataFrame, keys: list[str]) -> DataFrame:
     return m.join(v, keys)
 
 
-def leave_one_out_transfer(series: DataFrame, days: tuple[int, ...] = (14, 28, 56)) -> DataFrame:
-    """(venue, history, mae_donor, mae_naive, wins): a venue's level of its first days times the donors' mean weekday shape, against a weekly naive, on the four weeks that follow."""
-    d = series.withColumns({"dow": dow_monday("date"), "t": F.datediff("date", F.min("date").over(Window.partitionBy("venue")))})
+def node_bands(series: DataFrame, levels: tuple[float, ...] = (0.8, 0.9), test_weeks: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Bands of a hierarchy's nodes, (venue, node, level, n, q), and the coherent forecasts they belong to, (venue, node, date, value, yhat, coherent).
+
+    series: (venue, node, parent, date, value). Training ends test_weeks before the venue's last day. A node's score is its
+    distance from its own weekday median in training; VENUE has no band of its own here.
+    """
+    edge = series.groupBy("venue").agg(F.date_sub(F.max("date"), 7 * test_weeks).alias("_edge"))
+    rows = series.join(edge, "venue").withColumns({"dow": dow_monday("date"), "_train": F.col("date") < F.col("_edge")}).drop("_edge")
+    train, keys = rows.where("_train"), ["venue", "node"]
+    middle = train.groupBy(*keys, "dow").agg(median("value").alias("yhat"))
+    left = train.join(middle, [*keys, "dow"]).withColumn("score", F.abs(F.col("value") - F.col("yhat")))
+    scores = left.where("node <> 'VENUE'").select(*keys, "score")
+    quantiles = None
+    for level in levels:
+        one = conformal_quantiles(scores, keys, level).withColumn("level", F.lit(level))
+        quantiles = one if quantiles is None else quantiles.unionByName(one)
+    variance = left.groupBy(*keys).agg(F.var_pop(F.col("value") - F.col("yhat")).alias("variance"))
+    test = rows.where("not _train").join(middle, [*keys, "dow"]).join(variance, keys)
+    coherent = reconcile(test.select("venue", "date", "node", "parent", "yhat", "variance"))
+    return quantiles, test.select(*keys, "date", "value").join(coherent, [*keys, "date"])
+
+
+def node_coverage(quantiles: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """(venue, kind, level, n, coverage): the share of test days inside the band, pooled over category nodes (L2) and over item nodes without OTHER (L3)."""
+    kind = F.when(F.col("node").startswith("CAT::"), "L2").when(F.col("node").startswith("ITEM::") & ~F.col("node").endswith("::OTHER"), "L3")
+    rows = forecasts.join(quantiles, ["venue", "node"]).withColumn("kind", kind).where("kind is not null")
+    inside = F.col("value").between(F.greatest(F.col("coherent") - F.col("q"), F.lit(0.0)), F.col("coherent") + F.col("q"))
+    return rows.groupBy("venue", "kind", "level").agg(F.count("*").alias("n"), F.round(F.avg(inside.cast("int")), 6).alias("coverage"))
+
+
+def standby_band(series: DataFrame, residuals: DataFrame, closed: DataFrame, *, level: float = 0.9, days: int = 28) -> DataFrame:
+    """(venue, date, yhat, level, lo, hi): for closed venues, a band for the days after their last active one, ready for reopening.
+
+    series and residuals (venue, date, score) end with the active span; yhat is the weekday's median, the quantile that of the
+    weekday's regime (Monday and Tuesday, or the rest), or of all residuals where the regime has none.
+    """
+    own = series.join(closed.select("venue"), "venue", "left_semi").withColumn("dow", dow_monday("date"))
+    base = own.groupBy("venue", "dow").agg(median("value").alias("yhat"))
+    regime = lambda d: F.when(d <= 1, "Mon-Tue").otherwise("rest")
+    scored = residuals.join(closed.select("venue"), "venue", "left_semi").withColumn("regime", regime(dow_monday("date")))
+    q = conformal_quantiles(scored, ["venue", "regime"], level).select("venue", "regime", "q")
+    q_all = conformal_quantiles(scored, ["venue"], level).select("venue", F.col("q").alias("q_all"))
+    ahead = own.groupBy("venue").agg(F.max("date").alias("_b")).select("venue", F.explode(F.sequence(F.date_add("_b", 1), F.date_add("_b", days))).alias("date")).withColumn("dow", dow_monday("date"))
+    rows = ahead.join(base, ["venue", "dow"]).withColumn("regime", regime(F.col("dow"))).join(q, ["venue", "regime"], "left").join(q_all, "venue")
+    y, w = F.greatest("yhat", F.lit(0.0)), F.coalesce("q", "q_all")
+    return rows.select("venue", "date", y.alias("yhat"), F.lit(level).alias("level"), F.greatest(y - w, F.lit(0.0)).alias("lo"), (y + w).alias("hi"))
+
+
+def leave_one_out_transfer(series: DataFrame, days: tuple[int, ...] = (14, 21, 28, 42, 56), season: int = 7) -> DataFrame:
+    """(venue, history, n, anchor, mase_transfer, mase_naive, wins) of a venue's days after its first `history` active ones.
+
+    The transfer is the mean of those first days times the donors' weekday shape (each donor's own mean taken out first); the
+    naive forecast repeats the last week of them. Both are scaled by the season's differences in the first days; rows without
+    such a scale are null. series: (venue, date, value), dense.
+    """
+    d = series.withColumn("dow", dow_monday("date"))
     shape = d.groupBy("venue", "dow").agg(F.avg("value").alias("m"))
     unit = shape.join(shape.groupBy("venue").agg(F.avg("m").alias("mean")).where("mean > 0"), "venue").select(F.col("venue").alias("donor"), "dow", (F.col("m") / F.col("mean")).alias("s"))
-    venues = d.select("venue").distinct()
-    donors = venues.join(F.broadcast(unit), F.col("venue") != F.col("donor")).groupBy("venue", "dow").agg(F.avg("s").alias("s"))  # seven rows a venue
-    donors = donors.join(donors.groupBy("venue").agg(F.avg("s").alias("k")), "venue").select("venue", "dow", (F.col("s") / F.col("k")).alias("shape"))
-    grid = d.select("*", F.explode(F.array(*(F.lit(x) for x in days))).alias("history"))
-    level = grid.where("t < history").groupBy("venue", "history").agg(F.avg("value").alias("level"))
-    week = grid.where("t < history and t >= history - 7").groupBy("venue", "history", "dow").agg(F.avg("value").alias("naive"))
-    test = grid.where("t >= history and t < history + 28").join(level, ["venue", "history"]).join(donors, ["venue", "dow"]).join(week, ["venue", "history", "dow"])
-    a, b = F.round(F.avg(F.abs(F.col("value") - F.col("level") * F.col("shape"))), 4), F.round(F.avg(F.abs(F.col("value") - F.col("naive"))), 4)
-    return test.groupBy("venue", "history").agg(a.alias("mae_donor"), b.alias("mae_naive"), (a < b).alias("wins"))
-
+    # donors are all venues but one: what all give, less the venue's own part (seven rows a venue, no pairs)
+    whole = unit.groupBy("dow").agg(F.sum("s").alias("_s"), F.count("*").alias("_n"))
+    grid = d.select("venue").distinct().crossJoin(F.broadcast(whole))  # seven rows
+    rest = grid.join(unit.withColumnRenamed("donor", "venue"), ["venue", "dow"], "left").select("venue", "dow", safe_ratio(F.col("_s") - F.coalesce("s", F.lit(0.0)), F.col("_n") - F.col("s").isNotNull().cast("int")).alias("p"))
+    donors = rest.join(rest.groupBy("venue").agg(F.avg("p").alias("k")), "venue").select("venue", "dow", (F.col("p") / F.col("k")).alias("shape"))
+    span = d.where("value > 0").groupBy("venue").agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
+    active = d.join(span, "venue").where("date between _a and _b").withColumn("t", F.datediff("date", "_a")).drop("_a", "_b")
+    cases = active.select("*", F.explode(F.array(*(F.lit(x) for x in days))).alias("history"))
+    cold, test, keys = cases.where("t < history"), cases.where("t >= history"), ["venue", "history"]
+    level = cold.groupBy(*keys).agg(F.avg("value").alias("anchor")).join(mase_scale(cold, keys, season), keys)
+    week = cold.where(F.col("t") >= F.col("history") - season).select(*keys, "dow", F.col("value").alias("naive"))
+    scored = test.join(level, keys).join(donors, ["venue", "dow"], "left").join(week, [*keys, "dow"])
+    error = lambda yhat: F.round(F.avg(F.abs(F.col("value") - yhat)) / F.first("scale"), 6)
+    out = scored.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.first("anchor"), 1).alias("anchor"), error(F.col("anchor") * F.coalesce("shape", F.lit(1.0))).alias("mase_transfer"), error(F.col("naive")).alias("mase_naive"))
+    return out.withColumn("wins", F.col("mase_transfer") < F.col("mase_naive"))

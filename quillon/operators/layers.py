@@ -119,3 +119,27 @@ def top_items(days: DataFrame, k: int = 3, value: str = "revenue") -> DataFrame:
     top = ranked.where(F.col("rank") <= k).select("venue", "category", F.concat_ws("::", F.lit("ITEM"), "category", "item").alias("node"), "total")
     rest = ranked.groupBy("venue", "category").agg(F.greatest(F.sum(F.when(F.col("rank") > k, F.col("total"))), F.lit(0.0)).alias("total")).where("total > 1")
     return top.unionByName(rest.select("venue", "category", F.concat_ws("::", F.lit("ITEM"), "category", F.lit("OTHER")).alias("node"), "total"))
+
+
+def node_series(days: DataFrame, k: int = 3, value: str = "revenue") -> DataFrame:
+    """(venue, node, parent, date, value): the daily series of VENUE, CAT and ITEM nodes over the venue's calendar, 0 on days without sales.
+
+    OTHER is what a category has beyond its k items, at least 0 on each day, and is kept if its sum is more than 1. Values
+    are added as whole ten-thousandths.
+    """
+    sums = days.groupBy("venue", "category", "item", "date").agg(F.sum(F.round(F.col(value) * 10000).cast("long")).alias("value"))
+    total = sums.groupBy("venue", "category", "item").agg(F.sum("value").alias("_t"))
+    top = total.withColumn("_r", F.row_number().over(Window.partitionBy("venue", "category").orderBy(F.desc("_t"), "item"))).where(F.col("_r") <= k)
+    marked = sums.join(top.select("venue", "category", "item", F.lit(True).alias("_top")), ["venue", "category", "item"], "left")
+    parent = F.concat(F.lit("CAT::"), "category")
+    item = lambda last: F.concat_ws("::", F.lit("ITEM"), "category", last)
+    items = marked.where("_top").select("venue", item("item").alias("node"), parent.alias("parent"), "date", "value")
+    by_category = marked.groupBy("venue", "category", "date").agg(F.sum("value").alias("value"), F.greatest(F.sum(F.when(F.col("_top").isNull(), F.col("value")).otherwise(0)), F.lit(0)).alias("_rest"))
+    other = by_category.select("venue", item(F.lit("OTHER")).alias("node"), parent.alias("parent"), "date", F.col("_rest").alias("value"))
+    kept = other.groupBy("venue", "node").agg(F.sum("value").alias("_s")).where("_s > 10000").drop("_s")
+    category = by_category.select("venue", parent.alias("node"), F.lit("VENUE").alias("parent"), "date", "value")
+    venue = by_category.groupBy("venue", "date").agg(F.sum("value").alias("value")).select("venue", F.lit("VENUE").alias("node"), F.lit(None).cast("string").alias("parent"), "date", "value")
+    sold = items.unionByName(other.join(kept, ["venue", "node"], "left_semi")).unionByName(category).unionByName(venue)
+    spans = sums.groupBy("venue").agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
+    every = sold.select("venue", "node", "parent").distinct().join(spans, "venue").select("venue", "node", "parent", F.explode(F.sequence("_a", "_b")).alias("date"))
+    return every.join(sold.drop("parent"), ["venue", "node", "date"], "left").withColumn("value", F.coalesce(F.col("value") / 10000, F.lit(0.0)))

@@ -116,7 +116,7 @@ def online_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (l1_daily, l2_daily, l3_daily, l1_calendar, spike_days, ingest_manifest, active_spans, hierarchy_nodes, calendar_features, history_features, rolling_peak, term_changes, time_split, fold_edges, venue_pairs, naive_errors, conformal_quantiles, online_bands)}
 
 _TERM = "(" + " OR ".join(f"{{0}} BETWEEN DATE '{a}' AND DATE '{b}'" for a, b in features.SCHOOL_TERMS) + ")"
-_RESIDUALS = f"{SERIES}, residuals AS (SELECT s.venue, s.date, s.value AS y, p.value AS yhat, abs(s.value - p.value) AS score FROM series s JOIN series p ON p.venue = s.venue AND p.date = s.date - 7)"
+RESIDUALS = f"{SERIES}, residuals AS (SELECT s.venue, s.date, s.value AS y, p.value AS yhat, abs(s.value - p.value) AS score FROM series s JOIN series p ON p.venue = s.venue AND p.date = s.date - 7)"
 ORACLES = {
     "l1_daily": f"WITH {L1} SELECT * FROM l1",
     "l2_daily": f"WITH {LINE_ITEMS} SELECT venue, coalesce(category, 'Uncategorised') AS category, date, {_SUMS} FROM line_items WHERE NOT excluded GROUP BY venue, category, date",
@@ -147,10 +147,10 @@ ORACLES = {
     "naive_errors": f"""WITH {NAIVE}, d AS (SELECT venue, fold, abs(value - lag(value, 7) OVER (PARTITION BY venue, fold ORDER BY date)) AS d FROM folds WHERE role = 'train'), s AS (SELECT venue, fold, nullif(avg(d), 0) AS scale FROM d GROUP BY venue, fold)
       SELECT venue, fold, count(*) AS n, round(avg(abs(y - yhat)), 6) AS mae, round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse, round(avg(CASE WHEN y <> 0 THEN 200 * abs(y - yhat) / (abs(y) + abs(yhat)) END), 6) AS smape, round(avg(abs(y - yhat)) / any_value(scale), 6) AS mase
       FROM naive JOIN s USING (venue, fold) GROUP BY venue, fold""",
-    "conformal_quantiles": f"""WITH {_RESIDUALS}, g AS (SELECT venue, CASE WHEN isodow(date) <= 2 THEN 'Mon-Tue' ELSE 'rest' END AS regime, score FROM residuals),
+    "conformal_quantiles": f"""WITH {RESIDUALS}, g AS (SELECT venue, CASE WHEN isodow(date) <= 2 THEN 'Mon-Tue' ELSE 'rest' END AS regime, score FROM residuals),
       a AS (SELECT venue, count(*) AS n, list(score ORDER BY score) AS s FROM g GROUP BY venue), b AS (SELECT venue, regime, count(*) AS n, list(score ORDER BY score) AS s FROM g GROUP BY venue, regime)
       SELECT b.venue, regime, b.n, round(b.s[CAST(least(ceil((b.n + 1) * 0.9::DOUBLE), b.n) AS BIGINT)], 4) AS q, round(a.s[CAST(least(ceil((a.n + 1) * 0.9::DOUBLE), a.n) AS BIGINT)], 4) AS q_all FROM a JOIN b ON a.venue = b.venue""",
-    "online_bands": f"""WITH {_RESIDUALS}, r AS (SELECT *, (date - min(date) OVER (PARTITION BY venue)) // 7 AS block FROM residuals), k AS (SELECT DISTINCT venue, block FROM r),
+    "online_bands": f"""WITH {RESIDUALS}, r AS (SELECT *, (date - min(date) OVER (PARTITION BY venue)) // 7 AS block FROM residuals), k AS (SELECT DISTINCT venue, block FROM r),
       past AS (SELECT k.venue, k.block, count(*) AS n, list(score ORDER BY score) AS s FROM k JOIN r ON r.venue = k.venue AND r.block < k.block GROUP BY ALL HAVING count(*) >= 70),
       b AS (SELECT r.venue, y, greatest(yhat - s[CAST(least(ceil((n + 1) * 0.9::DOUBLE), n) AS BIGINT)], 0) AS lo, yhat + s[CAST(least(ceil((n + 1) * 0.9::DOUBLE), n) AS BIGINT)] AS hi FROM r JOIN past ON past.venue = r.venue AND past.block = r.block)
       SELECT venue, count(*) AS n, round(avg(CAST(y BETWEEN lo AND hi AS INTEGER)), 6) AS coverage, round(avg(hi - lo), 6) AS width,

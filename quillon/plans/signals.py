@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import features, forecast, layers, signals
-from quillon.plans.layers import FOLDS, NAIVE, SERIES, l3_daily, series_of
-from quillon.sources.views import STOCK, line_items, stock
+from quillon.plans.layers import FOLDS, NAIVE, RESIDUALS, SERIES, l3_daily, lag_residuals, series_of
+from quillon.sources.views import LINE_ITEMS, STOCK, line_items, stock
 
 
 def _folds(s: SparkSession, p: str) -> DataFrame:
@@ -81,6 +81,26 @@ def reconciled(s: SparkSession, p: str) -> DataFrame:
     return forecast.reconcile(nodes).select("venue", "date", "node", F.round("coherent", 2).alias("coherent"))
 
 
+def node_series(s: SparkSession, p: str) -> DataFrame:
+    return layers.node_series(l3_daily(s, p))
+
+
+def node_quantiles(s: SparkSession, p: str) -> DataFrame:
+    return forecast.node_bands(node_series(s, p))[0].withColumn("q", F.round("q", 4))
+
+
+def node_coverage(s: SparkSession, p: str) -> DataFrame:
+    return forecast.node_coverage(*forecast.node_bands(node_series(s, p)))
+
+
+def standby_band(s: SparkSession, p: str) -> DataFrame:
+    """A band for the 28 days after the last of every venue that closed before the last day of all, from the weekly differences."""
+    closed = layers.active_span(series_of(s, p)).where("is_closed").select("venue", "last_active")
+    inside = lambda df: df.join(closed, "venue").where("date <= last_active").drop("last_active")
+    band = forecast.standby_band(inside(series_of(s, p)), inside(lag_residuals(s, p).withColumn("score", F.abs(F.col("y") - F.col("yhat")))), closed)
+    return band.select("venue", "date", "level", *(F.round(c, 4).alias(c) for c in ("yhat", "lo", "hi")))
+
+
 def stock_cover(s: SparkSession, p: str) -> DataFrame:
     demand = l3_daily(s, p).groupBy(F.col("item").alias("product")).agg((F.sum("units") / F.datediff(F.max("date"), F.min("date"))).alias("daily_pints"))
     kegs = stock(s, p).groupBy(F.col("name").alias("product")).agg(F.sum("current").alias("kegs")).withColumn("pints_per_keg", F.lit(88.0))
@@ -93,7 +113,7 @@ def briefing(s: SparkSession, p: str) -> DataFrame:
     return items.withColumn("caveats", F.array_join("caveats", "; "))
 
 
-QUERIES = {f.__name__: f for f in (residual_stream, naive_forecast, weekday_forecast, ladder_scores, ladder_best, boosted_scores, change_points, attributed_points, reconciled, stock_cover, briefing)} | {
+QUERIES = {f.__name__: f for f in (residual_stream, naive_forecast, weekday_forecast, ladder_scores, ladder_best, boosted_scores, change_points, attributed_points, reconciled, node_series, node_quantiles, node_coverage, standby_band, stock_cover, briefing)} | {
     "deviations": lambda s, p: signals.deviations(_stream(s, p)).select("venue", "date", "z", "status", "direction", "severity"),
     "cusum_alarms": lambda s, p: signals.cusum(_stream(s, p)).withColumn("stat", F.round("stat", 4)),
     "persistence_alarms": lambda s, p: signals.persistence(_stream(s, p)),
@@ -103,6 +123,18 @@ QUERIES = {f.__name__: f for f in (residual_stream, naive_forecast, weekday_fore
     "signal_clusters": lambda s, p: signals.clusters(_signals(s, p)).select("venue", "onset", "source", "direction", "cluster"),
 }
 
+#: The hierarchy's daily series.
+_NODES = f"""{LINE_ITEMS}, i AS (SELECT venue, coalesce(category, 'Uncategorised') AS category, item, date, sum(net_e4) AS v FROM line_items WHERE NOT excluded AND item IS NOT NULL GROUP BY ALL),
+  k AS (SELECT venue, category, item, row_number() OVER (PARTITION BY venue, category ORDER BY sum(v) DESC, item) <= 3 AS top FROM i GROUP BY venue, category, item),
+  x AS (SELECT * FROM i JOIN k USING (venue, category, item)),
+  rest AS (SELECT venue, category, date, greatest(coalesce(sum(v) FILTER (WHERE NOT top), 0), 0) AS v FROM x GROUP BY venue, category, date),
+  sold AS (SELECT venue, 'ITEM::' || category || '::' || item AS node, 'CAT::' || category AS parent, date, v FROM x WHERE top
+    UNION ALL SELECT venue, 'ITEM::' || category || '::OTHER', 'CAT::' || category, date, v FROM rest WHERE (venue, category) IN (SELECT (venue, category) FROM rest GROUP BY venue, category HAVING sum(v) > 10000)
+    UNION ALL SELECT venue, 'CAT::' || category, 'VENUE', date, sum(v) FROM x GROUP BY venue, category, date
+    UNION ALL SELECT venue, 'VENUE', NULL, date, sum(v) FROM x GROUP BY venue, date),
+  days AS (SELECT venue, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM i GROUP BY venue),
+  names AS (SELECT DISTINCT venue, node, parent FROM sold),
+  nodes AS (SELECT n.venue, n.node, n.parent, d.date, coalesce(s.v, 0) / 10000 AS value FROM names n JOIN days d ON d.venue = n.venue LEFT JOIN sold s ON s.venue = n.venue AND s.node = n.node AND s.date = d.date)"""
 #: The residual stream, written from the rule: weekday medians of all earlier days, and the conformal quantile of their distances.
 _STREAM = f"""{SERIES}, latest AS (SELECT max(date) AS m FROM series),
   active AS (SELECT venue, min(date) AS a FROM series WHERE value > 0 GROUP BY venue),
@@ -160,11 +192,30 @@ ORACLES = {
     "stock_cover": f"""WITH {SERIES}, {STOCK}, w AS (SELECT item AS product, sum(qty) / (max(date) - min(date)) AS daily_pints FROM line_items WHERE NOT excluded AND item IS NOT NULL GROUP BY item),
       k AS (SELECT name AS product, CAST(sum(current) AS BIGINT) AS kegs, 88.0::DOUBLE AS pints_per_keg FROM stock GROUP BY name), j AS (SELECT product, kegs, pints_per_keg, daily_pints, kegs * pints_per_keg AS on_hand FROM k LEFT JOIN w USING (product))
       SELECT product, kegs, pints_per_keg, round(daily_pints, 6) AS daily_pints, on_hand, round(on_hand / nullif(daily_pints, 0), 6) AS days, on_hand / nullif(daily_pints, 0) < 5 AS reorder, CASE WHEN daily_pints > 0 THEN CAST(greatest(0, ceil((daily_pints * 12 - on_hand) / pints_per_keg)) AS BIGINT) END AS order_kegs FROM j""",
-    "venue_transfer": f"""WITH {SERIES}, d AS (SELECT *, isodow(date) AS dow, date - min(date) OVER (PARTITION BY venue) AS t FROM series), s AS (SELECT venue, dow, avg(value) AS m FROM d GROUP BY venue, dow), u AS (SELECT venue, dow, m / avg(m) OVER (PARTITION BY venue) AS s FROM s),
-      o AS (SELECT v.venue, dow, avg(s) AS s FROM (SELECT DISTINCT venue FROM d) v JOIN u ON u.venue <> v.venue GROUP BY v.venue, dow), shape AS (SELECT venue, dow, s / avg(s) OVER (PARTITION BY venue) AS shape FROM o),
-      g AS (SELECT * FROM d, (VALUES (14), (28), (56)) AS h(history)), l AS (SELECT venue, history, avg(value) AS level FROM g WHERE t < history GROUP BY venue, history), n AS (SELECT venue, history, dow, avg(value) AS naive FROM g WHERE t < history AND t >= history - 7 GROUP BY venue, history, dow)
-      SELECT venue, history, round(avg(abs(value - level * shape)), 4) AS mae_donor, round(avg(abs(value - naive)), 4) AS mae_naive, round(avg(abs(value - level * shape)), 4) < round(avg(abs(value - naive)), 4) AS wins
-      FROM g JOIN l USING (venue, history) JOIN shape USING (venue, dow) JOIN n USING (venue, history, dow) WHERE t >= history AND t < history + 28 GROUP BY venue, history""",
+    "venue_transfer": f"""WITH {SERIES}, d AS (SELECT *, isodow(date) AS dow FROM series), s AS (SELECT venue, dow, avg(value) AS m FROM d GROUP BY venue, dow),
+      u AS (SELECT venue, dow, m / avg(m) OVER (PARTITION BY venue) AS s FROM s),
+      o AS (SELECT v.venue, dow, avg(s) AS s FROM (SELECT DISTINCT venue FROM d) v JOIN u ON u.venue <> v.venue GROUP BY v.venue, dow),
+      shape AS (SELECT venue, dow, s / avg(s) OVER (PARTITION BY venue) AS shape FROM o),
+      a AS (SELECT venue, min(date) AS a, max(date) AS b FROM d WHERE value > 0 GROUP BY venue),
+      g AS (SELECT venue, date, value, dow, date - a AS t, history FROM d JOIN a USING (venue), (VALUES (14), (21), (28), (42), (56)) AS h(history) WHERE date BETWEEN a AND b),
+      l AS (SELECT venue, history, avg(value) AS level FROM g WHERE t < history GROUP BY venue, history),
+      e AS (SELECT x.venue, x.history, avg(abs(x.value - y.value)) AS scale FROM g x JOIN g y ON y.venue = x.venue AND y.history = x.history AND y.t = x.t - 7 WHERE x.t < x.history GROUP BY x.venue, x.history),
+      n AS (SELECT venue, history, dow, value AS naive FROM g WHERE t < history AND t >= history - 7),
+      r AS (SELECT venue, history, count(*) AS n, round(any_value(level), 1) AS anchor, round(avg(abs(value - level * shape)) / any_value(scale), 6) AS mase_transfer, round(avg(abs(value - naive)) / any_value(scale), 6) AS mase_naive
+            FROM g JOIN l USING (venue, history) JOIN e USING (venue, history) JOIN shape USING (venue, dow) JOIN n USING (venue, history, dow) WHERE t >= history GROUP BY venue, history)
+      SELECT *, mase_transfer < mase_naive AS wins FROM r""",
+    "node_series": f"WITH {_NODES} SELECT * FROM nodes",
+    "node_quantiles": f"""WITH {_NODES}, v AS (SELECT venue, node, date, value, isodow(date) AS dow, max(date) OVER (PARTITION BY venue) - 56 AS edge FROM nodes),
+      t AS (SELECT * FROM v WHERE date < edge AND node <> 'VENUE'), m AS (SELECT venue, node, dow, median(value) AS yhat FROM t GROUP BY venue, node, dow),
+      s AS (SELECT venue, node, list(abs(value - yhat) ORDER BY abs(value - yhat)) AS l FROM t JOIN m USING (venue, node, dow) GROUP BY venue, node)
+      SELECT venue, node, level, len(l) AS n, round(l[CAST(least(ceil((len(l) + 1) * level), len(l)) AS INTEGER)], 4) AS q FROM s, (VALUES (0.8::DOUBLE), (0.9::DOUBLE)) AS h(level)""",
+    "standby_band": f"""WITH {RESIDUALS}, a AS (SELECT venue, max(date) FILTER (WHERE value > 0) AS b, max(date) AS z FROM series GROUP BY venue), c AS (SELECT venue, b FROM a WHERE b < (SELECT max(z) FROM a)),
+      y AS (SELECT venue, isodow(date) AS dow, greatest(median(value), 0) AS yhat FROM series JOIN c USING (venue) WHERE date <= b GROUP BY venue, isodow(date)),
+      s AS (SELECT venue, isodow(date) <= 2 AS early, list(score ORDER BY score) AS l FROM residuals JOIN c USING (venue) WHERE date <= b GROUP BY venue, isodow(date) <= 2),
+      q AS (SELECT venue, early, l[CAST(least(ceil((len(l) + 1) * 0.9::DOUBLE), len(l)) AS INTEGER)] AS q FROM s),
+      f AS (SELECT venue, CAST(b + CAST(k + 1 AS INTEGER) AS DATE) AS date FROM c, range(28) AS r(k))
+      SELECT f.venue, date, 0.9::DOUBLE AS level, round(yhat, 4) AS yhat, round(greatest(yhat - q, 0), 4) AS lo, round(yhat + q, 4) AS hi
+      FROM f JOIN y ON y.venue = f.venue AND y.dow = isodow(date) JOIN q ON q.venue = f.venue AND q.early = (isodow(date) <= 2)""",
     "residual_stream": f"WITH {_STREAM} SELECT venue, date, actual, round(expected, 4) AS expected, round(scale, 4) AS scale, round(raw, 4) AS z FROM stream",
     "deviations": f"WITH {_STREAM}, {_DEVIATIONS} SELECT * FROM deviations",
     "cusum_alarms": f"WITH RECURSIVE {_STREAM}, {_CUSUM} SELECT venue, alarm, onset, direction, round(stat, 4) AS stat FROM cusum",
