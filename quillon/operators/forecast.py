@@ -7,15 +7,16 @@ Sequential models run in applyInPandas for a venue's fold: a daily series of a f
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.conventions import dow_monday, median, safe_ratio
 from quillon.operators.features import history_features
-from quillon.operators.metrics import conformal_quantiles, error_metrics, mase_scale
+from quillon.operators.metrics import conformal_quantiles, conformal_quantiles_at, error_metrics, mase_scale
 
 FORECAST = "venue string, fold int, date date, y double, yhat double"
 
@@ -92,26 +93,54 @@ def grouped(folds: DataFrame, model: Callable[[np.ndarray, int], np.ndarray]) ->
     return folds.groupBy("venue", "fold").applyInPandas(run, FORECAST)
 
 
-def boosted_trees(folds: DataFrame, *, trees: int = 20, depth: int = 4) -> DataFrame:
-    """Gradient-boosted trees (MLlib) over lags, rolling values and weekdays, pooled over venues; one model a fold, cut at the fold's end.
+def _recent(values: Column) -> dict[str, Column]:
+    """The inputs that history_features has for a day, from the array of up to 28 values before it (latest last)."""
+    n, held = F.size(values), F.array_sort(values)
+    middle = (F.try_element_at(held, F.ceil(n / 2).cast("int")) + F.try_element_at(held, (F.floor(n / 2) + 1).cast("int"))) / 2
+    mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / n
+    return {"lag_7": F.try_element_at(values, F.lit(-7)), "lag_14": F.try_element_at(values, F.lit(-14)), "roll_mean_28": F.when(n >= 7, F.round(mean, 6)), "roll_median_28": F.when(n >= 7, F.round(middle, 6))}
 
-    A horizon of 7 days needs no recursion: lag_7 is known for each of its days; the 28-day values are those of the last training day.
+
+def boosted_trees(folds: DataFrame, *, trees: int = 20, depth: int = 4, rate: float = 0.1, horizon: int = 7) -> DataFrame:
+    """Gradient-boosted trees (MLlib) over lags, rolling values, weekdays and the venue (one-hot), pooled over venues; one model a fold, cut at the fold's end.
+
+    Forecasts are recursive: each day's inputs hold the predictions of the days before it, at least 0. A venue's fold is one
+    row with its last 28 values, so that the days of the horizon are narrow steps without a shuffle.
     """
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
+    from pyspark.util import inheritable_thread_target
 
-    wide = folds.withColumn("_v", F.when(F.col("role") == "train", F.col("value")))
-    f = history_features(wide, ["venue", "fold"], "_v").withColumns({f"d{i}": (dow_monday("date") == i).cast("double") for i in range(7)}).withColumn("venue_no", F.pmod(F.xxhash64("venue"), F.lit(997)).cast("double"))
-    f = f.na.fill(0.0, ["lag_7", "lag_14", "roll_mean_28", "roll_median_28"])
-    inputs = ["lag_7", "lag_14", "roll_mean_28", "roll_median_28", "venue_no", *(f"d{i}" for i in range(7))]
-    f = VectorAssembler(inputCols=inputs, outputCol="x").transform(f)
+    lags = ["lag_7", "lag_14", "roll_mean_28", "roll_median_28"]
+    weekdays = lambda d: {f"d{i}": (dow_monday(d) == i).cast("double") for i in range(7)}
+    train = folds.where("role = 'train'")
+    rows = history_features(train, ["venue", "fold"], "value").withColumns(weekdays("date")).na.fill(0.0, lags)
+    prepare = Pipeline(stages=[
+        StringIndexer(inputCol="venue", outputCol="_venue_no", handleInvalid="keep"), OneHotEncoder(inputCol="_venue_no", outputCol="_venue_hot", dropLast=False), VectorAssembler(inputCols=[*lags, *(f"d{i}" for i in range(7)), "_venue_hot"], outputCol="x"),
+    ]).fit(rows)
+    ready = prepare.transform(rows).select("fold", "x", "value")
+    end = train.groupBy("venue", "fold").agg(F.max("date").alias("_end"))
+    last = train.join(end, ["venue", "fold"]).where(F.datediff("_end", "date") < 28)
+    start = last.groupBy("venue", "fold", "_end").agg(F.array_sort(F.collect_list(F.struct("date", "value"))).alias("_h"))  # 28 values
+    start = start.select("venue", "fold", "_end", F.transform("_h", lambda x: x["value"].cast("double")).alias("_past"), F.array().cast("array<double>").alias("_path"))
+    test = folds.where("role = 'test'").select("venue", "fold", "date", F.col("value").alias("y"))
+    gbt = GBTRegressor(featuresCol="x", labelCol="value", predictionCol="_y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=7)
+    numbers = sorted(r[0] for r in folds.select("fold").distinct().collect())  # a handful of folds
+    ready.persist()
+    with ThreadPoolExecutor(max(1, min(len(numbers), 6))) as pool:  # trees are many small jobs: those of several folds share the cluster
+        models = list(pool.map(inheritable_thread_target(folds.sparkSession)(lambda k: gbt.fit(ready.where(F.col("fold") == k))), numbers))
+    ready.unpersist()
     out = None
-    for fold in [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]:  # a handful of folds
-        one = f.where(F.col("fold") == fold)
-        model = GBTRegressor(featuresCol="x", labelCol="value", predictionCol="yhat", maxIter=trees, maxDepth=depth, seed=7).fit(one.where("role = 'train'"))
-        got = model.transform(one.where("role = 'test'")).select("venue", "fold", "date", F.col("value").alias("y"), F.greatest("yhat", F.lit(0.0)).alias("yhat"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    for fold, model in zip(numbers, models, strict=True):
+        state = start.where(F.col("fold") == fold)
+        for step in range(1, horizon + 1):
+            inputs = state.withColumns(_recent(F.col("_past")) | weekdays(F.date_add("_end", step))).na.fill(0.0, lags)
+            got = model.transform(prepare.transform(inputs)).withColumn("_y", F.greatest("_y", F.lit(0.0)))
+            state = got.select("venue", "fold", "_end", F.concat(F.slice("_past", -27, 27), F.array("_y")).alias("_past"), F.concat("_path", F.array("_y")).alias("_path"))
+        out = state if out is None else out.unionByName(state)
+    days = out.select("venue", "fold", "_end", F.posexplode("_path").alias("_k", "yhat"))
+    return days.select("venue", "fold", F.date_add("_end", F.col("_k") + 1).alias("date"), "yhat").join(test, ["venue", "fold", "date"]).select("venue", "fold", "date", "y", "yhat")
 
 
 #: Rungs by name: the number of the rung, and the model. Models whose libraries are not installed are reported unavailable.
@@ -186,10 +215,7 @@ def node_bands(series: DataFrame, levels: tuple[float, ...] = (0.8, 0.9), test_w
     middle = train.groupBy(*keys, "dow").agg(median("value").alias("yhat"))
     left = train.join(middle, [*keys, "dow"]).withColumn("score", F.abs(F.col("value") - F.col("yhat")))
     scores = left.where("node <> 'VENUE'").select(*keys, "score")
-    quantiles = None
-    for level in levels:
-        one = conformal_quantiles(scores, keys, level).withColumn("level", F.lit(level))
-        quantiles = one if quantiles is None else quantiles.unionByName(one)
+    quantiles = conformal_quantiles_at(scores, keys, levels)
     variance = left.groupBy(*keys).agg(F.var_pop(F.col("value") - F.col("yhat")).alias("variance"))
     test = rows.where("not _train").join(middle, [*keys, "dow"]).join(variance, keys)
     coherent = reconcile(test.select("venue", "date", "node", "parent", "yhat", "variance"))

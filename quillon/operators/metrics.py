@@ -36,11 +36,17 @@ def interval_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def conformal_quantiles(scores: DataFrame, keys: list[str], level: float, score: str = "score") -> DataFrame:
-    """(keys, n, q): the k-th least score with k = min(ceil((n + 1) * level), n), ranked by windows, so that no group is gathered."""
+def conformal_quantiles_at(scores: DataFrame, keys: list[str], levels: tuple[float, ...], score: str = "score") -> DataFrame:
+    """(keys, level, n, q): the k-th least score with k = min(ceil((n + 1) * level), n), ranked once by windows, so that no group is gathered."""
     w = Window.partitionBy(*keys)
     ranked = scores.where(F.col(score).isNotNull()).select(*keys, F.col(score).alias("q"), F.row_number().over(w.orderBy(score)).alias("_r"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("_r") == F.least(F.ceil((F.col("n") + 1) * F.lit(level)), F.col("n"))).select(*keys, "n", "q")
+    at = ranked.withColumn("level", F.explode(F.array(*(F.lit(x) for x in levels))))
+    return at.where(F.col("_r") == F.least(F.ceil((F.col("n") + 1) * F.col("level")), F.col("n"))).select(*keys, "level", "n", "q")
+
+
+def conformal_quantiles(scores: DataFrame, keys: list[str], level: float, score: str = "score") -> DataFrame:
+    """(keys, n, q) at one level."""
+    return conformal_quantiles_at(scores, keys, (level,), score).drop("level")
 
 
 def mondrian_quantiles(scores: DataFrame, keys: list[str], group: str, level: float) -> DataFrame:

@@ -36,7 +36,7 @@ def weekday_forecast(s: SparkSession, p: str) -> DataFrame:
 
 
 def ladder_scores(s: SparkSession, p: str) -> DataFrame:
-    return forecast.evaluate(_folds(s, p), ["seasonal_naive", "robust_weekday", "holt_winters", "decomposed"], {"AMERICA": 1})
+    return forecast.evaluate(_folds(s, p), ["seasonal_naive", "robust_weekday", "holt_winters", "decomposed", "boosted_trees"], {"AMERICA": 1})
 
 
 def ladder_best(s: SparkSession, p: str) -> DataFrame:
@@ -44,7 +44,7 @@ def ladder_best(s: SparkSession, p: str) -> DataFrame:
 
 
 def boosted_scores(s: SparkSession, p: str) -> DataFrame:
-    return forecast.evaluate(features.rolling_origin(series_of(s, p), n_folds=1), ["boosted_trees"])
+    return forecast.evaluate(_folds(s, p), ["boosted_trees"])
 
 
 def _points(s: SparkSession, p: str) -> DataFrame:
