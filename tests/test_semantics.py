@@ -343,3 +343,72 @@ def test_best_section(spark):
     matched = spark.createDataFrame([(1, 10, 0.5), (1, 11, 0.2)], "id int, section_id int, dist double")
     sections = spark.createDataFrame([(1, 10, 0), (2, 21, 1), (2, 20, 0)], "id int, section_id int, position int")
     assert {r.id: r.section_id for r in retrieval.best_section(hits, matched, sections).collect()} == {1: 11, 2: 20, 3: None}
+
+
+def test_cost_summary_reasons(spark):
+    lines = "variation_id long, quantity long, gross_cents long"
+    costs = spark.createDataFrame([(1, 40)], "variation_id long, unit_cost long")
+    some = spark.createDataFrame([(1, 2, 300), (2, 1, 100)], lines)
+    row = pos.cogs_summary(some, costs).first()
+    assert (row["gross"], row["cogs"], row["coverage"], row["margin"], row["n_uncosted"], row["ask_percent"], row["no_data"]) == (400, 80, 50.0, 80.0, 1, False, None)
+    assert pos.cogs_summary(some, costs.where("false")).first()["no_data"] == "no-known-costs"
+    empty = pos.cogs_summary(some.where("false"), costs).first()
+    assert (empty["gross"], empty["coverage"], empty["margin"], empty["no_data"]) == (0, 0.0, None, "no-completed-orders")
+    unit = pos.item_unit_costs(spark.createDataFrame([(1, 3, 100), (1, 1, 103), (2, 5, 0), (3, 0, 9)], "variation_id long, quantity long, unit_cents long"))
+    assert [tuple(r) for r in unit.collect()] == [(1, 100)]
+
+
+def test_cost_from_percent(spark):
+    rows = spark.createDataFrame([(1000.0, 30.0), (0.25, 10.0), (-1.0, 30.0), (5.0, 100.5), (None, 30.0)], "g double, p double")
+    got = [tuple(r) for r in rows.select(*pos.cogs_from_percent(F.col("g"), F.col("p"))).collect()]
+    assert got[0] == (300.0, 70.0) and got[1] == (0.03, 90.0) and got[2] == (None, None) and got[3] == (None, None) and got[4][0] is None
+
+
+def test_loyalty_and_bookings(spark):
+    programs = spark.createDataFrame([("b", "ACTIVE", "stars", 2), ("a", "INACTIVE", None, 1)], "program_id string, status string, points_name string, position int")
+    accounts = spark.createDataFrame([(5,), (None,), (7,)], "balance long")
+    assert tuple(pos.loyalty_summary(programs, accounts).first()) == ("a", "INACTIVE", "points", 3, 12)
+    assert tuple(pos.loyalty_summary(programs.where("false"), accounts).first()) == (None, "NO_PROGRAM", None, 0, 0)
+    at = lambda d, h=0: datetime.datetime(2024, 1, d, h)
+    rows = spark.createDataFrame([(1, "ACCEPTED", at(2)), (1, "CANCELLED_BY_CUSTOMER", at(1, 1)), (1, None, at(8)), (1, "PENDING", at(9)), (1, "PENDING", at(1))], "location_id int, status string, start_at timestamp_ntz")
+    assert tuple(pos.booking_summary(rows, "2024-01-01 00:30:00").first()) == (1, 3, 1, 0, 1, at(1, 1))
+    assert pos.booking_summary(rows, "2024-01-01", 0).first()["n_upcoming"] == 2  # at least one hour
+
+
+def test_rota_counts_drafts_only_when_asked(spark):
+    version = "struct<member_id:int,job:string,location_id:int,start_at:timestamp_ntz,end_at:timestamp_ntz,is_deleted:boolean>"
+    one = lambda h, gone=False, member=1: f"named_struct('member_id', {member}, 'job', 'bar', 'location_id', 1, 'start_at', timestamp_ntz'2024-01-01 10:00:00', 'end_at', timestamp_ntz'2024-01-01 {h}:00:00', 'is_deleted', {gone})"
+    null = f"cast(null as {version})"
+    cells = [(one(12), one(13)), (one(11), null), (one(12), one(12, True)), (null, one("09")), (null, one(11, member=2))]
+    rows = spark.sql(" UNION ALL ".join(f"SELECT {i} AS shift_id, {d} AS draft, {p} AS published" for i, (d, p) in enumerate(cells)))
+    wages = spark.createDataFrame([(1, None, 1001)], "member_id int, job string, rate_cents long")
+    assert tuple(pos.scheduled_labour(rows, wages, "2024-01-01", "2024-01-02").first()) == (1, 2, 4.0, 3003, 50.0, 1)
+    assert tuple(pos.scheduled_labour(rows, wages, "2024-01-01", "2024-01-02", drafts=True).first()) == (1, 3, 5.0, 4004, 66.67, 1)
+
+
+def test_inputs_of_a_recursive_day_are_those_of_history(spark):
+    for n in (5, 8, 40):
+        values = [float((i * 37) % 11) for i in range(n)]
+        days = [("v", datetime.date(2024, 1, 1) + datetime.timedelta(i), x) for i, x in enumerate([*values, None])]
+        want = features.history_features(spark.createDataFrame(days, "venue string, date date, value double"), ["venue"]).orderBy(F.desc("date")).first()
+        got = spark.createDataFrame([(values[-28:],)], "past array<double>").select(*(c.alias(k) for k, c in forecast._recent(F.col("past")).items())).first()
+        assert all(got[k] == want[k] for k in ("lag_7", "lag_14", "roll_mean_28", "roll_median_28"))
+
+
+def test_other_is_clipped_on_each_day(spark):
+    rows = [("v", "c", "a", "2024-01-01", 50.0), ("v", "c", "b", "2024-01-01", -9.0), ("v", "c", "b", "2024-01-03", 4.0), ("v", "d", "x", "2024-01-02", 1.0)]
+    days = spark.createDataFrame(rows, "venue string, category string, item string, date string, revenue double").selectExpr("venue", "category", "item", "to_date(date) AS date", "revenue")
+    got = {(r["node"], r["date"].day): r["value"] for r in layers.node_series(days, k=1).collect()}
+    assert [got[("ITEM::c::OTHER", d)] for d in (1, 2, 3)] == [0.0, 0.0, 4.0]
+    assert [got[("VENUE", d)] for d in (1, 2, 3)] == [41.0, 1.0, 4.0] and len(got) == 3 * 6
+
+
+def test_standby_band_of_a_closed_venue(spark):
+    day = lambda i: datetime.date(2024, 1, 1) + datetime.timedelta(i)  # noqa: E731, a Monday
+    series = spark.createDataFrame([("v", day(i), float(i % 7 * 10)) for i in range(28)], "venue string, date date, value double")
+    scores = spark.createDataFrame([("v", day(i), float(i)) for i in range(28)], "venue string, date date, score double")
+    closed = spark.createDataFrame([("v",)], "venue string")
+    rows = forecast.standby_band(series, scores, closed).orderBy("date").collect()
+    assert [r["date"] for r in rows] == [day(28 + i) for i in range(28)]
+    assert (rows[0]["yhat"], rows[0]["lo"], rows[0]["hi"]) == (0.0, 0.0, 22.0)  # Mondays and Tuesdays: the greatest of eight scores
+    assert (rows[3]["yhat"], rows[3]["lo"], rows[3]["hi"]) == (30.0, 4.0, 56.0)  # the rest: the nineteenth of twenty
