@@ -30,11 +30,11 @@ def words(text: Column) -> Column:
 
 
 def features(found: Column, longest: int = 1) -> Column:
-    """All runs of 1 to `longest` consecutive words, joined by a space."""
-    runs = [found]
+    """All runs of 1 to `longest` consecutive words, joined by a space. found must be a column, not an expression to be evaluated again."""
+    runs, n = [found], F.size(found)
     for k in range(2, longest + 1):
-        starts = F.when(F.size(found) >= k, F.sequence(F.lit(1), F.size(found) - k + 1)).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, k=k: F.array_join(F.slice(found, i, k), " ")))
+        left = F.greatest(n - k + 1, F.lit(0))
+        runs.append(F.zip_with(F.slice(runs[-1], F.lit(1), left), F.slice(found, F.lit(k), left), lambda a, b: F.concat_ws(" ", a, b)))
     return F.concat(*runs) if longest > 1 else found
 
 
@@ -44,7 +44,8 @@ def buckets(found: Column, longest: int = 1, of: int = BUCKETS) -> Column:
 
 def bucket_counts(texts: DataFrame, text_col: str = "text", longest: int = 1, of: int = BUCKETS) -> dict[int, int]:
     """How many features of all texts fall into each bucket: at most `of` numbers, added up in the tasks before they meet."""
-    each = texts.select(F.explode(buckets(words(F.col(text_col)), longest, of)).alias("b"))
+    cut = texts.select(words(F.col(text_col)).alias("_w"))  # a column of its own: inside a lambda it would be cut anew for every run
+    each = cut.select(F.explode(buckets(F.col("_w"), longest, of)).alias("b"))
     return dict(each.groupBy("b").agg(F.count("*").alias("n")).collect())
 
 
