@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat, decontaminate, dedup, language, packing, pii, quality, resample, rules, trie, urls, wavelet
+from quillon.llm import chat, decontaminate, dedup, language, packing, pii, quality, resample, rules, toxicity, trie, urls, wavelet
 
-MODULES = [pii, chat, urls, wavelet, quality, rules, packing, decontaminate, language, dedup, resample, trie]
+MODULES = [pii, chat, urls, wavelet, quality, rules, packing, decontaminate, language, dedup, resample, trie, toxicity]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
