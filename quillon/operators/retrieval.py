@@ -228,6 +228,33 @@ def find(recalled: list[DataFrame], *, limit: int, least: float = 0.3, most: int
     return keep_relevant(fetched, least).orderBy(*order).limit(limit).crossJoin(F.broadcast(top))  # one row
 
 
+#: Chunks of the pool, sections kept of an entity, and entities recalled by their own vector (fixed values).
+CHUNK_POOL, TOP_SECTIONS, CANDIDATES = 200, 2, 50
+
+
+def vector_paths(
+    chunks: DataFrame, entities: DataFrame, query: list[float], *,
+    pool: int = CHUNK_POOL, sections: int = TOP_SECTIONS, candidates: int = CANDIDATES,
+) -> DataFrame:
+    """(entity, section, similarity, path, rank): what three vector paths recall for one query.
+
+    chunks (chunk, entity, section, embedding) give the pool of nearest chunks, and of each entity its best sections. Entities
+    (entity, chunked, embedding) without chunks by design come by their own vector; so do those that have chunks, but none in
+    the pool, so that an entity with very many chunks can't hide the others. Ranks count over all paths.
+    """
+    near = nearest(chunks, query, pool, id_col="chunk").groupBy("entity", "section").agg(F.max("similarity").alias("similarity"))
+    hits = best_per_group(near, "entity", [F.desc("similarity"), F.col("section")], sections)
+    seen = hits.select("entity").distinct()
+    own = lambda rows: nearest(rows, query, candidates, id_col="entity")
+    plain, missed = own(entities.where(~F.col("chunked"))), own(entities.where("chunked").join(F.broadcast(seen), "entity", "left_anti"))
+    none = F.lit(None).cast(chunks.schema["section"].dataType).alias("section")
+    rows = hits.select("entity", "section", "similarity", F.lit("chunks").alias("path"))
+    for found, path in ((plain, "entities"), (missed, "fallback")):
+        rows = rows.unionByName(found.select("entity", none, "similarity", F.lit(path).alias("path")))
+    order = [F.desc("similarity"), "entity", F.col("section").asc_nulls_first()]
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # a few hundred rows
+
+
 def best_section(hits: DataFrame, matched: DataFrame, sections: DataFrame) -> DataFrame:
     """hits (id, ...) with section_id: the nearest of the id's matched sections (id, section_id, dist), else its first section (id, section_id, position), else null. Each side is reduced to a row for an id before it is joined."""
     near = matched.groupBy("id").agg(F.min_by("section_id", F.struct("dist", "section_id")).alias("_near"))

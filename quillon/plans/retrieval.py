@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillon.operators import retrieval as r
 from quillon.operators import tabular
+from quillon.operators.postings import TextIndex
+from quillon.operators.vector_index import VectorIndex
+from quillon.sources.store import shared_folder
 from quillon.sources.views import MESSAGES, messages, table
 
 #: A fixed query vector of the embeddings' width, and query words.
@@ -53,7 +56,59 @@ def found(s: SparkSession, p: str) -> DataFrame:
     return r.find([*paths, lexical.select("id", F.lit(None).cast("double").alias("similarity"), F.col("rank").alias("bm25_rank"))], limit=30)
 
 
+def _index(s: SparkSession, p: str) -> VectorIndex:
+    return VectorIndex.build(table(s, p, "embeddings"), shared_folder(s, "vectors"))
+
+
+def vector_neighbours(s: SparkSession, p: str) -> DataFrame:
+    """The ten nearest of all vectors to every twentieth one, through the index with all cells probed: exact."""
+    index = _index(s, p)
+    return index.search(table(s, p, "embeddings").where("vec_id % 20 = 0"), 10, probes=max(1, len(index.centre)))
+
+
+def vector_index_recall(s: SparkSession, p: str) -> DataFrame:
+    """For every twentieth vector how many of its ten nearest the index finds with the probes that its own measurement asks for."""
+    index = _index(s, p)
+    asked = table(s, p, "embeddings").where("vec_id % 20 = 0")
+    true = index.search(asked, 10, probes=max(1, len(index.centre))).select("query", "id")
+    found = index.search(asked, 10, recall=0.95).select("query", "id", F.lit(1).alias("hit"))
+    counts = true.join(found, ["query", "id"], "left").groupBy("query").agg(F.count("*").alias("neighbours"), F.count("hit").alias("found"))
+    return counts.select(
+        F.col("query").alias("vec_id"), "neighbours", "found", (F.col("found") / F.col("neighbours")).alias("recall"),
+        F.lit(len(index.centre)).alias("cells"), F.lit(index.probes_for(0.95)).alias("probes"),
+    )
+
+
+def vector_paths(s: SparkSession, p: str) -> DataFrame:
+    """Six vectors stand for the chunks of an entity, two for a section; the first is the entity's own. Every third entity has no chunks."""
+    vectors = table(s, p, "embeddings")
+    entity = F.floor(F.col("vec_id") / 6)
+    chunked = entity % 3 != 0
+    chunks = vectors.where(chunked).select(F.col("vec_id").alias("chunk"), entity.alias("entity"), F.floor(F.col("vec_id") / 2).alias("section"), "embedding")
+    own = vectors.where("vec_id % 6 = 0").select(entity.alias("entity"), chunked.alias("chunked"), "embedding")
+    return r.vector_paths(chunks, own, QUERY_VECTOR, pool=40, candidates=15)
+
+
+#: Words that texts of one language share, and the fields they are sought in: source, first line, text.
+COVER_TEXT = "the and of"
+
+
+def _titled(s: SparkSession, p: str) -> DataFrame:
+    first = F.element_at(F.split("text", "\n"), 1)
+    return table(s, p, "documents").select("doc_id", F.col("source").alias("title"), first.alias("summary"), "text")
+
+
+def cover_density(s: SparkSession, p: str) -> DataFrame:
+    """All documents with every word of a query, by cover density over postings of title, summary and text."""
+    index = TextIndex.build(_titled(s, p), shared_folder(s, "postings"), ["title", "summary", "text"], id_col="doc_id")
+    return index.search(COVER_TEXT)
+
+
 QUERIES = {
+    "cover_density": cover_density,
+    "vector_neighbours": vector_neighbours,
+    "vector_index_recall": vector_index_recall,
+    "vector_paths": vector_paths,
     "tabular_types": lambda s, p: tabular.infer_types(_sheet(s, p)),
     "tabular_group": lambda s, p: _run(s, p, tabular.Query(where=[("type", "contains", "a")], group_by="Type", aggregate=("sum", "unit price"), limit=5)),
     "tabular_total": lambda s, p: _run(s, p, tabular.Query(where=[("unit price", "gte", "£1,000")], aggregate=("avg", "size"))),
@@ -80,7 +135,42 @@ _BM25 = f"""w AS (SELECT doc_id, {_WORDS.format("text")} AS a, {_WORDS.format("s
   z AS (SELECT count(*) AS c, avg(n) AS mean, {", ".join(f"count(*) FILTER (WHERE t{i} > 0) AS d{i}" for i in range(3))} FROM t),
   lexical AS (SELECT doc_id, round({" + ".join(f"ln(1 + (c - d{i} + 0.5::DOUBLE) / (d{i} + 0.5::DOUBLE)) * t{i} * 2.2::DOUBLE / (t{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))" for i in range(3))}, 6) AS score FROM t, z WHERE t0 > 0 OR t1 > 0 OR t2 > 0)"""
 _BM25_TEXT = _BM25.replace("len(a) + len(b)", "len(a)").replace(" + 0.5::DOUBLE * len(list_filter(b,", " + 0::DOUBLE * len(list_filter(b,")
+_FIELDS = [_WORDS.format(f"coalesce({c}, '')") for c in ("source", "string_split(text, chr(10))[1]", "text")]
 ORACLES = {
+    "cover_density": f"""WITH
+      w AS (
+        SELECT doc_id AS doc, unnest(list_concat(
+          list_transform({_FIELDS[0]}, lambda t: {{'t': t, 'w': 1.0}}),
+          list_transform({_FIELDS[1]}, lambda t: {{'t': t, 'w': 0.4}}),
+          list_transform({_FIELDS[2]}, lambda t: {{'t': t, 'w': 0.2}}))) AS x, generate_subscripts(list_concat(
+          {_FIELDS[0]}, {_FIELDS[1]}, {_FIELDS[2]}), 1) AS pos FROM documents),
+      e AS (SELECT doc, pos, x.t AS t, 1 / x.w::DOUBLE AS inv, row_number() OVER (PARTITION BY doc ORDER BY pos) AS i FROM w WHERE x.t IN ('the', 'and', 'of')),
+      l AS (
+        SELECT *, sum(inv) OVER o AS upto, max(i) FILTER (t = 'the') OVER o AS a, max(i) FILTER (t = 'and') OVER o AS b, max(i) FILTER (t = 'of') OVER o AS c
+        FROM e WINDOW o AS (PARTITION BY doc ORDER BY i)),
+      f AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL THEN least(a, b, c) END AS first FROM l),
+      g AS (SELECT *, lag(first) OVER (PARTITION BY doc ORDER BY i) AS was FROM f),
+      covers AS (
+        SELECT q.doc, (q.i - q.first + 1) / (q.upto - p.upto + p.inv) / (1 + (q.pos - p.pos) - (q.i - p.i)) AS worth
+        FROM g q JOIN g p ON p.doc = q.doc AND p.i = q.first WHERE q.first IS NOT NULL AND q.first IS DISTINCT FROM q.was)
+      SELECT doc, round(sum(worth), 9) AS score, CAST(count(*) AS INTEGER) AS covers FROM covers GROUP BY doc""",
+    "vector_neighbours": """
+      SELECT a.vec_id AS query, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity,
+        CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY similarity DESC, b.vec_id) AS INTEGER) AS rank
+      FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 10""",
+    "vector_paths": f"""WITH {_NEAR},
+      n AS (SELECT vec_id, vec_id // 6 AS entity, vec_id // 2 AS section, similarity FROM near WHERE similarity IS NOT NULL),
+      pool AS (SELECT * FROM n WHERE entity % 3 <> 0 ORDER BY similarity DESC, vec_id LIMIT 40),
+      best AS (SELECT entity, section, max(similarity) AS similarity FROM pool GROUP BY entity, section),
+      hits AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY entity ORDER BY similarity DESC, section) <= 2),
+      own AS (SELECT entity, similarity FROM n WHERE vec_id % 6 = 0),
+      united AS (
+        SELECT entity, section, similarity, 'chunks' AS path FROM hits
+        UNION ALL SELECT * FROM (SELECT entity, NULL, similarity, 'entities' FROM own WHERE entity % 3 = 0 ORDER BY similarity DESC, entity LIMIT 15)
+        UNION ALL SELECT * FROM (
+          SELECT entity, NULL, similarity, 'fallback' FROM own
+          WHERE entity % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.entity = own.entity) ORDER BY similarity DESC, entity LIMIT 15))
+      SELECT *, CAST(row_number() OVER (ORDER BY similarity DESC, entity, section NULLS FIRST) AS INTEGER) AS rank FROM united""",
     "tabular_types": "SELECT 'parts' AS doc_id, name, inferred FROM (VALUES ('Name', 'string'), ('Type', 'string'), ('Unit_Price', 'number'), ('size', 'number')) AS x(name, inferred)",
     "tabular_group": f"WITH {_SHEET} SELECT kind AS key, round(sum(price), 6) AS value FROM sheet WHERE contains(lower(kind), 'a') GROUP BY kind ORDER BY value DESC, key LIMIT 6",
     "tabular_total": f"WITH {_SHEET} SELECT round(avg(size), 6) AS value FROM sheet WHERE price >= 1000",

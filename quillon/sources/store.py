@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share; a local session without one gets a temporary folder."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = found.get() if found.isDefined() else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-quillon-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 class Store:
     """Parquet tables under a folder that all executors share. Each table's _current file names the folders in use, one in a line."""
 
