@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillon.operators import refresh as r
 from quillon.plans.layers import L1, l1_daily
-from quillon.sources.store import merged, read_bands
+from quillon.sources.store import merged, read_bands, shared_folder
+from quillon.streaming import stateful
 from quillon.sources.views import STOCK, TASKS, stock, tasks
 
 EARLY = "1996-06-30"
@@ -32,7 +33,34 @@ def accepted_days(s: SparkSession, p: str) -> DataFrame:
     return r.accept_new(days, held)
 
 
+def _replayed(s: SparkSession, p: str, decide) -> DataFrame:
+    """What a stream over all events decides, in as many micro-batches as there are files, once it has caught up."""
+    path, out = f"{p}/events.parquet", shared_folder(s, "decided")
+    rows = s.readStream.schema(s.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(f"{path}*")  # a pattern: the table may be one file
+    # rows of one time are taken in the order of their numbers
+    lean = rows.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.lpad(F.col("event_id").cast("string"), 19, "0").alias("tag"))
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    was = s.conf.get(setting)
+    stateful.use_keyed_state(s)
+    try:
+        sink = decide(lean).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.set(setting, was)
+    return s.read.parquet(out).withColumn("event_id", F.col("tag").cast("long"))
+
+
+def throttle_stream(s: SparkSession, p: str) -> DataFrame:
+    return _replayed(s, p, lambda rows: stateful.throttled(rows, "key", most=2, seconds=86_400, wait=False)).select("event_id", "allowed", "in_window", "reply")
+
+
+def sightings_stream(s: SparkSession, p: str) -> DataFrame:
+    return _replayed(s, p, lambda rows: stateful.first_sightings(rows, "key", hours=72, wait=False)).select("event_id", "fresh")
+
+
 QUERIES = {
+    "throttle_stream": throttle_stream,
+    "sightings_stream": sightings_stream,
     "upserted": upserted,
     "accepted_days": accepted_days,
     "served_bands": lambda s, p: read_bands(*_forecasts(s, p)),
@@ -45,7 +73,28 @@ QUERIES = {
     "rate_limited": lambda s, p: r.rate_limited(s.read.parquet(f"{p}/events.parquet").select("event_id", F.col("user_id").alias("key"), F.col("ts").alias("at")), most=2, seconds=86_400).select("event_id", "allowed"),
 }
 _BANDS = f"{L1}, f AS (SELECT venue, 'L1' AS layer, CAST(NULL AS VARCHAR) AS key, date + 7 AS target_date, 'naive' AS model, revenue AS yhat FROM l1)"
+#: Every user's events in order, in microseconds. Of the throttle's state the last two allowed hits and the last answer are carried.
+_EVENTS = "e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
+_DAY = "86400000000"
 ORACLES = {
+    "throttle_stream": f"""WITH RECURSIVE {_EVENTS},
+      f AS (
+        SELECT event_id, user_id, k, true AS allowed, 1 AS in_window, false AS reply, CAST(NULL AS BIGINT) AS a, t AS b, CAST(NULL AS BIGINT) AS answered FROM e WHERE k = 1
+        UNION ALL
+        SELECT event_id, user_id, k, ok, live + ok::INTEGER, NOT ok AND due, CASE WHEN ok THEN b ELSE a END, CASE WHEN ok THEN t ELSE b END, CASE WHEN NOT ok AND due THEN t ELSE answered END
+        FROM (
+          SELECT e.event_id, e.user_id, e.k, e.t, f.a, f.b, f.answered,
+            coalesce((e.t - f.a < {_DAY})::INTEGER, 0) + (e.t - f.b < {_DAY})::INTEGER AS live,
+            live < 2 AS ok, coalesce(e.t - f.answered > {_DAY} // 2, true) AS due
+          FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1))
+      SELECT event_id, allowed, in_window, reply FROM f""",
+    "sightings_stream": f"""WITH RECURSIVE {_EVENTS},
+      f AS (
+        SELECT event_id, user_id, k, true AS fresh, t AS last FROM e WHERE k = 1
+        UNION ALL
+        SELECT e.event_id, e.user_id, e.k, e.t - f.last >= 3 * {_DAY}, CASE WHEN e.t - f.last >= 3 * {_DAY} THEN e.t ELSE f.last END
+        FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+      SELECT event_id, fresh FROM f""",
     "upserted": f"""WITH {L1}, d AS (SELECT venue, CASE WHEN dow = 0 THEN NULL ELSE dow END AS key, date, revenue FROM l1) SELECT venue, key, date, CASE WHEN date >= DATE '1997-01-01' THEN 0.0::DOUBLE ELSE revenue END AS revenue FROM d""",
     "accepted_days": f"""WITH {L1}, m AS (SELECT venue, max(date) AS mark FROM l1 WHERE date <= DATE '{EARLY}' OR venue = 'ASIA' GROUP BY venue) SELECT l1.venue, date, units FROM l1 LEFT JOIN m USING (venue) WHERE mark IS NULL OR date > mark""",
     "served_bands": f"WITH {_BANDS} SELECT f.*, level::DOUBLE AS level, round(yhat * (1 - level::DOUBLE), 4) AS lo, round(yhat * (1 + level::DOUBLE), 4) AS hi FROM f, (VALUES (0.8), (0.9)) AS v(level)",
