@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillon.operators import refresh as r
 from quillon.plans.layers import L1, l1_daily
-from quillon.sources.store import merged, read_bands, shared_folder
+from quillon.sources import paged
+from quillon.sources.partitioned import PartedTable
+from quillon.sources.store import Store, merged, read_bands, shared_folder
 from quillon.streaming import stateful
 from quillon.sources.views import STOCK, TASKS, stock, tasks
 
@@ -58,7 +60,29 @@ def sightings_stream(s: SparkSession, p: str) -> DataFrame:
     return _replayed(s, p, lambda rows: stateful.first_sightings(rows, "key", hours=72, wait=False)).select("event_id", "fresh")
 
 
+def upserted_months(s: SparkSession, p: str) -> DataFrame:
+    """Daily rows parted by month; the days of one month are revised, and one part is written again."""
+    days = l1_daily(s, p).select("venue", "date", "revenue")
+    kept = PartedTable(Store(s, shared_folder(s, "store")), "days", F.date_format("date", "yyyy-MM"))
+    kept.upsert(days, ["venue", "date"])
+    before = {m: kept.folders(m) for m in kept.parts()}
+    kept.upsert(days.where("date between DATE'1997-01-01' and DATE'1997-01-31'").withColumn("revenue", F.lit(1.0)), ["venue", "date"])
+    again = [m for m in kept.parts() if kept.folders(m) != before.get(m)]
+    month = F.date_format("date", "yyyy-MM")
+    sums = kept.read().groupBy(month.alias("month")).agg(F.count("*").alias("days"), F.round(F.sum("revenue"), 2).alias("revenue"))
+    return sums.withColumn("written_again", F.col("month").isin(again))
+
+
+def paged_orders(s: SparkSession, p: str) -> DataFrame:
+    """Completed orders of two locations since a day, through the paged source: time, location and state are asked of the client."""
+    paged.register(s)
+    rows = s.read.format("paged_orders").option("path", f"{p}/orders.parquet").load()
+    return rows.where("created_at >= TIMESTAMP_NTZ'1996-03-01' and location_id in (1, 3) and state = 'COMPLETED'").drop("page")
+
+
 QUERIES = {
+    "upserted_months": upserted_months,
+    "paged_orders": paged_orders,
     "throttle_stream": throttle_stream,
     "sightings_stream": sightings_stream,
     "upserted": upserted,
@@ -77,6 +101,11 @@ _BANDS = f"{L1}, f AS (SELECT venue, 'L1' AS layer, CAST(NULL AS VARCHAR) AS key
 _EVENTS = "e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"
 _DAY = "86400000000"
 ORACLES = {
+    "upserted_months": f"""WITH {L1}, d AS (SELECT strftime(date, '%Y-%m') AS month, CASE WHEN month = '1997-01' THEN 1.0::DOUBLE ELSE revenue END AS revenue FROM l1)
+      SELECT month, count(*) AS days, round(sum(revenue), 2) AS revenue, month = '1997-01' AS written_again FROM d GROUP BY month""",
+    "paged_orders": """
+      SELECT o_orderkey AS order_id, o_custkey % 5 AS location_id, 'COMPLETED' AS state, o_orderdate AS created_at, CAST(round(o_totalprice * 100) AS BIGINT) AS total_cents, false AS truncated
+      FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 5 IN (1, 3) AND o_orderdate >= TIMESTAMP '1996-03-01'""",
     "throttle_stream": f"""WITH RECURSIVE {_EVENTS},
       f AS (
         SELECT event_id, user_id, k, true AS allowed, 1 AS in_window, false AS reply, CAST(NULL AS BIGINT) AS a, t AS b, CAST(NULL AS BIGINT) AS answered FROM e WHERE k = 1

@@ -59,14 +59,12 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(*(f"{self.root}/{name}/{p}" for p in parts))
 
-    def _write(self, name: str, df: DataFrame, kept: list[str]) -> None:
-        part = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}/{part}")
-        # the new pointer is written beside the old one and takes its place by a rename
-        fs, new = self._fs(f"{self._pointer(name)}-{part}")
+    def _put(self, name: str, text: str) -> None:
+        """Replace the pointer: the new one is written beside the old one and takes its place by a rename."""
+        fs, new = self._fs(f"{self._pointer(name)}-{uuid.uuid4().hex}")
         stream = fs.create(new, True)
         try:
-            stream.write(bytearray("\n".join([*kept, part]).encode()))
+            stream.write(bytearray(text.encode()))
         finally:
             stream.close()
         jvm = self.spark.sparkContext._jvm
@@ -75,6 +73,37 @@ class Store:
         over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(new, self._fs(self._pointer(name))[1], over)
 
+    def _write(self, name: str, df: DataFrame, kept: list[str]) -> None:
+        part = self.new_version()
+        df.write.parquet(f"{self.root}/{name}/{part}")
+        self._put(name, "\n".join([*kept, part]))
+
+    @staticmethod
+    def new_version() -> str:
+        return f"v-{uuid.uuid4().hex}"
+
+    def read_note(self, name: str) -> str:
+        """What a parted table keeps in place of a list of folders; empty where there is nothing."""
+        return " ".join(self._parts(name))
+
+    def write_note(self, name: str, text: str) -> None:
+        self._put(name, text)
+
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+    def folders_of(self, path: str, column: str) -> list[str]:
+        """The values of a column by which a folder is parted."""
+        return sorted(n.split("=", 1)[1] for n in self._names(path) if n.startswith(f"{column}="))
+
+    def versions(self, name: str) -> list[str]:
+        return sorted(n for n in self._names(f"{self.root}/{name}") if n.startswith("v-"))
+
+    def delete(self, path: str) -> None:
+        fs, p = self._fs(f"{self.root}/{path}")
+        fs.delete(p, True)
+
     def replace(self, name: str, df: DataFrame) -> None:
         """Write a new version, then move the pointer: readers see the old or the new one, never a part."""
         self._write(name, df, [])
