@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.calendar import is_bank_holiday, is_school_term, uni_phase
 from quillon.functions.cleaning import HAPPY_HOUR, NO_TRADE, PRICE_BREAK
 from quillon.functions.conventions import dow_monday
 
-#: Bank holidays of England and Wales by date (fixed values).
-BANK_HOLIDAYS = ("2024-01-01", "2024-03-29", "2024-04-01", "2024-05-06", "2024-05-27", "2024-08-26", "2024-12-25", "2024-12-26", "2025-01-01", "2025-04-18", "2025-04-21", "2025-05-05", "2025-05-26", "2025-08-25", "2025-12-25", "2025-12-26", "2026-01-01")
 #: School terms, as intervals (fixed values).
 SCHOOL_TERMS = (("2024-01-04", "2024-02-09"), ("2024-02-19", "2024-03-28"), ("2024-04-15", "2024-05-24"), ("2024-06-03", "2024-07-19"), ("2024-09-03", "2024-10-25"), ("2024-11-04", "2024-12-20"))
 
@@ -27,16 +26,31 @@ def term_changes(dates: DataFrame, intervals: tuple[tuple[str, str], ...] = SCHO
     return d.where(F.col("now") != F.col("next")).select("date", F.col("next").alias("into_term"))
 
 
-def calendar_features(days: DataFrame) -> DataFrame:
-    d = F.col("date")
-    dow = dow_monday("date")
+def calendar_features(days: DataFrame, *, price_break: str = PRICE_BREAK) -> DataFrame:
+    """days with flags and parts of their date; holidays and terms follow rules, for any year."""
+    d, dow = F.col("date"), dow_monday("date")
     flag = lambda c: c.cast("int")
     return days.select(
-        "*", dow.alias("dow_mon"), flag(dow >= 4).alias("is_weekend"), *(flag(dow == i).alias(f"dow_{i}") for i in range(7)), F.month(d).alias("month"), F.quarter(d).alias("quarter"), F.floor(F.month(d) % 12 / 3).cast("int").alias("season"), F.weekofyear(d).alias("iso_week"),
-        flag(dow.isin(*HAPPY_HOUR)).alias("is_happy_hour"), flag(dow.isin(*NO_TRADE)).alias("is_structural_zero"), flag(d.cast("string").isin(*BANK_HOLIDAYS)).alias("is_bank_holiday"), flag(d >= F.lit(PRICE_BREAK).cast("date")).alias("price_regime"), flag(in_intervals(d, SCHOOL_TERMS)).alias("is_school_term"),
+        "*", dow.alias("dow_mon"), flag(dow >= 4).alias("is_weekend"), *(flag(dow == i).alias(f"dow_{i}") for i in range(7)),
+        F.month(d).alias("month"), F.quarter(d).alias("quarter"), F.floor(F.month(d) % 12 / 3).cast("int").alias("season"), F.weekofyear(d).alias("iso_week"),
+        flag(dow.isin(*HAPPY_HOUR)).alias("is_happy_hour"), flag(dow.isin(*NO_TRADE)).alias("is_structural_zero"),
+        flag(is_bank_holiday(d)).alias("is_bank_holiday"), flag(d >= F.lit(price_break).cast("date")).alias("price_regime"),
+        flag(is_school_term(d)).alias("is_school_term"), uni_phase(d).alias("uni_phase"),
     )
 
 
+def with_exogenous(days: DataFrame, weather: DataFrame, happenings: DataFrame) -> DataFrame:
+    """days (venue, date, ...) with the weather of their venue (temp, null where unknown) and the highest rank of the events of their date (0: none).
+
+    Events (venue or null for all, date, rank) are reduced to a row for each venue and date before they are joined.
+    """
+    everywhere = happenings.where("venue is null").groupBy("date").agg(F.max("rank").alias("_all"))
+    own = happenings.where("venue is not null").groupBy("venue", "date").agg(F.max("rank").alias("_own"))
+    met = days.join(weather.groupBy("venue", "date").agg(F.max("temp").alias("temp")), ["venue", "date"], "left").join(own, ["venue", "date"], "left").join(everywhere, "date", "left")
+    rank = F.greatest(F.coalesce("_own", F.lit(0)), F.coalesce("_all", F.lit(0)))
+    return met.select(*days.columns, "temp", rank.alias("event_rank"), (rank > 0).cast("int").alias("has_event"))
+
+
 def history_features(series: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """lag_7, lag_14, and mean, median and spread of the 28 days before (null with fewer than 7). The series is dense."""
     w = Window.partitionBy(*keys).orderBy("date")

@@ -14,9 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.calendar import is_bank_holiday
 from quillon.functions.conventions import dow_monday, median, safe_ratio
+from quillon.operators.boosting import boosted_by_venue, dealt
 from quillon.operators.features import history_features
 from quillon.operators.metrics import conformal_quantiles, conformal_quantiles_at, error_metrics, mase_scale
+from quillon.operators.smoothing import smoothing_forecast, stl_forecast
 
 FORECAST = "venue string, fold int, date date, y double, yhat double"
 
@@ -31,56 +34,20 @@ def seasonal_naive(folds: DataFrame, season: int = 7) -> DataFrame:
     return test.withColumn("_d", back).join(past, ["venue", "fold", "_d"]).select("venue", "fold", "date", F.col("value").alias("y"), "yhat")
 
 
-def robust_weekday(folds: DataFrame, holidays: tuple[str, ...] = ()) -> DataFrame:
+def robust_weekday(folds: DataFrame, holiday: Callable[[Column], Column] = lambda d: F.lit(False)) -> DataFrame:
     """Weekday median times the month's index (clipped to 0.5 to 2) times the holiday factor (of three holidays or more; else 1)."""
-    train = folds.where("role = 'train'").withColumns({"_dow": dow_monday("date"), "_m": F.month("date"), "_h": F.col("date").cast("string").isin(*holidays) if holidays else F.lit(False)})
+    train = folds.where("role = 'train'").withColumns({"_dow": dow_monday("date"), "_m": F.month("date"), "_h": holiday(F.col("date"))})
     key = ["venue", "fold"]
     overall = train.groupBy(*key).agg(median("value").alias("overall"))
     dow = train.groupBy(*key, "_dow").agg(median("value").alias("dow"))
     index = train.groupBy(*key, "_m").agg(median("value").alias("m")).join(overall, key).select(*key, "_m", F.least(F.greatest(F.col("m") / F.greatest("overall", F.lit(1e-9)), F.lit(0.5)), F.lit(2.0)).alias("index"))
     ratio = train.where("_h").join(dow, [*key, "_dow"]).where("dow > 0").groupBy(*key).agg(F.count("*").alias("_n"), median(F.col("value") / F.col("dow")).alias("_f")).where("_n >= 3").select(*key, F.col("_f").alias("factor"))
-    test = folds.where("role = 'test'").withColumns({"_dow": dow_monday("date"), "_m": F.month("date"), "_h": F.col("date").cast("string").isin(*holidays) if holidays else F.lit(False)})
+    test = folds.where("role = 'test'").withColumns({"_dow": dow_monday("date"), "_m": F.month("date"), "_h": holiday(F.col("date"))})
     out = test.join(overall, key).join(dow, [*key, "_dow"], "left").join(index, [*key, "_m"], "left").join(ratio, key, "left")
     yhat = F.coalesce("dow", "overall") * F.coalesce("index", F.lit(1.0)) * F.when(F.col("_h"), F.coalesce("factor", F.lit(1.0))).otherwise(1.0)
     return out.select(*key, "date", F.col("value").alias("y"), yhat.alias("yhat"))
 
 
-def holt_winters(y: np.ndarray, horizon: int, season: int = 7) -> np.ndarray:
-    """Additive trend and season; smoothing constants from a small grid by squared one-step errors; not negative."""
-    n = len(y)
-    if n < 2 * season:
-        return np.full(horizon, max(float(y.mean()) if n else 0.0, 0.0))
-    grid = [(a, b, g) for a in (0.1, 0.3, 0.6) for b in (0.0, 0.05) for g in (0.1, 0.3)]
-    alpha, beta, gamma = (np.array(x) for x in zip(*grid, strict=True))
-    level, trend = np.full(len(grid), y[:season].mean()), np.full(len(grid), (y[season : 2 * season].mean() - y[:season].mean()) / season)
-    seasonal = np.tile(y[:season] - y[:season].mean(), (len(grid), 1))
-    loss = np.zeros(len(grid))
-    for t in range(season, n):  # all grid points at once
-        s = seasonal[:, t % season]
-        e = y[t] - (level + trend + s)
-        loss += e * e
-        before = level
-        level = alpha * (y[t] - s) + (1 - alpha) * (level + trend)
-        trend = beta * (level - before) + (1 - beta) * trend
-        seasonal[:, t % season] = gamma * (y[t] - level) + (1 - gamma) * s
-    k = int(loss.argmin())
-    steps = np.arange(1, horizon + 1)
-    return np.maximum(level[k] + steps * trend[k] + seasonal[k, (n + steps - 1) % season], 0.0)
-
-
-def decomposed(y: np.ndarray, horizon: int, season: int = 7) -> np.ndarray:
-    """Robust decomposition: running median trend, median season of the rest; the last trend is carried on."""
-    n = len(y)
-    if n < 2 * season:
-        return np.full(horizon, max(float(np.median(y)) if n else 0.0, 0.0))
-    windows = np.lib.stride_tricks.sliding_window_view(np.pad(y, season // 2, mode="edge"), season)
-    rest = y - np.median(windows, axis=1)
-    pattern = np.array([np.median(rest[i::season]) for i in range(season)])
-    pattern -= pattern.mean()
-    trend = float(np.median((y - pattern[np.arange(n) % season])[-season:]))
-    return np.maximum(trend + pattern[(n + np.arange(horizon)) % season], 0.0)
-
-
 def grouped(folds: DataFrame, model: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
     """A sequential model on each venue's fold."""
 
@@ -90,7 +57,7 @@ def grouped(folds: DataFrame, model: Callable[[np.ndarray, int], np.ndarray]) ->
         got = model(pdf.loc[pdf["role"] == "train", "value"].to_numpy(dtype=float), len(test))
         return pd.DataFrame({"venue": test["venue"], "fold": test["fold"], "date": test["date"], "y": test["value"], "yhat": got})
 
-    return folds.groupBy("venue", "fold").applyInPandas(run, FORECAST)
+    return dealt(folds).groupBy("venue", "fold").applyInPandas(run, FORECAST)
 
 
 def _recent(values: Column) -> dict[str, Column]:
@@ -145,8 +112,8 @@ def boosted_trees(folds: DataFrame, *, trees: int = 20, depth: int = 4, rate: fl
 
 #: Rungs by name: the number of the rung, and the model. Models whose libraries are not installed are reported unavailable.
 LADDER: dict[str, tuple[int, Callable[[DataFrame], DataFrame] | None]] = {
-    "seasonal_naive": (0, seasonal_naive), "robust_weekday": (1, robust_weekday), "holt_winters": (2, lambda f: grouped(f, holt_winters)), "decomposed": (2, lambda f: grouped(f, decomposed)),
-    "prophet": (2, None), "boosted_trees": (3, boosted_trees), "foundation": (4, None),
+    "seasonal_naive": (0, seasonal_naive), "robust_weekday": (1, lambda f: robust_weekday(f, is_bank_holiday)), "holt_winters": (2, lambda f: grouped(f, smoothing_forecast)), "decomposed": (2, lambda f: grouped(f, stl_forecast)),
+    "prophet": (2, None), "boosted_by_venue": (3, boosted_by_venue), "boosted_trees": (3, boosted_trees), "foundation": (4, None),
 }
 
 

@@ -145,7 +145,7 @@ def run_lengths(stream: DataFrame, *, hazard: float = HAZARD) -> DataFrame:
     return stream.groupBy("venue").applyInPandas(run, "venue string, date date, run int, p_change double, p_reset double")
 
 
-def change_points(stream: DataFrame, spans: DataFrame, *, event_only: tuple[str, ...] = ()) -> DataFrame:
+def change_points(stream: DataFrame, spans: DataFrame, *, event_only: tuple[str, ...] = (), reset: bool = True) -> DataFrame:
     """A row for each onset: (venue, onset, alarm, delay, detector, direction, magnitude, percent, count, stat, p_reset, severity, is_closure).
 
     Alarms are merged by onset alone. The first alarm (CUSUM before persistence) gives the direction and p_reset, the
@@ -153,6 +153,7 @@ def change_points(stream: DataFrame, spans: DataFrame, *, event_only: tuple[str,
     detector. magnitude is the mean z from onset to alarm: a difference of two running sums, so that no range is joined.
     Venues with less than MIN_SPAN - WARM_UP days give nothing, except event-only ones, which persistence alone watches. In a
     closed venue the first fall from a week before its last active day on is the closure; later falls are left out.
+    p_reset takes the run lengths of every day, whose cost grows with the square of a venue's days; without reset it is null.
     """
     enough = stream.groupBy("venue").agg(F.count("*").alias("n")).where((F.col("n") >= MIN_SPAN - WARM_UP) | F.col("venue").isin(*event_only)).select("venue")
     stream = stream.join(enough, "venue")
@@ -169,8 +170,12 @@ def change_points(stream: DataFrame, spans: DataFrame, *, event_only: tuple[str,
     sums = stream.select("venue", "date", "z", "expected", "scale", F.row_number().over(by).alias("i"), F.sum("z").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("c"))
     start = sums.select("venue", F.col("date").alias("onset"), (F.col("c") - F.col("z")).alias("c0"), F.col("i").alias("i0"), "expected", "scale")
     end = sums.select("venue", F.col("date").alias("alarm"), F.col("c").alias("c1"), F.col("i").alias("i1"))
-    reset = run_lengths(stream).select("venue", F.col("date").alias("_seen"), F.round("p_reset", 3).alias("p_reset"))
-    out = merged.join(start, ["venue", "onset"]).join(end, ["venue", "alarm"]).join(reset, ["venue", "_seen"]).withColumn("magnitude", (F.col("c1") - F.col("c0")) / (F.col("i1") - F.col("i0") + 1))
+    out = merged.join(start, ["venue", "onset"]).join(end, ["venue", "alarm"])
+    if reset:
+        out = out.join(run_lengths(stream).select("venue", F.col("date").alias("_seen"), F.round("p_reset", 3).alias("p_reset")), ["venue", "_seen"])
+    else:
+        out = out.withColumn("p_reset", F.lit(None).cast("double"))
+    out = out.withColumn("magnitude", (F.col("c1") - F.col("c0")) / (F.col("i1") - F.col("i0") + 1))
     closing = out.join(spans.where("is_closed").select("venue", "last_active"), "venue").where((F.col("direction") == "down") & (F.col("onset") >= F.date_sub("last_active", RUN_N))).groupBy("venue").agg(F.min("onset").alias("_closure"))
     kept = out.join(closing, "venue", "left").where(F.col("_closure").isNull() | (F.col("direction") != "down") | (F.col("onset") <= F.col("_closure")))
     a, n = F.abs("magnitude"), F.coalesce("count", F.lit(0))

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.calendar import BANK_HOLIDAY_SQL, EASTERS_SQL, SCHOOL_TERM_SQL, UNI_PHASE_SQL
 from quillon.operators import features, layers, metrics
 from quillon.sources.views import LINE_ITEMS, line_items
 
 _SUMS = """sum(net_e4) / 10000 AS revenue, CASE WHEN venue = 'EUROPE' THEN sum(net_e4) / (10000 * 1.2::DOUBLE) ELSE sum(net_e4) / 10000 END AS revenue_exvat, CAST(sum(qty) AS BIGINT) AS units,
       sum(disc_e4) / 10000 AS discounts, count(*) AS n_lines, count(DISTINCT transaction_id) AS n_transactions, CAST(dayofweek(date) AS INTEGER) AS dow"""
 
+#: A day within the data from which another price list is taken to hold.
+PRICES_CHANGED = "1998-07-01"
+
 L1 = f"{LINE_ITEMS}, l1 AS (SELECT venue, date, {_SUMS} FROM line_items WHERE NOT excluded GROUP BY venue, date)"
 SERIES = f"""{L1}, spans AS (SELECT venue, min(date) AS a, max(date) AS b FROM l1 GROUP BY venue),
   calendar AS (SELECT venue, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM spans),
@@ -58,7 +62,7 @@ def hierarchy_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calendar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.calendar_features(series_of(spark, sf_dir))
+    return features.calendar_features(series_of(spark, sf_dir), price_break=PRICES_CHANGED)
 
 
 def history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,9 +136,13 @@ ORACLES = {
     "hierarchy_nodes": f"""WITH {LINE_ITEMS}, i AS (SELECT venue, category, item, sum(net_e4) / 10000 AS total, row_number() OVER (PARTITION BY venue, category ORDER BY sum(net_e4) DESC, item) AS r FROM line_items WHERE NOT excluded GROUP BY venue, category, item)
       SELECT venue, category, 'ITEM::' || category || '::' || item AS node, round(total, 2) AS total FROM i WHERE r <= 3
       UNION ALL SELECT venue, category, 'ITEM::' || category || '::OTHER', round(greatest(sum(total) FILTER (WHERE r > 3), 0), 2) FROM i GROUP BY venue, category HAVING sum(total) FILTER (WHERE r > 3) > 1""",
-    "calendar_features": f"""WITH {SERIES}, d AS (SELECT *, CAST(isodow(date) - 1 AS INTEGER) AS dow_mon FROM series)
-      SELECT *, CAST(dow_mon >= 4 AS INTEGER) AS is_weekend, {", ".join(f"CAST(dow_mon = {i} AS INTEGER) AS dow_{i}" for i in range(7))}, CAST(month(date) AS INTEGER) AS month, CAST(quarter(date) AS INTEGER) AS quarter, CAST(month(date) % 12 // 3 AS INTEGER) AS season, CAST(weekofyear(date) AS INTEGER) AS iso_week,
-        CAST(dow_mon IN (2, 4) AS INTEGER) AS is_happy_hour, CAST(dow_mon IN (0, 1) AS INTEGER) AS is_structural_zero, CAST(CAST(date AS VARCHAR) IN {features.BANK_HOLIDAYS} AS INTEGER) AS is_bank_holiday, CAST(date >= DATE '2025-07-01' AS INTEGER) AS price_regime, CAST({_TERM.format("date")} AS INTEGER) AS is_school_term FROM d""",
+    "calendar_features": f"""WITH {SERIES}, {EASTERS_SQL}, d AS (
+        SELECT venue, date, value, CAST(isodow(date) - 1 AS INTEGER) AS dow_mon, date AS d, e FROM series JOIN easters ON y = year(date))
+      SELECT venue, date, value, dow_mon, CAST(dow_mon >= 4 AS INTEGER) AS is_weekend, {", ".join(f"CAST(dow_mon = {i} AS INTEGER) AS dow_{i}" for i in range(7))},
+        CAST(month(date) AS INTEGER) AS month, CAST(quarter(date) AS INTEGER) AS quarter, CAST(month(date) % 12 // 3 AS INTEGER) AS season, CAST(weekofyear(date) AS INTEGER) AS iso_week,
+        CAST(dow_mon IN (2, 4) AS INTEGER) AS is_happy_hour, CAST(dow_mon IN (0, 1) AS INTEGER) AS is_structural_zero,
+        CAST({BANK_HOLIDAY_SQL} AS INTEGER) AS is_bank_holiday, CAST(date >= DATE '{PRICES_CHANGED}' AS INTEGER) AS price_regime,
+        CAST({SCHOOL_TERM_SQL} AS INTEGER) AS is_school_term, {UNI_PHASE_SQL} AS uni_phase FROM d""",
     "history_features": f"""WITH {SERIES} SELECT venue, date, value, lag(value, 7) OVER w AS lag_7, lag(value, 14) OVER w AS lag_14, CASE WHEN count(*) OVER p >= 7 THEN round(avg(value) OVER p, 6) END AS roll_mean_28,
         CASE WHEN count(*) OVER p >= 7 THEN round(median(value) OVER p, 6) END AS roll_median_28 FROM series WINDOW w AS (PARTITION BY venue ORDER BY date), p AS (PARTITION BY venue ORDER BY date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING)""",
     "rolling_peak": f"WITH {SERIES}, m AS (SELECT venue, avg(value) OVER (PARTITION BY venue ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS m FROM series) SELECT venue, round(max(m), 6) AS peak_7 FROM m GROUP BY venue",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.operators import pos
 from quillon.sources.views import PAYMENTS, POS_LINES, SCHEDULED, SHIFTS, cents, payments, pos_orders, scheduled_shifts, shifts, table
 
-NOW = "1998-12-01 00:00:00"
+NOW = "2001-12-01 00:00:00"
 
 
 def _lines(s: SparkSession, p: str) -> DataFrame:

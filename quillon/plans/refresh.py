@@ -60,6 +60,13 @@ def sightings_stream(s: SparkSession, p: str) -> DataFrame:
     return _replayed(s, p, lambda rows: stateful.first_sightings(rows, "key", hours=72, wait=False)).select("event_id", "fresh")
 
 
+def _freshness(s: SparkSession, p: str) -> DataFrame:
+    """On the day after the last one of all venues: those that end earlier are stale."""
+    days = l1_daily(s, p)
+    today = days.agg(F.date_add(F.max("date"), 1).cast("string")).first()[0]
+    return r.freshness(s.createDataFrame([], "venue string, last_date date"), days, today)
+
+
 def upserted_months(s: SparkSession, p: str) -> DataFrame:
     """Daily rows parted by month; the days of one month are revised, and one part is written again."""
     days = l1_daily(s, p).select("venue", "date", "revenue")
@@ -88,8 +95,8 @@ QUERIES = {
     "upserted": upserted,
     "accepted_days": accepted_days,
     "served_bands": lambda s, p: read_bands(*_forecasts(s, p)),
-    "freshness": lambda s, p: r.freshness(s.createDataFrame([], "venue string, last_date date"), l1_daily(s, p), "1998-08-03"),
-    "estate_freshness": lambda s, p: r.estate(r.freshness(s.createDataFrame([], "venue string, last_date date"), l1_daily(s, p), "1998-08-03")),
+    "freshness": _freshness,
+    "estate_freshness": lambda s, p: r.estate(_freshness(s, p)),
     "due_reminders": lambda s, p: r.due_reminders(tasks(s, p), "1996-01-01 00:00:00"),
     "expiry_reminders": lambda s, p: r.expiry_reminders(tasks(s, p).where("due_at is not null").select(F.col("task_id").alias("item_id"), F.to_date("due_at").alias("expires"), F.when(F.col("reminded"), F.array(F.lit(30), F.lit(7))).otherwise(F.array().cast("array<int>")).alias("stamped_leads")), "1996-01-01"),
     "next_runs": lambda s, p: stock(s, p).select("stock_id", r.next_run(F.lit("2024-03-30 10:30:00").cast("timestamp"), "Europe/London", F.when(F.col("stock_id") % 3 == 0, "daily").when(F.col("stock_id") % 3 == 1, "weekly").otherwise("monthly"), (F.col("stock_id") % 24).cast("int"), (F.col("stock_id") % 7 + 1).cast("int")).cast("string").alias("next_run_at")),
@@ -127,8 +134,10 @@ ORACLES = {
     "upserted": f"""WITH {L1}, d AS (SELECT venue, CASE WHEN dow = 0 THEN NULL ELSE dow END AS key, date, revenue FROM l1) SELECT venue, key, date, CASE WHEN date >= DATE '1997-01-01' THEN 0.0::DOUBLE ELSE revenue END AS revenue FROM d""",
     "accepted_days": f"""WITH {L1}, m AS (SELECT venue, max(date) AS mark FROM l1 WHERE date <= DATE '{EARLY}' OR venue = 'ASIA' GROUP BY venue) SELECT l1.venue, date, units FROM l1 LEFT JOIN m USING (venue) WHERE mark IS NULL OR date > mark""",
     "served_bands": f"WITH {_BANDS} SELECT f.*, level::DOUBLE AS level, round(yhat * (1 - level::DOUBLE), 4) AS lo, round(yhat * (1 + level::DOUBLE), 4) AS hi FROM f, (VALUES (0.8), (0.9)) AS v(level)",
-    "freshness": f"WITH {L1}, m AS (SELECT venue, max(date) AS last_date FROM l1 GROUP BY venue) SELECT venue, last_date, CAST(DATE '1998-08-03' - last_date AS INTEGER) AS days, DATE '1998-08-03' - last_date > 1 AS stale FROM m",
-    "estate_freshness": f"WITH {L1}, m AS (SELECT venue, max(date) AS d FROM l1 GROUP BY venue) SELECT bool_or(DATE '1998-08-03' - d > 1) AS any_stale, max(d) AS newest, min(d) AS oldest, count(*) AS n FROM m",
+    "freshness": f"""WITH {L1}, m AS (SELECT venue, max(date) AS last_date FROM l1 GROUP BY venue), t AS (SELECT max(last_date) + 1 AS today FROM m)
+      SELECT venue, last_date, CAST(today - last_date AS INTEGER) AS days, today - last_date > 1 AS stale FROM m, t""",
+    "estate_freshness": f"""WITH {L1}, m AS (SELECT venue, max(date) AS d FROM l1 GROUP BY venue)
+      SELECT bool_or((SELECT max(d) FROM m) + 1 - d > 1) AS any_stale, max(d) AS newest, min(d) AS oldest, count(*) AS n FROM m""",
     "due_reminders": f"WITH {TASKS} SELECT * FROM tasks WHERE status = 'open' AND due_at <= TIMESTAMP '1996-01-01' AND NOT reminded ORDER BY due_at, task_id LIMIT 200",
     "expiry_reminders": f"""WITH {TASKS}, w AS (SELECT task_id AS item_id, lead, CAST(due_at AS DATE) - DATE '1996-01-01' AS days, reminded FROM tasks, (VALUES (30), (7), (1), (0)) AS v(lead) WHERE due_at IS NOT NULL)
       SELECT item_id, min(lead) AS fire, list(lead ORDER BY lead DESC) AS stamped FROM w WHERE days BETWEEN -30 AND 31 AND days <= lead AND NOT (reminded AND lead IN (30, 7)) GROUP BY item_id""",

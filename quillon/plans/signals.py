@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+import datetime
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import features, forecast, layers, signals
+from quillon.functions.calendar import BANK_HOLIDAY_SQL, EASTERS_SQL, SCHOOL_TERM_SQL, UNI_PHASE_SQL, is_bank_holiday
+from quillon.operators import briefing as brief
+from quillon.operators import causes, features, forecast, layers, signals
 from quillon.plans.layers import FOLDS, NAIVE, RESIDUALS, SERIES, l3_daily, lag_residuals, series_of
+from quillon.sources.store import Store, append_run, kept, shared_folder
 from quillon.sources.views import LINE_ITEMS, STOCK, line_items, stock
 
 
+#: Venues in the order of the numbers that stock lines have.
+VENUES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
 def _folds(s: SparkSession, p: str) -> DataFrame:
-    return features.rolling_origin(series_of(s, p))
+    return kept(features.rolling_origin(series_of(s, p)), "folds")
+
+
+def _series(s: SparkSession, p: str) -> DataFrame:
+    """The daily series, written once for all that reads it."""
+    return kept(series_of(s, p), "series")
 
 
 def _raw_stream(s: SparkSession, p: str) -> DataFrame:
-    return signals.residual_stream(layers.trading_series(series_of(s, p)))
+    return signals.residual_stream(layers.trading_series(_series(s, p)))
 
 
 def _stream(s: SparkSession, p: str) -> DataFrame:
-    """The residual stream of all venues; z to 6 places, so that thresholds fall alike in SQL."""
-    return _raw_stream(s, p).withColumn("z", F.round("z", 6))
+    """The residual stream of all venues, written once; z to 6 places, so that thresholds fall alike in SQL."""
+    return kept(_raw_stream(s, p).withColumn("z", F.round("z", 6)), "stream")
 
 
 def residual_stream(s: SparkSession, p: str) -> DataFrame:
@@ -32,11 +47,11 @@ def naive_forecast(s: SparkSession, p: str) -> DataFrame:
 
 
 def weekday_forecast(s: SparkSession, p: str) -> DataFrame:
-    return forecast.robust_weekday(_folds(s, p), features.BANK_HOLIDAYS).withColumn("yhat", F.round("yhat", 4))
+    return forecast.robust_weekday(_folds(s, p), is_bank_holiday).withColumn("yhat", F.round("yhat", 4))
 
 
 def ladder_scores(s: SparkSession, p: str) -> DataFrame:
-    return forecast.evaluate(_folds(s, p), ["seasonal_naive", "robust_weekday", "holt_winters", "decomposed", "boosted_trees"], {"AMERICA": 1})
+    return forecast.evaluate(_folds(s, p), ["seasonal_naive", "robust_weekday", "holt_winters", "decomposed", "boosted_by_venue"], {"AMERICA": 1})
 
 
 def ladder_best(s: SparkSession, p: str) -> DataFrame:
@@ -44,39 +59,66 @@ def ladder_best(s: SparkSession, p: str) -> DataFrame:
 
 
 def boosted_scores(s: SparkSession, p: str) -> DataFrame:
-    return forecast.evaluate(_folds(s, p), ["boosted_trees"])
+    """One model for each venue and fold, and one for each fold over all venues."""
+    return forecast.evaluate(_folds(s, p), ["boosted_by_venue", "boosted_trees"])
 
 
-def _points(s: SparkSession, p: str) -> DataFrame:
-    return signals.change_points(_stream(s, p), layers.active_span(series_of(s, p)))
+def _points(series: DataFrame, stream: DataFrame) -> DataFrame:
+    return kept(signals.change_points(stream, layers.active_span(series), reset=False).drop("p_reset"), "points")
 
 
 def change_points(s: SparkSession, p: str) -> DataFrame:
-    return _points(s, p).drop("p_reset")
+    return _points(_series(s, p), _stream(s, p))
+
+
+def _facts(s: SparkSession, p: str, series: DataFrame) -> DataFrame:
+    """What may coincide with a change: see operators.causes. Weather, events and stock snapshots stand in for tables that aren't there.
+
+    The temperature follows the season, with a swing of two degrees within a week; events are each venue's best day of a
+    year; stock lines are counted on days spread over six years, and ask for an order where fewer than three are left.
+    """
+    lines = line_items(s, p)
+    season = 10 + 8 * F.cos((F.dayofyear("date") - 200) * (2 * math.pi / 365)) + F.day("date") % 5 - 2
+    weather = series.select("venue", "date", F.round(season, 6).alias("temp"))
+    best = series.groupBy("venue", F.year("date").alias("y")).agg(F.max_by("date", F.struct("value", -F.unix_date("date"))).alias("date"))
+    happenings = best.select("venue", "date", F.concat(F.lit("best day of "), F.col("y").cast("string")).alias("name"))
+    counted = stock(s, p).select(
+        F.element_at(F.array(*(F.lit(v) for v in VENUES)), (F.col("venue_id") + 1).cast("int")).alias("venue"),
+        F.date_add(F.lit("1995-01-01").cast("date"), (F.col("stock_id") * 37 % 2400).cast("int")).alias("date"), (F.col("current") < 3).alias("reorder"),
+    )
+    return causes.gather(
+        causes.closures(layers.active_span(series)), causes.price_breaks(lines), causes.term_edges(series), causes.holidays(series), causes.weather_spells(weather),
+        causes.events(happenings), causes.promotions(layers.spike_days(lines, 0.09)), causes.empty_stock(counted),
+    )
 
 
 def attributed_points(s: SparkSession, p: str) -> DataFrame:
-    """Change-points with the school terms that begin or end near them."""
-    causes = features.term_changes(series_of(s, p).select("date")).select(F.lit(None).cast("string").alias("venue"), "date", F.lit("school").alias("kind"), F.col("date").cast("string").alias("label"))
-    return signals.attribute(_points(s, p), causes)
+    """Change-points with all that coincides with them, the weightiest first."""
+    series, stream = _series(s, p), _stream(s, p)
+    found = causes.attribute(_points(series, stream), _facts(s, p, series))
+    return found.select("venue", "onset", "direction", "severity", F.array_join("causes", "; ").alias("causes"))
 
 
-def _signals(s: SparkSession, p: str) -> DataFrame:
-    """Deviations and change-points as signals of a briefing."""
-    stream = _stream(s, p)
-    days = signals.deviations(stream).where("status = 'deviation'").select("venue", F.lit("deviation").alias("source"), F.col("date").alias("onset"), "direction", "severity", F.col("z").alias("magnitude"))
-    points = signals.change_points(stream, layers.active_span(series_of(s, p)))
-    return days.unionByName(points.select("venue", F.lit("change_point").alias("source"), "onset", "direction", "severity", "magnitude"))
+def _signals(s: SparkSession, p: str, series: DataFrame, stream: DataFrame) -> DataFrame:
+    """Deviations, change-points and stock lines that are nearly used up, counted on the last day of the data, as signals of a briefing."""
+    days = signals.deviations(stream).where("status = 'deviation'")
+    last = series.agg(F.max("date").alias("as_of"))
+    venue = F.element_at(F.array(*(F.lit(v) for v in VENUES)), (F.col("venue_id") + 1).cast("int"))
+    left = F.round(F.col("current") * 7 / F.col("weekly_use"), 6)
+    low = stock(s, p).where("weekly_use > 0").select(venue.alias("venue"), F.col("stock_id").cast("string").alias("product"), left.alias("days"), F.col("weekly_use").alias("order_kegs")).where("days < 0.5")
+    return kept(brief.collect(days, _points(series, stream), low.crossJoin(F.broadcast(last))), "signals")  # one row
 
 
 def reconciled(s: SparkSession, p: str) -> DataFrame:
     """The hierarchy's weekday bases on the first week after the data, made coherent."""
     days = layers.layer(line_items(s, p), "L2").select("venue", "category", "date", F.col("revenue").alias("value"))
     leaf = layers.dense_calendar(days, ["venue", "category"], ["value"]).select("venue", F.concat(F.lit("CAT::"), "category").alias("node"), F.lit("VENUE").alias("parent"), "date", "value")
-    root = series_of(s, p).select("venue", F.lit("VENUE").alias("node"), F.lit(None).cast("string").alias("parent"), "date", "value")
+    root = _series(s, p).select("venue", F.lit("VENUE").alias("node"), F.lit(None).cast("string").alias("parent"), "date", "value")
     series = leaf.unionByName(root)
     base = forecast.weekday_base(series, ["venue", "node", "parent"])
-    week = s.range(7).select(F.date_add(F.lit("1999-01-04").cast("date"), F.col("id").cast("int")).alias("date"))
+    last = series.agg(F.max("date")).first()[0]
+    monday = F.next_day(F.lit(str(last)).cast("date"), "Mon")
+    week = s.range(7).select(F.date_add(monday, F.col("id").cast("int")).alias("date"))
     nodes = base.join(week.withColumn("dow", F.weekday("date")), "dow")
     return forecast.reconcile(nodes).select("venue", "date", "node", F.round("coherent", 2).alias("coherent"))
 
@@ -107,20 +149,47 @@ def stock_cover(s: SparkSession, p: str) -> DataFrame:
     return signals.days_of_cover(kegs, demand).withColumn("daily_pints", F.round("daily_pints", 6))
 
 
+#: Days between the two runs of the briefing query.
+RUNS_APART = 28
+
+
+def _run(signals_: DataFrame, stream: DataFrame, as_of: str, prior: DataFrame | None) -> DataFrame:
+    """The items of a run on the day after as_of: what was known then, of deviations those among the last rows of a venue's stream."""
+    near = signals.scan(stream.where(F.col("date") <= F.lit(as_of).cast("date")), brief.SCAN_ROWS).groupBy("venue").agg(F.min("date").alias("_from"))
+    known = signals_.where(F.col("known") <= F.lit(as_of).cast("date")).join(F.broadcast(near), "venue", "left")
+    known = known.where("source <> 'deviation' or onset >= _from").drop("_from")
+    return signals.briefing_items(signals.clusters(known), str(datetime.date.fromisoformat(as_of) + datetime.timedelta(1)), prior)
+
+
+def _briefing(s: SparkSession, p: str) -> tuple[DataFrame, str]:
+    """Two runs, four weeks apart, the first of which is kept and read back by the second."""
+    series, stream = _series(s, p), _stream(s, p)
+    found = _signals(s, p, series, stream)
+    last = series.agg(F.max("date")).first()[0]
+    store = Store(s, shared_folder(s, "store"))
+    append_run(store, _run(found, stream, str(last - datetime.timedelta(RUNS_APART)), brief.latest_run(store)).drop("caveats"), "first")
+    items = kept(_run(found, stream, str(last), brief.latest_run(store)), "items")
+    return brief.headlines(items, found, kept(_facts(s, p, series), "facts")), str(last)
+
+
 def briefing(s: SparkSession, p: str) -> DataFrame:
-    """Items of all clusters of deviations and change-points, as seen on the day after the data."""
-    items = signals.briefing_items(signals.clusters(_signals(s, p)), "1998-08-02")
-    return items.withColumn("caveats", F.array_join("caveats", "; "))
+    """The items of the second run, as seen on the day after the data: new, continuing and resolved ones, with reason and headline."""
+    return _briefing(s, p)[0].withColumn("caveats", F.array_join("caveats", "; "))
+
+
+def briefing_envelope(s: SparkSession, p: str) -> DataFrame:
+    items, last = _briefing(s, p)
+    return brief.envelope(items, F.lit(last).cast("date"))
 
 
-QUERIES = {f.__name__: f for f in (residual_stream, naive_forecast, weekday_forecast, ladder_scores, ladder_best, boosted_scores, change_points, attributed_points, reconciled, node_series, node_quantiles, node_coverage, standby_band, stock_cover, briefing)} | {
+QUERIES = {f.__name__: f for f in (residual_stream, naive_forecast, weekday_forecast, ladder_scores, ladder_best, boosted_scores, change_points, attributed_points, reconciled, node_series, node_quantiles, node_coverage, standby_band, stock_cover, briefing, briefing_envelope)} | {
     "deviations": lambda s, p: signals.deviations(_stream(s, p)).select("venue", "date", "z", "status", "direction", "severity"),
     "cusum_alarms": lambda s, p: signals.cusum(_stream(s, p)).withColumn("stat", F.round("stat", 4)),
     "persistence_alarms": lambda s, p: signals.persistence(_stream(s, p)),
     "run_lengths": lambda s, p: signals.run_lengths(_stream(s, p)),
     "detector_study": lambda s, p: signals.simulate_detector(s, [0.0, 1.0, 2.0]),
     "venue_transfer": lambda s, p: forecast.leave_one_out_transfer(series_of(s, p)),
-    "signal_clusters": lambda s, p: signals.clusters(_signals(s, p)).select("venue", "onset", "source", "direction", "cluster"),
+    "signal_clusters": lambda s, p: signals.clusters(_signals(s, p, _series(s, p), _stream(s, p)).where("source <> 'stock'")).select("venue", "onset", "source", "direction", "cluster"),
 }
 
 #: The hierarchy's daily series.
@@ -182,9 +251,80 @@ _CLUSTERS = f"""{_DEVIATIONS}, {_POINTS},
   signals AS (SELECT venue, 'deviation' AS source, date AS onset, direction, severity FROM deviations WHERE status = 'deviation' UNION ALL SELECT venue, 'change_point', onset, direction, severity FROM points),
   opened AS (SELECT *, CASE WHEN onset - lag(onset) OVER w <= 7 THEN 0 ELSE 1 END AS o FROM signals WINDOW w AS (PARTITION BY venue, direction ORDER BY onset, source)),
   clusters AS (SELECT *, CAST(sum(o) OVER (PARTITION BY venue, direction ORDER BY onset, source ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM opened)"""
+_VENUE_OF = f"[{', '.join(repr(v) for v in VENUES)}][venue_id + 1]"
+#: All facts, written from the rules.
+_FACTS = f"""{STOCK}, {EASTERS_SQL},
+  dates AS (SELECT DISTINCT date AS d FROM series),
+  calendar_days AS (SELECT d, {SCHOOL_TERM_SQL} AS school, {UNI_PHASE_SQL} <> 'vacation' AS uni, {BANK_HOLIDAY_SQL} AS bank FROM (SELECT d FROM dates UNION SELECT d + 1 FROM dates) JOIN easters ON y = year(d)),
+  edges AS (SELECT a.d, a.school <> b.school AS school, a.uni <> b.uni AS uni FROM calendar_days a JOIN dates USING (d) JOIN calendar_days b ON b.d = a.d + 1),
+  months AS (SELECT CAST(date_trunc('month', date) AS DATE) AS date, sum(gross_cents) / sum(qty) AS price FROM line_items WHERE NOT excluded AND qty > 0 GROUP BY 1),
+  steps AS (SELECT date, round(abs(ln(price / lag(price) OVER (ORDER BY date))), 12) AS step FROM months),
+  weather AS (SELECT venue, date, round(10 + 8 * cos((dayofyear(date) - 200) * (2 * pi() / 365)) + day(date) % 5 - 2, 6) AS temp FROM series),
+  spells AS (SELECT venue, date, round(avg(temp) OVER w - avg(temp) OVER v, 9) AS gap, stddev(temp) OVER v AS sd, count(*) OVER v AS n FROM weather
+    WINDOW v AS (PARTITION BY venue), w AS (PARTITION BY venue ORDER BY date RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 7 DAY FOLLOWING)),
+  spikes AS (SELECT venue, date FROM line_items WHERE NOT excluded GROUP BY venue, date HAVING round_even(abs(sum(disc_e4) / 100 / sum(gross_cents)), 4) >= 0.09),
+  facts AS (
+    SELECT venue, z AS date, 7 AS reach, 'closure of ' || venue AS label, 100 AS w, NULL AS side FROM closed
+    UNION ALL SELECT NULL, date, 7, 'price-regime change', 90, NULL FROM (SELECT date FROM steps WHERE step IS NOT NULL ORDER BY step DESC, date LIMIT 1)
+    UNION ALL SELECT NULL, d, 7, 'school term/holiday', 60, NULL FROM edges WHERE school
+    UNION ALL SELECT NULL, d, 7, 'university term/vacation', 65, NULL FROM edges WHERE uni
+    UNION ALL SELECT NULL, d, 7, 'bank holiday', 55, NULL FROM calendar_days JOIN dates USING (d) WHERE bank
+    UNION ALL SELECT venue, date, 0, CASE WHEN gap > 0 THEN 'warm spell' ELSE 'cold snap' END, 40 + CASE WHEN gap > 0 AND side = 'up' THEN 5 ELSE 0 END, side
+      FROM spells, (VALUES ('up'), ('down')) AS x(side) WHERE abs(gap) > sd AND n > 30
+    UNION ALL SELECT venue, date, 7, 'best day of ' || year(date), 55, NULL FROM (SELECT * FROM series QUALIFY row_number() OVER (PARTITION BY venue, year(date) ORDER BY value DESC, date) = 1)
+    UNION ALL SELECT venue, date, 7, 'discount day', 50, NULL FROM spikes
+    UNION ALL SELECT DISTINCT {_VENUE_OF}, DATE '1995-01-01' + CAST(stock_id * 37 % 2400 AS INTEGER), 7, 'reorder flag', 45, 'down' FROM stock WHERE current < 3)"""
+
+
+def _causes_sql(of: str) -> str:
+    """causes (venue, onset, direction, all, first) of the rows of a relation."""
+    return f"""hits AS (SELECT p.venue, onset, direction, label, max(w) AS w FROM (SELECT DISTINCT venue, onset, direction FROM {of}) p JOIN facts f
+      ON onset BETWEEN f.date - reach AND f.date + reach AND (f.venue IS NULL OR f.venue = p.venue) AND (side IS NULL OR side = direction) GROUP BY ALL),
+    reasons AS (SELECT venue, onset, direction, string_agg(label, '; ' ORDER BY w DESC, label) AS causes, first(label ORDER BY w DESC, label) AS why FROM hits GROUP BY ALL)"""
+
+
+def _items_sql(name: str, days: int, prior: str | None) -> str:
+    """Items of the run whose last day lies `days` before the data's last one."""
+    day = f"((SELECT m FROM latest) - {days})"
+    new, again = signals.NOVELTY["new"], signals.NOVELTY["continuing"]
+    novelty = str(new) if prior is None else f"CASE WHEN was IS NULL THEN {new} ELSE {again} END"
+    items = f"""{name}_near AS (SELECT venue, min(date) AS since FROM (SELECT * FROM stream WHERE date <= {day} QUALIFY row_number() OVER (PARTITION BY venue ORDER BY date DESC) <= {brief.SCAN_ROWS}) GROUP BY venue),
+    {name}_known AS (SELECT s.* FROM told s LEFT JOIN {name}_near USING (venue) WHERE known <= {day} AND (source <> 'deviation' OR onset >= since)),
+    {name}_opened AS (SELECT *, CASE WHEN onset - lag(onset) OVER w <= 7 THEN 0 ELSE 1 END AS o FROM {name}_known WINDOW w AS (PARTITION BY venue, direction ORDER BY onset, source)),
+    {name}_clusters AS (SELECT *, sum(o) OVER (PARTITION BY venue, direction ORDER BY onset, source ROWS UNBOUNDED PRECEDING) AS cluster FROM {name}_opened),
+    {name}_heads AS (SELECT venue, direction, count(*) - 1 AS n_evidence, count(*) FILTER (source = 'stock') AS n_stock,
+      arg_max({{'s': source, 'v': severity, 'o': onset}}, (CASE source WHEN 'change_point' THEN 3 WHEN 'deviation' THEN 2 ELSE 1 END, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END, onset)) AS h
+      FROM {name}_clusters GROUP BY venue, direction, cluster),
+    {name}_keyed AS (SELECT *, venue || ':' || direction || ':' || CAST(h.o AS VARCHAR) || ':' || h.s AS item_key FROM {name}_heads),
+    {name}_met AS (SELECT k.*, {'NULL' if prior is None else 'p.score'} AS was FROM {name}_keyed k {'' if prior is None else f'LEFT JOIN {prior} p USING (item_key)'}),
+    {name} AS (SELECT item_key, venue, direction, h.s AS source, h.v AS severity, h.o AS onset, n_evidence, 1.0::DOUBLE AS trust, CASE WHEN n_stock > 0 AND h.s <> 'stock' THEN 'action: reorder' ELSE '' END AS caveats,
+      CASE WHEN was IS NULL THEN 'new' ELSE 'continuing' END AS status,
+      round(CASE h.s WHEN 'change_point' THEN 1.0 WHEN 'deviation' THEN 0.6 ELSE {signals.SOURCE_WEIGHT["stock"]} END::DOUBLE * CASE h.v WHEN 'high' THEN 1.5 WHEN 'medium' THEN 1.0 ELSE 0.6 END::DOUBLE
+        * CASE WHEN {day} + 1 <= h.o THEN 1 ELSE greatest(0.5::DOUBLE, 1 - 0.5::DOUBLE * ({day} + 1 - h.o) / 14) END * ({novelty})::DOUBLE * CASE direction WHEN 'down' THEN 1.1 ELSE 1 END::DOUBLE, 6) AS score FROM {name}_met)"""
+    return items
+
+
+_BRIEFING = f"""{_STREAM}, {_CLUSTERS}, {_FACTS},
+  low AS (SELECT {_VENUE_OF} AS venue, CAST(stock_id AS VARCHAR) AS product, round(current * 7 / weekly_use, 6) AS days, weekly_use AS kegs FROM stock WHERE weekly_use > 0),
+  told AS (
+    SELECT venue, 'deviation' AS source, date AS onset, date AS known, direction, severity,
+      CAST(CAST(round(actual) AS BIGINT) AS VARCHAR) || CASE direction WHEN 'up' THEN ' above' ELSE ' below' END || ' band on ' || CAST(date AS VARCHAR) AS what
+    FROM deviations JOIN (SELECT venue, date, actual FROM stream) USING (venue, date) WHERE status = 'deviation'
+    UNION ALL SELECT venue, 'change_point', onset, alarm, direction, severity, 'sustained shift since ' || CAST(onset AS VARCHAR) || ' (' ||
+      CASE WHEN percent IS NULL THEN CASE direction WHEN 'up' THEN 'a sustained uplift' ELSE 'a sustained downturn' END
+        ELSE CAST(CAST(round(abs(percent)) AS BIGINT) AS VARCHAR) || CASE direction WHEN 'up' THEN '% above normal' ELSE '% below normal' END END || ')' FROM points
+    UNION ALL SELECT venue, 'stock', m, m, 'down', CASE WHEN days <= 0 THEN 'high' ELSE 'medium' END, product || ' low: ' || format('{{:.1f}}', days) || ' days'' cover, order ' || CAST(kegs AS VARCHAR)
+      FROM low, latest WHERE days < 0.5),
+  {_items_sql("prior", RUNS_APART, None)}, {_items_sql("items", 0, "prior")}, {_causes_sql("items")},
+  said AS (SELECT venue, direction, source, onset, min(what) AS what FROM told GROUP BY ALL),
+  briefing AS (
+    SELECT i.*, coalesce(why, '{causes.NOTHING}') AS reason, venue || ': ' || what || CASE source WHEN 'stock' THEN '' ELSE '; ' || coalesce(why, '{causes.NOTHING}') END AS headline
+    FROM items i JOIN said USING (venue, direction, source, onset) LEFT JOIN reasons USING (venue, onset, direction)
+    UNION ALL SELECT item_key, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'resolved', round(score * {signals.NOVELTY["resolved"]}, 6), 'cleared', 'cleared: ' || item_key FROM prior WHERE item_key NOT IN (SELECT item_key FROM items))"""
 ORACLES = {
     "naive_forecast": f"WITH {NAIVE} SELECT * FROM naive",
-    "weekday_forecast": f"""WITH {FOLDS}, f AS (SELECT *, isodow(date) AS dow, month(date) AS m, CAST(date AS VARCHAR) IN {features.BANK_HOLIDAYS} AS h FROM folds), t AS (SELECT * FROM f WHERE role = 'train'),
+    "weekday_forecast": f"""WITH {FOLDS}, {EASTERS_SQL},
+      f AS (SELECT * EXCLUDE (y, e, d), isodow(date) AS dow, month(date) AS m, {BANK_HOLIDAY_SQL} AS h FROM (SELECT *, date AS d FROM folds) JOIN easters ON y = year(date)), t AS (SELECT * FROM f WHERE role = 'train'),
       a AS (SELECT venue, fold, median(value) AS overall FROM t GROUP BY venue, fold), d AS (SELECT venue, fold, dow, median(value) AS v FROM t GROUP BY venue, fold, dow), k AS (SELECT venue, fold, m, median(value) AS v FROM t GROUP BY venue, fold, m),
       x AS (SELECT t.venue, t.fold, median(t.value / d.v) AS x FROM t JOIN d USING (venue, fold, dow) WHERE h AND d.v > 0 GROUP BY t.venue, t.fold HAVING count(*) >= 3)
       SELECT f.venue, f.fold, f.date, f.value AS y, round(coalesce(d.v, overall) * coalesce(least(greatest(k.v / greatest(overall, 1e-9), 0.5), 2.0), 1) * CASE WHEN h THEN coalesce(x, 1) ELSE 1 END, 4) AS yhat
@@ -222,10 +362,9 @@ ORACLES = {
     "persistence_alarms": f"WITH {_STREAM}, {_PERSISTENCE} SELECT * FROM persistent",
     "change_points": f"WITH RECURSIVE {_STREAM}, {_POINTS} SELECT * FROM points",
     "signal_clusters": f"WITH RECURSIVE {_STREAM}, {_CLUSTERS} SELECT venue, onset, source, direction, cluster FROM clusters",
-    "briefing": f"""WITH RECURSIVE {_STREAM}, {_CLUSTERS},
-      heads AS (SELECT venue, direction, count(*) - 1 AS n_evidence,
-        arg_max({{'s': source, 'v': severity, 'o': onset}}, (CASE source WHEN 'change_point' THEN 3 ELSE 2 END, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END, onset)) AS h FROM clusters GROUP BY venue, direction, cluster)
-      SELECT venue || ':' || direction || ':' || CAST(h.o AS VARCHAR) || ':' || h.s AS item_key, venue, direction, h.s AS source, h.v AS severity, h.o AS onset, n_evidence, 1.0::DOUBLE AS trust, '' AS caveats, 'new' AS status,
-        round(CASE h.s WHEN 'change_point' THEN 1.0 ELSE 0.6 END::DOUBLE * CASE h.v WHEN 'high' THEN 1.5 WHEN 'medium' THEN 1.0 ELSE 0.6 END::DOUBLE
-          * CASE WHEN DATE '1998-08-02' <= h.o THEN 1 ELSE greatest(0.5::DOUBLE, 1 - 0.5::DOUBLE * (DATE '1998-08-02' - h.o) / 14) END * 1.25::DOUBLE * CASE direction WHEN 'down' THEN 1.1 ELSE 1 END::DOUBLE, 6) AS score FROM heads""",
+    "attributed_points": f"""WITH RECURSIVE {_STREAM}, {_POINTS}, {_FACTS}, {_causes_sql("points")}
+      SELECT p.venue, p.onset, p.direction, severity, coalesce(causes, '{causes.NOTHING}') AS causes FROM points p LEFT JOIN reasons USING (venue, onset, direction)""",
+    "briefing": f"WITH RECURSIVE {_BRIEFING} SELECT * FROM briefing",
+    "briefing_envelope": f"""WITH RECURSIVE {_BRIEFING} SELECT (SELECT m FROM latest) AS as_of, count(*) FILTER (status = 'new') AS n_new, count(*) FILTER (status = 'continuing') AS n_continuing,
+      count(*) FILTER (status = 'resolved') AS n_resolved, md5(string_agg(item_key, ',' ORDER BY item_key) FILTER (status <> 'resolved')) AS run_hash FROM briefing""",
 }

@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder once and read from there: plans that use it several times don't grow, and a lost executor costs no recomputation."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """Parquet tables under a folder that all executors share. Each table's _current file names the folders in use, one in a line."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillon.functions import cleaning, conventions
-from quillon.operators import features, forecast, layers, metrics, pos, refresh, retrieval, signals, tabular
+from quillon.operators import features, forecast, layers, metrics, pos, refresh, retrieval, signals, smoothing, tabular
 from quillon.sources import readers
 from quillon.sources.store import Store, append_run, merged
 from quillon.streaming import streams
@@ -91,12 +91,12 @@ def test_folds_do_not_leak(spark):
 def test_smoothing_beats_naive_on_a_season():
     y = np.array([200 + 400 * (i % 7 == 4) + 300 * (i % 7 == 5) + 50 * (i % 7 >= 2) for i in range(84)], dtype=float)
     rising = y + 2 * np.arange(84)
-    for y, model in ((y, forecast.decomposed), (rising, forecast.holt_winters)):
+    for y, model in ((y, smoothing.stl_forecast), (rising, smoothing.smoothing_forecast)):
         naive = np.tile(y[63:70], 2)
         got = model(y[:70], 14)
         assert (got >= 0).all()
         assert np.abs(got - y[70:]).mean() <= np.abs(naive - y[70:]).mean() + 1e-6
-    assert len(forecast.holt_winters(np.zeros(0), 3)) == 3
+    assert len(smoothing.smoothing_forecast(np.zeros(0), 3)) == 3
 
 
 def test_reconciliation_is_coherent(spark):
