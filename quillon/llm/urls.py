@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialise, table
+from quillon.llm.graphs import join_groups
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,7 +69,8 @@ def pattern_rules(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFram
     """Rules (verdict, pattern) in the same columns; they run on the whole lower-cased url. An allowing one beats a blocking one."""
     given = spark.createDataFrame(rules, "verdict string, rule string")
     at_host = F.col("rule").startswith("||")
-    low = ascii_lower(F.when(at_host, F.expr("substr(rule, 3)")).otherwise(F.col("rule")))
+    # "*" at an edge says nothing, and would be tried from every place of a long url
+    low = ascii_lower(F.regexp_replace(F.when(at_host, F.expr("substr(rule, 3)")).otherwise(F.regexp_replace("rule", r"^\*+", "")), r"\*+$", ""))
     body = F.replace(F.replace(_quoted(low), F.lit(r"\*"), F.lit(".*")), F.lit(r"\^"), F.lit(r"(?:[^a-z0-9]|$)"))
     # a run of letters and digits is a whole token where it does not touch "*" or the rule's edge
     edged = F.concat(F.when(at_host, F.lit("^")).otherwise(F.lit("*")), low, F.lit("*"))
@@ -82,11 +84,39 @@ def pattern_rules(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFram
 def index_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """rules with `token`: the rarest of their tokens among the urls (ties: the first in order), or "" if they have none."""
     wanted = rules.select(F.explode("tokens").alias("token")).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_RULES else wanted
-    seen = urls.select(F.explode(tokens(F.col("url"))).alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    each = urls.select(F.explode(tokens(F.col("url"))).alias("token"))
+    counted = lambda rows: rows.groupBy("token").agg(F.count("*").alias("n"))
+    if wanted.count() <= BROADCAST_RULES:
+        seen = counted(each.join(F.broadcast(wanted), "token", "left_semi"))
+    else:  # counted first: a token that all urls have is a row for each task then
+        seen = counted(each).join(wanted, "token", "left_semi")
     keyed = rules.select("rule", "tier", F.explode("tokens").alias("token")).join(seen, "token", "left")
-    rarest = keyed.groupBy("rule", "tier").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    return rules.join(rarest, ["rule", "tier"], "left").select("rule", "verdict", "tier", "weight", "on_place", "pattern", F.coalesce("token", F.lit("")).alias("token"))
+    rarest = keyed.groupBy("rule", "tier").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("m"))
+    token, n = F.coalesce("m.token", F.lit("")).alias("token"), F.coalesce("m.n", F.lit(0)).alias("n")
+    return rules.join(rarest, ["rule", "tier"], "left").select("rule", "verdict", "tier", "weight", "on_place", "pattern", token, n)
+
+
+def _candidates(urls: DataFrame, indexed: DataFrame) -> DataFrame:
+    """urls (url, place) with the rules that they must be tried against: those filed under one of their tokens, and those without a token.
+
+    Up to BROADCAST_RULES rules are broadcast. More are joined by token, each token's rules in one row; of tokens that many urls
+    have, these rows go to the urls. Rules without a token meet every url, in broadcast lots.
+    """
+    rule = ["rule", "verdict", "tier", "weight", "on_place", "pattern"]
+    keyed = urls.select("*", F.explode(tokens(F.col("url"))).alias("token"))
+    total = indexed.count()
+    if total <= BROADCAST_RULES:
+        every = urls.select("*", F.explode(F.array_append(tokens(F.col("url")), F.lit(""))).alias("token"))
+        return every.join(F.broadcast(indexed.drop("n")), "token").drop("token")
+    filed = indexed.where("token <> ''").groupBy("token").agg(F.collect_list(F.struct(*rule)).alias("rules"), F.max("n").alias("n"))
+    met = join_groups(keyed, filed, "token", keyed.count())
+    found = met.select("url", "place", F.inline("rules"))
+    loose = indexed.where("token = ''").select(*rule)
+    lots = -(-loose.count() // BROADCAST_RULES)
+    for lot in range(lots):
+        few = loose.where(F.pmod(F.xxhash64("rule", "tier"), F.lit(lots)) == lot)
+        found = found.unionByName(urls.crossJoin(F.broadcast(few)))  # a stated set of rules against all rows, in blocks
+    return found
 
 
 def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -100,10 +130,8 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default:
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "pattern_rule")]
     urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct()
     indexed = materialise(index_rules(pages.select(F.col(url_col).alias("url")), rules), "rules")
-    small = indexed.count() <= BROADCAST_RULES
     host, path = host_and_path(F.col("url"))
-    keyed = urls.select("url", F.concat(host, path).alias("place"), F.explode(F.array_append(tokens(F.col("url")), F.lit(""))).alias("token"))
-    candidates = keyed.join(F.broadcast(indexed) if small else indexed, "token")
+    candidates = _candidates(urls.select("url", F.concat(host, path).alias("place")), indexed)
     fits = F.rlike(F.when(F.col("on_place"), F.col("place")).otherwise(ascii_lower("url")), F.col("pattern"))
     order = F.struct("tier", "weight", F.col("rule").alias("r"))
     best = candidates.where(fits).groupBy("url").agg(F.max_by(F.struct("rule", "verdict", "tier"), order).alias("found")).withColumnRenamed("url", "found_url")

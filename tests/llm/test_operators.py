@@ -164,6 +164,18 @@ def test_url_edges(spark):
     assert urls.judge(df.limit(0), urls.default_rules(spark)).count() == 0
 
 
+def test_more_rules_than_are_broadcast(spark, monkeypatch):
+    """Rules by token, of hot tokens too, and rules without a token in several lots, judge like broadcast ones; very long urls too."""
+    given = [f"http://h{i % 7}.example.com/{('en', 'ads', 'login')[i % 3]}/{i}" for i in range(300)] + ["http://x.com/" + "a/" * 50_000 + "login", None, "http://example.com/plain"]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id int, url string")
+    rules = urls.domain_rules(spark, urls.DOMAIN_RULES).unionByName(urls.pattern_rules(spark, [*urls.PATTERN_RULES, ("block", "*ogi*"), ("block", "lai"), ("allow", "*7")]))
+    want = sorted(tuple(r) for r in urls.judge(pages, rules).fillna("").collect())
+    monkeypatch.setattr(urls, "BROADCAST_RULES", 2)
+    assert sorted(tuple(r) for r in urls.judge(pages, rules).fillna("").collect()) == want
+    assert {"^login^", "lai"} <= {r[-1] for r in want}
+
+
+
 # 4. wavelet matrices
 
 
