@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.plans import dashboards, inventory, layers, pos, refresh, retrieval, signals
+from quillon.plans import dashboards, documents, inventory, layers, pos, refresh, retrieval, signals
 
-MODULES = [layers, dashboards, pos, retrieval, signals, refresh, inventory]
+MODULES = [layers, dashboards, pos, documents, retrieval, signals, refresh, inventory]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
