@@ -27,12 +27,24 @@ def _orders(s: SparkSession, p: str) -> DataFrame:
     return table(s, p, "orders")
 
 
-_ID, _PLACE, _TOTAL = F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("location_id"), cents("o_totalprice")
-_AT = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+def _id() -> Column:
+    return F.col("o_orderkey").alias("id")
+
+
+def _place() -> Column:
+    return (F.col("o_custkey") % 5).alias("location_id")
+
+
+def _total() -> Column:
+    return cents("o_totalprice")
+
+
+def _at() -> Column:
+    return F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
 
 
 def json_orders(s: SparkSession, p: str) -> DataFrame:
-    docs = _json(_orders(s, p), _ID, _PLACE, _state("o_orderstatus").alias("state"), _AT.alias("created_at"), _money(_TOTAL).alias("total_money"))
+    docs = _json(_orders(s, p), _id(), _place(), _state("o_orderstatus").alias("state"), _at().alias("created_at"), _money(_total()).alias("total_money"))
     return d.rows_of(docs, "order")
 
 
@@ -44,15 +56,15 @@ def json_lines(s: SparkSession, p: str) -> DataFrame:
         _money(cents("l_extendedprice")).alias("gross_sales_money"), modifiers.alias("modifiers"),
     )
     held = table(s, p, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("line_items"))
-    docs = _json(_orders(s, p).join(held, F.col("o_orderkey") == F.col("l_orderkey")), _ID, _state("o_orderstatus").alias("state"), "line_items")
+    docs = _json(_orders(s, p).join(held, F.col("o_orderkey") == F.col("l_orderkey")), _id(), _state("o_orderstatus").alias("state"), "line_items")
     return d.rows_of(docs, "line")
 
 
 def json_payments(s: SparkSession, p: str) -> DataFrame:
     """Every seventh payment has no tip, every eleventh an amount that is no number."""
-    amount = F.when(F.col("o_orderkey") % 11 == 0, F.lit("unknown")).otherwise(_TOTAL.cast("string"))
-    tip = F.when(F.col("o_orderkey") % 7 != 0, _money(_TOTAL % 500))
-    docs = _json(_orders(s, p), _ID, _PLACE, _state("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("source_type"), F.struct(amount.alias("amount")).alias("amount_money"), tip.alias("tip_money"))
+    amount = F.when(F.col("o_orderkey") % 11 == 0, F.lit("unknown")).otherwise(_total().cast("string"))
+    tip = F.when(F.col("o_orderkey") % 7 != 0, _money(_total() % 500))
+    docs = _json(_orders(s, p), _id(), _place(), _state("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("source_type"), F.struct(amount.alias("amount")).alias("amount_money"), tip.alias("tip_money"))
     return d.rows_of(docs, "payment")
 
 
@@ -67,20 +79,20 @@ def json_shifts(s: SparkSession, p: str) -> DataFrame:
     end = F.when(F.col("o_orderstatus") != "P", F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 6 HOURS"), "yyyy-MM-dd HH:mm:ss"))
     wage = F.struct(F.col("o_orderpriority").alias("title"), F.struct(_money(1000 + F.col("o_custkey") % 500).alias("hourly_rate")).alias("inner"))
     wage = F.struct(wage["title"].alias("title"), wage["inner"]["hourly_rate"].alias("hourly_rate"))
-    docs = _json(_orders(s, p), _ID, (F.col("o_custkey") % 50).alias("team_member_id"), _AT.alias("start_at"), end.alias("end_at"), wage.alias("wage"))
+    docs = _json(_orders(s, p), _id(), (F.col("o_custkey") % 50).alias("team_member_id"), _at().alias("start_at"), end.alias("end_at"), wage.alias("wage"))
     return d.rows_of(docs, "shift")
 
 
 def json_invoices(s: SparkSession, p: str) -> DataFrame:
-    paid = F.when(F.col("o_orderstatus") == "F", _TOTAL).otherwise(0)
-    request = F.struct(_money(_TOTAL).alias("computed_amount_money"), _money(paid).alias("total_completed_amount_money"), F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd").alias("due_date"))
-    return d.rows_of(_json(_orders(s, p), _ID, _state("o_orderstatus").alias("status"), F.array(request).alias("payment_requests")), "invoice")
+    paid = F.when(F.col("o_orderstatus") == "F", _total()).otherwise(0)
+    request = F.struct(_money(_total()).alias("computed_amount_money"), _money(paid).alias("total_completed_amount_money"), F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd").alias("due_date"))
+    return d.rows_of(_json(_orders(s, p), _id(), _state("o_orderstatus").alias("status"), F.array(request).alias("payment_requests")), "invoice")
 
 
 def json_bookings(s: SparkSession, p: str) -> DataFrame:
     """Orders as bookings of one to three segments."""
     parts = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 3).cast("int")), lambda k: F.struct((30 + 15 * k).alias("duration_minutes"), (F.col("o_custkey") % 50 + k).alias("team_member_id")))
-    return d.rows_of(_json(_orders(s, p), _ID, _state("o_orderstatus").alias("status"), _AT.alias("start_at"), parts.alias("appointment_segments")), "booking")
+    return d.rows_of(_json(_orders(s, p), _id(), _state("o_orderstatus").alias("status"), _at().alias("start_at"), parts.alias("appointment_segments")), "booking")
 
 
 def json_tool_calls(s: SparkSession, p: str) -> DataFrame:
