@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialise, small_batches, table, workspace
@@ -35,6 +35,9 @@ BROADCAST_MEMBERS = 250_000
 #: Most dropped rows (id and hash of the text) that are broadcast.
 BROADCAST_GONE = 1_000_000
 
+#: Shingles of a block's sets (on average): long texts make blocks of fewer sets, so that a task holds some 16 MB of them.
+BLOCK_SHINGLES = 1 << 21
+
 #: Sets of a cluster of several blocks that stand in each of its blocks (on average).
 PIVOTS = 24
 
@@ -59,12 +62,12 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, words: int, rows:
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """(node, cluster, blocks, text) to (node, cluster, blocks, shingles) where the text has the set that node stands for."""
-    schema = pa.schema([("node", pa.binary()), ("cluster", pa.binary()), ("blocks", pa.int64()), ("shingles", pa.binary())])
+    """(node, cluster, blocks, n_cluster, text) to the same with shingles in place of the text where the text has the set that node stands for."""
+    schema = pa.schema([("node", pa.binary()), ("cluster", pa.binary()), ("blocks", pa.int64()), ("n_cluster", pa.int64()), ("shingles", pa.binary())])
     for batch in batches:
-        sets = shingle_sets(batch.column(3), words)
+        sets = shingle_sets(batch.column(4), words)
         same = [i for i, (s, p) in enumerate(zip(sets, batch.column(0).to_pylist(), strict=True)) if _print_of(s) == p]
-        rows = batch.select([0, 1, 2]).take(pa.array(same, pa.int64()))
+        rows = batch.select([0, 1, 2, 3]).take(pa.array(same, pa.int64()))
         yield pa.record_batch([*rows.columns, pa.array([sets[i].tobytes() for i in same], pa.binary())], schema=schema)
 
 
@@ -88,7 +91,7 @@ def linked(sets: list[np.ndarray], percent: int, groups: np.ndarray) -> list[tup
     shared = count[code] > 1
     number = np.cumsum(count > 1) - 1
     column, row = number[code[shared]], owner[shared]
-    common = np.zeros((k, k), dtype=np.float32)
+    common = np.zeros((k, k), dtype=np.int64)
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
     width = max(1, (1 << 22) // k)
@@ -96,8 +99,7 @@ def linked(sets: list[np.ndarray], percent: int, groups: np.ndarray) -> list[tup
         i, j = np.searchsorted(column, [a, a + width])
         m = np.zeros((k, width), dtype=np.float32)
         m[row[i:j], column[i:j] - a] = 1
-        common += m @ m.T
-    common = common.astype(np.int64)
+        common += (m @ m.T).astype(np.int64)  # a slice's counts are exact: it has fewer than 2**24 columns
     hit = 100 * common >= percent * (size[:, None] + size[None, :] - common)
     hit &= np.tri(k, dtype=bool).T & ~np.eye(k, dtype=bool)
     hit &= groups[:, None] != groups[None, :]
@@ -123,13 +125,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         meta = materialise(signatures(docs, id_col=id_col, text_col=text_col, words=words, rows=rows, n_bands=n_bands), "signatures")
         n_rows = meta.count()
         with_set = meta.where("print is not null and doc_id is not null")
-        classes = with_set.groupBy(F.col("print").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.min_by("keys", "doc_id").alias("keys"), F.count("*").alias("n"))
+        classes = with_set.groupBy(F.col("print").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.min_by("keys", "doc_id").alias("keys"), F.count("*").alias("n"), F.min("n_shingles").alias("size"))
         classes = materialise(classes, "classes", rows=n_rows, rows_per_file=20_000)
         found = materialise(_linked_classes(docs, classes, id_col=id_col, text_col=text_col, words=words, percent=percent, n_bands=n_bands, block=block), "components", rows=n_rows)
         keep(meta, classes, found)
     return _result(meta, n_rows, classes, found)
 
 
+def _blocks(n: Column, shingles: Column, block: int) -> Column:
+    """How many blocks some sets make: of `block` sets and of BLOCK_SHINGLES shingles, on average, at most."""
+    return F.greatest(F.ceil(n / block), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("long")
+
+
 def _linked_classes(docs: DataFrame, classes: DataFrame, *, id_col: str, text_col: str, words: int, percent: int, n_bands: int, block: int) -> DataFrame:
     """(node, component) of the classes (node, doc_id, keys) that are linked with others. A class is known by the fingerprint of its set."""
     n_classes = classes.count()
@@ -137,15 +144,16 @@ def _linked_classes(docs: DataFrame, classes: DataFrame, *, id_col: str, text_co
     stars = with_groups(entries, "key", n_bands * n_classes, least=F.min("node")).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     clusters = materialise(components(stars), "clusters", rows=n_classes)
     n_members = clusters.count()
-    members = with_groups(clusters, "component", n_members, blocks=F.ceil(F.count("*") / block)).join(classes.select("node", "doc_id"), "node")
-    members = materialise(members.select("node", F.col("component").alias("cluster"), "blocks", "doc_id"), "members", rows=n_members)
+    sized = clusters.join(classes.select("node", "doc_id", "size"), "node")
+    members = with_groups(sized, "component", n_members, blocks=_blocks(F.count("*"), F.sum("size"), block), n_cluster=F.count("*"))
+    members = materialise(members.select("node", F.col("component").alias("cluster"), "blocks", "n_cluster", "doc_id"), "members", rows=n_members)
     wanted = F.broadcast(members) if n_members <= BROADCAST_MEMBERS else members
     # the text of a class is that of its least id; rows of that id with another text fall out as their sets differ
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id").select("node", "cluster", "blocks", "text")
-    sets = materialise(texts.mapInArrow(lambda it: _sets_of(it, words), "node binary, cluster binary, blocks long, shingles binary"), "sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id").select("node", "cluster", "blocks", "n_cluster", "text")
+    sets = materialise(texts.mapInArrow(lambda it: _sets_of(it, words), "node binary, cluster binary, blocks long, n_cluster long, shingles binary"), "sets")
     # first each block by itself, beside the pivots of its cluster
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    pivot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks") * block) < PIVOTS
+    pivot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_cluster")) < PIVOTS
     one = sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("i", F.explode(F.when((F.col("blocks") > 1) & pivot, every).otherwise(F.array("own"))))
     proven = materialise(_verified(one.select("cluster", "i", F.lit(0).cast("long").alias("j"), F.col("node").alias("side"), "node", "shingles"), percent), "proven")
     found = components(proven)
@@ -153,11 +161,13 @@ def _linked_classes(docs: DataFrame, classes: DataFrame, *, id_col: str, text_co
     known = members.where("blocks > 1").select("node", "cluster").join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("side"))
     known = materialise(known, "known", rows=n_members)
     split = with_groups(known, "cluster", n_members, x=F.min("side"), y=F.max("side")).where("x <> y").select("node", "side")
-    keyed = materialise(classes.select("node", "keys").join(split, "node").select("node", "side", F.explode("keys").alias("key")), "keyed", rows=n_bands * n_members)
-    sizes = keyed.groupBy("key", "side").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("key").agg(F.max_by("side", F.struct("n", "side")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_main < n_all")
+    keyed = materialise(classes.select("node", "keys", "size").join(split, "node").select("node", "side", "size", F.explode("keys").alias("key")), "keyed", rows=n_bands * n_members)
+    sizes = keyed.groupBy("key", "side").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    most = F.max(F.struct("n", "side", "size"))
+    open_ = sizes.groupBy("key").agg(most.alias("main"), F.sum("n").alias("n_all"), F.sum("size").alias("s_all")).where("main.n < n_all")
     # the bucket's largest component is only compared with the rest: blocks from 0 to r - 1 are the rest, the m blocks after them the largest
-    open_ = open_.select("key", "main", "n_all", F.ceil(F.col("n_main") / block).alias("m"), F.ceil((F.col("n_all") - F.col("n_main")) / block).alias("r"))
+    m, r = _blocks(F.col("main.n"), F.col("main.size"), block), _blocks(F.col("n_all") - F.col("main.n"), F.col("s_all") - F.col("main.size"), block)
+    open_ = open_.select("key", F.col("main.side").alias("main"), "n_all", m.alias("m"), r.alias("r"))
     is_main = F.col("side") == F.col("main")
     placed = join_groups(keyed, open_, "key", n_bands * n_members, "n_all").withColumn("own", F.when(is_main, F.col("r") + F.pmod(F.xxhash64("node"), F.col("m"))).otherwise(F.pmod(F.xxhash64("node"), F.col("r"))))
     last = F.when(is_main, F.col("r") - 1).otherwise(F.col("r") + F.col("m") - 1)

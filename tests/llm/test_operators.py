@@ -557,8 +557,9 @@ def variants(seed, n):
     return out
 
 
-@pytest.mark.parametrize("block", [512, 8])
-def test_components_match_all_pairs(spark, block):
+@pytest.mark.parametrize(("block", "shingles"), [(512, dedup.BLOCK_SHINGLES), (8, dedup.BLOCK_SHINGLES), (512, 400)])
+def test_components_match_all_pairs(spark, monkeypatch, block, shingles):
+    monkeypatch.setattr(dedup, "BLOCK_SHINGLES", shingles)
     texts = dict(enumerate([*ODD, None, *variants(1, 40), *variants(2, 25), *variants(3, 3), *["same text here for all of them"] * 20]))
     docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(docs, block=block).collect()}
