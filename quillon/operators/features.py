@@ -9,8 +9,6 @@ from quillon.functions.calendar import is_bank_holiday, is_school_term, uni_phas
 from quillon.functions.cleaning import HAPPY_HOUR, NO_TRADE, PRICE_BREAK
 from quillon.functions.conventions import dow_monday
 
-#: School terms, as intervals (fixed values).
-SCHOOL_TERMS = (("2024-01-04", "2024-02-09"), ("2024-02-19", "2024-03-28"), ("2024-04-15", "2024-05-24"), ("2024-06-03", "2024-07-19"), ("2024-09-03", "2024-10-25"), ("2024-11-04", "2024-12-20"))
 
 
 def in_intervals(d: Column, intervals: tuple[tuple[str, str], ...]) -> Column:
@@ -20,9 +18,10 @@ def in_intervals(d: Column, intervals: tuple[tuple[str, str], ...]) -> Column:
     return out
 
 
-def term_changes(dates: DataFrame, intervals: tuple[tuple[str, str], ...] = SCHOOL_TERMS) -> DataFrame:
-    """(date, into_term): days after which term turns to vacation or back."""
-    d = dates.select("date").distinct().withColumn("now", in_intervals(F.col("date"), intervals)).withColumn("next", in_intervals(F.date_add("date", 1), intervals))
+def term_changes(dates: DataFrame, intervals: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """(date, into_term): days after which school term turns to vacation or back, by rule, or by the intervals given."""
+    in_term = is_school_term if intervals is None else lambda d: in_intervals(d, intervals)
+    d = dates.select("date").distinct().withColumn("now", in_term(F.col("date"))).withColumn("next", in_term(F.date_add("date", 1)))
     return d.where(F.col("now") != F.col("next")).select("date", F.col("next").alias("into_term"))
 
 

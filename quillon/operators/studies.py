@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +34,19 @@ def adopt_features(base: DataFrame, trial: DataFrame, *, gain: float = 0.01, sla
 
 
 def permutation_importance(scored: DataFrame, predict, features: list[str], seed: int = 7) -> DataFrame:
-    """(feature, mae, rise): the error after a feature's values are dealt anew among rows. predict: DataFrame to DataFrame with yhat; scored: (row_id, y, features). Values are paired by rank of a hash, so no row is gathered."""
+    """(feature, mae, rise): the error after a feature's values are dealt anew among rows.
+
+    predict: DataFrame to DataFrame with yhat; scored: (row_id from 0 without gaps, y, features). Row i gets the value of row
+    a * i + b modulo their number, a seeded number without a common divisor: a permutation that keeps no neighbours, by a join
+    on one key and without an order of all rows.
+    """
     spark = scored.sparkSession
     err = lambda df: error_metrics(predict(df).withColumn("_k", F.lit(0)), ["_k"]).first().mae
-    base = err(scored)
-    rows = []
+    base, n = err(scored), max(scored.count(), 1)
+    draw, rows = random.Random(seed), []
     for f in features:  # a handful of features
-        n = max(scored.count(), 1)
-        moved = scored.select((F.pmod(F.col("row_id") + 1 + seed, F.lit(n))).alias("row_id"), F.col(f).alias("_v"))
+        step = next((a for a in iter(lambda: draw.randrange(n), None) if math.gcd(a, n) == 1 and (n < 7 or 1 < a < n - 1)), 1)
+        moved = scored.select(F.pmod(F.col("row_id") * step + draw.randrange(n), F.lit(n)).alias("row_id"), F.col(f).alias("_v"))
         mae = err(scored.join(moved, "row_id").withColumn(f, F.col("_v")).drop("_v"))
         rows.append((f, mae, mae - base))
     return spark.createDataFrame(rows, "feature string, mae double, rise double")

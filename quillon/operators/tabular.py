@@ -24,7 +24,7 @@ class TabularError(ValueError):
 
 
 def to_rows(df: DataFrame, doc_id: str, order: list[Column]) -> DataFrame:
-    """(doc_id, row_index, data): a table's rows as text cells, in order, at most ROW_CAP; over_cap tells of more.
+    """(doc_id, row_index, data): a table's rows as text cells, in order, at most ROW_CAP (the form's own limit; `over_cap` tells whether there are more).
 
     Rows are numbered in one task only after the cap, which bounds it.
     """
@@ -34,6 +34,11 @@ def to_rows(df: DataFrame, doc_id: str, order: list[Column]) -> DataFrame:
     return capped.select(F.lit(doc_id).alias("doc_id"), index.alias("row_index"), cells.alias("data"))
 
 
+def over_cap(df: DataFrame) -> bool:
+    """Whether a table has more rows than `to_rows` keeps; counts no further than that."""
+    return df.limit(ROW_CAP + 1).count() > ROW_CAP
+
+
 def infer_types(rows: DataFrame, share: float = 0.8) -> DataFrame:
     """(doc_id, name, inferred): number or date where at least `share` of the cells that aren't blank are such, else string."""
     cells = rows.select("doc_id", F.explode("data").alias("name", "cell"))

@@ -74,8 +74,8 @@ def rolling_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dates = spark.range(1).select(F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-12-31").cast("date"))).alias("date"))
-    return features.term_changes(dates)
+    """Days of the data after which a school term begins or ends."""
+    return features.term_changes(series_of(spark, sf_dir))
 
 
 def time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,6 @@ def online_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (l1_daily, l2_daily, l3_daily, l1_calendar, spike_days, ingest_manifest, active_spans, hierarchy_nodes, calendar_features, history_features, rolling_peak, term_changes, time_split, fold_edges, venue_pairs, naive_errors, conformal_quantiles, online_bands)}
 
-_TERM = "(" + " OR ".join(f"{{0}} BETWEEN DATE '{a}' AND DATE '{b}'" for a, b in features.SCHOOL_TERMS) + ")"
 RESIDUALS = f"{SERIES}, residuals AS (SELECT s.venue, s.date, s.value AS y, p.value AS yhat, abs(s.value - p.value) AS score FROM series s JOIN series p ON p.venue = s.venue AND p.date = s.date - 7)"
 ORACLES = {
     "l1_daily": f"WITH {L1} SELECT * FROM l1",
@@ -146,8 +145,9 @@ ORACLES = {
     "history_features": f"""WITH {SERIES} SELECT venue, date, value, lag(value, 7) OVER w AS lag_7, lag(value, 14) OVER w AS lag_14, CASE WHEN count(*) OVER p >= 7 THEN round(avg(value) OVER p, 6) END AS roll_mean_28,
         CASE WHEN count(*) OVER p >= 7 THEN round(median(value) OVER p, 6) END AS roll_median_28 FROM series WINDOW w AS (PARTITION BY venue ORDER BY date), p AS (PARTITION BY venue ORDER BY date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING)""",
     "rolling_peak": f"WITH {SERIES}, m AS (SELECT venue, avg(value) OVER (PARTITION BY venue ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS m FROM series) SELECT venue, round(max(m), 6) AS peak_7 FROM m GROUP BY venue",
-    "term_changes": f"""WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS date), t AS (SELECT date, {_TERM.format("date")} AS now, {_TERM.format("date + 1")} AS next FROM d)
-      SELECT date, next AS into_term FROM t WHERE now <> next""",
+    "term_changes": f"""WITH {SERIES}, {EASTERS_SQL}, own AS (SELECT DISTINCT date FROM series),
+      t AS (SELECT d, {SCHOOL_TERM_SQL} AS in_term FROM (SELECT date AS d FROM own UNION SELECT date + 1 FROM own) JOIN easters ON y = year(d))
+      SELECT date, b.in_term AS into_term FROM own JOIN t a ON a.d = date JOIN t b ON b.d = date + 1 WHERE a.in_term <> b.in_term""",
     "time_split": f"""WITH {SERIES}, l AS (SELECT max(date) AS last FROM series), s AS (SELECT *, CASE WHEN date > last - 56 THEN 'test' WHEN date > last - 84 THEN 'val' ELSE 'train' END AS split FROM series, l)
       SELECT venue, split, min(date) AS first, max(date) AS last, count(*) AS n FROM s GROUP BY venue, split""",
     "fold_edges": f"WITH {FOLDS}, e AS (SELECT venue, fold, max(date) FILTER (WHERE role = 'train') AS train_end, min(date) FILTER (WHERE role = 'test') AS test_start FROM folds GROUP BY venue, fold) SELECT *, train_end >= test_start AS leaks FROM e",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.calendar import BANK_HOLIDAY_SQL, EASTERS_SQL, SCHOOL_TERM_SQL, UNI_PHASE_SQL, is_bank_holiday
@@ -149,6 +149,22 @@ def stock_cover(s: SparkSession, p: str) -> DataFrame:
     return signals.days_of_cover(kegs, demand).withColumn("daily_pints", F.round("daily_pints", 6))
 
 
+def detector_study(s: SparkSession, p: str) -> DataFrame:
+    """Shifts put into the second half of every venue's stream, and when CUSUM sees them first: (shift, venues, detected, mean_delay)."""
+    venue = Window.partitionBy("venue").orderBy("date")
+    halves = _stream(s, p).withColumns({"_k": F.row_number().over(venue), "_n": F.count("*").over(Window.partitionBy("venue"))})
+    each = halves.withColumn("shift", F.explode(F.array(*(F.lit(x) for x in (0.0, 0.5, 1.0, 2.0)))))
+    shifted = each.select(
+        F.concat_ws("|", "venue", F.col("shift").cast("string")).alias("venue"), "date", (F.col("z") + F.when(F.col("_k") > F.col("_n") / 2, F.col("shift")).otherwise(0.0)).alias("z"),
+        "shift", (F.col("_k") > F.col("_n") / 2).alias("_in"),
+    )
+    shifted = kept(shifted, "shifted")
+    begun = shifted.groupBy("venue", "shift").agg(F.min(F.when(F.col("_in"), F.col("date"))).alias("change"))
+    alarms = signals.cusum(shifted.select("venue", "date", "z")).where("direction = 'up'")
+    first = begun.join(alarms, "venue", "left").groupBy("venue", "shift", "change").agg(F.min(F.when(F.col("alarm") >= F.col("change"), F.col("alarm"))).alias("seen"))
+    return first.groupBy("shift").agg(F.count("*").alias("venues"), F.count("seen").alias("detected"), F.round(F.avg(F.datediff("seen", "change")), 4).alias("mean_delay"))
+
+
 #: Days between the two runs of the briefing query.
 RUNS_APART = 28
 
@@ -184,10 +200,10 @@ def briefing_envelope(s: SparkSession, p: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (residual_stream, naive_forecast, weekday_forecast, ladder_scores, ladder_best, boosted_scores, change_points, attributed_points, reconciled, node_series, node_quantiles, node_coverage, standby_band, stock_cover, briefing, briefing_envelope)} | {
     "deviations": lambda s, p: signals.deviations(_stream(s, p)).select("venue", "date", "z", "status", "direction", "severity"),
-    "cusum_alarms": lambda s, p: signals.cusum(_stream(s, p)).withColumn("stat", F.round("stat", 4)),
+    "cusum_alarms": lambda s, p: signals.cusum(_stream(s, p), h=2.0).withColumn("stat", F.round("stat", 4)),
     "persistence_alarms": lambda s, p: signals.persistence(_stream(s, p)),
     "run_lengths": lambda s, p: signals.run_lengths(_stream(s, p)),
-    "detector_study": lambda s, p: signals.simulate_detector(s, [0.0, 1.0, 2.0]),
+    "detector_study": detector_study,
     "venue_transfer": lambda s, p: forecast.leave_one_out_transfer(series_of(s, p)),
     "signal_clusters": lambda s, p: signals.clusters(_signals(s, p, _series(s, p), _stream(s, p)).where("source <> 'stock'")).select("venue", "onset", "source", "direction", "cluster"),
 }
@@ -358,7 +374,14 @@ ORACLES = {
       FROM f JOIN y ON y.venue = f.venue AND y.dow = isodow(date) JOIN q ON q.venue = f.venue AND q.early = (isodow(date) <= 2)""",
     "residual_stream": f"WITH {_STREAM} SELECT venue, date, actual, round(expected, 4) AS expected, round(scale, 4) AS scale, round(raw, 4) AS z FROM stream",
     "deviations": f"WITH {_STREAM}, {_DEVIATIONS} SELECT * FROM deviations",
-    "cusum_alarms": f"WITH RECURSIVE {_STREAM}, {_CUSUM} SELECT venue, alarm, onset, direction, round(stat, 4) AS stat FROM cusum",
+    "cusum_alarms": f"WITH RECURSIVE {_STREAM}, {_CUSUM.replace('> 5', '> 2')} SELECT venue, alarm, onset, direction, round(stat, 4) AS stat FROM cusum",
+    "detector_study": f"""WITH RECURSIVE {_STREAM.replace("stream AS (", "own AS (")},
+      halves AS (SELECT venue, date, z, k, count(*) OVER (PARTITION BY venue) AS n FROM own),
+      stream AS (SELECT venue || '|' || CAST(shift AS VARCHAR) AS venue, shift, date, k, k > n / 2 AS inside, z + CASE WHEN k > n / 2 THEN shift ELSE 0 END AS z
+        FROM halves, (VALUES (0.0::DOUBLE), (0.5), (1.0), (2.0)) AS v(shift)), {_CUSUM},
+      begun AS (SELECT venue, shift, min(date) FILTER (inside) AS change FROM stream GROUP BY venue, shift),
+      seen AS (SELECT b.venue, shift, change, min(alarm) AS seen FROM begun b LEFT JOIN cusum c ON c.venue = b.venue AND direction = 'up' AND alarm >= change GROUP BY ALL)
+      SELECT shift, count(*) AS venues, count(seen) AS detected, round(avg(seen - change), 4) AS mean_delay FROM seen GROUP BY shift""",
     "persistence_alarms": f"WITH {_STREAM}, {_PERSISTENCE} SELECT * FROM persistent",
     "change_points": f"WITH RECURSIVE {_STREAM}, {_POINTS} SELECT * FROM points",
     "signal_clusters": f"WITH RECURSIVE {_STREAM}, {_CLUSTERS} SELECT venue, onset, source, direction, cluster FROM clusters",

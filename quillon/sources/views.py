@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 #: Venues that sell VAT-inclusive, and those kept out of the layers (fixed values of the adapter).
 VAT_INCLUSIVE, EXCLUDED, VAT = ("EUROPE",), ("MIDDLE EAST",), 0.2
 
-#: Dimension tables up to this many rows are broadcast; larger ones are left to the optimizer.
-DIMENSION_ROWS = 100_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,7 +22,7 @@ def cents(c: Column | str) -> Column:
 
 
 def venue_of_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(custkey, venue). Nations and regions are a fixed few dozen rows, read with a limit check by the optimizer's own statistics."""
+    """(custkey, venue). Nations and regions are a fixed few dozen rows; the optimizer broadcasts them by their files' size."""
     t = lambda name: table(spark, sf_dir, name)
     venues = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("venue"))
     return t("customer").join(venues, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("custkey"), "venue")
