@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.calendar import BANK_HOLIDAY_SQL, EASTERS_SQL, SCHOOL_TERM_SQL, UNI_PHASE_SQL, is_bank_holiday
 from quillon.operators import briefing as brief
-from quillon.operators import causes, features, forecast, layers, signals
+from quillon.operators import causes, features, forecast, layers, regression, signals
 from quillon.plans.layers import FOLDS, NAIVE, RESIDUALS, SERIES, l3_daily, lag_residuals, series_of
 from quillon.sources.store import Store, append_run, kept, shared_folder
 from quillon.sources.views import LINE_ITEMS, STOCK, line_items, stock
@@ -71,6 +71,25 @@ def change_points(s: SparkSession, p: str) -> DataFrame:
     return _points(_series(s, p), _stream(s, p))
 
 
+def _weather(series: DataFrame) -> DataFrame:
+    """The series with a temperature that stands in for the weather of its venue."""
+    season = 10 + 8 * F.cos((F.dayofyear("date") - 200) * (2 * math.pi / 365)) + F.day("date") % 5 - 2
+    return series.withColumn("temp", F.round(season, 6))
+
+
+def weather_slopes(s: SparkSession, p: str) -> DataFrame:
+    """What a degree is worth in every venue: slope, its p-value apart, share explained."""
+    fits = regression.ols(_weather(_series(s, p)), ["venue"], "value", ["temp"]).where("term = 'temp'")
+    return fits.select("venue", F.round("coef", 4).alias("slope"), F.round("r2", 9).alias("r2"), "n")
+
+
+def weather_gain(s: SparkSession, p: str) -> DataFrame:
+    """What the temperature adds to the weekday in every venue."""
+    days = _weather(_series(s, p)).withColumns({f"d{i}": (F.weekday("date") == i).cast("double") for i in range(1, 7)})
+    fits = regression.incremental(days, ["venue"], "value", [f"d{i}" for i in range(1, 7)], ["temp"])
+    return fits.select("venue", "n", *(F.round(c, 8).alias(c) for c in ("r2_base", "r2", "gain")), F.round("f", 4).alias("f"))
+
+
 def _facts(s: SparkSession, p: str, series: DataFrame) -> DataFrame:
     """What may coincide with a change: see operators.causes. Weather, events and stock snapshots stand in for tables that aren't there.
 
@@ -78,8 +97,7 @@ def _facts(s: SparkSession, p: str, series: DataFrame) -> DataFrame:
     year; stock lines are counted on days spread over six years, and ask for an order where fewer than three are left.
     """
     lines = line_items(s, p)
-    season = 10 + 8 * F.cos((F.dayofyear("date") - 200) * (2 * math.pi / 365)) + F.day("date") % 5 - 2
-    weather = series.select("venue", "date", F.round(season, 6).alias("temp"))
+    weather = _weather(series).select("venue", "date", "temp")
     best = series.groupBy("venue", F.year("date").alias("y")).agg(F.max_by("date", F.struct("value", -F.unix_date("date"))).alias("date"))
     happenings = best.select("venue", "date", F.concat(F.lit("best day of "), F.col("y").cast("string")).alias("name"))
     counted = stock(s, p).select(
@@ -198,7 +216,7 @@ def briefing_envelope(s: SparkSession, p: str) -> DataFrame:
     return brief.envelope(items, F.lit(last).cast("date"))
 
 
-QUERIES = {f.__name__: f for f in (residual_stream, naive_forecast, weekday_forecast, ladder_scores, ladder_best, boosted_scores, change_points, attributed_points, reconciled, node_series, node_quantiles, node_coverage, standby_band, stock_cover, briefing, briefing_envelope)} | {
+QUERIES = {f.__name__: f for f in (residual_stream, naive_forecast, weekday_forecast, ladder_scores, ladder_best, boosted_scores, change_points, attributed_points, reconciled, node_series, node_quantiles, node_coverage, standby_band, stock_cover, briefing, briefing_envelope, weather_slopes, weather_gain)} | {
     "deviations": lambda s, p: signals.deviations(_stream(s, p)).select("venue", "date", "z", "status", "direction", "severity"),
     "cusum_alarms": lambda s, p: signals.cusum(_stream(s, p), h=2.0).withColumn("stat", F.round("stat", 4)),
     "persistence_alarms": lambda s, p: signals.persistence(_stream(s, p)),
@@ -268,6 +286,7 @@ _CLUSTERS = f"""{_DEVIATIONS}, {_POINTS},
   opened AS (SELECT *, CASE WHEN onset - lag(onset) OVER w <= 7 THEN 0 ELSE 1 END AS o FROM signals WINDOW w AS (PARTITION BY venue, direction ORDER BY onset, source)),
   clusters AS (SELECT *, CAST(sum(o) OVER (PARTITION BY venue, direction ORDER BY onset, source ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM opened)"""
 _VENUE_OF = f"[{', '.join(repr(v) for v in VENUES)}][venue_id + 1]"
+_WEATHER = "weather AS (SELECT venue, date, round(10 + 8 * cos((dayofyear(date) - 200) * (2 * pi() / 365)) + day(date) % 5 - 2, 6) AS temp FROM series)"
 #: All facts, written from the rules.
 _FACTS = f"""{STOCK}, {EASTERS_SQL},
   dates AS (SELECT DISTINCT date AS d FROM series),
@@ -275,7 +294,7 @@ _FACTS = f"""{STOCK}, {EASTERS_SQL},
   edges AS (SELECT a.d, a.school <> b.school AS school, a.uni <> b.uni AS uni FROM calendar_days a JOIN dates USING (d) JOIN calendar_days b ON b.d = a.d + 1),
   months AS (SELECT CAST(date_trunc('month', date) AS DATE) AS date, sum(gross_cents) / sum(qty) AS price FROM line_items WHERE NOT excluded AND qty > 0 GROUP BY 1),
   steps AS (SELECT date, round(abs(ln(price / lag(price) OVER (ORDER BY date))), 12) AS step FROM months),
-  weather AS (SELECT venue, date, round(10 + 8 * cos((dayofyear(date) - 200) * (2 * pi() / 365)) + day(date) % 5 - 2, 6) AS temp FROM series),
+  {_WEATHER},
   spells AS (SELECT venue, date, round(avg(temp) OVER w - avg(temp) OVER v, 9) AS gap, stddev(temp) OVER v AS sd, count(*) OVER v AS n FROM weather
     WINDOW v AS (PARTITION BY venue), w AS (PARTITION BY venue ORDER BY date RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 7 DAY FOLLOWING)),
   spikes AS (SELECT venue, date FROM line_items WHERE NOT excluded GROUP BY venue, date HAVING round_even(abs(sum(disc_e4) / 100 / sum(gross_cents)), 4) >= 0.09),
@@ -375,6 +394,13 @@ ORACLES = {
     "residual_stream": f"WITH {_STREAM} SELECT venue, date, actual, round(expected, 4) AS expected, round(scale, 4) AS scale, round(raw, 4) AS z FROM stream",
     "deviations": f"WITH {_STREAM}, {_DEVIATIONS} SELECT * FROM deviations",
     "cusum_alarms": f"WITH RECURSIVE {_STREAM}, {_CUSUM.replace('> 5', '> 2')} SELECT venue, alarm, onset, direction, round(stat, 4) AS stat FROM cusum",
+    "weather_slopes": f"""WITH {SERIES}, {_WEATHER} SELECT venue, round(regr_slope(value, temp), 4) AS slope, round(regr_r2(value, temp), 9) AS r2, count(*) AS n
+      FROM series JOIN weather USING (venue, date) GROUP BY venue""",
+    "weather_gain": f"""WITH {SERIES}, {_WEATHER},
+      c AS (SELECT venue, value - avg(value) OVER v AS y, value - avg(value) OVER w AS yw, temp - avg(temp) OVER w AS tw FROM series JOIN weather USING (venue, date)
+        WINDOW v AS (PARTITION BY venue), w AS (PARTITION BY venue, isodow(date))),
+      q AS (SELECT venue, count(*) AS n, sum(y * y) AS total, sum(yw * yw) AS base, sum(yw * yw) - sum(yw * tw) ^ 2 / sum(tw * tw) AS whole FROM c GROUP BY venue)
+      SELECT venue, n, round(1 - base / total, 8) AS r2_base, round(1 - whole / total, 8) AS r2, round((base - whole) / total, 8) AS gain, round((base - whole) / (whole / (n - 8)), 4) AS f FROM q""",
     "detector_study": f"""WITH RECURSIVE {_STREAM.replace("stream AS (", "own AS (")},
       halves AS (SELECT venue, date, z, k, count(*) OVER (PARTITION BY venue) AS n FROM own),
       stream AS (SELECT venue || '|' || CAST(shift AS VARCHAR) AS venue, shift, date, k, k > n / 2 AS inside, z + CASE WHEN k > n / 2 THEN shift ELSE 0 END AS z
