@@ -142,6 +142,8 @@ def reconcile(nodes: DataFrame) -> DataFrame:
     """(venue, date, node, yhat, coherent): minimum-trace reconciliation with diagonal weights, per venue and day.
 
     nodes: (venue, date, node, parent, yhat, variance); leaves are nodes that are nobody's parent. A hierarchy has some dozens of nodes.
+    The ridge is a millionth of the weights' own size (of one, where they are larger): a fixed one would outweigh the weights of
+    large amounts of money, and draw all forecasts to 0.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -156,7 +158,9 @@ def reconcile(nodes: DataFrame) -> DataFrame:
                 s[at[n], j] = 1
                 n = parent.get(n)
         w = 1 / np.maximum(pdf["variance"].to_numpy(dtype=float), 1e-6)
-        bottom = np.linalg.solve(s.T @ (w[:, None] * s) + 1e-6 * np.eye(len(leaves)), s.T @ (w * pdf["yhat"].to_numpy(dtype=float)))
+        a = s.T @ (w[:, None] * s)
+        ridge = 1e-6 * min(1.0, float(np.trace(a)) / len(leaves))
+        bottom = np.linalg.solve(a + ridge * np.eye(len(leaves)), s.T @ (w * pdf["yhat"].to_numpy(dtype=float)))
         return pd.DataFrame({"venue": pdf["venue"], "date": pdf["date"], "node": names, "yhat": pdf["yhat"], "coherent": s @ bottom})
 
     return nodes.groupBy("venue", "date").applyInPandas(solve, "venue string, date date, node string, yhat double, coherent double")

@@ -133,7 +133,8 @@ def reconciled(s: SparkSession, p: str) -> DataFrame:
     leaf = layers.dense_calendar(days, ["venue", "category"], ["value"]).select("venue", F.concat(F.lit("CAT::"), "category").alias("node"), F.lit("VENUE").alias("parent"), "date", "value")
     root = _series(s, p).select("venue", F.lit("VENUE").alias("node"), F.lit(None).cast("string").alias("parent"), "date", "value")
     series = leaf.unionByName(root)
-    base = forecast.weekday_base(series, ["venue", "node", "parent"])
+    names = series.select("venue", "node", "parent").distinct()  # the root's parent is null, so it is no key to join on
+    base = forecast.weekday_base(series, ["venue", "node"]).join(names, ["venue", "node"])
     last = series.agg(F.max("date")).first()[0]
     monday = F.next_day(F.lit(str(last)).cast("date"), "Mon")
     week = s.range(7).select(F.date_add(monday, F.col("id").cast("int")).alias("date"))
@@ -408,6 +409,18 @@ ORACLES = {
       begun AS (SELECT venue, shift, min(date) FILTER (inside) AS change FROM stream GROUP BY venue, shift),
       seen AS (SELECT b.venue, shift, change, min(alarm) AS seen FROM begun b LEFT JOIN cusum c ON c.venue = b.venue AND direction = 'up' AND alarm >= change GROUP BY ALL)
       SELECT shift, count(*) AS venues, count(seen) AS detected, round(avg(seen - change), 4) AS mean_delay FROM seen GROUP BY shift""",
+    "reconciled": f"""WITH {SERIES},
+      sold AS (SELECT venue, 'CAT::' || coalesce(category, 'Uncategorised') AS node, date, sum(net_e4) / 10000 AS v FROM line_items WHERE NOT excluded GROUP BY ALL),
+      spread AS (SELECT venue, node, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM sold GROUP BY venue, node),
+      both_levels AS (SELECT venue, node, date, coalesce(v, 0) AS value FROM spread LEFT JOIN sold USING (venue, node, date) UNION ALL SELECT venue, 'VENUE', date, value FROM series),
+      medians AS (SELECT venue, node, isodow(date) AS dow, median(value) AS yhat FROM both_levels GROUP BY ALL),
+      weights AS (SELECT b.venue, b.node, 1 / greatest(var_pop(value - yhat), 1e-6::DOUBLE) AS w FROM both_levels b JOIN medians m ON m.venue = b.venue AND m.node = b.node AND m.dow = isodow(date) GROUP BY ALL),
+      week AS (SELECT max(date) + CAST(8 - isodow(max(date)) + k AS INTEGER) AS date FROM series, range(7) AS r(k) GROUP BY k),
+      n AS (SELECT venue, node, date, yhat, w FROM medians JOIN weights USING (venue, node) JOIN week ON isodow(date) = dow),
+      root AS (SELECT venue, date, yhat AS y0, w AS w0 FROM n WHERE node = 'VENUE'),
+      leaf AS (SELECT *, w + 1e-6::DOUBLE * least(1, avg(w + w0) OVER (PARTITION BY venue, date)) AS a, w * yhat + w0 * y0 AS r FROM n JOIN root USING (venue, date) WHERE node <> 'VENUE'),
+      solved AS (SELECT venue, date, node, r / a - w0 / a * sum(r / a) OVER d / (1 + w0 * sum(1 / a) OVER d) AS b FROM leaf WINDOW d AS (PARTITION BY venue, date))
+      SELECT venue, date, node, round(b, 2) AS coherent FROM solved UNION ALL SELECT venue, date, 'VENUE', round(sum(b), 2) FROM solved GROUP BY venue, date""",
     "persistence_alarms": f"WITH {_STREAM}, {_PERSISTENCE} SELECT * FROM persistent",
     "change_points": f"WITH RECURSIVE {_STREAM}, {_POINTS} SELECT * FROM points",
     "signal_clusters": f"WITH RECURSIVE {_STREAM}, {_CLUSTERS} SELECT venue, onset, source, direction, cluster FROM clusters",
