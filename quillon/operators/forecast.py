@@ -194,11 +194,11 @@ def node_bands(series: DataFrame, levels: tuple[float, ...] = (0.8, 0.9), test_w
 
 
 def node_coverage(quantiles: DataFrame, forecasts: DataFrame) -> DataFrame:
-    """(venue, kind, level, n, coverage): the share of test days inside the band, pooled over category nodes (L2) and over item nodes without OTHER (L3)."""
+    """(venue, kind, level, n, n_no_width, coverage): n_no_width counts days whose band has no width, as of nodes that mostly sell nothing; the share of test days inside the band, pooled over category nodes (L2) and over item nodes without OTHER (L3)."""
     kind = F.when(F.col("node").startswith("CAT::"), "L2").when(F.col("node").startswith("ITEM::") & ~F.col("node").endswith("::OTHER"), "L3")
     rows = forecasts.join(quantiles, ["venue", "node"]).withColumn("kind", kind).where("kind is not null")
     inside = F.col("value").between(F.greatest(F.col("coherent") - F.col("q"), F.lit(0.0)), F.col("coherent") + F.col("q"))
-    return rows.groupBy("venue", "kind", "level").agg(F.count("*").alias("n"), F.round(F.avg(inside.cast("int")), 6).alias("coverage"))
+    return rows.groupBy("venue", "kind", "level").agg(F.count("*").alias("n"), F.count_if(F.col("q") <= 0).alias("n_no_width"), F.round(F.avg(inside.cast("int")), 6).alias("coverage"))
 
 
 def standby_band(series: DataFrame, residuals: DataFrame, closed: DataFrame, *, level: float = 0.9, days: int = 28) -> DataFrame:
