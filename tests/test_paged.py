@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,17 @@ def test_no_rows(spark, sf_dir, tmp_path):
     paged.register(spark)
     table(spark, sf_dir, "orders").where("false").write.parquet(str(tmp_path / "orders"))
     assert spark.read.format("paged_orders").options(path=str(tmp_path / "orders")).load().collect() == []
+
+
+def test_a_page_costs_what_it_holds(spark, sf_dir):
+    """Every page turned all rows of its slice into Python values."""
+    client = paged.ParquetOrders({"path": f"{sf_dir}/orders.parquet"})
+    asked, cursor, got, began = paged.Asked(*client.span(), (1, 3), None), None, [], time.time()
+    while True:
+        page = client.fetch(asked, cursor, 2)
+        got += page.rows
+        cursor = page.cursor
+        if cursor is None:
+            break
+    assert sorted(got) == rows(plain(spark, sf_dir).where("location_id in (1, 3)")) and got == sorted(got, key=lambda r: (r[3], r[0]))
+    assert time.time() - began < 5
