@@ -13,7 +13,8 @@ def _panel(s: SparkSession, p: str) -> DataFrame:
     """Six snapshots, ten days apart, of every stock line; a third of the products changes its amount."""
     days = s.range(6).select(F.date_add(F.lit("2025-01-01").cast("date"), (F.col("id") * 10).cast("int")).alias("snapshot_date"), F.col("id").alias("t"))
     qty = F.when(F.col("stock_id") % 3 == 0, F.pmod(F.col("current") - F.col("t"), F.lit(40))).otherwise(F.col("current"))
-    return stock(s, p).join(F.broadcast(days)).select("snapshot_date", F.col("stock_id").alias("product"), F.concat_ws(" ", "name", (F.col("t") % 2).cast("string")).alias("name"), "category", qty.alias("qty"), (qty * F.col("price_cents")).alias("value"))  # six rows
+    dealt = stock(s, p).repartition("stock_id")  # a table of one file would be one task's work, and a product's rows stay together
+    return dealt.join(F.broadcast(days)).select("snapshot_date", F.col("stock_id").alias("product"), F.concat_ws(" ", "name", (F.col("t") % 2).cast("string")).alias("name"), "category", qty.alias("qty"), (qty * F.col("price_cents")).alias("value"))  # six rows
 
 
 PANEL = f"""{STOCK}, panel AS (SELECT DATE '2025-01-01' + CAST(10 * t AS INTEGER) AS snapshot_date, stock_id AS product, name || ' ' || CAST(t % 2 AS VARCHAR) AS name, category, q AS qty, q * price_cents AS value

@@ -2,6 +2,8 @@
 
 import datetime
 import random
+import time
+import zoneinfo
 
 import numpy as np
 import pytest
@@ -171,3 +173,33 @@ def test_recall_paths_are_united(spark):
     got = [(r.id, r.similarity, r.bm25_rank, r.path, r.weak) for r in retrieval.find([a, b], limit=500).collect()]
     assert got == [(1, 0.95, None, 1, False), (3, None, 1, 1, False)]
     assert retrieval.find([a], limit=0).count() == 1 and retrieval.find([a.where("id = 2")], limit=5).count() == 0
+
+
+def test_next_runs_where_clocks_change(spark):
+    zone, now = "Europe/London", datetime.datetime(2024, 3, 29, 22, 17)
+    kinds = ["daily", "weekly", "monthly"]
+    asked = [(i, kinds[i % 3], i % 24, i % 33) for i in range(1056)]
+    local = [(k, (now.replace(minute=0, tzinfo=datetime.UTC) + datetime.timedelta(hours=k)).astimezone(zoneinfo.ZoneInfo(zone))) for k in range(1, 769)]
+    fits = {"daily": lambda t, d: True, "weekly": lambda t, d: t.weekday() == d, "monthly": lambda t, d: t.day == d}
+    want = {i: now.replace(minute=0) + datetime.timedelta(hours=next((k for k, t in local if t.hour == h and fits[kind](t, d)), 24)) for i, kind, h, d in asked}
+    at = F.lit(str(now)).cast("timestamp")
+    df = spark.createDataFrame(asked, "id int, kind string, hour int, day int").select("id", refresh.next_run(at, zone, F.col("kind"), F.col("hour"), F.col("day")).cast("timestamp_ntz").alias("t"))
+    assert {r.id: r.t for r in df.collect()} == want
+
+
+def test_next_runs_of_many_schedules_are_few_steps_each(spark):
+    """All hours of a month were looked at for every schedule: 768 steps each."""
+    at = F.lit("2024-03-30 10:30:00").cast("timestamp")
+    once = lambda n: spark.range(n).select(F.max(refresh.next_run(at, "Europe/London", F.lit("weekly"), (F.col("id") % 24).cast("int"), (F.col("id") % 7).cast("int")))).collect()
+    once(10)
+    began = time.time()
+    once(20_000)
+    assert time.time() - began < 15
+
+
+def test_a_stock_table_of_one_file_is_dealt_by_product(spark, sf_dir):
+    from quillon.plans.inventory import QUERIES, _panel
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(stock_id" in plan(_panel(spark, sf_dir))
+    assert plan(QUERIES["product_master"](spark, sf_dir)).count("Exchange hashpartitioning") == 1
