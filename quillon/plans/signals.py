@@ -143,15 +143,21 @@ def reconciled(s: SparkSession, p: str) -> DataFrame:
 
 
 def node_series(s: SparkSession, p: str) -> DataFrame:
-    return layers.node_series(l3_daily(s, p))
+    return layers.node_series(kept(l3_daily(s, p).select("venue", "category", "item", "date", "revenue"), "days"))
+
+
+def _nodes(s: SparkSession, p: str) -> DataFrame:
+    """The nodes' series, and the days it is made of, written once: the lines are joined once, not for each of their many uses."""
+    days = kept(l3_daily(s, p).select("venue", "category", "item", "date", "revenue"), "days")
+    return kept(layers.node_series(days), "nodes")
 
 
 def node_quantiles(s: SparkSession, p: str) -> DataFrame:
-    return forecast.node_bands(node_series(s, p))[0].withColumn("q", F.round("q", 4))
+    return forecast.node_bands(_nodes(s, p))[0].withColumn("q", F.round("q", 4))
 
 
 def node_coverage(s: SparkSession, p: str) -> DataFrame:
-    return forecast.node_coverage(*forecast.node_bands(node_series(s, p)))
+    return forecast.node_coverage(*forecast.node_bands(_nodes(s, p)))
 
 
 def standby_band(s: SparkSession, p: str) -> DataFrame:
