@@ -23,6 +23,9 @@ FIT_ROWS, MEASURE_ROWS, MOST_CELLS, BLOCK_ROWS = 65_536, 256, 2_048, 32_768
 #: Query vectors that meet a block at once.
 QUERY_ROWS = 1_024
 
+#: Vectors that a task handles at once, rows of (query, cell) that it makes at once, and queries that are ranked at once.
+PIECE_ROWS, PROBED_ROWS, RANKED_ROWS = 1_024, 16_384, 64
+
 #: Neighbours for which recall is measured.
 MEASURED_K = 10
 
@@ -68,6 +71,12 @@ def fit_centroids(sample: np.ndarray, cells: int, *, turns: int = 12, seed: int
     return centre
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many rows, so that what is made of a piece stays small."""
+    for batch in batches:
+        yield from (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+
+
 def _cells_of(vectors: np.ndarray, centre: np.ndarray, most: int) -> np.ndarray:
     """The `most` nearest cells of each unit vector, nearest first; of equally near ones the lesser number."""
     return np.argsort(-np.round(vectors @ centre.T, 12), axis=1, kind="stable")[:, :most]
@@ -92,7 +101,7 @@ def exact(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, *,
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, who = np.full((len(names), k), -np.inf), np.full((len(names), k), np.iinfo(np.int64).max)
-        for batch in batches:
+        for batch in _sliced(batches, PIECE_ROWS):
             if batch.num_rows:
                 ids, rows = np.asarray(batch.column(0)), _unit(_matrix(batch.column(1), dim))
                 sim = np.round(wanted @ rows.T, 6)
@@ -169,7 +178,7 @@ class VectorIndex:
         lean = queries.where(usable(F.col(vec_col), dim) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("q"), F.col(vec_col).cast("array<float>").alias("w"))
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _sliced(batches, max(1, PROBED_ROWS // max(1, most))):  # a query is copied for each cell it probes
                 found = _cells_of(_unit(_matrix(batch.column(1), dim)), centre, most)
                 rows = np.repeat(np.arange(batch.num_rows), found.shape[1])
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns), pa.array(found.ravel().astype(np.int32))], names=["q", "w", "cell"])
@@ -194,9 +203,9 @@ class VectorIndex:
             held = _unit(_matrix(b["v"].combine_chunks(), dim))
             wanted = _unit(_matrix(a["w"].combine_chunks(), dim))
             got = []
-            for at in range(0, len(names), 256):
-                sim = np.round(wanted[at : at + 256] @ held.T, 6)
-                sim[names[at : at + 256, None] == ids[None, :]] = -np.inf
+            for at in range(0, len(names), RANKED_ROWS):
+                sim = np.round(wanted[at : at + RANKED_ROWS] @ held.T, 6)
+                sim[names[at : at + RANKED_ROWS, None] == ids[None, :]] = -np.inf
                 best, who = _top(sim, ids, k)
                 i, j = np.nonzero(np.isfinite(best))
                 got.append((names[at + i], who[i, j], best[i, j]))
@@ -237,7 +246,7 @@ def _assigned(lean: DataFrame, centre: np.ndarray, dim: int) -> DataFrame:
     """(id, v) with the nearest cell. Nothing is shuffled."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, PIECE_ROWS):
             cell = _cells_of(_unit(_matrix(batch.column(1), dim)), centre, 1)[:, 0] if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["id", "v", "cell"])
 
