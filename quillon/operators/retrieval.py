@@ -7,8 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillon.functions.conventions import safe_ratio
 from quillon.functions.ordered import flag_in_order
@@ -78,6 +81,9 @@ def keep_relevant(hits: DataFrame, least: float = 0.3) -> DataFrame:
 #: Query vectors that are compared in one pass over the pending ones.
 QUERY_BLOCK = 2048
 
+#: Pending vectors that are compared with a block at once, and characters of texts that are cut into sections at once.
+COMPARED, CUT_CHARS = 512, 1 << 20
+
 
 def near_pending(new: DataFrame, pending: DataFrame, at: float = 0.85, *, id_col: str = "vec_id", vec_col: str = "embedding", scope: str = "label") -> DataFrame:
     """(id, nearest, similarity, is_duplicate): each new vector's most similar pending one of its scope (ties: the least id); new ones without any are left out.
@@ -98,7 +104,7 @@ def near_pending(new: DataFrame, pending: DataFrame, at: float = 0.85, *, id_col
 
         def scan(batches: Iterator[pd.DataFrame], ids=ids, scopes=scopes, q=q) -> Iterator[pd.DataFrame]:
             best, who = np.full(len(ids), -2.0), np.zeros(len(ids), dtype=np.int64)
-            for pdf in batches:
+            for pdf in (whole.iloc[k : k + COMPARED] for whole in batches for k in range(0, len(whole), COMPARED)):
                 pdf = pdf.dropna()
                 if not len(pdf):
                     continue
@@ -156,13 +162,26 @@ def _capped(title: str, text: str, depth: int) -> Iterator[tuple[str, str, bool]
 def heading_sections(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, section, title, text, truncated): sections at headings; one of more than SECTION_TOKENS is cut at its sub-headings, and where there are none it stays whole and is marked as truncated: its chunks stand for it. Null texts have no section."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, k, *x) for i, t in zip(pdf[id_col], pdf[text_col], strict=True) if t is not None for k, x in enumerate(x for title, body in split_at_headings(t) for x in _capped(title, body, 1))]
-            yield pd.DataFrame(rows, columns=[id_col, "section", "title", "text", "truncated"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInPandas(cut, f"{id_col} {kind}, section int, title string, text string, truncated boolean")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for at in range(batch.num_rows):
+                text = batch.column(1)[at].as_py()
+                if text is None:
+                    continue
+                i = batch.column(0)[at].as_py()
+                rows += [(i, k, *x) for k, x in enumerate(x for title, body in split_at_headings(text) for x in _capped(title, body, 1))]
+                held += len(text)
+                if held >= CUT_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+    kind = docs.schema[id_col].dataType
+    names = [T.StructField(id_col, kind), T.StructField("section", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("truncated", T.BooleanType())]
+    out = to_arrow_schema(T.StructType(names))
+    return docs.select(id_col, text_col).mapInArrow(cut, T.StructType(names))
 
 
 def csv_batches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = CSV_ROWS) -> DataFrame:

@@ -1,5 +1,9 @@
 """Plans and memory that must not grow with the tables."""
 
+import pyarrow as pa
+
+from quillon.operators import retrieval
+from quillon.operators.vector_index import PIECE_ROWS, _sliced
 from quillon.plans.layers import l3_daily
 from quillon.plans.signals import QUERIES
 
@@ -16,3 +20,25 @@ def test_customers_orders_and_parts_are_not_broadcast(spark, sf_dir):
 def test_lines_are_joined_once_for_the_nodes(spark, sf_dir):
     assert "lineitem" not in plan(QUERIES["node_quantiles"](spark, sf_dir))
     assert "lineitem" not in plan(QUERIES["node_coverage"](spark, sf_dir))
+
+
+def test_vectors_are_handled_in_pieces():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500))], names=["id"])
+    pieces = list(_sliced(iter([batch, batch.slice(0, 0)]), PIECE_ROWS))
+    assert [p.num_rows for p in pieces] == [1024, 1024, 452] and [x for p in pieces for x in p.column(0).to_pylist()] == list(range(2500))
+
+
+def test_near_pending_over_more_rows_than_are_compared_at_once(spark):
+    """The best of all pieces counts, and the least id among equals that lie in different pieces."""
+    assert retrieval.COMPARED < 600
+    rows = [(i, 1, [1.0, 0.0] if i in (7, 1500) else [float(i % 5), 5.0]) for i in range(2000)]
+    held = spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").coalesce(1)
+    new = spark.createDataFrame([(5000, 1, [2.0, 0.0])], held.schema)
+    assert [tuple(r) for r in retrieval.near_pending(new, held).collect()] == [(5000, 7, 1.0, True)]
+
+
+def test_sections_are_cut_text_by_text(spark):
+    docs = spark.createDataFrame([(i, "# A\nx\n# B\n" + "y" * 60_000) if i % 7 else (i, None) for i in range(60)], "doc_id long, text string").coalesce(1)
+    found = retrieval.heading_sections(docs)
+    assert "MapInArrow" in plan(found)
+    assert found.count() == 2 * 51 and found.where("section = 1 and title = 'B' and truncated and length(text) = 60000").count() == 51
