@@ -139,19 +139,21 @@ def fit(rows: Rows, y: np.ndarray, weight: np.ndarray, size: int, *, start: np.n
     return out
 
 
-def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept (Platt) so that sigmoid(slope * z + intercept) is the chance of y; the slope is not negative."""
-    good, bad = y.sum(), len(y) - y.sum()
+def calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and intercept (Platt) so that sigmoid(slope * z + intercept) is the chance of y; the slope is not negative. weight: how often each row stands."""
+    w = np.ones(len(z)) if weight is None else weight
+    good, bad = (w * y).sum(), (w * (1 - y)).sum()
     if not good or not bad:
         return 0.0, float(np.log((good + 1) / (bad + 1)))
     target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
-    centre, spread = z.mean(), z.std() or 1.0
+    centre = z.mean() if weight is None else np.average(z, weights=w)
+    spread = (z.std() if weight is None else np.sqrt(np.average((z - centre) ** 2, weights=w))) or 1.0
     x = (z - centre) / spread
     a, b = 0.0, float(np.log((good + 1) / (bad + 1)))
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        v = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([(x * (p - target)).sum() + 1e-2 * a, (p - target).sum()])
+        v = w * np.maximum(p * (1 - p), 1e-6)
+        g = np.array([(w * x * (p - target)).sum() + 1e-2 * a, (w * (p - target)).sum()])
         h = np.array([[(v * x * x).sum() + 1e-2, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)

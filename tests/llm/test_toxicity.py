@@ -134,3 +134,24 @@ def test_query(spark, sf_dir):
     assert len(got) == table(spark, sf_dir, "documents").count()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got) and any(r.held_out for r in got)
     assert re.fullmatch(r"doc_id held_out score predicted.*", " ".join(got[0].__fields__))
+
+
+def test_all_labels_count(spark, monkeypatch):
+    """Documents beyond any bound are learned from: dealt to several workers, every key is counted and every held document calibrates."""
+    rows = corpus(800, 5)
+    docs = spark.createDataFrame([(i, t, g) for i, t, g, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, x) for i, _, _, x in rows], "doc_id long, toxic int")
+    names = {"id_col": "doc_id", "text_col": "text", "lang_col": "lang"}
+    monkeypatch.setattr(toxicity, "WORKER_DOCS", 200)
+    dealt, workers = toxicity.labelled(docs, labels, **names)
+    assert workers == 4 == dealt.rdd.getNumPartitions() and dealt.count() == 800
+    y = np.array([float(r[3]) for r in rows])
+    want, ratio = toxicity._vocabulary(*toxicity.word_keys(pa.array([r[1] for r in rows])), y)
+    monkeypatch.setattr(toxicity, "COUNTED", 500)
+    got, found = toxicity.vocabulary_of(dealt, int(y.sum()), int(len(y) - y.sum()))
+    assert (got.bucket == want.bucket).all() and (got.mark != want.mark).mean() < 0.01 and np.allclose(found[got.mark == want.mark], ratio[got.mark == want.mark], atol=1e-5)
+    monkeypatch.setattr(toxicity, "PORTION", 5000)
+    model = toxicity.train(docs, labels)
+    fresh = corpus(300, 6)
+    score = model.scores(pa.array([r[1] for r in fresh]))
+    assert ((score >= 0.3) == np.array([r[3] == 1 for r in fresh])).mean() >= 0.97 and model.thresholds
