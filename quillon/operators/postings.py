@@ -20,6 +20,9 @@ from quillon.operators.retrieval import tokens_of
 FOLDERS = 64
 WEIGHTS = (1.0, 0.4, 0.2, 0.1)
 
+#: Tasks that share a folder, each with its own documents.
+SPREAD = 8
+
 _SCHEMA = "term string, doc bigint, places array<struct<pos:int,weight:double>>, folder int"
 
 
@@ -31,14 +34,33 @@ def postings(docs: DataFrame, fields: list[str], *, id_col: str, weights: tuple[
     """(term, doc, places, folder): places (pos, weight) of every term in every document, in order.
 
     Fields follow each other in the order given, with one run of positions from 1; each has its weight. Terms are lower-cased
-    runs of letters and digits; null fields are empty. There is one shuffle, by ranges of term and document, so that a
-    frequent term's list is spread over tasks.
+    runs of letters and digits; null fields are empty. A document's words are sorted and cut into terms within its row. There
+    is one shuffle, of a row for each term of a document, by folder and a hash of the document, so that a frequent term's list
+    is spread over tasks. Rows with one id have a row each for a term.
     """
     parts = [_weighed(F.col(f), w) for f, w in zip(fields, weights, strict=False)]
-    each = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.posexplode(F.concat(*parts)).alias("p", "x"))
-    rows = each.select("doc", "x.term", F.struct((F.col("p") + 1).alias("pos"), "x.weight").alias("place"), folder_of(F.col("x.term"), folders).alias("folder"))
-    dealt = rows.repartitionByRange("folder", "term", "doc")
-    return dealt.groupBy("folder", "term", "doc").agg(F.array_sort(F.collect_list("place")).alias("places")).select("term", "doc", "places", "folder")
+    said = F.transform(F.concat(*parts), lambda x, i: F.struct(x["term"].alias("term"), (i + 1).alias("pos"), x["weight"].alias("weight")))
+    each = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.explode(_let(F.sort_array(said), _by_term)).alias("x"))
+    rows = each.select("x.term", "doc", "x.places", folder_of(F.col("x.term"), folders).alias("folder"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "folder", F.pmod(F.xxhash64("doc"), F.lit(SPREAD)))
+
+
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _by_term(said: Column) -> Column:
+    """(term, places) of words (term, pos, weight) in order: a run of one term begins where the word before is another."""
+    n = F.size(said)
+    begins = F.filter(F.transform(said, lambda x, i: F.when((i == 0) | (F.get(said, i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
+    places = lambda run: F.transform(run, lambda x: F.struct(x["pos"].alias("pos"), x["weight"].alias("weight")))
+
+    def cut(at: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(at, k + 1), n)
+        return F.transform(at, lambda i, k: F.struct(F.get(said, i)["term"].alias("term"), places(F.slice(said, i + 1, end(k) - i)).alias("places")))
+
+    return _let(begins, cut)
 
 
 def _weighed(field: Column, weight: float) -> Column:
@@ -84,8 +106,8 @@ class TextIndex:
             held = held.join(held.where(F.col("term") == rarest).select("doc"), "doc", "left_semi")
         number = F.create_map(*(F.lit(x) for i, t in enumerate(terms) for x in (t, i)))
         entries = F.transform("places", lambda p: F.struct(p["pos"].alias("pos"), F.col("t").alias("t"), (1 / p["weight"]).alias("inv")))
-        rows = held.withColumn("t", F.element_at(number, F.col("term"))).select("doc", entries.alias("e"))
-        met = rows.groupBy("doc").agg(F.collect_list("e").alias("e")).where(F.size("e") == len(terms))
+        rows = held.withColumn("t", F.element_at(number, F.col("term"))).select("doc", "t", entries.alias("e"))
+        met = rows.groupBy("doc").agg(F.collect_list("e").alias("e"), F.collect_set("t").alias("t")).where(F.size("t") == len(terms))
         found = met.select("doc", cover_density(F.array_sort(F.flatten("e")), len(terms)).alias("m")).select("doc", F.round("m.score", 9).alias("score"), "m.covers")
         order = [F.desc("score"), F.asc("doc")]
         if limit is not None:

@@ -68,3 +68,15 @@ def test_a_frequent_term_is_dealt_over_tasks(spark):
 def test_density_of_one_entry(spark):
     rows = spark.createDataFrame([([(1, 0, 2.5)],), ([],)], "e array<struct<pos:int,t:int,inv:double>>")
     assert [(r.m.score, r.m.covers) for r in rows.select(cover_density(F.col("e"), 1).alias("m")).collect()] == [(0.4, 1), (0.0, 0)]
+
+
+def test_words_are_cut_into_terms_before_the_shuffle(spark):
+    """One row for each term of a document meets the shuffle, by keys that need no sample of the words."""
+    docs = spark.createDataFrame(DOCS, SCHEMA)
+    found = postings(docs, ["title", "summary", "text"], id_col="id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Aggregate" not in plan and "hashpartitioning(folder" in plan
+    want = {(w, i) for i, *fields in DOCS for text in fields for w in WORD.findall((text or "").lower())}
+    rows = found.collect()
+    assert {(r.term, r.doc) for r in rows} == want and len(rows) == len(want)
+    assert all([p.pos for p in r.places] == sorted(p.pos for p in r.places) for r in rows)
