@@ -79,10 +79,11 @@ def time_split(series: DataFrame, test_weeks: int = 8, val_weeks: int = 4) -> Da
 
 def rolling_origin(series: DataFrame, n_folds: int = 6, horizon: int = 7, min_train: int = 120) -> DataFrame:
     """(fold, role, rows of the series): expanding folds, the latest first; a fold tests `horizon` days and trains on all before. Folds with fewer than min_train training days are left out."""
-    spans = series.groupBy("venue").agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
-    folds = spans.select("venue", F.posexplode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("fold", "_k"), "_first", "_last")
-    folds = folds.withColumn("_end", F.date_sub("_last", F.col("_k") * horizon)).withColumn("_cut", F.date_sub("_end", horizon)).where(F.datediff("_cut", "_first") + 1 >= min_train)
-    return series.join(folds.select("venue", "fold", "_cut", "_end"), "venue").where("date <= _end").withColumn("role", F.when(F.col("date") <= F.col("_cut"), "train").otherwise("test")).drop("_cut", "_end")
+    venue = Window.partitionBy("venue")
+    own = series.withColumns({"_first": F.min("date").over(venue), "_last": F.max("date").over(venue)})  # the series is read once: it may be a join of all lines
+    folds = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("fold")).withColumn("_end", F.date_sub("_last", F.col("fold") * horizon))
+    folds = folds.withColumn("_cut", F.date_sub("_end", horizon)).where((F.datediff("_cut", "_first") + 1 >= min_train) & (F.col("date") <= F.col("_end")))
+    return folds.withColumn("role", F.when(F.col("date") <= F.col("_cut"), "train").otherwise("test")).drop("_first", "_last", "_end", "_cut")
 
 
 def leave_one_venue_out(venues: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ from quillon.operators.metrics import conformal_quantiles, conformal_quantiles_a
 from quillon.operators.smoothing import smoothing_forecast, stl_forecast
 
 FORECAST = "venue string, fold int, date date, y double, yhat double"
+#: Rows of a partition of the pooled trees' training.
+PIECE = 20_000
 
 
 def seasonal_naive(folds: DataFrame, season: int = 7) -> DataFrame:
@@ -72,7 +74,8 @@ def boosted_trees(folds: DataFrame, *, trees: int = 20, depth: int = 4, rate: fl
     """Gradient-boosted trees (MLlib) over lags, rolling values, weekdays and the venue (one-hot), pooled over venues; one model a fold, cut at the fold's end.
 
     Forecasts are recursive: each day's inputs hold the predictions of the days before it, at least 0. A venue's fold is one
-    row with its last 28 values, so that the days of the horizon are narrow steps without a shuffle.
+    row with its last 28 values, so that the days of the horizon are narrow steps without a shuffle. Trees are hundreds of
+    small jobs, whose tasks are as many as their partitions: rows are dealt by their number, not by the partitions of a shuffle.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -86,7 +89,7 @@ def boosted_trees(folds: DataFrame, *, trees: int = 20, depth: int = 4, rate: fl
     prepare = Pipeline(stages=[
         StringIndexer(inputCol="venue", outputCol="_venue_no", handleInvalid="keep"), OneHotEncoder(inputCol="_venue_no", outputCol="_venue_hot", dropLast=False), VectorAssembler(inputCols=[*lags, *(f"d{i}" for i in range(7)), "_venue_hot"], outputCol="x"),
     ]).fit(rows)
-    ready = prepare.transform(rows).select("fold", "x", "value")
+    ready = prepare.transform(rows).select("fold", "x", "value").repartition(train.count() // PIECE + 1)
     end = train.groupBy("venue", "fold").agg(F.max("date").alias("_end"))
     last = train.join(end, ["venue", "fold"]).where(F.datediff("_end", "date") < 28)
     start = last.groupBy("venue", "fold", "_end").agg(F.array_sort(F.collect_list(F.struct("date", "value"))).alias("_h"))  # 28 values

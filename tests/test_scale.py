@@ -2,10 +2,11 @@
 
 import pyarrow as pa
 
-from quillon.operators import retrieval
+from quillon.operators import features, forecast, retrieval
 from quillon.operators.vector_index import PIECE_ROWS, _sliced
-from quillon.plans.layers import l3_daily
+from quillon.plans.layers import l3_daily, series_of
 from quillon.plans.signals import QUERIES
+from quillon.sources.store import kept
 
 
 def plan(df):
@@ -22,6 +23,32 @@ def test_lines_are_joined_once_for_the_nodes(spark, sf_dir):
     assert "lineitem" not in plan(QUERIES["node_coverage"](spark, sf_dir))
 
 
+def test_lines_are_joined_once_for_the_folds(spark, sf_dir):
+    joined = plan(features.rolling_origin(series_of(spark, sf_dir)))
+    assert joined.count("lineitem.parquet") == 1 and joined.count("SortMergeJoin") == 3
+
+
+def test_pooled_trees_have_as_many_tasks_as_their_rows_need(spark, sf_dir, monkeypatch):
+    """Not as many as a shuffle has partitions, which grow with the tables: trees are hundreds of jobs."""
+    from pyspark.ml.regression import GBTRegressor
+
+    folds, seen, fit = kept(features.rolling_origin(series_of(spark, sf_dir)).where("fold = 0"), "folds"), [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    of = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(of)
+    spark.conf.set(of, "32")
+    try:
+        wide = {tuple(r) for r in forecast.boosted_trees(folds, trees=2).collect()}
+        spark.conf.set(of, usual)
+        monkeypatch.setattr(forecast, "PIECE", folds.where("role = 'train'").count() // 3 + 1)
+        cut = {tuple(r) for r in forecast.boosted_trees(folds, trees=2).collect()}
+    finally:
+        spark.conf.set(of, usual)
+    assert seen == [1, 3] and len(wide) == folds.where("role = 'test'").count()
+    near = lambda rows: sorted((r[0], r[2], round(r[4], 3)) for r in rows)
+    assert near(wide) == near(cut)
+
+
 def test_vectors_are_handled_in_pieces():
     batch = pa.RecordBatch.from_arrays([pa.array(range(2500))], names=["id"])
     pieces = list(_sliced(iter([batch, batch.slice(0, 0)]), PIECE_ROWS))
